@@ -50,18 +50,21 @@ def _covered(starts: Column, width: int) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the measurements, one row per row of ``docs``."""
+def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id`` and the measurements, one row per row of ``docs``; ``carry`` adds the whole row as ``row``."""
+    keep = ["doc_id", "row"] if carry else ["doc_id"]
+    if carry:
+        docs = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     one = docs.select(
-        "doc_id",
+        *keep,
         F.array_remove(F.split(text, SPACES), "").alias("words"),
         lines.alias("lines"),
         F.regexp_replace(text, r"[^A-Z!#*$%&|<>]+", "").alias("marks"),
     )
     two = one.select(
-        "doc_id",
+        *keep,
         _only(F.col("marks"), r"[A-Z!]+").alias("n_symbols"),
         _only(F.col("marks"), r"[^A-Z]+").alias("n_upper"),
         _only(F.col("marks"), r"[^!]+").alias("n_exclaim"),
@@ -81,13 +84,13 @@ def measured(docs: DataFrame) -> DataFrame:
     same = lambda x, i: F.coalesce(F.get(F.col("placed"), i)["h"] == x["h"], F.lit(False))
     starts = F.sort_array(F.transform(F.filter("placed", lambda x, i: F.when(i > 0, same(x, i - 1)).otherwise(False) | same(x, i + 1)), lambda x: x["p"]))
     five = four.withColumn("starts", starts)
-    return five.select("doc_id", *MEASURES[:4], F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("starts"), 5)).alias("n_repeat_words"), *MEASURES[5:])
+    return five.select(*keep, *MEASURES[:4], F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("starts"), 5)).alias("n_repeat_words"), *MEASURES[5:])
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements and ``failed_bits``: bit i is set where rule i of ``RULES`` fails."""
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)), F.lit(0))
-    return measured(docs).withColumn("failed_bits", bits.cast("int"))
+    return measured(docs, carry).withColumn("failed_bits", bits.cast("int"))
 
 
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -106,6 +109,11 @@ def ablations(rows: DataFrame) -> DataFrame:
     return rows.agg(F.array(*counts).alias("x"), F.bit_or("failed_bits").alias("any_bits")).select(F.inline("x"))
 
 
+def filtered(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their own columns."""
+    return apply_policy(ledger(docs, carry=True), version).filter("kept").select("row.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The columns of the ``op9_quality_rules`` query."""
     return apply_policy(ledger(docs)).select("doc_id", *MEASURES[:5], "base_failed", "kept", "failed_bits")
