@@ -16,6 +16,7 @@ gives an empty result; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,27 +37,60 @@ RANK_ROWS = 4_000
 #: Placements of a plan that are sent to the executors at most; there are a few for each length.
 PLAN_ROWS = 2_000_000
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, "_Words"] = {}
+
+
+#: Words of these characters need no normalisation but lower case, and split into the parts below.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones themselves, the others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
+
+
+class _Parts(dict):
+    """Ids of parts of words, straight from the vocabulary's merges."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> list[int]:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[part] = ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        return ids
 
 
 class _Words(dict):
     """Little-endian ids of words between ASCII white space, which the tokenizer never joins."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, plain: bool):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.plain, self.parts = tokenizer, plain, _Parts(tokenizer.model)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORD_CACHE:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        # Contractions and special tokens are left to the whole tokenizer.
+        if self.plain and len(word) <= 64 and "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
+            ids = [i for part in _PARTS.findall(text.lower()) for i in self.parts[part]]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
         if len(word) <= 64:
-            self[word] = ids
-        return ids
+            self[word] = packed
+        return packed
 
 
 def _words(path: str | None) -> _Words:
-    if path is None:
+    plain = path is None  # the parts are those of this vocabulary
+    if plain:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
@@ -64,7 +98,7 @@ def _words(path: str | None) -> _Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _encoders[path] = _Words(Tokenizer.from_file(path))
+        _encoders[path] = _Words(Tokenizer.from_file(path), plain)
     return _encoders[path]
 
 
