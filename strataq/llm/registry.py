@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.llm import html, jaccard, langid, packing, quality, substrings, urls
+from strataq.llm import html, jaccard, langid, neighbours, packing, quality, substrings, urls
 from strataq.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.digest(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
