@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: Text bytes that one block of documents should hold; bounds the memory of a task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

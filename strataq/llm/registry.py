@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.llm import html, jaccard, langid, neighbours, packing, quality, substrings, urls
+from strataq.llm import html, jaccard, langid, mixing, neighbours, packing, quality, segmenting, substrings, urls
 from strataq.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.digest(table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +34,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmenting.digest(table(spark, sf_dir, "conversations"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
