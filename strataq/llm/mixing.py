@@ -10,7 +10,8 @@ observed one. Weights and maps start from values fitted on a bounded sample of t
 texts, and go on learning within each text, once for every ``STEP`` symbols. The sum of the
 costs of all decisions is the text's size in bits.
 
-Counts are taken over all training texts. Tables have a number of rows that follows the
+Counts are taken over all training texts; weights are fitted with the sample's own counts
+left out, as they are for a text that is new. Tables have a number of rows that follows the
 size of the corpus up to ``MOST_ROWS``, so the model that is sent to the executors is
 bounded; word counts, which are not, are exchanged by blocks.
 
@@ -42,8 +43,9 @@ SHIFT = 6
 STEP = 256
 RATE = 0.003
 BUCKETS = 24
-#: Training texts on which the first weights are fitted, at most.
+#: Training texts on which the first weights are fitted, about; of each at most 64 steps are used, in so many rounds.
 FIT_TEXTS = 300
+FIT_ROUNDS = 4
 #: Symbols that are scored together.
 GROUP = 1 << 19
 SLICE = 1 << 19
@@ -117,7 +119,7 @@ def stretched(counts: np.ndarray) -> np.ndarray:
     level = counts.astype(np.float64)
     for depth in (4, 3, 2, 1, 0):
         zero, one = level[:, 0::2], level[:, 1::2]
-        p = np.log((one + 0.03) / (zero + 0.03))
+        p = np.log((one + 0.1) / (zero + 0.1))
         out[:, 1 << depth : 2 << depth] = np.clip(np.rint(p * 12), -120, 120)
         level = zero + one
     return out
@@ -191,37 +193,63 @@ def _trains(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
 
-def count_tables(docs: DataFrame, bits: int, tasks: int) -> list[np.ndarray]:
-    """Symbol counts by context over all training texts, stretched. Tables are bounded by ``MOST_ROWS``."""
+def _fits(doc_id: int, one_in: int) -> bool:
+    return zlib.crc32(f"fit{doc_id}".encode()) % one_in == 0
+
+
+def count_tables(docs: DataFrame, bits: int, tasks: int, one_in: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Symbol counts by context, stretched: over all training texts, and over those that weights are not fitted on.
+
+    Tables are bounded by ``MOST_ROWS``.
+    """
     sizes = table_rows(bits)
     starts = np.cumsum([0, *sizes]) * 32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(starts[-1], np.uint32)
+        total, own = np.zeros(starts[-1], np.uint32), [np.empty(0, np.int64)]
         for batch in batches:
             pending: list[np.ndarray] = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 if _trains(doc):
                     s = symbols(text.as_py())
-                    pending.append(np.stack([c * 32 + s + b for c, b in zip(contexts(s, bits), starts[:-1], strict=True)]).ravel())
+                    rows = np.stack([c * 32 + s + b for c, b in zip(contexts(s, bits), starts[:-1], strict=True)]).ravel()
+                    (own if _fits(doc, one_in) else pending).append(rows)
                     if sum(map(len, pending)) > 1 << 20:
                         np.add.at(total, np.concatenate(pending), 1)
                         pending = []
             if pending:
                 np.add.at(total, np.concatenate(pending), 1)
-        parts = [(i, total[i * SLICE : (i + 1) * SLICE]) for i in range(-(-len(total) // SLICE))]
-        parts = [(i, x) for i, x in parts if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for _, x in parts], pa.binary())], ["part", "data"])
+        at, many = np.unique(np.concatenate(own), return_counts=True)
+        parts, fit, data = [], [], []
+        for i in range(-(-len(total) // SLICE)):
+            x = total[i * SLICE : (i + 1) * SLICE]
+            if x.any():
+                parts, fit, data = [*parts, i], [*fit, False], [*data, zstandard.compress(x.tobytes(), 1)]
+            inside = slice(*np.searchsorted(at, [i * SLICE, (i + 1) * SLICE]))
+            if inside.start < inside.stop:
+                parts, fit, data = [*parts, i], [*fit, True], [*data, np.stack([at[inside] - i * SLICE, many[inside]]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(fit, pa.bool_()), pa.array(data, pa.binary())], ["part", "fit", "data"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint32).astype(np.uint64) for x in table["data"])
-        return pa.table({"part": table["part"][:1], "data": pa.array([stretched(total.reshape(-1, 32)).tobytes()], pa.binary())})
-
-    counted = docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary")
-    flat = np.zeros(starts[-1], np.int8)
-    for row in counted.toLocalIterator():  # at most 3 * 2^MOST_ROWS rows of 32 bytes and the small tables
-        flat[row["part"] * SLICE : row["part"] * SLICE + len(row["data"])] = np.frombuffer(row["data"], np.int8)
-    return [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        part = table["part"][0].as_py()
+        total = np.zeros(min(SLICE, int(starts[-1]) - part * SLICE), np.uint64)
+        fit = table["fit"].to_pylist()
+        for is_fit, x in zip(fit, table["data"], strict=True):
+            if not is_fit:
+                total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
+        without = stretched(total.reshape(-1, 32)).tobytes()
+        for is_fit, x in zip(fit, table["data"], strict=True):
+            if is_fit:
+                at, many = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+                total[at] += many.astype(np.uint64)
+        return pa.table({"part": pa.array([part], pa.int32()), "all": pa.array([stretched(total.reshape(-1, 32)).tobytes()], pa.binary()), "without": pa.array([without], pa.binary())})
+
+    counted = docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, "part int, fit boolean, data binary").groupBy("part").applyInArrow(add, "part int, all binary, without binary")
+    flat = np.zeros((2, starts[-1]), np.int8)
+    for row in counted.toLocalIterator():  # at most 3 * 2^MOST_ROWS rows of 32 bytes and the small table, twice
+        for k, name in enumerate(("all", "without")):
+            flat[k, row["part"] * SLICE : row["part"] * SLICE + len(row[name])] = np.frombuffer(row[name], np.int8)
+    return tuple([x[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)] for x in flat)
 
 
 class _Block:
@@ -295,12 +323,16 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
     tasks = max(2 * spark.sparkContext.defaultParallelism, size["bytes"] >> 30)
-    model = Model(count_tables(docs, bits, tasks), bits)
-    chosen = docs.filter(trains & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, ends))) < 2 * FIT_TEXTS)).select("doc_id", "text").limit(FIT_TEXTS)
-    texts = [symbols(r["text"])[: 64 * STEP] for r in sorted(chosen.collect(), key=lambda r: r["doc_id"])]
+    one_in = max(20, -(-ends // FIT_TEXTS))
+    tables, without = count_tables(docs, bits, tasks, one_in)
+    model = Model(tables, bits)
+    chosen = docs.filter(trains & (F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % one_in == 0)).select("doc_id", "text").limit(2 * FIT_TEXTS)
+    texts = [symbols(r["text"])[: 64 * STEP] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
     if texts:
-        for _ in range(3):
-            model.costs(texts, keep=True)
+        first_model = Model(without, bits)
+        for _ in range(FIT_ROUNDS):
+            first_model.costs(texts, keep=True)
+        model.weights, model.map = first_model.weights, first_model.map
     shared = spark.sparkContext.broadcast(model)
 
     def last(key, table, found):
