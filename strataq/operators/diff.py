@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Attributes of an inode whose difference is a change of metadata.
+INODE_ATTRIBUTES = ("inode_id", "kind", "mode", "flags", "links", "size", "modified_ns", "changed_ns", "accessed_ns", "birth_ns", "has_xattrs")
+#: Kinds without content of their own.
+_BARE = ("dir", "fifo", "socket")
+PAGE_LIMIT = 64
+
 
 def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of ``(key, oid, meta)`` that differ between two revisions.
@@ -15,12 +21,11 @@ def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.select("key", F.col("oid").alias("before_oid"), F.col("meta").alias("before_meta"), F.lit(True).alias("in_before"))
     a = after.select("key", F.col("oid").alias("after_oid"), F.col("meta").alias("after_meta"), F.lit(True).alias("in_after"))
     one_sided = F.col("in_before").isNull() | F.col("in_after").isNull()
-    change = F.when(F.col("in_before").isNull(), "added").when(F.col("in_after").isNull(), "removed").otherwise("modified")
     return (
         b.join(a, "key", "full_outer")
         .select(
             "key",
-            change.alias("change"),
+            change_kind("in_before", "in_after").alias("change"),
             (one_sided | ~F.col("before_meta").eqNullSafe(F.col("after_meta"))).alias("metadata_changed"),
             (one_sided | ~F.col("before_oid").eqNullSafe(F.col("after_oid"))).alias("content_changed"),
             "before_oid",
@@ -28,3 +33,70 @@ def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:
         )
         .filter("metadata_changed OR content_changed")
     )
+
+
+def change_kind(before: str, after: str) -> Column:
+    return F.when(F.col(before).isNull(), "added").when(F.col(after).isNull(), "removed").otherwise("modified")
+
+
+def diff_if_changed(before: DataFrame, after: DataFrame, before_manifest: str, after_manifest: str) -> DataFrame:
+    """Equal manifests prove equal revisions: the result is then empty and nothing is scanned."""
+    out = revision_diff(before, after)
+    return out.limit(0) if before_manifest == after_manifest else out
+
+
+def diff_stat(changes: DataFrame) -> DataFrame:
+    """Changes by kind, and how many of them touch content or metadata."""
+    return changes.groupBy("change").agg(F.count("*").alias("n"), F.count_if("content_changed").alias("n_content"), F.count_if("metadata_changed").alias("n_metadata"))
+
+
+def diff_page(changes: DataFrame, after=None, limit: int = PAGE_LIMIT, key: str = "key") -> DataFrame:
+    """One page in key order with an exclusive cursor; ``next_after`` is null at the end."""
+    if not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"limit must be from 1 to {PAGE_LIMIT}")
+    rows = changes if after is None else changes.filter(F.col(key) > after)
+    # One row more than asked tells whether this is the last page; the page is bounded by the limit.
+    page = rows.orderBy(key).limit(limit + 1)
+    tail = page.agg(F.count("*").alias("_n"), F.max(key).alias("_last"))
+    shown = page.join(F.broadcast(tail)).filter((F.col("_n") <= limit) | (F.col(key) < F.col("_last")))
+    last = shown.agg(F.max(key).alias("_shown"))
+    return shown.join(F.broadcast(last)).withColumn("eof", F.col("_n") <= limit).withColumn("next_after", F.when(F.col("_n") > limit, F.col("_shown"))).drop("_n", "_last", "_shown")
+
+
+def namespace_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Differences of two trees, one row per path: inodes with ``path``, ``INODE_ATTRIBUTES``, ``xattrs`` (a hash) and ``content`` (a hash of the logical bytes, null for kinds without).
+
+    A directory on one side only has no content change; two-sided directories, FIFOs and
+    sockets change content exactly when their kind does; how bytes are laid out in chunks is
+    no change, as ``content`` is a hash of logical bytes.
+    """
+    side = lambda df, name: df.select("path", F.struct(*INODE_ATTRIBUTES, "xattrs", "content").alias(name))
+    j = side(before, "b").join(side(after, "a"), "path", "full_outer")
+    one = F.col("a").isNull() | F.col("b").isNull()
+    attributes = ~F.struct(*(F.col(f"b.{c}") for c in INODE_ATTRIBUTES)).eqNullSafe(F.struct(*(F.col(f"a.{c}") for c in INODE_ATTRIBUTES)))
+    xattrs = ~F.col("b.xattrs").eqNullSafe(F.col("a.xattrs"))
+    present_kind = F.coalesce("b.kind", "a.kind")
+    bare = F.col("b.kind").isin(*_BARE) | F.col("a.kind").isin(*_BARE)
+    content = F.when(one, present_kind != "dir").when(bare, F.col("b.kind") != F.col("a.kind")).when((F.col("b.kind") == "symlink") != (F.col("a.kind") == "symlink"), True).when(F.col("b.size") != F.col("a.size"), True).otherwise(~F.col("b.content").eqNullSafe(F.col("a.content")))
+    return j.select(
+        "path",
+        F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("modified").alias("change"),
+        F.col("b.inode_id").alias("before_inode"), F.col("a.inode_id").alias("after_inode"),
+        F.col("b.kind").alias("before_type"), F.col("a.kind").alias("after_type"),
+        (one | xattrs).alias("xattrs_changed"), (one | attributes | xattrs).alias("metadata_changed"), content.alias("content_changed"),
+    ).filter("metadata_changed OR content_changed")
+
+
+def status_diff(snapshot: DataFrame, world: DataFrame) -> DataFrame:
+    """A/M/D/T per ``key`` from (key, size, mtime, oid, mode): equal size and time skip the bytes; T is metadata alone."""
+    s = snapshot.select("key", F.struct("size", "mtime", "oid", "mode").alias("s"))
+    w = world.select("key", F.struct("size", "mtime", "oid", "mode").alias("w"))
+    quick = (F.col("s.size") == F.col("w.size")) & (F.col("s.mtime") == F.col("w.mtime"))
+    status = (
+        F.when(F.col("s").isNull(), "A")
+        .when(F.col("w").isNull(), "D")
+        .when(F.col("s.size") != F.col("w.size"), "M")
+        .when(~quick & ~F.col("s.oid").eqNullSafe(F.col("w.oid")), "M")
+        .when(~F.col("s.mode").eqNullSafe(F.col("w.mode")), "T")
+    )
+    return s.join(w, "key", "full_outer").select("key", status.alias("status")).filter("status IS NOT NULL")
