@@ -90,7 +90,9 @@ def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
 def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements and ``failed_bits``: bit i is set where rule i of ``RULES`` fails."""
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)), F.lit(0))
-    return measured(docs, carry).withColumn("failed_bits", bits.cast("int"))
+    # A filter on the bits must not be pushed below the measurements: it would compute them again for each element.
+    once = F.when(F.monotonically_increasing_id() >= 0, bits)
+    return measured(docs, carry).withColumn("failed_bits", once.cast("int"))
 
 
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
