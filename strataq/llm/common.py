@@ -13,6 +13,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Text bytes that one block of documents should hold; bounds the memory of a task.
 BLOCK_BYTES = 8 << 20
+#: Blocks at most; beyond, blocks grow, as an exchange between blocks and buckets has a cell for each pair.
+MOST_BLOCKS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +58,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def blocks_for(n_bytes: int, n_rows: int, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks so that each holds about ``block_bytes`` of text, and never more blocks than rows."""
-    return max(1, min(n_rows, math.ceil(n_bytes / block_bytes)))
+    """Blocks so that each holds about ``block_bytes`` of text, and never more blocks than rows or ``MOST_BLOCKS``."""
+    return max(1, min(n_rows, math.ceil(n_bytes / block_bytes), MOST_BLOCKS))
 
 
 def block_of(doc_id, n_blocks: int):
