@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.functions import scalars
-from strataq.operators import audit, capture, content, diff, graph, history, intervals, merge, pages, rollup, views
+from strataq.operators import audit, capture, content, diff, graph, handles, history, intervals, merge, pages, rollup, views
 from strataq.plans import derived
 from strataq.plans.derived import table
 
@@ -481,3 +481,42 @@ def scalar_bytes(spark, sf_dir):
 def scalar_text(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", scalars.hex_lower(F.substring(t, 1, 4).cast("binary")).alias("head"), scalars.valid_name(t).alias("valid_name"))
+
+
+# ---------------------------------------------------------------- handles and status
+
+
+@query("open_counts", "SELECT user_id % 5 AS view, user_id AS inode_id, count(*) AS n FROM events GROUP BY 1, 2")
+def open_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("view"), F.col("user_id").alias("inode_id"))
+    return handles.open_counts(rows)
+
+
+@query("foreign_handles", "SELECT o_orderkey AS handle, o_custkey % 100 AS session FROM orders LEFT JOIN events ON event_id = o_orderkey WHERE (user_id % 100) IS DISTINCT FROM (o_custkey % 100)")
+def foreign_handles(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("handle"), (F.col("o_custkey") % 100).alias("session"))
+    owned = table(spark, sf_dir, "events").select(F.col("event_id").alias("handle"), (F.col("user_id") % 100).alias("session"))
+    return handles.foreign(asked, owned).select("handle", "session")
+
+
+@query("shared_views", "SELECT c_nationkey AS view, count(DISTINCT c_mktsegment) AS sessions FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
+def shared_views(spark, sf_dir):
+    return handles.shared_views(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("view"), F.col("c_mktsegment").alias("session")))
+
+
+@query("pool_freshness", "SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'lost' WHEN c_nationkey = o_orderkey % 25 THEN 'fresh' ELSE 'stale' END AS state FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c_custkey = o_custkey")
+def pool_freshness(spark, sf_dir):
+    pool = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("snapshot_id"), (F.col("o_orderkey") % 25).alias("generation"))
+    snapshots = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("snapshot_id"), F.col("c_nationkey").alias("generation"))
+    return handles.pool_freshness(pool, snapshots).select("id", "state")
+
+
+@query("service_status", "SELECT count(*) AS objects, sum(strlen(text))::BIGINT AS bytes, max(strlen(text))::BIGINT AS largest, (SELECT count(*) FROM customer) AS roots FROM documents")
+def service_status(spark, sf_dir):
+    return handles.service_status(table(spark, sf_dir, "documents"), table(spark, sf_dir, "customer"), F.octet_length("text"))
+
+
+@query("xattr_names", "SELECT user_id AS inode_id, array_to_string(list(event_type ORDER BY event_type), ',') AS names FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def xattr_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("inode_id"), F.col("event_type").alias("name")).distinct()
+    return handles.xattr_names(rows).select("inode_id", F.array_join("names", ",").alias("names"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.functions import scalars
-from strataq.operators import audit, capture, content, diff, graph, history, intervals, merge, mutations, pages, rollup, views
+from strataq.operators import audit, capture, content, diff, graph, handles, history, intervals, merge, mutations, pages, rollup, views
 
 REV = "key string, oid string, meta string"
 
@@ -226,3 +226,13 @@ def test_mutations(spark):
     assert t.chunks.count() == 0
     t = mutations.set_attributes(t, spark.createDataFrame([("4", 0o600)], "inode_id string, mode int"), now)
     assert collect(t.inodes.filter("inode_id = '4'"), "mode") == [(0o600,)]
+
+
+def test_handles(spark):
+    owned = spark.createDataFrame([(1, "a", "i"), (2, "b", "j")], "handle int, session string, inode_id string")
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "handle int, session string")
+    assert collect(handles.foreign(asked, owned), "handle") == [(2,), (3,)]
+    assert collect(handles.kept_open(spark.createDataFrame([("i",), ("z",)], "inode_id string"), owned), "inode_id") == [("i",)]
+    m = spark.range(1).select(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("m"))
+    got = m.select(handles.map_put(F.col("m"), "a", F.lit("9")).alias("put"), handles.map_remove(F.col("m"), "b").alias("gone"), handles.xattr_value(F.col("m"), "c").alias("none")).first()
+    assert dict(got["put"]) == {"a": "9", "b": "2"} and dict(got["gone"]) == {"a": "1"} and got["none"] is None
