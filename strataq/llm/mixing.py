@@ -40,15 +40,18 @@ FOLDS, HELD_OUT = 7, 2
 SPACE, END, ESCAPE = 26, 27, 28
 LEAST_ROWS, MOST_ROWS = 12, 18
 SHIFT = 6
-STEP = 256
+STEP = 512
 RATE = 0.003
 BUCKETS = 24
-#: Training texts on which the first weights are fitted, about; of each at most 64 steps are used, in so many rounds.
+#: Training texts on which the first weights are fitted, about; of each at most 32 steps are used, in so many rounds.
 FIT_TEXTS = 300
 FIT_ROUNDS = 4
 #: Symbols that are scored together.
-GROUP = 1 << 19
+GROUP = 1 << 18
+_UNIT = 12
 SLICE = 1 << 19
+#: Text that one task counts; it sends its nonzero counts, compressed, about a third of that.
+TASK_BYTES = 32 << 20
 
 
 def _codes() -> np.ndarray:
@@ -78,23 +81,28 @@ def symbols(text: str | None) -> np.ndarray:
 
 def contexts(s: np.ndarray, bits: int) -> list[np.ndarray]:
     """For each predictor, the table row of each symbol's context."""
-    before = [np.concatenate([np.full(k, END, np.int64), s[:-k]])[: len(s)].astype(np.int64) for k in range(1, 6)]
-    three = before[0] | before[1] << 5 | before[2] << 10
-    five = (three | before[3] << 15 | before[4] << 20).astype(np.uint64)
-    # The word so far: a sum over its symbols that does not depend on where it starts.
     n = len(s)
-    value = mixed(s.astype(np.uint64) + np.uint64(77))
+    padded = np.full(n + 5, END, np.uint64)
+    padded[5:] = s
+    one, two, three, four, five = (padded[5 - k : 5 - k + n] for k in range(1, 6))
+    short = one | two << _SHIFTS[1] | three << _SHIFTS[2]
+    long = short | four << _SHIFTS[3] | five << _SHIFTS[4]
+    # The word so far: a sum over its symbols that does not depend on where it starts.
     up, down = _powers(n + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(value * up[:n])])
-    start = np.maximum.accumulate(np.where(before[0] == SPACE, np.arange(n), 0))
-    word = (total[:n] - total[start]) * down[start] + (np.arange(n) - start).astype(np.uint64)
-    back = lambda k: np.where(start >= k, s[np.maximum(start - k, 0)], 0).astype(np.uint64)
-    previous = back(2) | back(3) << np.uint64(5) | back(4) << np.uint64(10)
-    mask = np.uint64((1 << bits) - 1)
-    row = lambda h: (mixed(h) & mask).astype(np.int64)
-    return [three, row(five), row(word), row(word + mixed(previous + np.uint64(99)))]
-
-
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[s] * up[:n], out=total[1:])
+    start = np.maximum.accumulate(np.where(one == SPACE, np.arange(n), 0))
+    word = (total[:n] - total[start]) * down[start]
+    # The last three letters of the word before; the padding stands for a text's beginning.
+    before = long[start] >> _SHIFTS[1] & np.uint64(32767)
+    row = lambda h, k: ((h * _MULTIPLIERS[k]) >> np.uint64(64 - bits)).astype(np.int64)
+    return [short.astype(np.int64), row(long + np.uint64(1), 0), row(word ^ word >> np.uint64(29), 1), row((word ^ word >> np.uint64(31)) + before * _MULTIPLIERS[3], 2)]
+
+
+_SHIFTS = [np.uint64(5 * k) for k in range(5)]
+_VALUES = mixed(np.arange(77, 109, dtype=np.uint64))
+#: Odd multipliers for hashing by the upper bits of a product.
+_MULTIPLIERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _known: list[np.ndarray] = []
 
 
@@ -114,24 +122,29 @@ def table_rows(bits: int) -> list[int]:
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
-    """From counts of symbols (rows, 32) to the stretched probability of a one at each of 31 decisions, in sixteenths."""
+    """From counts of symbols (rows, 32) to the stretched probability of a one at each of 31 decisions, in units of ``1 / _UNIT``."""
     out = np.zeros((len(counts), 32), np.int8)
     level = counts.astype(np.float64)
     for depth in (4, 3, 2, 1, 0):
         zero, one = level[:, 0::2], level[:, 1::2]
         p = np.log((one + 0.1) / (zero + 0.1))
-        out[:, 1 << depth : 2 << depth] = np.clip(np.rint(p * 12), -120, 120)
+        out[:, 1 << depth : 2 << depth] = np.clip(np.rint(p * _UNIT), -120, 120)
         level = zero + one
     return out
 
 
+_MOVES = (np.arange(32)[:, None] >> (4 - np.arange(5))) & 1
+_ONES = _MOVES.astype(np.float32)
+_NODES = (1 << np.arange(5)) | (np.arange(32)[:, None] >> (5 - np.arange(5)))
+
+
 class Model:
     """Tables of stretched probabilities, first weights, and the adaptive map."""
 
     def __init__(self, tables: list[np.ndarray], bits: int):
         self.tables, self.bits = [t.reshape(-1) for t in tables], bits
-        self.weights = np.full((5, len(tables)), 0.3, np.float32)
-        grid = (np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 1.5
+        self.weights = np.full((5, len(tables)), 0.3 / _UNIT, np.float32)
+        grid = (np.arange(BUCKETS) - BUCKETS // 2 + 0.5) / 1.5
         self.map = np.tile(1 / (1 + np.exp(-grid)), (5, 1)).astype(np.float32)
 
     def costs(self, texts: list[np.ndarray], keep: bool = False) -> np.ndarray:
@@ -148,40 +161,48 @@ class Model:
         sizes = np.array([len(t) for t in texts])
         longest, docs = int(sizes[0]), len(texts)
         sym = np.zeros((docs, longest), np.uint8)
-        rows = [np.zeros((docs, longest), np.int32) for _ in self.tables]
+        rows = [np.zeros((docs, longest), np.int64) for _ in self.tables]
         for i, t in enumerate(texts):
             sym[i, : len(t)] = t
             for r, c in zip(rows, contexts(t, self.bits), strict=True):
-                r[i, : len(t)] = c
+                np.left_shift(c, 5, out=r[i, : len(t)])
         weights = np.repeat(self.weights[None], docs, 0)
         maps = np.repeat(self.map[None], docs, 0)
         out = np.zeros(docs)
-        depth = np.arange(5)
+        place = np.arange(5) * BUCKETS + (np.arange(docs) * (5 * BUCKETS))[:, None, None]
         for start in range(0, longest, STEP):
             live = int(np.searchsorted(-sizes, -start, "left"))
             part = slice(start, min(start + STEP, longest))
-            s = sym[:live, part].astype(np.int64)[:, :, None]
-            seen = (np.arange(part.start, part.stop)[None] < sizes[:live, None])[:, :, None]
-            node = (1 << depth) | (s >> (5 - depth))
-            y = ((s >> (4 - depth)) & 1).astype(np.float32)
-            inputs = [t.take((r[:live, part].astype(np.int64) << 5)[:, :, None] | node).astype(np.float32) * np.float32(1 / 12) for t, r in zip(self.tables, rows, strict=True)]
+            s = sym[:live, part]
+            node, y = _NODES.take(s, 0), _ONES.take(s, 0)
+            inputs = [t.take(r[:live, part][:, :, None] | node).astype(np.float32) for t, r in zip(self.tables, rows, strict=True)]
             w = weights[:live]
-            dot = sum(x * w[:, None, :, k] for k, x in enumerate(inputs))
-            np.clip(dot, -12, 12, out=dot)
+            dot = inputs[0] * w[:, None, :, 0]
+            for k in range(1, len(inputs)):
+                dot += inputs[k] * w[:, None, :, k]
+            np.clip(dot, -7.9, 7.9, out=dot)
             p = 1 / (1 + np.exp(-dot))
             # The refined probability is the mean of the mixed one and of what the map has seen for it.
-            bucket = np.clip(dot * 1.5 + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int64)
-            cell = bucket + depth * BUCKETS + (np.arange(live) * (5 * BUCKETS))[:, None, None]
+            cell = (dot * np.float32(1.5) + np.float32(BUCKETS / 2)).astype(np.int32) + place[:live]
             m = maps[:live].reshape(-1)
-            refined = np.clip((p + m.take(cell)) / 2, 1e-5, 1 - 1e-5)
-            bits = -np.log2(np.where(y > 0, refined, 1 - refined))
-            out[:live] += (bits * seen).sum((1, 2), dtype=np.float64)
-            error = (y - p) * seen
+            refined = np.clip((p + m.take(cell)) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
+            error = y - p
+            bits = np.log2(np.abs(np.float32(1) - y - refined))
+            whole = sizes[live - 1] >= part.stop
+            if not whole:
+                seen = (np.arange(part.start, part.stop)[None] < sizes[:live, None])[:, :, None]
+                bits, error = bits * seen, error * seen
+            out[:live] -= bits.sum((1, 2), dtype=np.float64)
             for k, x in enumerate(inputs):
-                w[:, :, k] += RATE * (error * x).sum(1)
-            np.clip(w, -0.5, 1.5, out=w)
-            hit = np.bincount(cell.ravel(), np.broadcast_to(seen, cell.shape).ravel(), minlength=len(m))
-            ones = np.bincount(cell.ravel(), (y * seen).ravel(), minlength=len(m))
+                w[:, :, k] += (RATE / _UNIT**2) * np.einsum("dsb,dsb->db", error, x)
+            np.clip(w, -0.5 / _UNIT, 1.5 / _UNIT, out=w)
+            # Cells with a one are counted in a second range, those behind a text's end in a third.
+            cell += _MOVES.take(s, 0) * len(m)
+            if not whole:
+                cell = np.where(seen, cell, 2 * len(m))
+            count = np.bincount(cell.ravel(), minlength=2 * len(m))
+            ones = count[len(m) : 2 * len(m)]
+            hit = count[: len(m)] + ones
             m += ((ones - hit * m) / (hit + 40)).astype(np.float32)
             maps[:live] = m.reshape(live, 5, BUCKETS)
         if keep:
@@ -212,13 +233,13 @@ def count_tables(docs: DataFrame, bits: int, tasks: int, one_in: int) -> tuple[l
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 if _trains(doc):
                     s = symbols(text.as_py())
-                    rows = np.stack([c * 32 + s + b for c, b in zip(contexts(s, bits), starts[:-1], strict=True)]).ravel()
+                    rows = np.concatenate([(c << 5) + (s + b) for c, b in zip(contexts(s, bits), starts[:-1], strict=True)])
                     (own if _fits(doc, one_in) else pending).append(rows)
                     if sum(map(len, pending)) > 1 << 20:
-                        np.add.at(total, np.concatenate(pending), 1)
+                        np.add.at(total, np.concatenate(pending), np.uint32(1))
                         pending = []
             if pending:
-                np.add.at(total, np.concatenate(pending), 1)
+                np.add.at(total, np.concatenate(pending), np.uint32(1))
         at, many = np.unique(np.concatenate(own), return_counts=True)
         parts, fit, data = [], [], []
         for i in range(-(-len(total) // SLICE)):
@@ -322,12 +343,12 @@ def score(docs: DataFrame) -> DataFrame:
     ends = size["docs"]
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
-    tasks = max(2 * spark.sparkContext.defaultParallelism, size["bytes"] >> 30)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size["bytes"] // TASK_BYTES))
     one_in = max(20, -(-ends // FIT_TEXTS))
     tables, without = count_tables(docs, bits, tasks, one_in)
     model = Model(tables, bits)
-    chosen = docs.filter(trains & (F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % one_in == 0)).select("doc_id", "text").limit(2 * FIT_TEXTS)
-    texts = [symbols(r["text"])[: 64 * STEP] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+    chosen = docs.filter(trains & (F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % one_in == 0)).select("doc_id", F.substring("text", 1, 1 << 15).alias("text")).limit(2 * FIT_TEXTS)
+    texts = [symbols(r["text"])[: 32 * STEP] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
     if texts:
         first_model = Model(without, bits)
         for _ in range(FIT_ROUNDS):
