@@ -30,8 +30,9 @@ def ancestry(revisions: DataFrame, tips: DataFrame, most_doublings: int = 40) ->
         jump = checkpointed(jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
     out = tips.select(F.col("revision_id").alias("tip"), "revision_id", F.lit(0).cast("long").alias("depth"))
     for k in reversed(range(len(jumps))):
-        far = out.join(jumps[k], F.col("revision_id") == F.col("a")).select("tip", F.col("b").alias("revision_id"), (F.col("depth") + (1 << k)).alias("depth"))
-        out = out.unionByName(far)
+        # Each row stays and, where the jump exists, is joined by the row at its end; the input is read once.
+        both = F.array(F.struct("revision_id", "depth"), F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("revision_id"), (F.col("depth") + (1 << k)).alias("depth"))))
+        out = out.join(jumps[k], F.col("revision_id") == F.col("a"), "left").select("tip", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("tip", "x.revision_id", "x.depth")
     return out
 
 
