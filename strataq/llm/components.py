@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.common import checkpointed
 
 
+#: Links that one task joins by itself (16 MB); with more, rounds of stars run over all executors.
+LOCAL_LINKS = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by the smaller node, over a bounded number of links in one task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = np.fromiter(parent, np.int64, len(parent))
+    tops = np.fromiter(map(root, list(parent)), np.int64, len(parent))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tops)], ["node", "component"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -17,11 +45,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
 
     Each round joins every node to its smallest neighbour, first from its larger neighbours
     and then from its smaller ones; a node with very many links is pre-aggregated by the
-    minimum before the shuffle. Rounds are checkpointed in the shared folder.
+    minimum before the shuffle. Rounds are checkpointed in the shared folder. Up to
+    ``LOCAL_LINKS`` distinct links, a single task gives the same result without rounds.
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now = checkpointed(start)
     state = _state(now)
+    if state[0] <= LOCAL_LINKS:
+        return now.coalesce(1).mapInArrow(_joined, "node long, component long")
     for _ in range(max_rounds):
         if not state[0]:
             break
