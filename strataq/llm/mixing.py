@@ -41,7 +41,7 @@ SPACE, END, ESCAPE = 26, 27, 28
 LEAST_ROWS, MOST_ROWS = 12, 18
 SHIFT = 6
 STEP = 512
-RATE = 0.003
+RATE = 0.0015
 BUCKETS = 24
 #: Training texts on which the first weights are fitted, about; of each at most 32 steps are used, in so many rounds.
 FIT_TEXTS = 300
@@ -363,8 +363,10 @@ def score(docs: DataFrame) -> DataFrame:
         known = np.bincount(block.of, (c > 0)[block.word], minlength=rows).astype(np.int64) + (ends > 0)
         base = np.bincount(block.of, np.log10(c + 1.0)[block.word], minlength=rows) + math.log10(ends + 1)
         base -= (block.sizes + 1) * math.log10(tokens + distinct + 1)
-        coded = [symbols(t.as_py()) for t in table["text"]]
-        costs = shared.value.costs(coded)
+        # A text's score follows from the text alone: copies within a block are scored once.
+        which: dict[str, int] = {}
+        at = np.array([which.setdefault(t.as_py() or "", len(which)) for t in table["text"]], np.int64)
+        costs = shared.value.costs([symbols(t) for t in which])[at]
         size = np.array([len((t.as_py() or "").encode()) for t in table["text"]], np.int64)
         held = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids]
         return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": block.sizes + 1, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
