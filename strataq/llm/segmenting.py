@@ -4,7 +4,7 @@ All segmentations of a text form a lattice whose paths have a weight, the produc
 pieces'. Adding a Gumbel variable to each path's log probability and taking the ``k``
 largest draws ``k`` different paths without replacement. The paths are not listed: the
 largest value of a set of paths that share a beginning is itself Gumbel distributed around
-the set's log mass, so an A* search keeps beginnings in a heap by that value, and splits the
+the set's log mass, so an A* search keeps beginnings in order of that value, and splits the
 best one among its next pieces, given the maximum that is already known. Its first ``k``
 complete paths are the sample; the value of the next one is the threshold from which each
 path's inclusion probability follows.
@@ -20,11 +20,12 @@ only the key columns and ``text`` are read.
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 import zlib
+from bisect import insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,7 @@ ALPHA = 0.5
 SEED = 11
 WORD_CACHE = 100_000
 _MARK = "▁"
+_value = itemgetter(0)
 
 _vocabularies: dict[tuple, "Vocabulary"] = {}
 
@@ -55,17 +57,21 @@ class Vocabulary:
                 self.bytes[int(piece[3:5], 16)] = (i, -alpha * math.log(2 + processor.get_piece_size()))
             elif not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)):
                 self.pieces[piece] = ((i,), weight)
-        self.longest = max(map(len, self.pieces), default=1)
+        self.beginnings = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
         self.lattices: dict[str, tuple[list, list[float]]] = {}
 
     def lattice(self, word: str) -> tuple[list, list[float]]:
-        """For each position the edges (length, ids, log weight), and the log mass of all ways to the word's end."""
+        """For each position the edges (length, ids, log weight, log probability at this position), and the log mass of all ways to the word's end."""
         if word in self.lattices:
             return self.lattices[word]
         n = len(word)
         edges: list[list[tuple[int, tuple[int, ...], float]]] = []
         for i in range(n):
-            here = [(j - i, *self.pieces[word[i:j]]) for j in range(i + 1, min(n, i + self.longest) + 1) if word[i:j] in self.pieces]
+            here, j = [], i + 1
+            while j <= n and (part := word[i:j]) in self.beginnings:
+                if part in self.pieces:
+                    here.append((j - i, *self.pieces[part]))
+                j += 1
             if not here or here[0][0] > 1:
                 raw = [self.bytes[b] for b in word[i].encode()]
                 here.insert(0, (1, tuple(b[0] for b in raw), sum(b[1] for b in raw)))
@@ -75,6 +81,7 @@ class Vocabulary:
             values = [w + mass[i + size] for size, _, w in edges[i]]
             top = max(values)
             mass[i] = top + math.log(sum(math.exp(v - top) for v in values))
+            edges[i] = [(*e, v - mass[i]) for e, v in zip(edges[i], values, strict=True)]
         if len(self.lattices) >= WORD_CACHE:
             self.lattices.clear()
         if n <= 64:
@@ -110,48 +117,41 @@ def sample(vocabulary: Vocabulary, text: str | None, k: int, seed: int) -> list[
     """Up to ``k`` distinct segmentations in the order drawn: ids, log probability, inclusion probability."""
     if not text:
         return [([], 0.0, 1.0)]
-    edges: list[list] = []
-    rest: list[float] = []
-    lattices = [vocabulary.lattice(w) for w in words(text)]
-    after = 0.0
-    for e, mass in reversed(lattices):
-        edges.append(e)
-        rest.append(after)
-        after += mass[0]
-    flat = [x for e in reversed(edges) for x in e]
-    left = [m + r for (_, mass), r in zip(lattices, reversed(rest), strict=True) for m in mass[:-1]] + [0.0]
-    total, n, draw = left[0], len(flat), random.Random(seed).random
-    log, exp, log1p, expm1 = math.log, math.exp, math.log1p, math.expm1
-    # Heap entries: minus the perturbed value, a counter, position, log weight so far, and the path as linked ids.
-    heap: list[tuple] = [(log(-log(draw() or 0.5)), 0, 0, 0.0, None)]
-    count, found = 1, []
-    while heap and len(found) <= k:
-        value, _, at, weight, path = heapq.heappop(heap)
-        if at == n:
-            found.append((-value, weight - total, path))
-            continue
-        value = -value
-        options = flat[at]
-        if len(options) == 1:
-            size, ids, w = options[0]
-            heapq.heappush(heap, (-value, count, at + size, weight + w, (ids, path)))
-            count += 1
-            continue
-        drawn = []
-        for size, ids, w in options:
-            u = draw() or 5e-324
-            drawn.append(weight + w + left[at + size] - total - log(-log(u)))
-        top = max(drawn)
-        for (size, ids, w), g in zip(options, drawn, strict=True):
-            # The Gumbel variable of this branch, given that the largest of all branches is ``value``.
-            if g == top:
-                v = value
-            else:
-                x = value - g + log1p(-exp(g - top)) if g - top < -1e-12 else -math.inf
-                v = value - max(x, 0.0) - log1p(exp(-abs(x))) if x != -math.inf else value
-            heapq.heappush(heap, (-v, count, at + size, weight + w, (ids, path)))
-            count += 1
+    flat = [x for w in words(text) for x in vocabulary.lattice(w)[0]]
+    n, draw, log, exp = len(flat), random.Random(seed).random, math.log, math.exp
+    # The frontier: disjoint sets of paths as (perturbed value, log probability, position, linked ids), the best last.
+    # The largest value in each is reached by one path, so only the best k + 1 sets can matter.
+    frontier: list[tuple] = [(-log(-log(draw() or 0.5)), 0.0, 0, None)]
+    found: list[tuple] = []
+    while frontier and len(found) <= k:
+        value, given, at, path = frontier.pop()
+        room = k - len(found)  # sets that can still matter after this one
+        while at < n:
+            options = flat[at]
+            if len(options) == 1:
+                size, ids, _, p = options[0]
+                given, at, path = given + p, at + size, (ids, path)
+                continue
+            # One branch has the set's value, drawn by probability; the others have less.
+            u, best = draw(), len(options) - 1
+            for i, option in enumerate(options):
+                u -= exp(option[3])
+                if u < 0:
+                    best = i
+                    break
+            for i, (size, ids, _, p) in enumerate(options):
+                if i != best and room:
+                    mean = given + p
+                    v = mean - log(exp(mean - value) - log(draw() or 5e-324))
+                    if len(frontier) < room or v > frontier[0][0]:
+                        insort(frontier, (v, mean, at + size, (ids, path)), key=_value)
+                        if len(frontier) > room:
+                            del frontier[0]
+            size, ids, _, p = options[best]
+            given, at, path = given + p, at + size, (ids, path)
+        found.append((value, given, path))
     threshold = found[k][0] if len(found) > k else -math.inf
+    expm1 = math.expm1
     out = []
     for _, log_probability, path in found[:k]:
         parts = []

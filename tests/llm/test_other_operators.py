@@ -107,7 +107,7 @@ def test_samples_follow_the_lattice():
             if i == len(word):
                 yield (), 0.0
             else:
-                for size, ids, weight in edges[i]:
+                for size, ids, weight, _ in edges[i]:
                     for p, w in ways(i + size):
                         yield ids + p, weight + w
 
