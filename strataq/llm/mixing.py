@@ -11,9 +11,10 @@ texts, and go on learning within each text, once for every ``STEP`` symbols. The
 costs of all decisions is the text's size in bits.
 
 Counts are taken over all training texts; weights are fitted with the sample's own counts
-left out, as they are for a text that is new. Tables have a number of rows that follows the
-size of the corpus up to ``MOST_ROWS``, so the model that is sent to the executors is
-bounded; word counts, which are not, are exchanged by blocks.
+left out, as they are for a text that is new. A table has a row for each byte of training
+text, without a bound. No task holds it: a block of documents sends its contexts' counts to
+buckets of rows, and each bucket answers a block with what all others have counted for the
+contexts that the block uses. Word counts are exchanged the same way.
 
 Defined results: a null text counts as an empty one, which is the end alone; a document with
 a null ``doc_id`` is scored but not learned from; repeated rows are learned from each time;
@@ -38,8 +39,7 @@ from strataq.llm.windows import CELL, by_block, cell_table, cells, mixed, word_h
 FOLDS, HELD_OUT = 7, 2
 #: Symbols: letters, space, end, escape, full stop, comma, and the lead byte of accented letters.
 SPACE, END, ESCAPE = 26, 27, 28
-LEAST_ROWS, MOST_ROWS = 12, 18
-SHIFT = 6
+LEAST_BITS = 16
 STEP = 512
 RATE = 0.0015
 BUCKETS = 24
@@ -49,9 +49,8 @@ FIT_ROUNDS = 4
 #: Symbols that are scored together.
 GROUP = 1 << 18
 _UNIT = 12
-SLICE = 1 << 19
-#: Text that one task counts; it sends its nonzero counts, compressed, about a third of that.
-TASK_BYTES = 32 << 20
+#: Table rows that are made from counts at once.
+CHUNK = 1 << 15
 
 
 def _codes() -> np.ndarray:
@@ -79,14 +78,17 @@ def symbols(text: str | None) -> np.ndarray:
     return out
 
 
-def contexts(s: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For each predictor, the table row of each symbol's context."""
+def contexts(s: np.ndarray, bits: int, which: slice = slice(None)) -> list[np.ndarray]:
+    """For each predictor, or for those of ``which``, the table row of each symbol's context."""
     n = len(s)
     padded = np.full(n + 5, END, np.uint64)
     padded[5:] = s
     one, two, three, four, five = (padded[5 - k : 5 - k + n] for k in range(1, 6))
     short = one | two << _SHIFTS[1] | three << _SHIFTS[2]
     long = short | four << _SHIFTS[3] | five << _SHIFTS[4]
+    row = lambda h, k: ((h * _MULTIPLIERS[k]) >> np.uint64(64 - bits)).astype(np.int64)
+    if which == _LETTERS:
+        return [short.astype(np.int64), row(long + np.uint64(1), 0)]
     # The word so far: a sum over its symbols that does not depend on where it starts.
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
@@ -95,10 +97,11 @@ def contexts(s: np.ndarray, bits: int) -> list[np.ndarray]:
     word = (total[:n] - total[start]) * down[start]
     # The last three letters of the word before; the padding stands for a text's beginning.
     before = long[start] >> _SHIFTS[1] & np.uint64(32767)
-    row = lambda h, k: ((h * _MULTIPLIERS[k]) >> np.uint64(64 - bits)).astype(np.int64)
-    return [short.astype(np.int64), row(long + np.uint64(1), 0), row(word ^ word >> np.uint64(29), 1), row((word ^ word >> np.uint64(31)) + before * _MULTIPLIERS[3], 2)]
+    words = [row(word ^ word >> np.uint64(29), 1), row((word ^ word >> np.uint64(31)) + before * _MULTIPLIERS[3], 2)]
+    return words if which == _WORDS else [short.astype(np.int64), row(long + np.uint64(1), 0), *words]
 
 
+_LETTERS, _WORDS = slice(0, 2), slice(2, 4)
 _SHIFTS = [np.uint64(5 * k) for k in range(5)]
 _VALUES = mixed(np.arange(77, 109, dtype=np.uint64))
 #: Odd multipliers for hashing by the upper bits of a product.
@@ -124,7 +127,7 @@ def table_rows(bits: int) -> list[int]:
 def stretched(counts: np.ndarray) -> np.ndarray:
     """From counts of symbols (rows, 32) to the stretched probability of a one at each of 31 decisions, in units of ``1 / _UNIT``."""
     out = np.zeros((len(counts), 32), np.int8)
-    level = counts.astype(np.float64)
+    level = counts.astype(np.float32)
     for depth in (4, 3, 2, 1, 0):
         zero, one = level[:, 0::2], level[:, 1::2]
         p = np.log((one + 0.1) / (zero + 0.1))
@@ -147,25 +150,28 @@ class Model:
         grid = (np.arange(BUCKETS) - BUCKETS // 2 + 0.5) / 1.5
         self.map = np.tile(1 / (1 + np.exp(-grid)), (5, 1)).astype(np.float32)
 
-    def costs(self, texts: list[np.ndarray], keep: bool = False) -> np.ndarray:
-        """Bits of each text; ``keep`` lets what was learned on these texts stay as the start of all others."""
+    def costs(self, texts: list[np.ndarray], keep: bool = False, rows: list[list[np.ndarray]] | None = None) -> np.ndarray:
+        """Bits of each text; ``keep`` lets what was learned on these texts stay as the start of all others.
+
+        ``rows`` has each text's table rows by predictor; without it they are the contexts themselves.
+        """
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         while order:
             longest = len(texts[order[0]])
             now, order = order[: max(1, GROUP // longest)], order[max(1, GROUP // longest) :]
-            out[now] = self._group([texts[i] for i in now], keep)
+            out[now] = self._group([texts[i] for i in now], keep, [contexts(texts[i], self.bits) if rows is None else rows[i] for i in now])
         return out
 
-    def _group(self, texts: list[np.ndarray], keep: bool) -> np.ndarray:
+    def _group(self, texts: list[np.ndarray], keep: bool, at: list[list[np.ndarray]]) -> np.ndarray:
         sizes = np.array([len(t) for t in texts])
         longest, docs = int(sizes[0]), len(texts)
         sym = np.zeros((docs, longest), np.uint8)
         rows = [np.zeros((docs, longest), np.int64) for _ in self.tables]
         for i, t in enumerate(texts):
             sym[i, : len(t)] = t
-            for r, c in zip(rows, contexts(t, self.bits), strict=True):
-                np.left_shift(c, 5, out=r[i, : len(t)])
+            for r, c in zip(rows, at[i], strict=True):
+                np.left_shift(c, 5, out=r[i, : len(t)], dtype=np.int64)
         weights = np.repeat(self.weights[None], docs, 0)
         maps = np.repeat(self.map[None], docs, 0)
         out = np.zeros(docs)
@@ -214,63 +220,119 @@ def _trains(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
 
-def _fits(doc_id: int, one_in: int) -> bool:
-    return zlib.crc32(f"fit{doc_id}".encode()) % one_in == 0
+def _pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending codes and their counts, compressed byte by byte."""
+    step = np.diff(codes, prepend=0).astype(np.uint64).view(np.uint8).reshape(-1, 8)
+    return zstandard.compress(step.T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def count_tables(docs: DataFrame, bits: int, tasks: int, one_in: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Symbol counts by context, stretched: over all training texts, and over those that weights are not fitted on.
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = len(raw) // 12
+    step = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel()
+    return np.cumsum(step), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
 
-    Tables are bounded by ``MOST_ROWS``.
+
+class _Contexts:
+    """The contexts of some texts: distinct ones by bucket, with counts of symbols, and each symbol's context.
+
+    A code is a predictor, a context and a symbol; a bucket has a range of each predictor's contexts.
     """
-    sizes = table_rows(bits)
-    starts = np.cumsum([0, *sizes]) * 32
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, own = np.zeros(starts[-1], np.uint32), [np.empty(0, np.int64)]
-        for batch in batches:
-            pending: list[np.ndarray] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                if _trains(doc):
-                    s = symbols(text.as_py())
-                    rows = np.concatenate([(c << 5) + (s + b) for c, b in zip(contexts(s, bits), starts[:-1], strict=True)])
-                    (own if _fits(doc, one_in) else pending).append(rows)
-                    if sum(map(len, pending)) > 1 << 20:
-                        np.add.at(total, np.concatenate(pending), np.uint32(1))
-                        pending = []
-            if pending:
-                np.add.at(total, np.concatenate(pending), np.uint32(1))
-        at, many = np.unique(np.concatenate(own), return_counts=True)
-        parts, fit, data = [], [], []
-        for i in range(-(-len(total) // SLICE)):
-            x = total[i * SLICE : (i + 1) * SLICE]
-            if x.any():
-                parts, fit, data = [*parts, i], [*fit, False], [*data, zstandard.compress(x.tobytes(), 1)]
-            inside = slice(*np.searchsorted(at, [i * SLICE, (i + 1) * SLICE]))
-            if inside.start < inside.stop:
-                parts, fit, data = [*parts, i], [*fit, True], [*data, np.stack([at[inside] - i * SLICE, many[inside]]).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(fit, pa.bool_()), pa.array(data, pa.binary())], ["part", "fit", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        total = np.zeros(min(SLICE, int(starts[-1]) - part * SLICE), np.uint64)
-        fit = table["fit"].to_pylist()
-        for is_fit, x in zip(fit, table["data"], strict=True):
-            if not is_fit:
-                total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
-        without = stretched(total.reshape(-1, 32)).tobytes()
-        for is_fit, x in zip(fit, table["data"], strict=True):
-            if is_fit:
-                at, many = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
-                total[at] += many.astype(np.uint64)
-        return pa.table({"part": pa.array([part], pa.int32()), "all": pa.array([stretched(total.reshape(-1, 32)).tobytes()], pa.binary()), "without": pa.array([without], pa.binary())})
-
-    counted = docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, "part int, fit boolean, data binary").groupBy("part").applyInArrow(add, "part int, all binary, without binary")
-    flat = np.zeros((2, starts[-1]), np.int8)
-    for row in counted.toLocalIterator():  # at most 3 * 2^MOST_ROWS rows of 32 bytes and the small table, twice
-        for k, name in enumerate(("all", "without")):
-            flat[k, row["part"] * SLICE : row["part"] * SLICE + len(row[name])] = np.frombuffer(row[name], np.int8)
-    return tuple([x[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)] for x in flat)
+
+    def __init__(self, texts: list[np.ndarray], times: np.ndarray, bits: int, n: int, rows: bool = False):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(sizes)])
+        sym = np.concatenate(texts) if texts else np.empty(0, np.uint8)
+        weight = np.repeat(times.astype(np.float64), sizes)
+        codes, counts, of = [], [], []
+        for pair in (_LETTERS, _WORDS):
+            found = [contexts(t, bits, pair) for t in texts]
+            for k in range(2):
+                code = np.concatenate([f[k] for f in found]) if texts else np.empty(0, np.int64)
+                for f in found:
+                    f[k] = None
+                code <<= 5
+                code |= sym
+                code |= (pair.start + k) << (bits + 5)
+                known = pa.array(code).dictionary_encode()
+                at = known.indices.to_numpy()
+                codes.append(known.dictionary.to_numpy())
+                counts.append(np.bincount(at, weight, minlength=len(codes[-1])).astype(np.int64))
+                of.append(at if rows else None)
+                del code, known, at
+        lengths = [len(c) for c in codes]
+        every = np.concatenate(codes)
+        bucket = (every >> 5 & ((1 << bits) - 1)) * n >> np.where(every >> (bits + 5) == 0, 15, bits)
+        order = np.argsort(bucket << 45 | every)
+        self.codes, self.counts, bucket = every[order], np.concatenate(counts)[order], bucket[order]
+        new = np.diff(self.codes >> 5, prepend=-1) != 0
+        self.row = np.cumsum(new).astype(np.int32) - np.int32(1)
+        self.n_rows = int(new.sum())
+        self.buckets = np.searchsorted(bucket, np.arange(n + 1))
+        self.rows: list[np.ndarray] = []
+        if rows:
+            place = np.empty(len(every), np.int32)
+            place[order] = self.row
+            for part in np.split(place, np.cumsum(lengths)[:-1]):
+                self.rows.append(part[of.pop(0)])
+
+    def send(self, block: int, first: int) -> Iterator[tuple[int, int, bytes]]:
+        for i in np.flatnonzero(np.diff(self.buckets)):
+            part = slice(self.buckets[i], self.buckets[i + 1])
+            yield first + int(i), block, _pack(self.codes[part], self.counts[part])
+
+    def table(self, answers: dict[int, bytes], first: int, own: bool) -> np.ndarray:
+        """Stretched probabilities by row, of what the buckets answered and, with ``own``, of these texts' counts."""
+        at, many = [], []
+        for i in np.flatnonzero(np.diff(self.buckets)):
+            code, count = _unpack(answers[first + int(i)])
+            at.append(code + (int(self.row[self.buckets[i]]) << 5))
+            many.append(count)
+        pairs = [(np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.int64), *many]))]
+        if own:
+            pairs.append((self.row.astype(np.int64) << 5 | self.codes & 31, self.counts))
+        out = np.zeros((self.n_rows, 32), np.int8)
+        for start in range(0, self.n_rows, CHUNK):
+            rows = min(CHUNK, self.n_rows - start)
+            total = np.zeros(rows * 32, np.int64)
+            for where, count in pairs:
+                part = slice(*np.searchsorted(where, [start << 5, (start + rows) << 5]))
+                total[where[part] - (start << 5)] += count[part]
+            out[start : start + rows] = stretched(total.reshape(-1, 32))
+        return out
+
+    def of(self, text: int) -> list[np.ndarray]:
+        return [r[self.edges[text] : self.edges[text + 1]] for r in self.rows]
+
+
+def _context_totals(table: pa.Table, n: int) -> pa.Table:
+    """To each block, what all others have counted for its contexts; to a block of fitted texts, all but the fitted texts' counts."""
+    blocks = table["block"].to_pylist()
+    parts = [_unpack(d.as_py()) for d in table["data"]]
+    every, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+    total, fitted = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for i, block in enumerate(blocks):
+        (fitted if block >= n else total)[at[edges[i] : edges[i + 1]]] += parts[i][1]
+    context = every >> 5
+    bucket, out = table["bucket"][0].as_py(), []
+    for i, block in enumerate(blocks):
+        codes, counts = parts[i]
+        own = np.unique(codes >> 5)
+        low, high = np.searchsorted(context, own), np.searchsorted(context, own, "right")
+        size = high - low
+        which = np.repeat(np.arange(len(own)), size)
+        take = np.arange(len(which)) + (low - np.cumsum(size) + size)[which]
+        if block >= n:
+            count = total[take] - fitted[take]
+        else:
+            count = total[take]
+            mine = at[edges[i] : edges[i + 1]]
+            spot = np.searchsorted(own, codes >> 5)
+            count[mine - low[spot] + (np.cumsum(size) - size)[spot]] -= counts
+        keep = count > 0
+        out.append((bucket, block, _pack((which << 5 | every[take] & 31)[keep], count[keep])))
+    return cell_table(out)
 
 
 class _Block:
@@ -320,59 +382,87 @@ def _word_totals(table: pa.Table) -> pa.Table:
     return cell_table([*out, (bucket, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())])
 
 
+def _distinct(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct texts as symbols, each row's text, and how often each is learned from."""
+    which: dict[str, int] = {}
+    of = np.array([which.setdefault(t.as_py() or "", len(which)) for t in table["text"]], np.int64)
+    times = np.bincount(of, [_trains(i) for i in table["doc_id"].to_pylist()], minlength=len(which)).astype(np.int64)
+    return [symbols(t) for t in which], of, times
+
+
+def _answers(found: pa.Table) -> dict[int, bytes]:
+    return {b: d.as_py() for b, d in zip(found["bucket"].to_pylist(), found["data"], strict=True)}
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all texts under the model learned from the training texts.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score``, ``n_bytes`` and ``bits_per_byte``.
     """
-    spark = docs.sparkSession
     blocks, n = by_block(docs, "doc_id", "text")
     trains = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))
     size = docs.agg(F.count_if(trains).alias("docs"), F.coalesce(F.sum(F.when(trains, F.octet_length("text"))), F.lit(0)).alias("bytes")).first()
-    bits = min(MOST_ROWS, max(LEAST_ROWS, int(math.log2(max(size["bytes"], 1))) - SHIFT))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(size["bytes"], 1))))
+    ends = size["docs"]
+    one_in = max(20, -(-ends // FIT_TEXTS))
+    chosen = docs.filter(trains & (F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % one_in == 0)).select(F.lit(n).alias("block"), "doc_id", "text").limit(2 * FIT_TEXTS)
+    both = blocks.unionByName(stored(chosen, "fit-texts"))
 
     def first(key, table):
-        return cell_table(_Block(table).send(key[0].as_py(), n))
+        block = key[0].as_py()
+        texts, of, times = _distinct(table)
+        found = list(_Contexts(texts, times, bits, n).send(block, n))
+        return cell_table(found if block >= n else [*_Block(table).send(block, n), *found])
+
+    def answer(key, table):
+        return _context_totals(table, n) if key[0].as_py() >= n else _word_totals(table)
 
-    answers = stored(blocks.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(_word_totals, CELL), "word-totals")
+    # Buckets from 0 are of words, those from n of contexts; blocks from n are of texts that weights are fitted on.
+    answers = stored(both.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(answer, CELL), "totals")
     # One small row for each bucket, read one partition at a time.
     sums = np.zeros(2, np.int64)
     for row in answers.filter("block = -1").select("data").toLocalIterator():
         sums += np.frombuffer(row["data"], np.int64)
-    ends = size["docs"]
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
-    tasks = max(spark.sparkContext.defaultParallelism, -(-size["bytes"] // TASK_BYTES))
-    one_in = max(20, -(-ends // FIT_TEXTS))
-    tables, without = count_tables(docs, bits, tasks, one_in)
-    model = Model(tables, bits)
-    chosen = docs.filter(trains & (F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % one_in == 0)).select("doc_id", F.substring("text", 1, 1 << 15).alias("text")).limit(2 * FIT_TEXTS)
-    texts = [symbols(r["text"])[: 32 * STEP] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
-    if texts:
-        first_model = Model(without, bits)
+    def fit(key, table, found):
+        texts, _, times = _distinct(table)
+        known = _Contexts(texts, times, bits, n, rows=True)
+        model = Model([known.table(_answers(found), n, own=False)] * 4, bits)
+        parts, rows = [t[: 32 * STEP] for t in texts], [[r[: 32 * STEP] for r in known.of(i)] for i in range(len(texts))]
         for _ in range(FIT_ROUNDS):
-            first_model.costs(texts, keep=True)
-        model.weights, model.map = first_model.weights, first_model.map
-    shared = spark.sparkContext.broadcast(model)
+            model.costs(parts, True, rows)
+        return pa.table({"symbols": pa.array([sum(map(len, parts))], pa.int64()), "weights": pa.array([model.weights.astype(np.float64).tobytes()], pa.binary()), "map": pa.array([model.map.astype(np.float64).tobytes()], pa.binary())})
+
+    start = Model([np.empty(0, np.int8)] * 4, bits)
+    fitted = both.filter(F.col("block") >= n).groupBy("block").cogroup(answers.filter(F.col("block") >= n).groupBy("block")).applyInArrow(fit, "symbols long, weights binary, map binary").collect()
+    if fitted:
+        share = np.array([r["symbols"] for r in fitted], float) / sum(r["symbols"] for r in fitted)
+        start.weights = sum(x * np.frombuffer(r["weights"]) for x, r in zip(share, fitted, strict=True)).reshape(5, 4).astype(np.float32)
+        start.map = sum(x * np.frombuffer(r["map"]) for x, r in zip(share, fitted, strict=True)).reshape(5, BUCKETS).astype(np.float32)
+    weights, refine = start.weights, start.map
 
     def last(key, table, found):
         block = _Block(table)
-        c = block.totals(n, {b: d.as_py() for b, d in zip(found["bucket"].to_pylist(), found["data"], strict=True)})
+        replies = _answers(found)
+        c = block.totals(n, replies)
         ids, rows = table["doc_id"].to_pylist(), len(block.sizes)
         known = np.bincount(block.of, (c > 0)[block.word], minlength=rows).astype(np.int64) + (ends > 0)
         base = np.bincount(block.of, np.log10(c + 1.0)[block.word], minlength=rows) + math.log10(ends + 1)
         base -= (block.sizes + 1) * math.log10(tokens + distinct + 1)
         # A text's score follows from the text alone: copies within a block are scored once.
-        which: dict[str, int] = {}
-        at = np.array([which.setdefault(t.as_py() or "", len(which)) for t in table["text"]], np.int64)
-        costs = shared.value.costs([symbols(t) for t in which])[at]
+        texts, at, times = _distinct(table)
+        known_rows = _Contexts(texts, times, bits, n, rows=True)
+        model = Model([known_rows.table(replies, n, own=True)] * 4, bits)
+        model.weights, model.map = weights, refine
+        costs = model.costs(texts, rows=[known_rows.of(i) for i in range(len(texts))])[at]
         size = np.array([len((t.as_py() or "").encode()) for t in table["text"]], np.int64)
         held = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids]
         return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": block.sizes + 1, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(last, schema)
+    return blocks.groupBy("block").cogroup(answers.filter((F.col("block") >= 0) & (F.col("block") < n)).groupBy("block")).applyInArrow(last, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

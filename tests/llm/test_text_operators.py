@@ -328,3 +328,31 @@ def test_scores_against_brute_force(spark, odd, empty):
     again = mixing.digest(docs.repartition(3)).toPandas()
     assert np.allclose(sorted(first["score"]), sorted(again["score"]), rtol=1e-6)
     assert mixing.digest(empty).count() == 0
+
+
+def test_contexts_of_a_large_corpus_stay_apart():
+    """A block's tables equal brute-force counts by exact context, with far more contexts than 2^18."""
+    rng = np.random.default_rng(5)
+    bits, n, blocks = 27, 3, 3
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    texts = [letters[rng.integers(0, 27, 400_000)].tobytes().decode() for _ in range(blocks)]
+    found = [mixing._Contexts([mixing.symbols(t)], np.ones(1), bits, n, rows=True) for t in texts]
+    sent = [cell for b, f in enumerate(found) for cell in f.send(b, n)]
+    answers = {}
+    for bucket in {c[0] for c in sent}:
+        out = mixing._context_totals(mixing.cell_table([c for c in sent if c[0] == bucket]), n)
+        answers.update({(b, k): d for k, b, d in zip(*(out[c].to_pylist() for c in ("bucket", "block", "data")), strict=True)})
+    counts = Counter()
+    symbols = [mixing.symbols(t) for t in texts]
+    for s in symbols:
+        padded = np.concatenate([np.full(5, mixing.END), s]).astype(np.int64)
+        counts.update(zip((sum(padded[5 - k : 5 - k + len(s)] << 5 * k for k in range(1, 6))).tolist(), s.tolist(), strict=True))
+    assert len({c for c, _ in counts}) > 1 << 18
+    table = found[0].table({k: d for (b, k), d in answers.items() if b == 0}, n, own=True)
+    s, rows = symbols[0], found[0].of(0)[1]
+    padded = np.concatenate([np.full(5, mixing.END), s]).astype(np.int64)
+    keys = sum(padded[5 - k : 5 - k + len(s)] << 5 * k for k in range(1, 6))
+    at = rng.integers(0, len(s), 2000)
+    want = mixing.stretched(np.array([[counts[int(keys[i]), x] for x in range(32)] for i in at]))
+    # Rows are hashed by 27 bits here, so that a few in a hundred thousand may still share one.
+    assert (table[rows[at]] == want).all(1).mean() > 0.98
