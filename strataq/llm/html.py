@@ -2,7 +2,8 @@
 
 Each node of the document tree gets its characters per tag, lowered where much of the text
 or many of the tags are links. Scripts, forms, navigation and similar elements are no part
-of the tree. The node whose children have the largest sum of densities holds the article;
+of the tree, nor are elements whose class, id or role has a word of ``ASIDE``, unless they
+hold an article or most of the text. The node whose children have the largest sum of densities holds the article;
 the smallest density on its way up to the body is the threshold, and wherever a node reaches
 the threshold, the subtree with the largest sum below it is part of the result.
 
@@ -42,7 +43,9 @@ ASIDE = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 _HOLDERS = frozenset(("html", "body", "main", "article"))
 
 
-def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _set_aside(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element is no part of the tree; None leaves it to what it holds."""
+    named: bool | None = False
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
     if tag in _HOLDERS or not attributes:
@@ -52,10 +55,10 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
         if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
         if name in ("class", "id", "role") and not ASIDE.isdisjoint(_TOKEN.findall(value)):
-            return True
+            named = None
         if name in ("class", "id") and not in_article and "header" in _TOKEN.findall(value):
-            return True
-    return False
+            named = None
+    return named
 
 
 class _Tree:
@@ -66,6 +69,8 @@ class _Tree:
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         #: (node, text), or (node, None) where a block begins or ends.
         self.events: list[tuple[int, str | None]] = []
+        #: Nodes whose class, id or role has a word of ``ASIDE``.
+        self.named: list[int] = []
 
     def add(self, parent: int, tag: str) -> int:
         self.parent.append(parent)
@@ -149,13 +154,15 @@ def parse(page: str) -> _Tree:
             close_open(names.split(), until)
         if skip:
             stack.append((tag, stack[-1][1]))
-        elif _set_aside(tag, m[3], articles > 0):
+        elif aside := _set_aside(tag, m[3], articles > 0):
             if tag in BLOCK:
                 tree.events.append((stack[-1][1], None))
             stack.append((tag, stack[-1][1]))
             skip = len(stack)
         else:
-            node = stack[-1][1] if tag in INLINE else tree.add(stack[-1][1], tag)
+            node = stack[-1][1] if tag in INLINE and aside is False else tree.add(stack[-1][1], tag)
+            if aside is None:
+                tree.named.append(node)
             if tag in BLOCK:
                 tree.events.append((node, None))
             stack.append((tag, node))
@@ -166,7 +173,10 @@ def parse(page: str) -> _Tree:
             tree.link_tags[stack[-1][1]] += 1
     text(page[at:])
     close(1)
+    gone = _drop_named(tree)
     for i in range(len(tree.tag) - 1, 0, -1):
+        if gone[i]:
+            continue
         p = tree.parent[i]
         tree.chars[p] += tree.chars[i]
         tree.tags[p] += tree.tags[i] + 1
@@ -175,6 +185,40 @@ def parse(page: str) -> _Tree:
     return tree
 
 
+def _drop_named(tree: _Tree) -> list[bool]:
+    """Take named nodes and all below them out of the tree; says which nodes are gone.
+
+    A named node stays if it holds a main or article. Where none of these has text, it also
+    stays if it holds over twice as much text, links not counted, as there is below no named
+    node; the largest is asked first.
+    """
+    n = len(tree.tag)
+    gone = [False] * n
+    if not tree.named:
+        return gone
+    own = [c - k for c, k in zip(tree.chars, tree.link_chars, strict=True)]
+    size, holds = own[:], [tag in ("article", "main") for tag in tree.tag]
+    for i in range(n - 1, 0, -1):
+        size[tree.parent[i]] += size[i]
+        holds[tree.parent[i]] = holds[tree.parent[i]] or holds[i]
+    named = {i for i in tree.named if not holds[i]}
+    marked = any(tag in ("article", "main") and size[i] for i, tag in enumerate(tree.tag))
+    while True:
+        for i in range(1, n):
+            gone[i] = i in named or gone[tree.parent[i]]
+        tops = [i for i in named if not gone[tree.parent[i]]]
+        largest = max(tops, key=lambda i: (size[i], -i), default=0)
+        if marked or not tops or size[largest] <= 2 * sum(x for x, g in zip(own, gone, strict=True) if not g):
+            break
+        named.discard(largest)
+    for i in range(1, n):
+        if gone[i]:
+            tree.chars[i] = tree.tags[i] = tree.link_chars[i] = tree.link_tags[i] = 0
+    # Where a block was taken out, the text around it still does not run on.
+    tree.events = [(i, x) for i, x in tree.events if not gone[i] or (x is None and i in named and tree.tag[i] in BLOCK)]
+    return gone
+
+
 def densities(tree: _Tree) -> list[float]:
     """Composite text density: characters per tag, times a logarithm whose base grows with the share of link text."""
     body_ratio = tree.link_chars[0] / max(1, tree.chars[0])

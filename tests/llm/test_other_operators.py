@@ -32,6 +32,19 @@ def test_extract(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', 'div id="page" class="no-comments"', 'section class="related-work"', 'div class="page has-header"'])
+@pytest.mark.parametrize("holder", ["main", "article", "div"])
+def test_extract_from_named_wrappers(wrapper, holder):
+    """A word such as sidebar in a wrapper's class does not lose the article; a sidebar in the wrapper still goes."""
+    body = "<p>The first paragraph of the text, which is long enough to be seen.</p><p>The second one follows it and is about as long.</p>"
+    page = f"<body><div class=sidebar><p>Short side note.</p></div><{wrapper}><{holder}>{body}</{holder}><div class=related><a href=x>More</a></div></{wrapper.split()[0]}></body>"
+    assert html.extract(page) == "The first paragraph of the text, which is long enough to be seen.\n\nThe second one follows it and is about as long."
+
+
+def test_extract_short_article_beside_a_long_advert():
+    assert html.extract(f"<div class=ad>{'Buy this now. ' * 20}</div><article><p>Short.</p></article>") == "Short."
+
+
 def test_extract_deep_and_long_pages():
     assert html.extract("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
     body = "".join(f"<p>Paragraph number {i} with some words.</p>" for i in range(5000))
