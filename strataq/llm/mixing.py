@@ -242,25 +242,44 @@ class _Contexts:
     def __init__(self, texts: list[np.ndarray], times: np.ndarray, bits: int, n: int, rows: bool = False):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.edges = np.concatenate([[0], np.cumsum(sizes)])
-        sym = np.concatenate(texts) if texts else np.empty(0, np.uint8)
-        weight = np.repeat(times.astype(np.float64), sizes)
-        codes, counts, of = [], [], []
+        sym = (np.concatenate(texts) if texts else np.empty(0, np.uint8)) << np.uint8(1)
+        sym |= np.repeat(times > 0, sizes)
+        # Texts that are learned from more than once are added again.
+        again = [(i, int(k) - 1) for i, k in enumerate(times) if k > 1]
+        width = max(1, len(sym).bit_length())
+        codes, counts, places = [], [], []
         for pair in (_LETTERS, _WORDS):
             found = [contexts(t, bits, pair) for t in texts]
             for k in range(2):
-                code = np.concatenate([f[k] for f in found]) if texts else np.empty(0, np.int64)
+                at = np.concatenate([f[k] for f in found]) if texts else np.empty(0, np.int64)
                 for f in found:
                     f[k] = None
-                code <<= 5
+                code = at << 6
                 code |= sym
-                code |= (pair.start + k) << (bits + 5)
-                known = pa.array(code).dictionary_encode()
-                at = known.indices.to_numpy()
-                codes.append(known.dictionary.to_numpy())
-                counts.append(np.bincount(at, weight, minlength=len(codes[-1])).astype(np.int64))
-                of.append(at if rows else None)
-                del code, known, at
-        lengths = [len(c) for c in codes]
+                if again:
+                    code = np.concatenate([code, *(np.tile(code[self.edges[i] : self.edges[i + 1]], more) for i, more in again)])
+                code.sort()
+                heads = np.flatnonzero(np.diff(code >> 1, prepend=-1))
+                seen = np.concatenate([[0], np.cumsum(code & 1, dtype=np.int32)])
+                counts.append(np.diff(seen[np.append(heads, len(code))]).astype(np.int64))
+                codes.append((code[heads] >> 1) | (pair.start + k) << (bits + 5))
+                del code, seen
+                if rows:
+                    # Sorting by context with the place in the low bits gives each place its context's rank.
+                    if bits + width < 64:
+                        at <<= width
+                        at |= np.arange(len(at))
+                        at.sort()
+                        order = at & ((1 << width) - 1)
+                        at >>= width
+                    else:
+                        order = np.argsort(at)
+                        at = at[order]
+                    place = np.empty(len(at), np.int32)
+                    place[order] = np.cumsum(np.diff(at, prepend=-1) != 0, dtype=np.int32) - np.int32(1)
+                    places.append(place)
+                    del order
+                del at
         every = np.concatenate(codes)
         bucket = (every >> 5 & ((1 << bits) - 1)) * n >> np.where(every >> (bits + 5) == 0, 15, bits)
         order = np.argsort(bucket << 45 | every)
@@ -271,10 +290,11 @@ class _Contexts:
         self.buckets = np.searchsorted(bucket, np.arange(n + 1))
         self.rows: list[np.ndarray] = []
         if rows:
-            place = np.empty(len(every), np.int32)
-            place[order] = self.row
-            for part in np.split(place, np.cumsum(lengths)[:-1]):
-                self.rows.append(part[of.pop(0)])
+            row = np.empty(len(every), np.int32)
+            row[order] = self.row
+            for part in np.split(row, np.cumsum([len(c) for c in codes])[:-1]):
+                code = codes.pop(0)
+                self.rows.append(part[np.diff(code >> 5, prepend=-1) != 0][places.pop(0)])
 
     def send(self, block: int, first: int) -> Iterator[tuple[int, int, bytes]]:
         for i in np.flatnonzero(np.diff(self.buckets)):
@@ -309,7 +329,13 @@ def _context_totals(table: pa.Table, n: int) -> pa.Table:
     """To each block, what all others have counted for its contexts; to a block of fitted texts, all but the fitted texts' counts."""
     blocks = table["block"].to_pylist()
     parts = [_unpack(d.as_py()) for d in table["data"]]
-    every, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    codes = np.concatenate([p[0] for p in parts])
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.diff(codes, prepend=-1) != 0
+    every, at = codes[new], np.empty(len(codes), np.int64)
+    at[order] = np.cumsum(new) - 1
+    del order
     edges = np.cumsum([0, *(len(p[0]) for p in parts)])
     total, fitted = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     for i, block in enumerate(blocks):
@@ -318,7 +344,8 @@ def _context_totals(table: pa.Table, n: int) -> pa.Table:
     bucket, out = table["bucket"][0].as_py(), []
     for i, block in enumerate(blocks):
         codes, counts = parts[i]
-        own = np.unique(codes >> 5)
+        new = np.diff(codes >> 5, prepend=-1) != 0
+        own, spot = codes[new] >> 5, np.cumsum(new) - 1
         low, high = np.searchsorted(context, own), np.searchsorted(context, own, "right")
         size = high - low
         which = np.repeat(np.arange(len(own)), size)
@@ -328,7 +355,6 @@ def _context_totals(table: pa.Table, n: int) -> pa.Table:
         else:
             count = total[take]
             mine = at[edges[i] : edges[i + 1]]
-            spot = np.searchsorted(own, codes >> 5)
             count[mine - low[spot] + (np.cumsum(size) - size)[spot]] -= counts
         keep = count > 0
         out.append((bucket, block, _pack((which << 5 | every[take] & 31)[keep], count[keep])))
