@@ -23,6 +23,7 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -233,6 +234,13 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
 
 
+def _changes(codes: np.ndarray, shift: int) -> np.ndarray:
+    """Where ascending codes without their ``shift`` lowest bits differ from the one before."""
+    out = np.ones(len(codes), bool)
+    np.greater_equal(codes[1:] ^ codes[:-1], 1 << shift, out=out[1:])
+    return out
+
+
 class _Contexts:
     """The contexts of some texts: distinct ones by bucket, with counts of symbols, and each symbol's context.
 
@@ -248,53 +256,63 @@ class _Contexts:
         again = [(i, int(k) - 1) for i, k in enumerate(times) if k > 1]
         width = max(1, len(sym).bit_length())
         codes, counts, places = [], [], []
-        for pair in (_LETTERS, _WORDS):
-            found = [contexts(t, bits, pair) for t in texts]
-            for k in range(2):
-                at = np.concatenate([f[k] for f in found]) if texts else np.empty(0, np.int64)
-                for f in found:
-                    f[k] = None
-                code = at << 6
-                code |= sym
-                if again:
-                    code = np.concatenate([code, *(np.tile(code[self.edges[i] : self.edges[i + 1]], more) for i, more in again)])
-                code.sort()
-                heads = np.flatnonzero(np.diff(code >> 1, prepend=-1))
-                seen = np.concatenate([[0], np.cumsum(code & 1, dtype=np.int32)])
-                counts.append(np.diff(seen[np.append(heads, len(code))]).astype(np.int64))
-                codes.append((code[heads] >> 1) | (pair.start + k) << (bits + 5))
-                del code, seen
-                if rows:
-                    # Sorting by context with the place in the low bits gives each place its context's rank.
-                    if bits + width < 64:
-                        at <<= width
-                        at |= np.arange(len(at))
-                        at.sort()
-                        order = at & ((1 << width) - 1)
-                        at >>= width
-                    else:
-                        order = np.argsort(at)
-                        at = at[order]
-                    place = np.empty(len(at), np.int32)
-                    place[order] = np.cumsum(np.diff(at, prepend=-1) != 0, dtype=np.int32) - np.int32(1)
-                    places.append(place)
-                    del order
-                del at
-        every = np.concatenate(codes)
-        bucket = (every >> 5 & ((1 << bits) - 1)) * n >> np.where(every >> (bits + 5) == 0, 15, bits)
-        order = np.argsort(bucket << 45 | every)
-        self.codes, self.counts, bucket = every[order], np.concatenate(counts)[order], bucket[order]
-        new = np.diff(self.codes >> 5, prepend=-1) != 0
-        self.row = np.cumsum(new).astype(np.int32) - np.int32(1)
-        self.n_rows = int(new.sum())
-        self.buckets = np.searchsorted(bucket, np.arange(n + 1))
+        for k in range(4):
+            at = np.empty(len(sym), np.int64)
+            pair = _LETTERS if k < 2 else _WORDS
+            for i, t in enumerate(texts):
+                at[self.edges[i] : self.edges[i + 1]] = contexts(t, bits, pair)[k - pair.start]
+            code = at << 6
+            code |= sym
+            if again:
+                code = np.concatenate([code, *(np.tile(code[self.edges[i] : self.edges[i + 1]], more) for i, more in again)])
+            code.sort()
+            heads = np.flatnonzero(_changes(code, 1))
+            code_of = code[heads]
+            code &= 1
+            seen = np.concatenate([[0], np.cumsum(code, dtype=np.int32)])
+            del code
+            counts.append(np.diff(seen[np.append(heads, len(seen) - 1)]).astype(np.int64))
+            codes.append((code_of >> 1) | k << (bits + 5))
+            del seen, heads, code_of
+            if rows:
+                # Sorting by context with the place in the low bits gives each place its context's rank.
+                if bits + width < 64:
+                    at <<= width
+                    at |= np.arange(len(at))
+                    at.sort()
+                    rank = np.cumsum(_changes(at, width), dtype=np.int32)
+                    at &= (1 << width) - 1
+                else:
+                    order = np.argsort(at)
+                    rank = np.cumsum(_changes(at[order], 0), dtype=np.int32)
+                    at = order
+                place = np.empty(len(at), np.int32)
+                place[at] = rank
+                place -= np.int32(1)
+                places.append(place)
+                del rank
+            del at
+        lengths = [len(c) for c in codes]
+        bucket = np.concatenate([((c >> 5 & ((1 << bits) - 1)) * n >> (bits if k else 15)).astype(np.int32) for k, c in enumerate(codes)])
+        order = np.argsort(bucket, kind="stable")
+        self.buckets = np.searchsorted(bucket[order], np.arange(n + 1))
+        del bucket
+        self.codes = np.concatenate(codes)
+        heads = [_changes(c, 5) for c in codes] if rows else []
+        del codes
+        self.codes = self.codes[order]
+        self.counts = np.concatenate(counts)
+        del counts
+        self.counts = self.counts[order]
+        self.row = np.cumsum(_changes(self.codes, 5), dtype=np.int32) - np.int32(1)
+        self.n_rows = int(self.row[-1]) + 1 if len(self.row) else 0
         self.rows: list[np.ndarray] = []
         if rows:
-            row = np.empty(len(every), np.int32)
+            row = np.empty(len(order), np.int32)
             row[order] = self.row
-            for part in np.split(row, np.cumsum([len(c) for c in codes])[:-1]):
-                code = codes.pop(0)
-                self.rows.append(part[np.diff(code >> 5, prepend=-1) != 0][places.pop(0)])
+            del order
+            for part, head in zip(np.split(row, np.cumsum(lengths)[:-1]), heads, strict=True):
+                self.rows.append(part[head][places.pop(0)])
 
     def send(self, block: int, first: int) -> Iterator[tuple[int, int, bytes]]:
         for i in np.flatnonzero(np.diff(self.buckets)):
@@ -308,16 +326,16 @@ class _Contexts:
             code, count = _unpack(answers[first + int(i)])
             at.append(code + (int(self.row[self.buckets[i]]) << 5))
             many.append(count)
-        pairs = [(np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.int64), *many]))]
-        if own:
-            pairs.append((self.row.astype(np.int64) << 5 | self.codes & 31, self.counts))
+        where, many = np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.int64), *many])
         out = np.zeros((self.n_rows, 32), np.int8)
         for start in range(0, self.n_rows, CHUNK):
             rows = min(CHUNK, self.n_rows - start)
             total = np.zeros(rows * 32, np.int64)
-            for where, count in pairs:
-                part = slice(*np.searchsorted(where, [start << 5, (start + rows) << 5]))
-                total[where[part] - (start << 5)] += count[part]
+            part = slice(*np.searchsorted(where, [start << 5, (start + rows) << 5]))
+            total[where[part] - (start << 5)] += many[part]
+            if own:
+                part = slice(*np.searchsorted(self.row, np.array([start, start + rows], np.int32)))
+                total[(self.row[part].astype(np.int64) - start) << 5 | self.codes[part] & 31] += self.counts[part]
             out[start : start + rows] = stretched(total.reshape(-1, 32))
         return out
 
@@ -446,6 +464,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     # Buckets from 0 are of words, those from n of contexts; blocks from n are of texts that weights are fitted on.
     answers = stored(both.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(answer, CELL), "totals")
+    # The shuffle files of this exchange are of no more use; Spark removes them after a collection.
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     # One small row for each bucket, read one partition at a time.
     sums = np.zeros(2, np.int64)
     for row in answers.filter("block = -1").select("data").toLocalIterator():
@@ -477,6 +498,8 @@ def score(docs: DataFrame) -> DataFrame:
         known = np.bincount(block.of, (c > 0)[block.word], minlength=rows).astype(np.int64) + (ends > 0)
         base = np.bincount(block.of, np.log10(c + 1.0)[block.word], minlength=rows) + math.log10(ends + 1)
         base -= (block.sizes + 1) * math.log10(tokens + distinct + 1)
+        n_tokens = block.sizes + 1
+        del block
         # A text's score follows from the text alone: copies within a block are scored once.
         texts, at, times = _distinct(table)
         known_rows = _Contexts(texts, times, bits, n, rows=True)
@@ -485,7 +508,7 @@ def score(docs: DataFrame) -> DataFrame:
         costs = model.costs(texts, rows=[known_rows.of(i) for i in range(len(texts))])[at]
         size = np.array([len((t.as_py() or "").encode()) for t in table["text"]], np.int64)
         held = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids]
-        return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": block.sizes + 1, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
+        return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return blocks.groupBy("block").cogroup(answers.filter((F.col("block") >= 0) & (F.col("block") < n)).groupBy("block")).applyInArrow(last, schema)
