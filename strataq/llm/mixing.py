@@ -50,6 +50,8 @@ FIT_ROUNDS = 4
 #: Symbols that are scored together.
 GROUP = 1 << 18
 _UNIT = 12
+#: Text of a block; a task needs about fifty times as much for its contexts.
+TEXT_BYTES = 4 << 20
 #: Table rows that are made from counts at once.
 CHUNK = 1 << 15
 
@@ -444,7 +446,7 @@ def score(docs: DataFrame) -> DataFrame:
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score``, ``n_bytes`` and ``bits_per_byte``.
     """
-    blocks, n = by_block(docs, "doc_id", "text")
+    blocks, n = by_block(docs, "doc_id", "text", block_bytes=TEXT_BYTES)
     trains = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))
     size = docs.agg(F.count_if(trains).alias("docs"), F.coalesce(F.sum(F.when(trains, F.octet_length("text"))), F.lit(0)).alias("bytes")).first()
     bits = max(LEAST_BITS, math.ceil(math.log2(max(size["bytes"], 1))))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import block_of, blocks_for
+from strataq.llm.common import BLOCK_BYTES, block_of, blocks_for
 
 CELL = "bucket int, block int, data binary"
 #: Two odd multipliers: windows are told apart by two sums modulo 2^64.
@@ -74,10 +74,10 @@ def window_hashes(words: np.ndarray, width: int, base: int = BASES[0]) -> np.nda
     return mixed((total[width:] - total[:-width]) * down[:n])
 
 
-def by_block(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+def by_block(docs: DataFrame, *columns: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """``docs`` with a ``block`` column, and the number of blocks, which follows the bytes of text."""
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    n = blocks_for(size["b"], max(1, size["n"]))
+    n = blocks_for(size["b"], max(1, size["n"]), block_bytes)
     return docs.select(block_of(F.col("doc_id"), n).alias("block"), *columns), n
 
 
