@@ -30,8 +30,9 @@ DIM = 8
 #: The training sample: so many documents of each language about, and windows of each document at most.
 SAMPLE_DOCS = 600
 SAMPLE_WINDOWS = 4
-#: Languages learned at most, the most frequent ones.
+#: Beyond so many languages there are fewer documents of each, but about so many at least.
 LANGUAGES = 200
+LEAST_DOCS = 20
 EPOCHS = 6
 FOLDS = 5
 #: Windows in one product of matrices.
@@ -129,16 +130,18 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def learn(labelled: DataFrame) -> Network | None:
-    """A network from a sample of ``labelled`` (doc_id, text, lang); its size is bounded by ``SAMPLE_DOCS`` for each of ``LANGUAGES``."""
+    """A network from a sample of ``labelled`` (doc_id, text, lang); all languages are in it, with fewer documents of each beyond ``LANGUAGES``."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = labelled.groupBy("lang").count()
+    known = counts.count()
+    if not known:
         return None
+    each = min(SAMPLE_DOCS, max(LEAST_DOCS, SAMPLE_DOCS * LANGUAGES // known))
     # A row is in the sample by a hash of its id, at a rate that depends on the language's rows only.
     scale = 1 << 30
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(scale, -(-scale * SAMPLE_DOCS // r["count"])))])
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0)))
-    bound = len(counts) * SAMPLE_DOCS * SAMPLE_WINDOWS * 2
+    rate = F.least(F.lit(scale), F.ceil(F.lit(scale * each) / F.col("count")))
+    chosen = labelled.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < rate)
+    bound = known * each * SAMPLE_WINDOWS * 2
     sample = chosen.select("doc_id", "lang", "text").mapInArrow(_sample_windows, "lang string, window binary").limit(bound).toPandas().sort_values(["lang", "window"], ignore_index=True)
     languages = sorted(sample["lang"].unique())
     windows = np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(-1, WINDOW)

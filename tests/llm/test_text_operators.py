@@ -280,6 +280,12 @@ def test_language_odd(spark, odd, empty):
     assert langid.predict(odd.filter("doc_id = 4"), None).first()["lang_pred"] == "und"
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"some words {i % 210}", f"l{i % 210:03d}") for i in range(420)]
+    net = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(net.languages) == 210
+
+
 # ---------------------------------------------------------------- LM scoring
 
 
