@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,15 @@ DEPTH_LIMIT = 256
 FOLLOW_LIMIT = 40
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = DEPTH_LIMIT) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Distinct nodes reachable over (src, dst) from ``roots`` (node), with the depth first seen.
 
-    Each round joins the frontier only, and drops what was seen before the next.
+    Each round joins the frontier only, and drops what was seen before the next, so that it
+    ends; more than ``most_rounds`` are an error.
     """
     seen = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, most_rounds + 1):
+    for depth in itertools.count(1) if most_rounds is None else range(1, most_rounds + 1):
         nxt = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = checkpointed(nxt)
         if frontier.isEmpty():

@@ -236,3 +236,24 @@ def test_handles(spark):
     m = spark.range(1).select(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("m"))
     got = m.select(handles.map_put(F.col("m"), "a", F.lit("9")).alias("put"), handles.map_remove(F.col("m"), "b").alias("gone"), handles.xattr_value(F.col("m"), "c").alias("none")).first()
     assert dict(got["put"]) == {"a": "9", "b": "2"} and dict(got["gone"]) == {"a": "1"} and got["none"] is None
+
+
+def test_reachable_has_no_depth_limit(spark, monkeypatch):
+    """300 rounds end when the frontier is empty; frames are stood in for, as only the rounds count here."""
+
+    class Frame:
+        rounds = 0
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def isEmpty(self):
+            Frame.rounds += 1
+            return Frame.rounds > 300
+
+    monkeypatch.setattr(graph, "checkpointed", lambda df: df)
+    graph.reachable(Frame(), Frame())
+    assert Frame.rounds == 301
+    with pytest.raises(RuntimeError):
+        Frame.rounds = 0
+        graph.reachable(Frame(), Frame(), 5)
