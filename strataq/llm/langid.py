@@ -140,7 +140,7 @@ def learn(labelled: DataFrame) -> Network | None:
     # A row is in the sample by a hash of its id, at a rate that depends on the language's rows only.
     scale = 1 << 30
     rate = F.least(F.lit(scale), F.ceil(F.lit(scale * each) / F.col("count")))
-    chosen = labelled.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < rate)
+    chosen = labelled.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < rate)
     bound = known * each * SAMPLE_WINDOWS * 2
     sample = chosen.select("doc_id", "lang", "text").mapInArrow(_sample_windows, "lang string, window binary").limit(bound).toPandas().sort_values(["lang", "window"], ignore_index=True)
     languages = sorted(sample["lang"].unique())
