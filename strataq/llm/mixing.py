@@ -1,20 +1,24 @@
-"""Language-model scores by logistic context mixing.
+"""Language-model scores by online logistic context mixing.
 
 A text is coded as its lower-cased words, one space after each, and an end symbol; each
-symbol is five binary decisions. Predictors are tables of counts by context: the three
-symbols before, a hash of the five before, a hash of the word so far, and a hash of the word
-so far with the last letters of the word before. The
-stretched probabilities of a decision are combined by weights that a gate (the decision's
-depth) selects, squashed, and refined by an adaptive map from the mixed probability to the
-observed one. Weights and maps start from values fitted on a bounded sample of training
-texts, and go on learning within each text, once for every ``STEP`` symbols. The sum of the
-costs of all decisions is the text's size in bits.
-
-Counts are taken over all training texts; weights are fitted with the sample's own counts
-left out, as they are for a text that is new. A table has a row for each byte of training
-text, without a bound. No task holds it: a block of documents sends its contexts' counts to
-buckets of rows, and each bucket answers a block with what all others have counted for the
-contexts that the block uses. Word counts are exchanged the same way.
+symbol is five binary decisions. Four predictors give a probability for every decision: the
+counts after the two symbols before and the word's length, after three and four symbols
+before, and after a hash of the word so far. Their logits are added with weights that a gate
+selects (the decision's depth, how often the word so far and the four symbols before have
+been seen), corrected by a hashed slot of the two symbols before that is learned in the text
+itself, squashed, and refined by an adaptive map. All of these learn after every symbol: a text is cut into lanes of ``LANE`` symbols,
+and one step takes the next symbol of all lanes of a group, so each lane learns on its own
+while the arithmetic runs over many. A group starts from the mean of what the lanes of the
+training texts before it have learned. The costs of all decisions add up to the bits of the
+text.
+
+Counts are taken over all training texts. Those of up to four symbols form tables of at
+most ``2 ** 20`` contexts, whose size follows from the alphabet and not from the corpus, so
+they are broadcast (36 MB). Words so far have no such bound: a block of documents sends what it
+has counted to buckets of hashes, and each bucket answers a block with the totals of the
+decisions that the block needs. No task holds a whole table, and what is gathered grows with
+the vocabulary of the corpus. A training text's own counts of words are left out of the
+totals when it is scored, as if it were new; a second copy elsewhere still counts.
 
 Defined results: a null text counts as an empty one, which is the end alone; a document with
 a null ``doc_id`` is scored but not learned from; repeated rows are learned from each time;
@@ -23,7 +27,6 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -40,20 +43,29 @@ from strataq.llm.windows import CELL, by_block, cell_table, cells, mixed, word_h
 FOLDS, HELD_OUT = 7, 2
 #: Symbols: letters, space, end, escape, full stop, comma, and the lead byte of accented letters.
 SPACE, END, ESCAPE = 26, 27, 28
-LEAST_BITS = 16
-STEP = 512
-RATE = 0.0015
-BUCKETS = 24
-#: Training texts on which the first weights are fitted, about; of each at most 32 steps are used, in so many rounds.
-FIT_TEXTS = 300
-FIT_ROUNDS = 4
-#: Symbols that are scored together.
-GROUP = 1 << 18
-_UNIT = 12
-#: Text of a block; a task needs about fifty times as much for its contexts.
+#: Symbols of a lane, and symbols of the lanes that are scored together.
+LANE = 4096
+GROUP = 1 << 19
+#: Lanes of a group at most.
+LANES = 1 << 10
+#: Words so far are exchanged from this many symbols on; shorter ones are told by the four symbols before.
+REACH = 4
+#: Logits are kept as bytes in units of ``1 / UNIT``.
+UNIT = 12
+#: Added to counts for their logits.
+PRIOR = 0.05
+#: A lane's slots for corrections by the two symbols before.
+BIAS_BITS = 12
+FIRST_WEIGHT, RATE, BIAS_RATE, MAP_RATE = 0.3, 0.001, 0.25, 0.02
+WORD_STATES, SHORT_STATES, MAP_CELLS = 4, 3, 16
+GATES = 5 * WORD_STATES * SHORT_STATES
+MAPS = 5 * WORD_STATES
+#: Codes of contexts with the word's length begin here.
+LONG = 1 << 25
+#: Text of a block.
 TEXT_BYTES = 4 << 20
-#: Table rows that are made from counts at once.
-CHUNK = 1 << 15
+#: Symbols that are counted at once.
+CHUNK = 1 << 20
 
 
 def _codes() -> np.ndarray:
@@ -64,6 +76,11 @@ def _codes() -> np.ndarray:
 
 
 _CODE = _codes()
+_VALUES = mixed(np.arange(77, 109, dtype=np.uint64))
+_MOVES = (np.arange(32)[:, None] >> (4 - np.arange(5))) & 1
+_SIGNS = (2 * _MOVES - 1).astype(np.int8)
+_NODES = ((1 << np.arange(5)) | (np.arange(32)[:, None] >> (5 - np.arange(5)))).astype(np.int32)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -81,304 +98,298 @@ def symbols(text: str | None) -> np.ndarray:
     return out
 
 
-def contexts(s: np.ndarray, bits: int, which: slice = slice(None)) -> list[np.ndarray]:
-    """For each predictor, or for those of ``which``, the table row of each symbol's context."""
-    n = len(s)
-    padded = np.full(n + 5, END, np.uint64)
-    padded[5:] = s
-    one, two, three, four, five = (padded[5 - k : 5 - k + n] for k in range(1, 6))
-    short = one | two << _SHIFTS[1] | three << _SHIFTS[2]
-    long = short | four << _SHIFTS[3] | five << _SHIFTS[4]
-    row = lambda h, k: ((h * _MULTIPLIERS[k]) >> np.uint64(64 - bits)).astype(np.int64)
-    if which == _LETTERS:
-        return [short.astype(np.int64), row(long + np.uint64(1), 0)]
-    # The word so far: a sum over its symbols that does not depend on where it starts.
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[s] * up[:n], out=total[1:])
-    start = np.maximum.accumulate(np.where(one == SPACE, np.arange(n), 0))
-    word = (total[:n] - total[start]) * down[start]
-    # The last three letters of the word before; the padding stands for a text's beginning.
-    before = long[start] >> _SHIFTS[1] & np.uint64(32767)
-    words = [row(word ^ word >> np.uint64(29), 1), row((word ^ word >> np.uint64(31)) + before * _MULTIPLIERS[3], 2)]
-    return words if which == _WORDS else [short.astype(np.int64), row(long + np.uint64(1), 0), *words]
-
-
-_LETTERS, _WORDS = slice(0, 2), slice(2, 4)
-_SHIFTS = [np.uint64(5 * k) for k in range(5)]
-_VALUES = mixed(np.arange(77, 109, dtype=np.uint64))
-#: Odd multipliers for hashing by the upper bits of a product.
-_MULTIPLIERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_known: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _known or len(_known[0]) < n:
-        _known.clear()
-        size = max(n, 1 << 16)
-        for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _known.append(np.multiply.accumulate(p))
-    return _known[0], _known[1]
+class Symbols:
+    """The symbols of some texts, one after the other, with what the predictors look at."""
 
-
-def table_rows(bits: int) -> list[int]:
-    return [1 << 15, 1 << bits, 1 << bits, 1 << bits]
-
-
-def stretched(counts: np.ndarray) -> np.ndarray:
-    """From counts of symbols (rows, 32) to the stretched probability of a one at each of 31 decisions, in units of ``1 / _UNIT``."""
+    def __init__(self, texts: list[np.ndarray]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        pad = np.full(4, END, np.uint8)
+        padded = np.concatenate([x for t in texts for x in (pad, t)]) if texts else np.empty(0, np.uint8)
+        real = np.ones(len(padded), bool)
+        for k in range(4):
+            real[self.first[:-1] + 4 * np.arange(len(texts)) + k] = False
+        self.sym = padded[real]
+        short = np.zeros(len(padded), np.uint32)
+        for k in range(1, 5):
+            short[k:] |= padded[: len(padded) - k].astype(np.uint32) << np.uint32(5 * (k - 1))
+        #: The four symbols before, the nearest in the lowest bits.
+        self.short = short[real]
+        n = len(self.sym)
+        place = np.arange(n, dtype=np.int64)
+        begins = np.zeros(n, bool)
+        begins[1:] = self.sym[:-1] == SPACE
+        begins[self.first[:-1]] = True
+        self.start = np.maximum.accumulate(np.where(begins, place, 0)) if n else place
+        #: The two symbols before, and how long the word is so far (15: or longer).
+        self.long = np.minimum(place - self.start, 15).astype(np.uint32) << np.uint32(10) | self.short & np.uint32(1023)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose word so far has ``REACH`` symbols or more, and their codes: a hash of it with the symbol in the five lowest bits."""
+        n, start = len(self.sym), self.start
+        rank = np.arange(n) - start
+        longest = int(rank.max(initial=0)) + 1
+        power = np.full(longest, _BASE, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[self.sym] * power[rank], out=total[1:])
+        at = np.flatnonzero(rank >= REACH)
+        h = mixed(total[at] - total[start[at]] + power[rank[at] % longest])
+        return at, (h & ~np.uint64(31)) | self.sym[at]
+
+
+def logits(counts: np.ndarray) -> np.ndarray:
+    """From counts of symbols (rows, 32) to the logit of a one at each of 31 decisions, in units of ``1 / UNIT``."""
     out = np.zeros((len(counts), 32), np.int8)
     level = counts.astype(np.float32)
     for depth in (4, 3, 2, 1, 0):
         zero, one = level[:, 0::2], level[:, 1::2]
-        p = np.log((one + 0.1) / (zero + 0.1))
-        out[:, 1 << depth : 2 << depth] = np.clip(np.rint(p * _UNIT), -120, 120)
+        out[:, 1 << depth : 2 << depth] = _logit(one, zero)
         level = zero + one
     return out
 
 
-_MOVES = (np.arange(32)[:, None] >> (4 - np.arange(5))) & 1
-_ONES = _MOVES.astype(np.float32)
-_NODES = (1 << np.arange(5)) | (np.arange(32)[:, None] >> (5 - np.arange(5)))
-
-
-class Model:
-    """Tables of stretched probabilities, first weights, and the adaptive map."""
-
-    def __init__(self, tables: list[np.ndarray], bits: int):
-        self.tables, self.bits = [t.reshape(-1) for t in tables], bits
-        self.weights = np.full((5, len(tables)), 0.3 / _UNIT, np.float32)
-        grid = (np.arange(BUCKETS) - BUCKETS // 2 + 0.5) / 1.5
-        self.map = np.tile(1 / (1 + np.exp(-grid)), (5, 1)).astype(np.float32)
-
-    def costs(self, texts: list[np.ndarray], keep: bool = False, rows: list[list[np.ndarray]] | None = None) -> np.ndarray:
-        """Bits of each text; ``keep`` lets what was learned on these texts stay as the start of all others.
-
-        ``rows`` has each text's table rows by predictor; without it they are the contexts themselves.
-        """
-        out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        while order:
-            longest = len(texts[order[0]])
-            now, order = order[: max(1, GROUP // longest)], order[max(1, GROUP // longest) :]
-            out[now] = self._group([texts[i] for i in now], keep, [contexts(texts[i], self.bits) if rows is None else rows[i] for i in now])
+def _logit(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))) * UNIT), -127, 127).astype(np.int8)
+
+
+class Tables:
+    """Logits by the two, three and four symbols before, and how often the four have been seen (0: never, 1: up to 8 times, 2: oftener)."""
+
+    def __init__(self) -> None:
+        self.two, self.three, self.four = (np.zeros((1 << bits, 32), np.int8) for bits in (14, 15, 20))
+        self.seen = np.zeros(1 << 20, np.int8)
+
+    def put(self, nearest: int, packed: bytes) -> None:
+        """Take the part of all contexts with this nearest symbol."""
+        raw = np.frombuffer(zstandard.decompress(packed), np.int8)
+        for table, n in ((self.two, 1 << 9), (self.three, 1 << 10), (self.four, 1 << 15)):
+            table[nearest::32] = raw[: 32 * n].reshape(n, 32)
+            raw = raw[32 * n :]
+        self.seen[nearest::32] = raw
+
+
+def tables_part(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """The tables of one nearest symbol, from counts by the codes of ``context_codes`` without that symbol."""
+    long = codes >= LONG >> 5
+    two, four = np.zeros(1 << 14, np.int64), np.zeros(1 << 20, np.int64)
+    two[codes[long] - (LONG >> 5)] = counts[long]
+    four[codes[~long]] = counts[~long]
+    four = four.reshape(32, 32, 32, 32)
+    total = four.sum(3).reshape(-1)
+    parts = [logits(x.reshape(-1, 32)).tobytes() for x in (two, four.sum(0), four)]
+    return zstandard.compress(b"".join([*parts, ((total > 0).astype(np.int8) + (total > 8)).astype(np.int8).tobytes()]), 1)
+
+
+def context_codes(texts: Symbols) -> np.ndarray:
+    """Two codes for each place: four symbols before and the symbol; and from ``LONG`` on, length of the word, two symbols before and the symbol."""
+    return np.concatenate([texts.short << np.uint32(5) | texts.sym, np.uint32(LONG) | texts.long << np.uint32(5) | texts.sym])
+
+
+class Mixer:
+    """Weights and maps by gate; ``costs`` scores lanes and lets those of training texts teach the next ones."""
+
+    def __init__(self, tables: Tables):
+        self.tables = tables
+        self.weights = np.full((GATES, 4), FIRST_WEIGHT / UNIT, np.float32)
+        self.bias = np.zeros(1 << BIAS_BITS, np.float32)
+        centre = (np.arange(MAP_CELLS) + 0.5) / 1.5
+        self.map = np.tile((1 / (1 + np.exp(-centre))).astype(np.float32), (MAPS, 1))
+
+    def costs(self, texts: Symbols, trains: np.ndarray, word: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Bits of each text; ``word`` (places, 5) has the word predictor's logits towards what comes, ``state`` its gate."""
+        out = np.zeros(len(texts.sizes))
+        many = -(-texts.sizes // LANE)
+        doc = np.repeat(np.arange(len(many)), many)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * LANE
+        size = np.minimum(texts.sizes[doc] - start, LANE)
+        start += texts.first[doc]
+        order = np.argsort(-size, kind="stable")
+        edges = np.flatnonzero(np.diff(np.cumsum(np.maximum(size[order], GROUP // LANES)) // GROUP, prepend=-1))
+        groups = np.split(order, edges[1:]) if len(order) else []
+        # The first group is run once before, so that no lane is scored with the weights of no experience.
+        for lanes in groups[:1] + groups:
+            bits = self._group(texts, start[lanes], size[lanes], trains[doc[lanes]], word, state)
+            if lanes is groups[0]:
+                out[:] = 0
+            np.add.at(out, doc[lanes], bits)
         return out
 
-    def _group(self, texts: list[np.ndarray], keep: bool, at: list[list[np.ndarray]]) -> np.ndarray:
-        sizes = np.array([len(t) for t in texts])
-        longest, docs = int(sizes[0]), len(texts)
-        sym = np.zeros((docs, longest), np.uint8)
-        rows = [np.zeros((docs, longest), np.int64) for _ in self.tables]
-        for i, t in enumerate(texts):
-            sym[i, : len(t)] = t
-            for r, c in zip(rows, at[i], strict=True):
-                np.left_shift(c, 5, out=r[i, : len(t)], dtype=np.int64)
-        weights = np.repeat(self.weights[None], docs, 0)
-        maps = np.repeat(self.map[None], docs, 0)
-        out = np.zeros(docs)
-        place = np.arange(5) * BUCKETS + (np.arange(docs) * (5 * BUCKETS))[:, None, None]
-        for start in range(0, longest, STEP):
-            live = int(np.searchsorted(-sizes, -start, "left"))
-            part = slice(start, min(start + STEP, longest))
-            s = sym[:live, part]
-            node, y = _NODES.take(s, 0), _ONES.take(s, 0)
-            inputs = [t.take(r[:live, part][:, :, None] | node).astype(np.float32) for t, r in zip(self.tables, rows, strict=True)]
-            w = weights[:live]
-            dot = inputs[0] * w[:, None, :, 0]
-            for k in range(1, len(inputs)):
-                dot += inputs[k] * w[:, None, :, k]
-            np.clip(dot, -7.9, 7.9, out=dot)
-            p = 1 / (1 + np.exp(-dot))
-            # The refined probability is the mean of the mixed one and of what the map has seen for it.
-            cell = (dot * np.float32(1.5) + np.float32(BUCKETS / 2)).astype(np.int32) + place[:live]
-            m = maps[:live].reshape(-1)
-            refined = np.clip((p + m.take(cell)) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
-            error = y - p
-            bits = np.log2(np.abs(np.float32(1) - y - refined))
-            whole = sizes[live - 1] >= part.stop
-            if not whole:
-                seen = (np.arange(part.start, part.stop)[None] < sizes[:live, None])[:, :, None]
-                bits, error = bits * seen, error * seen
-            out[:live] -= bits.sum((1, 2), dtype=np.float64)
-            for k, x in enumerate(inputs):
-                w[:, :, k] += (RATE / _UNIT**2) * np.einsum("dsb,dsb->db", error, x)
-            np.clip(w, -0.5 / _UNIT, 1.5 / _UNIT, out=w)
-            # Cells with a one are counted in a second range, those behind a text's end in a third.
-            cell += _MOVES.take(s, 0) * len(m)
-            if not whole:
-                cell = np.where(seen, cell, 2 * len(m))
-            count = np.bincount(cell.ravel(), minlength=2 * len(m))
-            ones = count[len(m) : 2 * len(m)]
-            hit = count[: len(m)] + ones
-            m += ((ones - hit * m) / (hit + 40)).astype(np.float32)
-            maps[:live] = m.reshape(live, 5, BUCKETS)
-        if keep:
-            self.weights, self.map = weights.mean(0), maps.mean(0)
-        return out
+    def _group(self, texts: Symbols, start: np.ndarray, size: np.ndarray, trains: np.ndarray, word: np.ndarray, state: np.ndarray) -> np.ndarray:
+        longest, lanes = int(size[0]), len(size)
+        live = np.searchsorted(-size, -np.arange(longest), "left")
+        begin = np.concatenate([[0], np.cumsum(live)])
+        # Places in the order of steps: the first symbol of all lanes, then the second of those that have one.
+        src, lane = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int32)
+        for i, (a, n) in enumerate(zip(start, size, strict=True)):
+            src[begin[:n] + i] = np.arange(a, a + n)
+            lane[begin[:n] + i] = i
+        sym, short = texts.sym[src], texts.short[src]
+        node, sign = _NODES[sym], _SIGNS[sym]
+        x = np.empty((len(src), 5, 4), np.int8)
+        for k, (table, context) in enumerate(((self.tables.two, texts.long[src]), (self.tables.three, short & np.uint32(32767)), (self.tables.four, short))):
+            np.multiply(table.reshape(-1).take((context.astype(np.int32) << 5)[:, None] | node), sign, out=x[:, :, k])
+        x[:, :, 3] = word[src]
+        known, depth = state[src], np.arange(5, dtype=np.int32)
+        gate = (lane * GATES + (known * SHORT_STATES + self.tables.seen[short]) * 5)[:, None] + depth
+        cell = ((lane * MAPS + known * 5)[:, None] + depth) * MAP_CELLS
+        slot = (((short & np.uint32(1023)) << np.uint32(5))[:, None] + node.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BIAS_BITS)
+        spot = (lane << BIAS_BITS)[:, None] | slot.astype(np.int32)
+        sign = sign.reshape(-1).astype(np.float32)
+        del node, src, lane, short, sym, slot
+        x, gate, cell, spot, begin = x.reshape(-1, 4), gate.reshape(-1), cell.reshape(-1), spot.reshape(-1), 5 * begin
+        w, m = np.tile(self.weights, (lanes, 1)), np.tile(self.map.reshape(-1), lanes)
+        bias = np.tile(self.bias, lanes)
+        chance, one, rate = np.empty(len(gate), np.float32), np.float32(1), np.float32(RATE / UNIT**2 * UNIT)
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            inputs, g = x[a:b].astype(np.float32), gate[a:b]
+            weight = w.take(g, 0)
+            at, to = spot[a:b], sign[a:b]
+            more = bias.take(at)
+            dot = np.einsum("np,np->n", weight, inputs) + more * to
+            # Everything is said of what comes next: ``p`` is the probability that the mixture gave it.
+            p = one / (one + np.exp(-dot))
+            right = dot > 0
+            c = np.minimum(np.abs(dot) * np.float32(1.5), MAP_CELLS - 1).astype(np.int32)
+            c += cell[a:b]
+            seen = m.take(c)
+            chance[a:b] = p + np.where(right, seen, one - seen)
+            wrong = one - p
+            weight += (wrong * rate)[:, None] * inputs
+            bias[at] = more + wrong * to * np.float32(BIAS_RATE)
+            w[g] = weight
+            m[c] = seen + (right - seen) * np.float32(MAP_RATE)
+        bits = -np.log2(np.clip(chance.reshape(-1, 5) * np.float32(0.5), 1e-6, 1)).sum(1, dtype=np.float64)
+        of = np.concatenate([np.arange(n) for n in live]) if len(live) else np.empty(0, np.int64)
+        if trains.any():
+            share = size * trains / (size * trains).sum()
+            self.weights = np.einsum("l,lgp->gp", share, w.reshape(lanes, GATES, 4)).astype(np.float32)
+            self.bias = share.astype(np.float32) @ bias.reshape(lanes, -1)
+            self.map = np.einsum("l,lgc->gc", share, m.reshape(lanes, MAPS, MAP_CELLS)).astype(np.float32)
+        return np.bincount(of, bits, minlength=lanes)
 
 
 def _trains(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
 
+def _planes(data: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte, the lowest bytes first."""
+    return data.view(np.uint8).reshape(len(data), -1).T.tobytes()
+
+
 def _pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending codes and their counts, compressed byte by byte."""
-    step = np.diff(codes, prepend=0).astype(np.uint64).view(np.uint8).reshape(-1, 8)
-    return zstandard.compress(step.T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Ascending codes and their counts."""
+    return zstandard.compress(_planes(np.diff(codes, prepend=np.uint64(0))) + _planes(counts.astype(np.uint32)), 1)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
     n = len(raw) // 12
-    step = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel()
-    return np.cumsum(step), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    step = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _changes(codes: np.ndarray, shift: int) -> np.ndarray:
-    """Where ascending codes without their ``shift`` lowest bits differ from the one before."""
-    out = np.ones(len(codes), bool)
-    np.greater_equal(codes[1:] ^ codes[:-1], 1 << shift, out=out[1:])
-    return out
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact below 128, then four steps for each doubling."""
+    return np.where(counts < 128, counts, np.minimum(128 + 4 * np.log2(np.maximum(counts, 128) / 128), 255)).astype(np.uint8)
 
 
-class _Contexts:
-    """The contexts of some texts: distinct ones by bucket, with counts of symbols, and each symbol's context.
+_LARGE = np.concatenate([np.arange(128), 128 * 2.0 ** (np.arange(128) / 4)]).astype(np.float32)
 
-    A code is a predictor, a context and a symbol; a bucket has a range of each predictor's contexts.
-    """
 
-    def __init__(self, texts: list[np.ndarray], times: np.ndarray, bits: int, n: int, rows: bool = False):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.edges = np.concatenate([[0], np.cumsum(sizes)])
-        sym = (np.concatenate(texts) if texts else np.empty(0, np.uint8)) << np.uint8(1)
-        sym |= np.repeat(times > 0, sizes)
-        # Texts that are learned from more than once are added again.
-        again = [(i, int(k) - 1) for i, k in enumerate(times) if k > 1]
-        width = max(1, len(sym).bit_length())
-        codes, counts, places = [], [], []
-        for k in range(4):
-            at = np.empty(len(sym), np.int64)
-            pair = _LETTERS if k < 2 else _WORDS
-            for i, t in enumerate(texts):
-                at[self.edges[i] : self.edges[i + 1]] = contexts(t, bits, pair)[k - pair.start]
-            code = at << 6
-            code |= sym
-            if again:
-                code = np.concatenate([code, *(np.tile(code[self.edges[i] : self.edges[i + 1]], more) for i, more in again)])
-            code.sort()
-            heads = np.flatnonzero(_changes(code, 1))
-            code_of = code[heads]
-            code &= 1
-            seen = np.concatenate([[0], np.cumsum(code, dtype=np.int32)])
-            del code
-            counts.append(np.diff(seen[np.append(heads, len(seen) - 1)]).astype(np.int64))
-            codes.append((code_of >> 1) | k << (bits + 5))
-            del seen, heads, code_of
-            if rows:
-                # Sorting by context with the place in the low bits gives each place its context's rank.
-                if bits + width < 64:
-                    at <<= width
-                    at |= np.arange(len(at))
-                    at.sort()
-                    rank = np.cumsum(_changes(at, width), dtype=np.int32)
-                    at &= (1 << width) - 1
-                else:
-                    order = np.argsort(at)
-                    rank = np.cumsum(_changes(at[order], 0), dtype=np.int32)
-                    at = order
-                place = np.empty(len(at), np.int32)
-                place[at] = rank
-                place -= np.int32(1)
-                places.append(place)
-                del rank
-            del at
-        lengths = [len(c) for c in codes]
-        bucket = np.concatenate([((c >> 5 & ((1 << bits) - 1)) * n >> (bits if k else 15)).astype(np.int32) for k, c in enumerate(codes)])
-        order = np.argsort(bucket, kind="stable")
-        self.buckets = np.searchsorted(bucket[order], np.arange(n + 1))
-        del bucket
-        self.codes = np.concatenate(codes)
-        heads = [_changes(c, 5) for c in codes] if rows else []
-        del codes
-        self.codes = self.codes[order]
-        self.counts = np.concatenate(counts)
-        del counts
-        self.counts = self.counts[order]
-        self.row = np.cumsum(_changes(self.codes, 5), dtype=np.int32) - np.int32(1)
-        self.n_rows = int(self.row[-1]) + 1 if len(self.row) else 0
-        self.rows: list[np.ndarray] = []
-        if rows:
-            row = np.empty(len(order), np.int32)
-            row[order] = self.row
-            del order
-            for part, head in zip(np.split(row, np.cumsum(lengths)[:-1]), heads, strict=True):
-                self.rows.append(part[head][places.pop(0)])
-
-    def send(self, block: int, first: int) -> Iterator[tuple[int, int, bytes]]:
-        for i in np.flatnonzero(np.diff(self.buckets)):
-            part = slice(self.buckets[i], self.buckets[i + 1])
-            yield first + int(i), block, _pack(self.codes[part], self.counts[part])
-
-    def table(self, answers: dict[int, bytes], first: int, own: bool) -> np.ndarray:
-        """Stretched probabilities by row, of what the buckets answered and, with ``own``, of these texts' counts."""
-        at, many = [], []
-        for i in np.flatnonzero(np.diff(self.buckets)):
-            code, count = _unpack(answers[first + int(i)])
-            at.append(code + (int(self.row[self.buckets[i]]) << 5))
-            many.append(count)
-        where, many = np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.int64), *many])
-        out = np.zeros((self.n_rows, 32), np.int8)
-        for start in range(0, self.n_rows, CHUNK):
-            rows = min(CHUNK, self.n_rows - start)
-            total = np.zeros(rows * 32, np.int64)
-            part = slice(*np.searchsorted(where, [start << 5, (start + rows) << 5]))
-            total[where[part] - (start << 5)] += many[part]
-            if own:
-                part = slice(*np.searchsorted(self.row, np.array([start, start + rows], np.int32)))
-                total[(self.row[part].astype(np.int64) - start) << 5 | self.codes[part] & 31] += self.counts[part]
-            out[start : start + rows] = stretched(total.reshape(-1, 32))
-        return out
+def _runs(codes: np.ndarray, shift: int) -> np.ndarray:
+    """Where ascending codes without their lowest bits begin anew."""
+    upper = codes >> np.uint64(shift)
+    return np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]])) if len(codes) else np.empty(0, np.int64)
+
 
-    def of(self, text: int) -> list[np.ndarray]:
-        return [r[self.edges[text] : self.edges[text + 1]] for r in self.rows]
+def decisions(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For ascending codes and their totals: how often each of the five decisions went as in the code, and how often the other way (rows 0 to 4, 5 to 9)."""
+    levels = []
+    for shift in (5, 4, 3, 2, 1, 0):
+        new = _runs(codes, shift)
+        levels.append(np.repeat(np.add.reduceat(counts, new) if len(new) else counts, np.diff(np.append(new, len(codes)))))
+    return np.array([*levels[1:], *(a - b for a, b in zip(levels[:-1], levels[1:], strict=True))])
 
 
-def _context_totals(table: pa.Table, n: int) -> pa.Table:
-    """To each block, what all others have counted for its contexts; to a block of fitted texts, all but the fitted texts' counts."""
-    blocks = table["block"].to_pylist()
+class Words:
+    """The words so far in some texts: distinct codes with their counts in training texts, and each place's code."""
+
+    def __init__(self, texts: Symbols, trains: np.ndarray):
+        self.at, codes = texts.words()
+        doc = np.repeat(np.arange(len(texts.sizes), dtype=np.int32), texts.sizes)[self.at]
+        self.learned, self.doc = trains[doc], doc
+        order = np.argsort(codes)
+        codes = codes[order]
+        new = _runs(codes, 0)
+        self.codes = codes[new]
+        self.counts = np.add.reduceat(self.learned[order].astype(np.int64), new) if len(new) else np.empty(0, np.int64)
+        self.code = np.empty(len(order), np.int32)
+        self.code[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(codes))))
+
+    def parts(self, n: int) -> np.ndarray:
+        """Where the codes of each bucket begin; a bucket has a range of codes."""
+        return np.searchsorted((self.codes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+    def send(self, block: int, n: int) -> Iterator[tuple[int, int, bytes]]:
+        edges = self.parts(n)
+        for i in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[i], edges[i + 1])
+            yield n + int(i), block, _pack(self.codes[part], self.counts[part])
+
+    def predict(self, places: int, n: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The word predictor's logits by place and decision, and its gate: short word, never seen, up to three times, oftener."""
+        edges = self.parts(n)
+        got = [np.frombuffer(zstandard.decompress(answers[n + int(i)]), np.uint8).reshape(10, -1) for i in np.flatnonzero(np.diff(edges))]
+        logit, state = np.zeros((places, 5), np.int8), np.zeros(places, np.int32)
+        if not got:
+            return logit, state
+        total = np.concatenate(got, axis=1)
+        own, mine = self._own(), self.learned
+        first = None
+        for k in range(5):
+            same, other = (_LARGE[total[j][self.code]] for j in (k, k + 5))
+            same[mine] -= (own[k + 1])[mine]
+            other[mine] -= (own[k] - own[k + 1])[mine]
+            same, other = np.maximum(same, 0), np.maximum(other, 0)
+            logit[self.at, k] = _logit(same, other)
+            if first is None:
+                first = same + other
+        state[self.at] = 1 + (first > 0).astype(np.int32) + (first > 3)
+        return logit, state
+
+    def _own(self) -> list[np.ndarray]:
+        """How often the place's own text has its context, with no, one, ... five decisions alike."""
+        key = self.doc.astype(np.int64) << 32 | self.code
+        order = np.argsort(key)
+        doc, code = self.doc[order], self.codes[self.code[order]]
+        out = []
+        for shift in (5, 4, 3, 2, 1, 0):
+            upper = code >> np.uint64(shift)
+            new = np.flatnonzero(np.concatenate([[True], (upper[1:] != upper[:-1]) | (doc[1:] != doc[:-1])]))
+            size = np.diff(np.append(new, len(code)))
+            count = np.empty(len(code), np.int32)
+            count[order] = np.repeat(size, size)
+            out.append(count)
+        return out
+
+
+def _code_totals(table: pa.Table) -> pa.Table:
+    """To each block, the totals of the decisions on the way to its codes."""
     parts = [_unpack(d.as_py()) for d in table["data"]]
     codes = np.concatenate([p[0] for p in parts])
+    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
     order = np.argsort(codes)
     codes = codes[order]
-    new = np.diff(codes, prepend=-1) != 0
-    every, at = codes[new], np.empty(len(codes), np.int64)
-    at[order] = np.cumsum(new) - 1
-    del order
-    edges = np.cumsum([0, *(len(p[0]) for p in parts)])
-    total, fitted = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    for i, block in enumerate(blocks):
-        (fitted if block >= n else total)[at[edges[i] : edges[i + 1]]] += parts[i][1]
-    context = every >> 5
-    bucket, out = table["bucket"][0].as_py(), []
-    for i, block in enumerate(blocks):
-        codes, counts = parts[i]
-        new = np.diff(codes >> 5, prepend=-1) != 0
-        own, spot = codes[new] >> 5, np.cumsum(new) - 1
-        low, high = np.searchsorted(context, own), np.searchsorted(context, own, "right")
-        size = high - low
-        which = np.repeat(np.arange(len(own)), size)
-        take = np.arange(len(which)) + (low - np.cumsum(size) + size)[which]
-        if block >= n:
-            count = total[take] - fitted[take]
-        else:
-            count = total[take]
-            mine = at[edges[i] : edges[i + 1]]
-            count[mine - low[spot] + (np.cumsum(size) - size)[spot]] -= counts
-        keep = count > 0
-        out.append((bucket, block, _pack((which << 5 | every[take] & 31)[keep], count[keep])))
-    return cell_table(out)
+    new = _runs(codes, 0)
+    many = np.diff(np.append(new, len(codes)))
+    at = np.empty(len(codes), np.int64)
+    at[order] = np.repeat(np.arange(len(new)), many)
+    levels = small(decisions(codes[new], np.add.reduceat(counts[order], new)))
+    bucket, edges = table["bucket"][0].as_py(), np.cumsum([0, *(len(p[0]) for p in parts)])
+    return cell_table((bucket, block, zstandard.compress(np.ascontiguousarray(levels[:, at[edges[i] : edges[i + 1]]]).tobytes(), 1)) for i, block in enumerate(table["block"].to_pylist()))
 
 
 class _Block:
@@ -428,12 +439,48 @@ def _word_totals(table: pa.Table) -> pa.Table:
     return cell_table([*out, (bucket, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())])
 
 
-def _distinct(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The distinct texts as symbols, each row's text, and how often each is learned from."""
-    which: dict[str, int] = {}
-    of = np.array([which.setdefault(t.as_py() or "", len(which)) for t in table["text"]], np.int64)
-    times = np.bincount(of, [_trains(i) for i in table["doc_id"].to_pylist()], minlength=len(which)).astype(np.int64)
-    return [symbols(t) for t in which], of, times
+def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by four symbols before and the symbol, summed over a partition."""
+    total: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        texts, size = [], 0
+        rows = batch["text"]
+        for i in range(len(rows)):
+            texts.append(symbols(rows[i].as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK or i == len(rows) - 1:
+                some = Symbols(texts)
+                total.append(np.unique(context_codes(some), return_counts=True))
+                texts, size = [], 0
+                if len(total) == 8:
+                    total = [_added(total)]
+    code, count = _added(total)
+    for at in range(0, len(code), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(code[at : at + (1 << 16)].astype(np.int32)), pa.array(count[at : at + (1 << 16)].astype(np.int64))], ["code", "n"])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    codes = np.concatenate([p[0] for p in parts])
+    code, at = np.unique(codes, return_inverse=True)
+    return code, np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(code)).astype(np.int64)
+
+
+def _short_tables(key, table):
+    code = table["code"].to_numpy().astype(np.int64)
+    packed = tables_part(code >> 10 << 5 | code & 31, table["n"].to_numpy())
+    return pa.table({"nearest": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([packed], pa.binary())})
+
+
+def short_tables(texts: DataFrame) -> Tables:
+    """Tables over all of ``texts``; they are of one size for every corpus (36 MB), 32 parts of which are collected."""
+    counts = texts.select("text").mapInArrow(_short_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    parts = counts.withColumn("nearest", F.shiftright("code", 5).bitwiseAND(31)).groupBy("nearest").applyInArrow(_short_tables, "nearest int, data binary")
+    out = Tables()
+    for row in parts.collect():
+        out.put(row["nearest"], row["data"])
+    return out
 
 
 def _answers(found: pa.Table) -> dict[int, bytes]:
@@ -448,53 +495,34 @@ def score(docs: DataFrame) -> DataFrame:
     """
     blocks, n = by_block(docs, "doc_id", "text", block_bytes=TEXT_BYTES)
     trains = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))
-    size = docs.agg(F.count_if(trains).alias("docs"), F.coalesce(F.sum(F.when(trains, F.octet_length("text"))), F.lit(0)).alias("bytes")).first()
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(size["bytes"], 1))))
-    ends = size["docs"]
-    one_in = max(20, -(-ends // FIT_TEXTS))
-    chosen = docs.filter(trains & (F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % one_in == 0)).select(F.lit(n).alias("block"), "doc_id", "text").limit(2 * FIT_TEXTS)
-    both = blocks.unionByName(stored(chosen, "fit-texts"))
+    ends = docs.filter(trains).count()
+    tables = docs.sparkSession.sparkContext.broadcast(short_tables(docs.filter(trains)))
+
+    def prepared(table: pa.Table) -> tuple[Symbols, np.ndarray, Words]:
+        learned = np.array([_trains(i) for i in table["doc_id"].to_pylist()], bool)
+        texts = Symbols([symbols(t.as_py()) for t in table["text"]])
+        return texts, learned, Words(texts, learned)
 
     def first(key, table):
         block = key[0].as_py()
-        texts, of, times = _distinct(table)
-        found = list(_Contexts(texts, times, bits, n).send(block, n))
-        return cell_table(found if block >= n else [*_Block(table).send(block, n), *found])
+        return cell_table([*_Block(table).send(block, n), *prepared(table)[2].send(block, n)])
 
     def answer(key, table):
-        return _context_totals(table, n) if key[0].as_py() >= n else _word_totals(table)
+        return _code_totals(table) if key[0].as_py() >= n else _word_totals(table)
 
-    # Buckets from 0 are of words, those from n of contexts; blocks from n are of texts that weights are fitted on.
-    answers = stored(both.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(answer, CELL), "totals")
-    # The shuffle files of this exchange are of no more use; Spark removes them after a collection.
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    # Buckets from 0 are of whole words, those from n of words so far.
+    answers = stored(blocks.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(answer, CELL), "totals")
     # One small row for each bucket, read one partition at a time.
     sums = np.zeros(2, np.int64)
     for row in answers.filter("block = -1").select("data").toLocalIterator():
         sums += np.frombuffer(row["data"], np.int64)
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
-    def fit(key, table, found):
-        texts, _, times = _distinct(table)
-        known = _Contexts(texts, times, bits, n, rows=True)
-        model = Model([known.table(_answers(found), n, own=False)] * 4, bits)
-        parts, rows = [t[: 32 * STEP] for t in texts], [[r[: 32 * STEP] for r in known.of(i)] for i in range(len(texts))]
-        for _ in range(FIT_ROUNDS):
-            model.costs(parts, True, rows)
-        return pa.table({"symbols": pa.array([sum(map(len, parts))], pa.int64()), "weights": pa.array([model.weights.astype(np.float64).tobytes()], pa.binary()), "map": pa.array([model.map.astype(np.float64).tobytes()], pa.binary())})
-
-    start = Model([np.empty(0, np.int8)] * 4, bits)
-    fitted = both.filter(F.col("block") >= n).groupBy("block").cogroup(answers.filter(F.col("block") >= n).groupBy("block")).applyInArrow(fit, "symbols long, weights binary, map binary").collect()
-    if fitted:
-        share = np.array([r["symbols"] for r in fitted], float) / sum(r["symbols"] for r in fitted)
-        start.weights = sum(x * np.frombuffer(r["weights"]) for x, r in zip(share, fitted, strict=True)).reshape(5, 4).astype(np.float32)
-        start.map = sum(x * np.frombuffer(r["map"]) for x, r in zip(share, fitted, strict=True)).reshape(5, BUCKETS).astype(np.float32)
-    weights, refine = start.weights, start.map
-
     def last(key, table, found):
-        block = _Block(table)
-        replies = _answers(found)
+        if table.num_rows > 1:
+            # Groups learn from each other in this order, which does not depend on how rows arrive.
+            table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        block, replies = _Block(table), _answers(found)
         c = block.totals(n, replies)
         ids, rows = table["doc_id"].to_pylist(), len(block.sizes)
         known = np.bincount(block.of, (c > 0)[block.word], minlength=rows).astype(np.int64) + (ends > 0)
@@ -502,18 +530,14 @@ def score(docs: DataFrame) -> DataFrame:
         base -= (block.sizes + 1) * math.log10(tokens + distinct + 1)
         n_tokens = block.sizes + 1
         del block
-        # A text's score follows from the text alone: copies within a block are scored once.
-        texts, at, times = _distinct(table)
-        known_rows = _Contexts(texts, times, bits, n, rows=True)
-        model = Model([known_rows.table(replies, n, own=True)] * 4, bits)
-        model.weights, model.map = weights, refine
-        costs = model.costs(texts, rows=[known_rows.of(i) for i in range(len(texts))])[at]
+        texts, learned, words = prepared(table)
+        costs = Mixer(tables.value).costs(texts, learned, *words.predict(len(texts.sym), n, replies))
         size = np.array([len((t.as_py() or "").encode()) for t in table["text"]], np.int64)
-        held = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids]
+        held = [i is not None and not t for i, t in zip(ids, learned.tolist(), strict=True)]
         return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.groupBy("block").cogroup(answers.filter((F.col("block") >= 0) & (F.col("block") < n)).groupBy("block")).applyInArrow(last, schema)
+    return blocks.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(last, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def copies():
 
 
 def test_substrings_against_brute_force(spark, copies, monkeypatch):
-    monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n: 5)
+    monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n, size=0: 5)
     got = substrings.dedup(spark.createDataFrame(copies, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == removed([(i, words(t)) for i, t in copies], 50)
     for r in got:  # the cut text holds exactly the kept words
@@ -234,7 +234,7 @@ def classes(docs):
 
 @pytest.mark.parametrize("chunk", [512, 6])
 def test_jaccard_against_brute_force(spark, copies, monkeypatch, chunk):
-    monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n: 4)
+    monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n, size=0: 4)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)  # 6: components are verified in several tasks
     rng = random.Random(4)
     chain = [f"c{i}" for i in range(60)]
@@ -289,14 +289,34 @@ def test_every_language_is_learned(spark):
 # ---------------------------------------------------------------- LM scoring
 
 
-def test_model_is_a_distribution():
+def test_mixing_is_a_distribution():
+    """Whatever the tables hold, the chances of all next symbols add up to one, also after learning."""
     rng = np.random.default_rng(3)
-    bits = 12
-    tables = [rng.integers(-60, 60, n * 32).astype(np.int8) for n in mixing.table_rows(bits)]
-    model = mixing.Model(tables, bits)
-    before = mixing.symbols("some words here")[:-1]
-    cost = model.costs([np.concatenate([before, [s]]).astype(np.uint8) for s in range(32)])
-    assert abs(sum(2.0 ** -(cost - model.costs([before])[0])) - 1) < 1e-4
+    tables = mixing.Tables()
+    for x in (tables.two, tables.three, tables.four):
+        x[:] = rng.integers(-60, 60, x.shape)
+    tables.seen[:] = rng.integers(0, 3, len(tables.seen))
+    totals = rng.integers(0, 400, (1 << 12, 32))
+    before = mixing.symbols("some lengthy words are here again")[:-1]
+
+    def cost(tail):
+        s = mixing.Symbols([np.concatenate([before, tail]).astype(np.uint8)])
+        at, code = s.words()
+        logit, state = np.zeros((len(s.sym), 5), np.int8), np.zeros(len(s.sym), np.int32)
+        for i, c in zip(at, code, strict=True):
+            row = mixing.decisions((c & ~np.uint64(31)) + np.arange(32, dtype=np.uint64), totals[int(c >> np.uint64(5)) % len(totals)])
+            same, other = row[:5, int(c) & 31], row[5:, int(c) & 31]
+            logit[i], state[i] = mixing._logit(same.astype(np.float32), other.astype(np.float32)), 2
+        mixer = mixing.Mixer(tables)
+        mixer.bias[:] = rng2.normal(size=len(mixer.bias))
+        return mixer._group(s, s.first[:1], s.sizes, np.zeros(1, bool), logit, state)[0]
+
+    costs = []
+    for symbol in range(32):
+        rng2 = np.random.default_rng(4)
+        costs.append(cost([symbol]))
+    rng2 = np.random.default_rng(4)
+    assert abs(sum(2.0 ** -(np.array(costs) - cost([]))) - 1) < 1e-3
 
 
 def test_symbols_are_reversible():
@@ -336,29 +356,46 @@ def test_scores_against_brute_force(spark, odd, empty):
     assert mixing.digest(empty).count() == 0
 
 
-def test_contexts_of_a_large_corpus_stay_apart():
-    """A block's tables equal brute-force counts by exact context, with far more contexts than 2^18."""
+def test_words_so_far_of_a_large_corpus_stay_apart():
+    """The exchanged totals equal brute-force counts by exact context, with far more contexts than 2^18; a text's own are left out."""
     rng = np.random.default_rng(5)
-    bits, n, blocks = 27, 3, 3
-    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
-    texts = [letters[rng.integers(0, 27, 400_000)].tobytes().decode() for _ in range(blocks)]
-    found = [mixing._Contexts([mixing.symbols(t)], np.ones(1), bits, n, rows=True) for t in texts]
-    sent = [cell for b, f in enumerate(found) for cell in f.send(b, n)]
+    blocks = 3
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", np.uint8)
+    texts = [letters[rng.integers(0, 31, 400_000)].tobytes().decode() for _ in range(blocks)]
+    made = [mixing.Symbols([mixing.symbols(t)]) for t in texts]
+    found = [mixing.Words(s, np.array([b != 1])) for b, s in enumerate(made)]
+    sent = [cell for b, f in enumerate(found) for cell in f.send(b, blocks)]
     answers = {}
     for bucket in {c[0] for c in sent}:
-        out = mixing._context_totals(mixing.cell_table([c for c in sent if c[0] == bucket]), n)
+        out = mixing._code_totals(mixing.cell_table([c for c in sent if c[0] == bucket]))
         answers.update({(b, k): d for k, b, d in zip(*(out[c].to_pylist() for c in ("bucket", "block", "data")), strict=True)})
-    counts = Counter()
-    symbols = [mixing.symbols(t) for t in texts]
-    for s in symbols:
-        padded = np.concatenate([np.full(5, mixing.END), s]).astype(np.int64)
-        counts.update(zip((sum(padded[5 - k : 5 - k + len(s)] << 5 * k for k in range(1, 6))).tolist(), s.tolist(), strict=True))
-    assert len({c for c, _ in counts}) > 1 << 18
-    table = found[0].table({k: d for (b, k), d in answers.items() if b == 0}, n, own=True)
-    s, rows = symbols[0], found[0].of(0)[1]
-    padded = np.concatenate([np.full(5, mixing.END), s]).astype(np.int64)
-    keys = sum(padded[5 - k : 5 - k + len(s)] << 5 * k for k in range(1, 6))
-    at = rng.integers(0, len(s), 2000)
-    want = mixing.stretched(np.array([[counts[int(keys[i]), x] for x in range(32)] for i in at]))
-    # Rows are hashed by 27 bits here, so that a few in a hundred thousand may still share one.
-    assert (table[rows[at]] == want).all(1).mean() > 0.98
+    seen = [Counter(), Counter(), Counter()]
+    prefixes = []
+    for b, s in enumerate(made):
+        prefix, mine = (), []
+        for x in s.sym.tolist():
+            mine.append(prefix)
+            if len(prefix) >= mixing.REACH:
+                seen[b].update((prefix, x >> k, k) for k in range(6))
+            prefix = () if x == mixing.SPACE else (*prefix, x)
+        prefixes.append(mine)
+    assert sum(len({p for p, _, k in c if k == 5}) for c in seen) > 1 << 18
+    for b in (0, 1):
+        others = [c for i, c in enumerate(seen) if i != b and i != 1]
+        logit, state = found[b].predict(len(made[b].sym), blocks, {k: d for (x, k), d in answers.items() if x == b})
+        for i in rng.integers(0, len(made[b].sym), 3000):
+            prefix, x = prefixes[b][i], int(made[b].sym[i])
+            if len(prefix) < mixing.REACH:
+                assert state[i] == 0
+                continue
+            n = [sum(c[prefix, x >> k, k] for c in others) for k in (5, 4, 3, 2, 1, 0)]
+            assert state[i] == 1 + (n[0] > 0) + (n[0] > 3)
+            want = mixing._logit(np.array(n[1:], np.float32), np.array(n[:-1], np.float32) - np.array(n[1:], np.float32))
+            assert (logit[i] == want).all() or n[0] > 100
+
+
+@needs_data
+def test_held_out_scores_pass_the_base(spark):
+    """On a thousand documents the mean of the held-out scores is above that of the base, which does not even spell unknown words."""
+    got = mixing.digest(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).filter("held_out").toPandas()
+    assert got["score"].mean() > got["base_score"].mean()
