@@ -72,8 +72,8 @@ def brute(ids, vectors, k):
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 700)
-    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 40)
+    monkeypatch.setattr(neighbours, "PART_VECTORS", 150)
+    monkeypatch.setattr(neighbours, "PART_QUERIES", 10)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 64))
     vectors = (centres[rng.integers(0, 12, 2000)] + 0.3 * rng.normal(size=(2000, 64))).astype(np.float32)
@@ -89,23 +89,77 @@ def test_recall_and_scores(spark, monkeypatch):
 
 
 def test_odd_vectors(spark):
-    v = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (20, [-1.0, 0.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
+    v = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (20, [-1.0, 0.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (40, [2.0, 0.0]), (40, [3.0, 0.0])]
     rows = spark.createDataFrame(v, "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.digest(rows).collect())
-    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 20), (20, 1, 1), (20, 2, 1), (20, 3, 0)]
+    # Two rows share the id 40: each is a query without itself, and the other one is its candidate.
+    assert got == sorted([(0, 1, 40), (0, 2, 40), (0, 3, 1), (0, 4, 1), (0, 5, 20), (20, 1, 1), (20, 2, 1), (20, 3, 0), (20, 4, 40), (20, 5, 40), *[(40, 1, 40), (40, 2, 0), (40, 3, 1), (40, 4, 1), (40, 5, 20)] * 2])
     assert neighbours.digest(rows.limit(0)).count() == 0
 
 
 def test_chi_square_and_tree():
     assert abs(neighbours.chi_square(7.344, 8) - 0.5) < 1e-3 and abs(neighbours.chi_square(15.507, 8) - 0.95) < 1e-3
+    assert abs(neighbours.quantile(0.95, 8) - 15.507) < 1e-3
     points = np.random.default_rng(1).normal(size=(1000, 8))
     tree = neighbours.KdTree(points)
-    assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(1000)) and max(map(len, tree.leaves)) <= neighbours.LEAF
+    leaves = np.split(tree.order, np.cumsum(tree.sizes)[:-1])
+    assert sorted(tree.order.tolist()) == list(range(1000)) and max(tree.sizes) <= neighbours.LEAF
     q = points[3] + 0.1
-    for leaf, bound in zip(tree.leaves, tree.distances(q), strict=True):
+    for leaf, bound in zip(leaves, tree.distances(q), strict=True):
         assert bound <= ((points[leaf] - q) ** 2).sum(1).min() + 1e-9
 
 
+@pytest.mark.parametrize("outlier", [False, True])
+def test_the_stopping_test_spares_most_vectors(outlier):
+    """Of 50,000 clustered vectors, few are verified, few parts are asked, and nearly all neighbours are found; a very long vector changes nothing."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 64))
+    vectors = centres[rng.integers(0, 400, 50_000)] + 0.25 * rng.normal(size=(50_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    if outlier:
+        vectors[17] *= 10
+    norm2 = (vectors * vectors).sum(1)
+    band = np.ceil(np.log2(norm2) - 0.5).astype(int)
+    bands = {b: ((band == b).sum(), norm2[band == b].max()) for b in np.unique(band).tolist()}
+    router = neighbours.Router(bands, {b: neighbours.lifted(vectors[band == b][::5], r) for b, (_, r) in bands.items()})
+    leaf = np.empty(len(vectors), np.int64)
+    for b in bands:
+        leaf[band == b] = router.leaf_of(b, neighbours.lifted(vectors[band == b], bands[b][1]))
+    rows = [np.flatnonzero(leaf == i) for i in range(len(router.band))]
+    router.counts = np.array([len(x) for x in rows])
+    hits = verified = asked = 0
+    queries = range(0, 50_000, 500)
+    for i in queries:
+        q = vectors[i]
+        p = q @ neighbours.projection(64)[:-1]
+        home, found, kth = router.home(p, 21), [], -np.inf
+        for x in [home, *(y for y in router.within(p, q @ q, kth).tolist() if y != home)]:
+            if x != home and x not in router.within(p, q @ q, kth):
+                continue
+            _, v, s, n = neighbours.search(vectors[rows[x]], q[None], router.r2[x], np.array([kth]), 21)
+            found = sorted([*found, *zip(-s, rows[x][v], strict=True)])[:21]
+            kth, verified, asked = -found[20][0] if len(found) > 20 else -np.inf, verified + n, asked + 1
+        want = np.argsort(-(vectors @ q))[:21]
+        hits += len({j for _, j in found} & set(want.tolist())) / 21
+    assert hits / len(queries) >= 0.9
+    assert verified / len(queries) < 0.1 * 50_000 and asked / len(queries) < 0.7 * len(rows) + 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_recall_on_the_given_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = neighbours.valid(rows).orderBy("vec_id").toPandas()
+    ids, vectors = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), float)
+    got = neighbours.digest(rows).toPandas()
+    hits = n = 0
+    for q, part in got.groupby("query_id"):
+        s = vectors @ vectors[np.searchsorted(ids, q)]
+        s[np.searchsorted(ids, q)] = -np.inf
+        hits += len(set(part["vec_id"]) & set(ids[np.argsort(-s)[:20]].tolist()))
+        n += 20
+    assert n == 20 * (ids % 20 == 0).sum() and hits / n >= 0.9
+
+
 # ---------------------------------------------------------------- segmentation
 
 
