@@ -1,20 +1,21 @@
 """Language-model scores by online logistic context mixing.
 
 A text is coded as its lower-cased words, one space after each, and an end symbol; each
-symbol is five binary decisions. Four predictors give a probability for every decision: the
-counts after the two symbols before and the word's length, after three and four symbols
-before, and after a hash of the word so far. Their logits are added with weights that a gate
-selects (the decision's depth, how often the word so far and the four symbols before have
-been seen), corrected by a hashed slot of the two symbols before that is learned in the text
-itself, squashed, and refined by an adaptive map. All of these learn after every symbol: a text is cut into lanes of ``LANE`` symbols,
-and one step takes the next symbol of all lanes of a group, so each lane learns on its own
-while the arithmetic runs over many. A group starts from the mean of what the lanes of the
-training texts before it have learned. The costs of all decisions add up to the bits of the
+symbol is five binary decisions. Three predictors give a probability for every decision: the
+counts after the two symbols before and the word's length, after the four symbols before, and
+after a hash of the word so far. Their logits and a constant are added with weights that a
+gate selects (the decision's depth, how often the word so far and the four symbols before
+have been seen), and refined by an adaptive correction from a hashed slot of the two symbols
+before. Weights and corrections learn after every symbol: a text is cut into lanes of
+``LANE`` symbols, and one step takes the next symbol of all lanes of a group, so each lane
+learns on its own while the arithmetic runs over many. A group starts from the mean of what
+the lanes of the training texts before it have learned, the first one from some lanes of
+training texts that are run once before. The costs of all decisions add up to the bits of the
 text.
 
 Counts are taken over all training texts. Those of up to four symbols form tables of at
 most ``2 ** 20`` contexts, whose size follows from the alphabet and not from the corpus, so
-they are broadcast (36 MB). Words so far have no such bound: a block of documents sends what it
+they are broadcast (34 MB). Words so far have no such bound: a block of documents sends what it
 has counted to buckets of hashes, and each bucket answers a block with the totals of the
 decisions that the block needs. No task holds a whole table, and what is gathered grows with
 the vocabulary of the corpus. A training text's own counts of words are left out of the
@@ -43,29 +44,26 @@ from strataq.llm.windows import CELL, by_block, cell_table, cells, mixed, word_h
 FOLDS, HELD_OUT = 7, 2
 #: Symbols: letters, space, end, escape, full stop, comma, and the lead byte of accented letters.
 SPACE, END, ESCAPE = 26, 27, 28
-#: Symbols of a lane, and symbols of the lanes that are scored together.
-LANE = 4096
-GROUP = 1 << 19
-#: Lanes of a group at most.
+#: Symbols of a lane, lanes of a group, lanes that are run before the first group, and symbols that are made ready at once.
+LANE = 1 << 12
 LANES = 1 << 10
-#: Words so far are exchanged from this many symbols on; shorter ones are told by the four symbols before.
+FIRST_LANES = 1 << 7
+READY = 1 << 17
+#: Words so far predict from this many symbols on; shorter ones are told by the four symbols before.
 REACH = 4
 #: Logits are kept as bytes in units of ``1 / UNIT``.
 UNIT = 12
 #: Added to counts for their logits.
 PRIOR = 0.05
+FIRST_WEIGHT, RATE, SLOT_RATE = 0.4, 0.001, 0.25
 #: A lane's slots for corrections by the two symbols before.
-BIAS_BITS = 12
-FIRST_WEIGHT, RATE, BIAS_RATE, MAP_RATE = 0.3, 0.001, 0.25, 0.02
-WORD_STATES, SHORT_STATES, MAP_CELLS = 4, 3, 16
+SLOT_BITS = 11
+WORD_STATES, SHORT_STATES = 4, 3
 GATES = 5 * WORD_STATES * SHORT_STATES
-MAPS = 5 * WORD_STATES
 #: Codes of contexts with the word's length begin here.
 LONG = 1 << 25
 #: Text of a block.
 TEXT_BYTES = 4 << 20
-#: Symbols that are counted at once.
-CHUNK = 1 << 20
 
 
 def _codes() -> np.ndarray:
@@ -104,39 +102,49 @@ class Symbols:
     def __init__(self, texts: list[np.ndarray]):
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        pad = np.full(4, END, np.uint8)
-        padded = np.concatenate([x for t in texts for x in (pad, t)]) if texts else np.empty(0, np.uint8)
-        real = np.ones(len(padded), bool)
-        for k in range(4):
-            real[self.first[:-1] + 4 * np.arange(len(texts)) + k] = False
-        self.sym = padded[real]
-        short = np.zeros(len(padded), np.uint32)
-        for k in range(1, 5):
-            short[k:] |= padded[: len(padded) - k].astype(np.uint32) << np.uint32(5 * (k - 1))
-        #: The four symbols before, the nearest in the lowest bits.
-        self.short = short[real]
+        self.sym = np.concatenate(texts) if texts else np.empty(0, np.uint8)
         n = len(self.sym)
-        place = np.arange(n, dtype=np.int64)
-        begins = np.zeros(n, bool)
-        begins[1:] = self.sym[:-1] == SPACE
-        begins[self.first[:-1]] = True
-        self.start = np.maximum.accumulate(np.where(begins, place, 0)) if n else place
+        padded = np.concatenate([np.full(4, END, np.uint8), self.sym])
+        pair = padded[1:].astype(np.uint16)
+        pair |= padded[:-1].astype(np.uint16) << np.uint16(5)
+        #: The four symbols before, the nearest in the lowest bits.
+        self.short = pair[2 : n + 2].astype(np.uint32)
+        self.short |= pair[:n].astype(np.uint32) << np.uint32(10)
+        begin = self.first[:-1]
+        # At a text's beginning, the symbols before are those of an end.
+        for k in range(4):
+            at = begin[self.sizes > k] + k
+            mask = np.uint32((1 << 5 * k) - 1)
+            self.short[at] = self.short[at] & mask | np.uint32(sum(END << 5 * i for i in range(4))) & ~mask
+        place = np.arange(n, dtype=np.int32)
+        start = np.zeros(n, np.int32)
+        at = np.flatnonzero(self.sym[:-1] == SPACE) + 1
+        start[at] = at
+        start[begin] = begin
+        np.maximum.accumulate(start, out=start)
+        #: Symbols of the word so far.
+        self.rank = np.subtract(place, start, out=start)
         #: The two symbols before, and how long the word is so far (15: or longer).
-        self.long = np.minimum(place - self.start, 15).astype(np.uint32) << np.uint32(10) | self.short & np.uint32(1023)
+        self.long = np.minimum(self.rank, 15).astype(np.uint32) << np.uint32(10)
+        self.long |= self.short & np.uint32(1023)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose word so far has ``REACH`` symbols or more, and their codes: a hash of it with the symbol in the five lowest bits."""
-        n, start = len(self.sym), self.start
-        rank = np.arange(n) - start
-        longest = int(rank.max(initial=0)) + 1
-        power = np.full(longest, _BASE, np.uint64)
+        """Places where a word ends or has ``REACH`` symbols so far, and their codes: a hash of the word so far in 58 bits, then the symbol in five."""
+        power = np.full(int(self.rank.max(initial=0)) + 1, _BASE, np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[self.sym] * power[rank], out=total[1:])
-        at = np.flatnonzero(rank >= REACH)
-        h = mixed(total[at] - total[start[at]] + power[rank[at] % longest])
-        return at, (h & ~np.uint64(31)) | self.sym[at]
+        total = np.zeros(len(self.sym) + 1, np.uint64)
+        part = power.take(self.rank)
+        part *= _VALUES.take(self.sym)
+        np.cumsum(part, out=total[1:])
+        del part
+        at = np.flatnonzero((self.rank >= REACH) | (self.sym == SPACE))
+        rank, sym = self.rank[at], self.sym[at]
+        h = mixed(total[at] - total[at - rank] + power.take(rank))
+        h >>= np.uint64(6)
+        h <<= np.uint64(5)
+        h |= sym
+        return at, h
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
@@ -155,16 +163,16 @@ def _logit(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Logits by the two, three and four symbols before, and how often the four have been seen (0: never, 1: up to 8 times, 2: oftener)."""
+    """Logits by two symbols and the word's length and by four symbols, and how often the four have been seen (0: never, 1: up to 8 times, 2: oftener)."""
 
     def __init__(self) -> None:
-        self.two, self.three, self.four = (np.zeros((1 << bits, 32), np.int8) for bits in (14, 15, 20))
+        self.two, self.four = (np.zeros((1 << bits, 32), np.int8) for bits in (14, 20))
         self.seen = np.zeros(1 << 20, np.int8)
 
     def put(self, nearest: int, packed: bytes) -> None:
         """Take the part of all contexts with this nearest symbol."""
         raw = np.frombuffer(zstandard.decompress(packed), np.int8)
-        for table, n in ((self.two, 1 << 9), (self.three, 1 << 10), (self.four, 1 << 15)):
+        for table, n in ((self.two, 1 << 9), (self.four, 1 << 15)):
             table[nearest::32] = raw[: 32 * n].reshape(n, 32)
             raw = raw[32 * n :]
         self.seen[nearest::32] = raw
@@ -176,9 +184,9 @@ def tables_part(codes: np.ndarray, counts: np.ndarray) -> bytes:
     two, four = np.zeros(1 << 14, np.int64), np.zeros(1 << 20, np.int64)
     two[codes[long] - (LONG >> 5)] = counts[long]
     four[codes[~long]] = counts[~long]
-    four = four.reshape(32, 32, 32, 32)
-    total = four.sum(3).reshape(-1)
-    parts = [logits(x.reshape(-1, 32)).tobytes() for x in (two, four.sum(0), four)]
+    two, four = two.reshape(-1, 32), four.reshape(-1, 32)
+    total = four.sum(1)
+    parts = [logits(x).tobytes() for x in (two, four)]
     return zstandard.compress(b"".join([*parts, ((total > 0).astype(np.int8) + (total > 8)).astype(np.int8).tobytes()]), 1)
 
 
@@ -188,14 +196,12 @@ def context_codes(texts: Symbols) -> np.ndarray:
 
 
 class Mixer:
-    """Weights and maps by gate; ``costs`` scores lanes and lets those of training texts teach the next ones."""
+    """Weights by gate and corrections by slot; ``costs`` scores lanes and lets those of training texts teach the next ones."""
 
     def __init__(self, tables: Tables):
         self.tables = tables
-        self.weights = np.full((GATES, 4), FIRST_WEIGHT / UNIT, np.float32)
-        self.bias = np.zeros(1 << BIAS_BITS, np.float32)
-        centre = (np.arange(MAP_CELLS) + 0.5) / 1.5
-        self.map = np.tile((1 / (1 + np.exp(-centre))).astype(np.float32), (MAPS, 1))
+        self.weights = np.tile(np.array([FIRST_WEIGHT] * 3 + [0], np.float32) / UNIT, (GATES, 1))
+        self.slots = np.zeros(1 << SLOT_BITS, np.float32)
 
     def costs(self, texts: Symbols, trains: np.ndarray, word: np.ndarray, state: np.ndarray) -> np.ndarray:
         """Bits of each text; ``word`` (places, 5) has the word predictor's logits towards what comes, ``state`` its gate."""
@@ -206,68 +212,66 @@ class Mixer:
         size = np.minimum(texts.sizes[doc] - start, LANE)
         start += texts.first[doc]
         order = np.argsort(-size, kind="stable")
-        edges = np.flatnonzero(np.diff(np.cumsum(np.maximum(size[order], GROUP // LANES)) // GROUP, prepend=-1))
-        groups = np.split(order, edges[1:]) if len(order) else []
-        # The first group is run once before, so that no lane is scored with the weights of no experience.
-        for lanes in groups[:1] + groups:
-            bits = self._group(texts, start[lanes], size[lanes], trains[doc[lanes]], word, state)
-            if lanes is groups[0]:
-                out[:] = 0
-            np.add.at(out, doc[lanes], bits)
+        learned = order[trains[doc[order]]]
+        if len(learned):
+            some = learned[:: -(-len(learned) // FIRST_LANES)]
+            self._group(texts, start[some], size[some], trains[doc[some]], word, state)
+        for at in range(0, len(order), LANES):
+            lanes = order[at : at + LANES]
+            np.add.at(out, doc[lanes], self._group(texts, start[lanes], size[lanes], trains[doc[lanes]], word, state))
         return out
 
     def _group(self, texts: Symbols, start: np.ndarray, size: np.ndarray, trains: np.ndarray, word: np.ndarray, state: np.ndarray) -> np.ndarray:
-        longest, lanes = int(size[0]), len(size)
-        live = np.searchsorted(-size, -np.arange(longest), "left")
-        begin = np.concatenate([[0], np.cumsum(live)])
-        # Places in the order of steps: the first symbol of all lanes, then the second of those that have one.
-        src, lane = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int32)
-        for i, (a, n) in enumerate(zip(start, size, strict=True)):
-            src[begin[:n] + i] = np.arange(a, a + n)
-            lane[begin[:n] + i] = i
-        sym, short = texts.sym[src], texts.short[src]
-        node, sign = _NODES[sym], _SIGNS[sym]
+        lanes, out, at = len(size), np.zeros(len(size)), 0
+        w = np.tile(self.weights, (lanes, 1)).view(np.complex128).ravel()  # four weights are moved as one number
+        slots = np.tile(self.slots, lanes)
+        while at < size[0]:
+            live = int(np.searchsorted(-size, -at, "left"))
+            steps = min(max(READY // live, 1), int(size[0]) - at)
+            out[:live] += self._steps(texts, start[:live] + at, np.minimum(size[:live] - at, steps), word, state, w, slots)
+            at += steps
+        if trains.any():
+            share = (size * trains / (size * trains).sum()).astype(np.float32)
+            self.weights = (share @ w.view(np.float32).reshape(lanes, -1)).reshape(GATES, 4)
+            self.slots = share @ slots.reshape(lanes, -1)
+        return out
+
+    def _steps(self, texts: Symbols, start: np.ndarray, size: np.ndarray, word: np.ndarray, state: np.ndarray, w: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Some steps of all lanes: the next symbol of each, then the one after it of those that have one."""
+        step = np.arange(size.max())[:, None]
+        here = step < size
+        src = (start + step)[here]
+        lane = np.broadcast_to(np.arange(len(start), dtype=np.int32), here.shape)[here]
+        edges = (5 * np.concatenate([[0], np.cumsum(here.sum(1))])).tolist()
+        sym, short, known = texts.sym.take(src), texts.short.take(src), state.take(src)
+        node, sign = _NODES.take(sym, 0), _SIGNS.take(sym, 0)
         x = np.empty((len(src), 5, 4), np.int8)
-        for k, (table, context) in enumerate(((self.tables.two, texts.long[src]), (self.tables.three, short & np.uint32(32767)), (self.tables.four, short))):
+        for k, (table, context) in enumerate(((self.tables.two, texts.long.take(src)), (self.tables.four, short))):
             np.multiply(table.reshape(-1).take((context.astype(np.int32) << 5)[:, None] | node), sign, out=x[:, :, k])
-        x[:, :, 3] = word[src]
-        known, depth = state[src], np.arange(5, dtype=np.int32)
-        gate = (lane * GATES + (known * SHORT_STATES + self.tables.seen[short]) * 5)[:, None] + depth
-        cell = ((lane * MAPS + known * 5)[:, None] + depth) * MAP_CELLS
-        slot = (((short & np.uint32(1023)) << np.uint32(5))[:, None] + node.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BIAS_BITS)
-        spot = (lane << BIAS_BITS)[:, None] | slot.astype(np.int32)
-        sign = sign.reshape(-1).astype(np.float32)
-        del node, src, lane, short, sym, slot
-        x, gate, cell, spot, begin = x.reshape(-1, 4), gate.reshape(-1), cell.reshape(-1), spot.reshape(-1), 5 * begin
-        w, m = np.tile(self.weights, (lanes, 1)), np.tile(self.map.reshape(-1), lanes)
-        bias = np.tile(self.bias, lanes)
-        chance, one, rate = np.empty(len(gate), np.float32), np.float32(1), np.float32(RATE / UNIT**2 * UNIT)
-        for a, b in zip(begin[:-1], begin[1:], strict=True):
-            inputs, g = x[a:b].astype(np.float32), gate[a:b]
-            weight = w.take(g, 0)
-            at, to = spot[a:b], sign[a:b]
-            more = bias.take(at)
-            dot = np.einsum("np,np->n", weight, inputs) + more * to
-            # Everything is said of what comes next: ``p`` is the probability that the mixture gave it.
-            p = one / (one + np.exp(-dot))
-            right = dot > 0
-            c = np.minimum(np.abs(dot) * np.float32(1.5), MAP_CELLS - 1).astype(np.int32)
-            c += cell[a:b]
-            seen = m.take(c)
-            chance[a:b] = p + np.where(right, seen, one - seen)
+        x[:, :, 2] = word.take(src, 0)
+        np.multiply(sign, UNIT, out=x[:, :, 3])
+        gate = ((lane * GATES + (known * SHORT_STATES + self.tables.seen.take(short)) * 5)[:, None] + np.arange(5)).ravel()
+        slot = (((short & np.uint32(1023)) << np.uint32(5))[:, None] | node.view(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)
+        slot = ((lane.astype(np.int64) << SLOT_BITS)[:, None] | slot).ravel()
+        x, towards = x.reshape(-1, 4), sign.reshape(-1).astype(np.float32)
+        chance, one, rate, more = np.empty(len(gate), np.float32), np.float32(1), np.float32(RATE / UNIT), np.float32(SLOT_RATE)
+        # Everything is said of what comes next: ``chance`` is the probability that the mixture gave it.
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            inputs, g, to, at = x[a:b].astype(np.float32), gate[a:b], towards[a:b], slot[a:b]
+            weight, refined = w.take(g).view(np.float32).reshape(-1, 4), slots.take(at)
+            dot = refined * to
+            dot += np.vecdot(weight, inputs)
+            np.exp(np.negative(dot, out=dot), out=dot)
+            p = np.divide(one, dot + one, out=chance[a:b])
             wrong = one - p
-            weight += (wrong * rate)[:, None] * inputs
-            bias[at] = more + wrong * to * np.float32(BIAS_RATE)
-            w[g] = weight
-            m[c] = seen + (right - seen) * np.float32(MAP_RATE)
-        bits = -np.log2(np.clip(chance.reshape(-1, 5) * np.float32(0.5), 1e-6, 1)).sum(1, dtype=np.float64)
-        of = np.concatenate([np.arange(n) for n in live]) if len(live) else np.empty(0, np.int64)
-        if trains.any():
-            share = size * trains / (size * trains).sum()
-            self.weights = np.einsum("l,lgp->gp", share, w.reshape(lanes, GATES, 4)).astype(np.float32)
-            self.bias = share.astype(np.float32) @ bias.reshape(lanes, -1)
-            self.map = np.einsum("l,lgc->gc", share, m.reshape(lanes, MAPS, MAP_CELLS)).astype(np.float32)
-        return np.bincount(of, bits, minlength=lanes)
+            inputs *= (wrong * rate)[:, None]
+            weight += inputs
+            w[g] = weight.view(np.complex128).ravel()
+            wrong *= more
+            wrong *= to
+            slots[at] = refined + wrong
+        bits = -np.log2(np.maximum(chance, np.float32(1e-6)).reshape(-1, 5).prod(1, dtype=np.float64))
+        return np.bincount(lane, bits, minlength=len(start))
 
 
 def _trains(doc_id: int | None) -> bool:
@@ -314,157 +318,139 @@ def decisions(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array([*levels[1:], *(a - b for a, b in zip(levels[:-1], levels[1:], strict=True))])
 
 
+def counted(texts: Symbols, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of words so far, ascending, and their counts in training texts."""
+    at, codes = texts.words()
+    codes <<= np.uint64(1)
+    codes |= np.repeat(learned, texts.sizes)[at]
+    codes.sort()
+    new = _runs(codes, 1)
+    return codes[new] >> np.uint64(1), np.add.reduceat((codes & np.uint64(1)).astype(np.uint32), new) if len(new) else np.empty(0, np.uint32)
+
+
+def parts(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where the codes of each bucket begin; a bucket has a range of codes."""
+    return np.searchsorted((codes >> np.uint64(31)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def send(block: int, n: int, codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    edges = parts(codes, n)
+    for i in np.flatnonzero(np.diff(edges)):
+        yield int(i), block, _pack(codes[edges[i] : edges[i + 1]], counts[edges[i] : edges[i + 1]])
+
+
+def _code_totals(table: pa.Table) -> pa.Table:
+    """To each block, the totals of the decisions on the way to its codes and the counts of whole words; to block -1, the bucket's words and distinct words."""
+    found = [_unpack(d.as_py()) for d in table["data"]]
+    codes = np.concatenate([p[0] for p in found])
+    counts = np.concatenate([p[1] for p in found]).astype(np.int64)
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = _runs(codes, 0)
+    at = np.empty(len(codes), np.int32)
+    at[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(codes))))
+    every, total = codes[new], np.add.reduceat(counts[order], new)
+    levels, ends = small(decisions(every, total)), (every & np.uint64(31)) == SPACE
+    bucket, edges = table["bucket"][0].as_py(), np.cumsum([0, *(len(p[0]) for p in found)])
+    out = [(bucket, -1, np.array([total[ends].sum(), (total[ends] > 0).sum()], np.int64).tobytes())]
+    for i, block in enumerate(table["block"].to_pylist()):
+        mine = at[edges[i] : edges[i + 1]]
+        whole = total[mine[ends[mine]]]
+        out.append((bucket, block, zstandard.compress(np.ascontiguousarray(levels[:, mine]).tobytes() + _planes(whole.astype(np.uint64)), 1)))
+    return cell_table(out)
+
+
 class Words:
-    """The words so far in some texts: distinct codes with their counts in training texts, and each place's code."""
+    """The words so far in some texts: each place's code among the distinct ones, and what the buckets know of them."""
 
-    def __init__(self, texts: Symbols, trains: np.ndarray):
+    def __init__(self, texts: Symbols, learned: np.ndarray, n: int, answers: dict[int, bytes]):
+        self.places = len(texts.sym)
         self.at, codes = texts.words()
-        doc = np.repeat(np.arange(len(texts.sizes), dtype=np.int32), texts.sizes)[self.at]
-        self.learned, self.doc = trains[doc], doc
+        self.doc = np.repeat(np.arange(len(texts.sizes), dtype=np.int32), texts.sizes)[self.at]
+        self.learned, self.docs = learned, len(learned)
+        self.predicts, self.ends = texts.rank[self.at] >= REACH, texts.sym[self.at] == SPACE
         order = np.argsort(codes)
         codes = codes[order]
         new = _runs(codes, 0)
         self.codes = codes[new]
-        self.counts = np.add.reduceat(self.learned[order].astype(np.int64), new) if len(new) else np.empty(0, np.int64)
         self.code = np.empty(len(order), np.int32)
         self.code[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(codes))))
-
-    def parts(self, n: int) -> np.ndarray:
-        """Where the codes of each bucket begin; a bucket has a range of codes."""
-        return np.searchsorted((self.codes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
-
-    def send(self, block: int, n: int) -> Iterator[tuple[int, int, bytes]]:
-        edges = self.parts(n)
+        del order, codes
+        edges, whole = parts(self.codes, n), (self.codes & np.uint64(31)) == SPACE
+        self.total, self.count = np.zeros((10, len(self.codes)), np.uint8), np.zeros(len(self.codes), np.int64)
         for i in np.flatnonzero(np.diff(edges)):
             part = slice(edges[i], edges[i + 1])
-            yield n + int(i), block, _pack(self.codes[part], self.counts[part])
+            raw, size = np.frombuffer(zstandard.decompress(answers[int(i)]), np.uint8), edges[i + 1] - edges[i]
+            self.total[:, part] = raw[: 10 * size].reshape(10, size)
+            self.count[part][whole[part]] = np.ascontiguousarray(raw[10 * size :].reshape(8, -1).T).view(np.int64).ravel()
+
+    def base(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: its words, those that training texts hold, and the sum of log10(count + 1)."""
+        doc, count = self.doc[self.ends], self.count[self.code[self.ends]]
+        return np.bincount(doc, minlength=self.docs), np.bincount(doc, count > 0, minlength=self.docs).astype(np.int64), np.bincount(doc, np.log10(count + 1.0), minlength=self.docs)
 
-    def predict(self, places: int, n: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The word predictor's logits by place and decision, and its gate: short word, never seen, up to three times, oftener."""
-        edges = self.parts(n)
-        got = [np.frombuffer(zstandard.decompress(answers[n + int(i)]), np.uint8).reshape(10, -1) for i in np.flatnonzero(np.diff(edges))]
-        logit, state = np.zeros((places, 5), np.int8), np.zeros(places, np.int32)
-        if not got:
-            return logit, state
-        total = np.concatenate(got, axis=1)
-        own, mine = self._own(), self.learned
-        first = None
+        logit, state = np.zeros((self.places, 5), np.int8), np.zeros(self.places, np.int32)
+        at, code, doc = self.at[self.predicts], self.code[self.predicts], self.doc[self.predicts]
+        own, mine, found = self._own(code, doc), self.learned[doc], []
         for k in range(5):
-            same, other = (_LARGE[total[j][self.code]] for j in (k, k + 5))
-            same[mine] -= (own[k + 1])[mine]
-            other[mine] -= (own[k] - own[k + 1])[mine]
-            same, other = np.maximum(same, 0), np.maximum(other, 0)
-            logit[self.at, k] = _logit(same, other)
-            if first is None:
-                first = same + other
-        state[self.at] = 1 + (first > 0).astype(np.int32) + (first > 3)
+            sides = []
+            for total, less in ((self.total[k], own[k + 1]), (self.total[k + 5], own[k] - own[k + 1])):
+                sides.append(_without(total.take(code), less * mine))
+            np.clip(np.rint(_LOGS.take(sides[0]) - _LOGS.take(sides[1])), -127, 127, out=(x := np.empty(len(at), np.float32)))
+            found.append(x.astype(np.int8))
+            if not k:
+                first = sides[0].astype(np.int32) + sides[1]
+        logit[at] = np.array(found).T
+        state[at] = 1 + (first > 0).astype(np.int32) + (first > 3)
         return logit, state
 
-    def _own(self) -> list[np.ndarray]:
+    def _own(self, code: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
         """How often the place's own text has its context, with no, one, ... five decisions alike."""
-        key = self.doc.astype(np.int64) << 32 | self.code
-        order = np.argsort(key)
-        doc, code = self.doc[order], self.codes[self.code[order]]
+        wide, far = max(1, len(self.codes)).bit_length(), max(1, len(code)).bit_length()
+        key = doc.astype(np.int64) << wide | code
+        if wide + far + self.docs.bit_length() < 64:  # sorting with the place in the low bits is faster than sorting places
+            key <<= far
+            key |= np.arange(len(key))
+            key.sort()
+            order = key & ((1 << far) - 1)
+            key >>= far
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        doc, code = key >> wide, self.codes.take(key & ((1 << wide) - 1))
+        anew = np.ones(len(key), bool)
+        np.not_equal(doc[1:], doc[:-1], out=anew[1:])
         out = []
         for shift in (5, 4, 3, 2, 1, 0):
             upper = code >> np.uint64(shift)
-            new = np.flatnonzero(np.concatenate([[True], (upper[1:] != upper[:-1]) | (doc[1:] != doc[:-1])]))
-            size = np.diff(np.append(new, len(code)))
+            new = anew.copy()
+            new[1:] |= upper[1:] != upper[:-1]
+            new = np.flatnonzero(new)
+            size = np.diff(np.append(new, len(code))).astype(np.int32)
             count = np.empty(len(code), np.int32)
             count[order] = np.repeat(size, size)
             out.append(count)
         return out
 
 
-def _code_totals(table: pa.Table) -> pa.Table:
-    """To each block, the totals of the decisions on the way to its codes."""
-    parts = [_unpack(d.as_py()) for d in table["data"]]
-    codes = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    order = np.argsort(codes)
-    codes = codes[order]
-    new = _runs(codes, 0)
-    many = np.diff(np.append(new, len(codes)))
-    at = np.empty(len(codes), np.int64)
-    at[order] = np.repeat(np.arange(len(new)), many)
-    levels = small(decisions(codes[new], np.add.reduceat(counts[order], new)))
-    bucket, edges = table["bucket"][0].as_py(), np.cumsum([0, *(len(p[0]) for p in parts)])
-    return cell_table((bucket, block, zstandard.compress(np.ascontiguousarray(levels[:, at[edges[i] : edges[i + 1]]]).tobytes(), 1)) for i, block in enumerate(table["block"].to_pylist()))
-
-
-class _Block:
-    """The words of a block's documents: distinct ones, and where they occur."""
-
-    def __init__(self, table: pa.Table):
-        ids = table["doc_id"].to_pylist()
-        each = [word_hashes(t.as_py(), lower=True) for t in table["text"]]
-        self.trains = np.array([_trains(i) for i in ids], bool)
-        self.sizes = np.array([len(x) for x in each], np.int64)
-        words = np.concatenate(each) if each else np.empty(0, np.uint64)
-        self.of = np.repeat(np.arange(len(ids)), self.sizes)
-        self.distinct, self.word = np.unique(words, return_inverse=True)
-        self.counts = np.bincount(self.word[self.trains[self.of]], minlength=len(self.distinct)).astype(np.uint64)
-
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        bucket = ((self.distinct >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
-        return bucket, np.argsort(bucket, kind="stable")
-
-    def send(self, block: int, n: int) -> Iterator[tuple[int, int, bytes]]:
-        bucket, order = self.buckets(n)
-        yield from cells(block, bucket, n, lambda s: self.distinct[order[s]].tobytes() + self.counts[order[s]].astype(np.uint32).tobytes(), order)
-
-    def totals(self, n: int, answers: dict[int, bytes]) -> np.ndarray:
-        """The training count of each distinct word."""
-        bucket, order = self.buckets(n)
-        out = np.zeros(len(self.distinct), np.int64)
-        edges = np.searchsorted(bucket[order], np.arange(n + 1))
-        for i in np.flatnonzero(np.diff(edges)):
-            out[order[edges[i] : edges[i + 1]]] = np.frombuffer(answers[int(i)], np.int64)
-        return out
+_LOGS = (np.log(_LARGE + PRIOR) * UNIT).astype(np.float32)
 
 
-def _word_totals(table: pa.Table) -> pa.Table:
-    """To each block, its words' counts in all training texts; to block -1, the bucket's tokens and distinct words."""
-    parts = []
-    for data in table["data"]:
-        raw = data.as_py()
-        n = len(raw) // 12
-        parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)))
-    words, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-    _, at = np.unique(words, return_inverse=True)
-    total = np.bincount(at, counts, minlength=int(at.max(initial=-1)) + 1).astype(np.int64)
-    edges = np.cumsum([0, *(len(p[0]) for p in parts)])
-    bucket = table["bucket"][0].as_py()
-    out = [(bucket, block, total[at[edges[i] : edges[i + 1]]].tobytes()) for i, block in enumerate(table["block"].to_pylist())]
-    return cell_table([*out, (bucket, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())])
-
-
-def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by four symbols before and the symbol, summed over a partition."""
-    total: list[tuple[np.ndarray, np.ndarray]] = []
+def _without(total: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Counts as bytes with something taken off."""
+    out = np.maximum(np.minimum(total, 127).astype(np.int32) - less, 0).astype(np.uint8)
+    if len(large := np.flatnonzero(total > 127)):
+        out[large] = small(np.maximum(_LARGE[total[large]] - less[large], 0))
+    return out
+
+
+def _short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, size = [], 0
-        rows = batch["text"]
-        for i in range(len(rows)):
-            texts.append(symbols(rows[i].as_py()))
-            size += len(texts[-1])
-            if size >= CHUNK or i == len(rows) - 1:
-                some = Symbols(texts)
-                total.append(np.unique(context_codes(some), return_counts=True))
-                texts, size = [], 0
-                if len(total) == 8:
-                    total = [_added(total)]
-    code, count = _added(total)
-    for at in range(0, len(code), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(code[at : at + (1 << 16)].astype(np.int32)), pa.array(count[at : at + (1 << 16)].astype(np.int64))], ["code", "n"])
-
-
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
-    codes = np.concatenate([p[0] for p in parts])
-    code, at = np.unique(codes, return_inverse=True)
-    return code, np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(code)).astype(np.int64)
+        for data in batch["data"]:
+            codes, counts = _unpack(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(counts.astype(np.int64))], ["code", "n"])
 
 
 def _short_tables(key, table):
@@ -473,9 +459,9 @@ def _short_tables(key, table):
     return pa.table({"nearest": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([packed], pa.binary())})
 
 
-def short_tables(texts: DataFrame) -> Tables:
-    """Tables over all of ``texts``; they are of one size for every corpus (36 MB), 32 parts of which are collected."""
-    counts = texts.select("text").mapInArrow(_short_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def short_tables(sent: DataFrame) -> Tables:
+    """Tables from what all blocks have counted; they are of one size for every corpus (34 MB), 32 parts of which are collected."""
+    counts = sent.select("data").mapInArrow(_short_rows, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     parts = counts.withColumn("nearest", F.shiftright("code", 5).bitwiseAND(31)).groupBy("nearest").applyInArrow(_short_tables, "nearest int, data binary")
     out = Tables()
     for row in parts.collect():
@@ -494,24 +480,26 @@ def score(docs: DataFrame) -> DataFrame:
     ``base_score``, ``score``, ``n_bytes`` and ``bits_per_byte``.
     """
     blocks, n = by_block(docs, "doc_id", "text", block_bytes=TEXT_BYTES)
-    trains = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))
-    ends = docs.filter(trains).count()
-    tables = docs.sparkSession.sparkContext.broadcast(short_tables(docs.filter(trains)))
+    ends = docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))).count()
 
-    def prepared(table: pa.Table) -> tuple[Symbols, np.ndarray, Words]:
+    def prepared(table: pa.Table) -> tuple[Symbols, np.ndarray]:
         learned = np.array([_trains(i) for i in table["doc_id"].to_pylist()], bool)
-        texts = Symbols([symbols(t.as_py()) for t in table["text"]])
-        return texts, learned, Words(texts, learned)
+        return Symbols([symbols(t.as_py()) for t in table["text"]]), learned
 
     def first(key, table):
+        texts, learned = prepared(table)
+        short = context_codes(texts)[np.tile(np.repeat(learned, texts.sizes), 2)]
+        short.sort()
+        new = _runs(short, 0)
+        packed = _pack(short[new].astype(np.uint64), np.diff(np.append(new, len(short))))
+        del short
         block = key[0].as_py()
-        return cell_table([*_Block(table).send(block, n), *prepared(table)[2].send(block, n)])
-
-    def answer(key, table):
-        return _code_totals(table) if key[0].as_py() >= n else _word_totals(table)
+        return cell_table([(-1, block, packed), *send(block, n, *counted(texts, learned))])
 
-    # Buckets from 0 are of whole words, those from n of words so far.
-    answers = stored(blocks.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(answer, CELL), "totals")
+    # Bucket -1 has the counts by a few symbols; the others have ranges of words so far.
+    sent = stored(blocks.groupBy("block").applyInArrow(first, CELL), "sent")
+    tables = docs.sparkSession.sparkContext.broadcast(short_tables(sent.filter("bucket < 0")))
+    answers = stored(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_code_totals, CELL), "totals")
     # One small row for each bucket, read one partition at a time.
     sums = np.zeros(2, np.int64)
     for row in answers.filter("block = -1").select("data").toLocalIterator():
@@ -522,19 +510,17 @@ def score(docs: DataFrame) -> DataFrame:
         if table.num_rows > 1:
             # Groups learn from each other in this order, which does not depend on how rows arrive.
             table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        block, replies = _Block(table), _answers(found)
-        c = block.totals(n, replies)
-        ids, rows = table["doc_id"].to_pylist(), len(block.sizes)
-        known = np.bincount(block.of, (c > 0)[block.word], minlength=rows).astype(np.int64) + (ends > 0)
-        base = np.bincount(block.of, np.log10(c + 1.0)[block.word], minlength=rows) + math.log10(ends + 1)
-        base -= (block.sizes + 1) * math.log10(tokens + distinct + 1)
-        n_tokens = block.sizes + 1
-        del block
-        texts, learned, words = prepared(table)
-        costs = Mixer(tables.value).costs(texts, learned, *words.predict(len(texts.sym), n, replies))
+        rows = table.num_rows
+        texts, learned = prepared(table)
+        words = Words(texts, learned, n, _answers(found))
+        n_words, known, base = words.base()
+        base += math.log10(ends + 1) - (n_words + 1) * math.log10(tokens + distinct + 1)
+        logit, state = words.predict()
+        del words
+        costs = Mixer(tables.value).costs(texts, learned, logit, state)
         size = np.array([len((t.as_py() or "").encode()) for t in table["text"]], np.int64)
-        held = [i is not None and not t for i, t in zip(ids, learned.tolist(), strict=True)]
-        return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
+        held = [i is not None and not t for i, t in zip(table["doc_id"].to_pylist(), learned.tolist(), strict=True)]
+        return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held, pa.bool_()), "n_tokens": n_words + 1, "n_known": known + (ends > 0), "train_tokens": np.full(rows, tokens), "base_score": base, "score": -costs * math.log10(2), "n_bytes": size, "bits_per_byte": costs / np.maximum(size, 1)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return blocks.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(last, schema)
