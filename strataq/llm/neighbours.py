@@ -37,7 +37,7 @@ from strataq.llm.common import stored
 
 K = 20
 DIMENSIONS = 16
-CONFIDENCE = 0.92
+CONFIDENCE = 0.95
 LEAF = 64
 #: Vectors in a part, and queries that one task asks it.
 PART_VECTORS = 8_192
@@ -69,7 +69,9 @@ def quantile(confidence: float = CONFIDENCE, dimensions: int = DIMENSIONS) -> fl
 
 
 def projection(dimension: int) -> np.ndarray:
-    return np.random.default_rng(SEED).normal(size=(dimension + 1, DIMENSIONS))
+    """Gaussian weights; each coordinate's are scaled to their expected length, so that one which all differences share (the further one) is not kept too long or too short for all."""
+    a = np.random.default_rng(SEED).normal(size=(dimension + 1, DIMENSIONS))
+    return a * np.sqrt(DIMENSIONS / (a * a).sum(1))[:, None]
 
 
 def lifted(vectors: np.ndarray, radius2: np.ndarray | float) -> np.ndarray:
@@ -267,11 +269,13 @@ def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     for r in placed.groupBy("leaf").count().collect():  # at most ``TOP_LEAVES`` and one for each band
         router.counts[r["leaf"]] = r["count"]
 
+    parts = router.parts()
+
     def asks(bounded: bool):
         """For each query the parts to ask: of its nearest leaf, or of all others within the radius of what it has found."""
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, parts = projection(d)[:-1], router.parts()
+            a = projection(d)[:-1]
             for batch in batches:
                 v, at, leaf, part = _matrix(batch["embedding"], d), [], [], []
                 for i, (q, p, kth) in enumerate(zip(v, v @ a, batch["kth"].to_pylist(), strict=True)):
@@ -310,8 +314,8 @@ def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
         # A part that very many queries ask is given to several tasks.
         shares = todo.groupBy("leaf", "part").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("shares"))
         dealt = todo.join(shares, ["leaf", "part"]).withColumn("share", F.pmod("h1", F.col("shares")).cast("int"))
-        parts = F.element_at(F.lit(router.parts().tolist()), (F.col("leaf") + 1).cast("int"))
-        data = placed.withColumn("part", F.pmod("h1", parts).cast("long")).join(shares, ["leaf", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        many = F.element_at(F.lit(parts.tolist()), (F.col("leaf") + 1).cast("int"))
+        data = placed.withColumn("part", F.pmod("h1", many).cast("long")).join(shares, ["leaf", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         key = ["leaf", "part", "share"]
         return data.select(*key, "h1", "h2", "embedding", "ids").groupBy(*key).cogroup(dealt.select(*key, "h1", "h2", "embedding", "kth").groupBy(*key)).applyInArrow(task, "h1 long, h2 long, vec_id long, score double, same boolean")
 
