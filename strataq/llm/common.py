@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -53,6 +54,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Remove the files of a table that ``stored`` has written and that nothing reads any more."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/"
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(conf).delete(path, True)
+
+
+def collected(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are over: it does so when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import stored
+from strataq.llm.common import collected, removed, stored
 from strataq.llm.windows import CELL, by_block, cell_table, cells, mixed, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
@@ -46,7 +46,7 @@ FOLDS, HELD_OUT = 7, 2
 SPACE, END, ESCAPE = 26, 27, 28
 #: Symbols of a lane, lanes of a group, lanes that are run before the first group, and symbols that are made ready at once.
 LANE = 1 << 12
-LANES = 1 << 10
+LANES = 1 << 9
 FIRST_LANES = 1 << 7
 READY = 1 << 17
 #: Words so far predict from this many symbols on; shorter ones are told by the four symbols before.
@@ -57,7 +57,7 @@ UNIT = 12
 PRIOR = 0.05
 FIRST_WEIGHT, RATE, SLOT_RATE = 0.4, 0.001, 0.25
 #: A lane's slots for corrections by the two symbols before.
-SLOT_BITS = 11
+SLOT_BITS = 10
 WORD_STATES, SHORT_STATES = 4, 3
 GATES = 5 * WORD_STATES * SHORT_STATES
 #: Codes of contexts with the word's length begin here.
@@ -78,6 +78,9 @@ _VALUES = mixed(np.arange(77, 109, dtype=np.uint64))
 _MOVES = (np.arange(32)[:, None] >> (4 - np.arange(5))) & 1
 _SIGNS = (2 * _MOVES - 1).astype(np.int8)
 _NODES = ((1 << np.arange(5)) | (np.arange(32)[:, None] >> (5 - np.arange(5)))).astype(np.int32)
+_CONSTANT, _TOWARDS = _SIGNS * np.int8(UNIT), _SIGNS.astype(np.float32)
+#: The slots of the decisions of a symbol after two others.
+_SLOTS = ((np.arange(1 << 10, dtype=np.uint32)[:, None, None] << np.uint32(5) | _NODES.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int64).reshape(-1, 5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,36 +166,61 @@ def _logit(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Logits by two symbols and the word's length and by four symbols, and how often the four have been seen (0: never, 1: up to 8 times, 2: oftener)."""
+    """Logits by two symbols and the word's length and by four symbols, and how often the four have been seen (0: never, 1: up to 8 times, 2: oftener).
+
+    Contexts of four symbols that have been seen have a row each, the others share row 0.
+    ``paths`` has a number for each context and symbol, the bytes of which are the five logits
+    towards that symbol.
+    """
 
     def __init__(self) -> None:
-        self.two, self.four = (np.zeros((1 << bits, 32), np.int8) for bits in (14, 20))
-        self.seen = np.zeros(1 << 20, np.int8)
+        self.two, self.four = np.zeros((1 << 14, 32), np.int8), np.zeros((1, 32), np.int8)
+        self.seen, self.row = np.zeros(1 << 20, np.int8), np.zeros(1 << 20, np.int32)
+        self.paths: tuple[np.ndarray, np.ndarray] | None = None
 
     def put(self, nearest: int, packed: bytes) -> None:
         """Take the part of all contexts with this nearest symbol."""
         raw = np.frombuffer(zstandard.decompress(packed), np.int8)
-        for table, n in ((self.two, 1 << 9), (self.four, 1 << 15)):
-            table[nearest::32] = raw[: 32 * n].reshape(n, 32)
-            raw = raw[32 * n :]
-        self.seen[nearest::32] = raw
+        self.two[nearest::32] = raw[: 1 << 14].reshape(-1, 32)
+        seen = raw[1 << 14 : (1 << 14) + (1 << 15)]
+        self.seen[nearest::32] = seen
+        self.row[nearest::32][seen > 0] = len(self.four) + np.arange(np.count_nonzero(seen))
+        self.four = np.concatenate([self.four, raw[(1 << 14) + (1 << 15) :].reshape(-1, 32)])
+
+    def made(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.paths is None:
+            self.paths = _paths(self.two), _paths(self.four)
+        return self.paths
+
+
+def _paths(table: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(table), 32, 8), np.int8)
+    np.multiply(table[:, _NODES], _SIGNS, out=out[:, :, :5])
+    return out.view(np.uint64).ravel()
 
 
 def tables_part(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    """The tables of one nearest symbol, from counts by the codes of ``context_codes`` without that symbol."""
+    """The tables of one nearest symbol, from counts by the codes of ``short_counts`` without that symbol."""
     long = codes >= LONG >> 5
     two, four = np.zeros(1 << 14, np.int64), np.zeros(1 << 20, np.int64)
     two[codes[long] - (LONG >> 5)] = counts[long]
     four[codes[~long]] = counts[~long]
     two, four = two.reshape(-1, 32), four.reshape(-1, 32)
     total = four.sum(1)
-    parts = [logits(x).tobytes() for x in (two, four)]
-    return zstandard.compress(b"".join([*parts, ((total > 0).astype(np.int8) + (total > 8)).astype(np.int8).tobytes()]), 1)
+    seen = (total > 0).astype(np.int8) + (total > 8).astype(np.int8)
+    return zstandard.compress(b"".join([logits(two).tobytes(), seen.tobytes(), logits(four[total > 0]).tobytes()]), 1)
 
 
-def context_codes(texts: Symbols) -> np.ndarray:
-    """Two codes for each place: four symbols before and the symbol; and from ``LONG`` on, length of the word, two symbols before and the symbol."""
-    return np.concatenate([texts.short << np.uint32(5) | texts.sym, np.uint32(LONG) | texts.long << np.uint32(5) | texts.sym])
+def short_counts(texts: Symbols, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over training texts by two kinds of codes: four symbols before and the symbol; and from ``LONG`` on, the word's length, two symbols before and the symbol."""
+    here = slice(None) if learned.all() else np.repeat(learned, texts.sizes)
+    sym = texts.sym[here]
+    four = texts.short[here] << np.uint32(5) | sym
+    four.sort()
+    new = _runs(four, 0)
+    two = np.bincount(texts.long[here].astype(np.int32) << 5 | sym, minlength=1)
+    codes = np.flatnonzero(two)
+    return np.concatenate([four[new], codes + LONG]).astype(np.uint64), np.concatenate([np.diff(np.append(new, len(four))), two[codes]])
 
 
 class Mixer:
@@ -204,7 +232,7 @@ class Mixer:
         self.slots = np.zeros(1 << SLOT_BITS, np.float32)
 
     def costs(self, texts: Symbols, trains: np.ndarray, word: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Bits of each text; ``word`` (places, 5) has the word predictor's logits towards what comes, ``state`` its gate."""
+        """Bits of each text; ``word`` has the word predictor's logits towards what comes, as in ``Tables.paths``, ``state`` its gate."""
         out = np.zeros(len(texts.sizes))
         many = -(-texts.sizes // LANE)
         doc = np.repeat(np.arange(len(many)), many)
@@ -244,16 +272,16 @@ class Mixer:
         lane = np.broadcast_to(np.arange(len(start), dtype=np.int32), here.shape)[here]
         edges = (5 * np.concatenate([[0], np.cumsum(here.sum(1))])).tolist()
         sym, short, known = texts.sym.take(src), texts.short.take(src), state.take(src)
-        node, sign = _NODES.take(sym, 0), _SIGNS.take(sym, 0)
+        two, four = self.tables.made()
         x = np.empty((len(src), 5, 4), np.int8)
-        for k, (table, context) in enumerate(((self.tables.two, texts.long.take(src)), (self.tables.four, short))):
-            np.multiply(table.reshape(-1).take((context.astype(np.int32) << 5)[:, None] | node), sign, out=x[:, :, k])
-        x[:, :, 2] = word.take(src, 0)
-        np.multiply(sign, UNIT, out=x[:, :, 3])
+        row = self.tables.row.take(short)
+        for k, path in enumerate((two.take(texts.long.take(src) << np.uint32(5) | sym), four.take(row << np.int32(5) | sym), word.take(src))):
+            x[:, :, k] = path.view(np.int8).reshape(-1, 8)[:, :5]
+        x[:, :, 3] = _CONSTANT.take(sym, 0)
         gate = ((lane * GATES + (known * SHORT_STATES + self.tables.seen.take(short)) * 5)[:, None] + np.arange(5)).ravel()
-        slot = (((short & np.uint32(1023)) << np.uint32(5))[:, None] | node.view(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)
-        slot = ((lane.astype(np.int64) << SLOT_BITS)[:, None] | slot).ravel()
-        x, towards = x.reshape(-1, 4), sign.reshape(-1).astype(np.float32)
+        slot = _SLOTS.take((short & np.uint32(1023)) << np.uint32(5) | sym, 0)
+        slot += (lane.astype(np.int64) << SLOT_BITS)[:, None]
+        slot, x, towards = slot.ravel(), x.reshape(-1, 4), _TOWARDS.take(sym, 0).ravel()
         chance, one, rate, more = np.empty(len(gate), np.float32), np.float32(1), np.float32(RATE / UNIT), np.float32(SLOT_RATE)
         # Everything is said of what comes next: ``chance`` is the probability that the mixture gave it.
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -270,7 +298,11 @@ class Mixer:
             wrong *= more
             wrong *= to
             slots[at] = refined + wrong
-        bits = -np.log2(np.maximum(chance, np.float32(1e-6)).reshape(-1, 5).prod(1, dtype=np.float64))
+        np.maximum(chance, np.float32(1e-6), out=chance)
+        product = chance[::5] * chance[1::5]
+        for k in (2, 3, 4):
+            product *= chance[k::5]
+        bits = -np.log2(product)
         return np.bincount(lane, bits, minlength=len(start))
 
 
@@ -305,7 +337,7 @@ _LARGE = np.concatenate([np.arange(128), 128 * 2.0 ** (np.arange(128) / 4)]).ast
 
 def _runs(codes: np.ndarray, shift: int) -> np.ndarray:
     """Where ascending codes without their lowest bits begin anew."""
-    upper = codes >> np.uint64(shift)
+    upper = codes >> codes.dtype.type(shift) if shift else codes
     return np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]])) if len(codes) else np.empty(0, np.int64)
 
 
@@ -390,21 +422,22 @@ class Words:
         return np.bincount(doc, minlength=self.docs), np.bincount(doc, count > 0, minlength=self.docs).astype(np.int64), np.bincount(doc, np.log10(count + 1.0), minlength=self.docs)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The word predictor's logits by place and decision, and its gate: short word, never seen, up to three times, oftener."""
-        logit, state = np.zeros((self.places, 5), np.int8), np.zeros(self.places, np.int32)
+        """The word predictor's logits by place as in ``Tables.paths``, and its gate: short word, never seen, up to three times, oftener."""
+        logit, state = np.zeros((self.places, 8), np.int8), np.zeros(self.places, np.int32)
         at, code, doc = self.at[self.predicts], self.code[self.predicts], self.doc[self.predicts]
-        own, mine, found = self._own(code, doc), self.learned[doc], []
+        mine = self.learned[doc]
+        own = [x * mine for x in self._own(code, doc)]
+        found = np.zeros((len(at), 8), np.int8)
         for k in range(5):
-            sides = []
-            for total, less in ((self.total[k], own[k + 1]), (self.total[k + 5], own[k] - own[k + 1])):
-                sides.append(_without(total.take(code), less * mine))
-            np.clip(np.rint(_LOGS.take(sides[0]) - _LOGS.take(sides[1])), -127, 127, out=(x := np.empty(len(at), np.float32)))
-            found.append(x.astype(np.int8))
+            same, other = _without(self.total[k].take(code), own[k + 1]), _without(self.total[k + 5].take(code), own[k] - own[k + 1])
+            x = _LOGS.take(same)
+            x -= _LOGS.take(other)
+            found[:, k] = np.clip(np.rint(x, out=x), -127, 127, out=x)
             if not k:
-                first = sides[0].astype(np.int32) + sides[1]
-        logit[at] = np.array(found).T
+                first = same.astype(np.int32) + other
+        logit.view(np.uint64).ravel()[at] = found.view(np.uint64).ravel()
         state[at] = 1 + (first > 0).astype(np.int32) + (first > 3)
-        return logit, state
+        return logit.view(np.uint64).ravel(), state
 
     def _own(self, code: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
         """How often the place's own text has its context, with no, one, ... five decisions alike."""
@@ -422,16 +455,19 @@ class Words:
         doc, code = key >> wide, self.codes.take(key & ((1 << wide) - 1))
         anew = np.ones(len(key), bool)
         np.not_equal(doc[1:], doc[:-1], out=anew[1:])
-        out = []
-        for shift in (5, 4, 3, 2, 1, 0):
+        out = [np.ones(len(code), np.int32) for _ in range(6)]
+        some = np.arange(len(code))
+        for k, shift in enumerate((5, 4, 3, 2, 1, 0)):
             upper = code >> np.uint64(shift)
-            new = anew.copy()
-            new[1:] |= upper[1:] != upper[:-1]
-            new = np.flatnonzero(new)
+            begins = anew.copy()
+            begins[1:] |= upper[1:] != upper[:-1]
+            new = np.flatnonzero(begins)
             size = np.diff(np.append(new, len(code))).astype(np.int32)
-            count = np.empty(len(code), np.int32)
-            count[order] = np.repeat(size, size)
-            out.append(count)
+            size = np.repeat(size, size)
+            out[k][order[some]] = size
+            if not k:  # what the text has once is alone at all further decisions
+                twice = size > 1
+                some, code, anew = some[twice], code[twice], begins[twice]
         return out
 
 
@@ -440,7 +476,7 @@ _LOGS = (np.log(_LARGE + PRIOR) * UNIT).astype(np.float32)
 
 def _without(total: np.ndarray, less: np.ndarray) -> np.ndarray:
     """Counts as bytes with something taken off."""
-    out = np.maximum(np.minimum(total, 127).astype(np.int32) - less, 0).astype(np.uint8)
+    out = total - np.minimum(total, np.minimum(less, 255).astype(np.uint8))
     if len(large := np.flatnonzero(total > 127)):
         out[large] = small(np.maximum(_LARGE[total[large]] - less[large], 0))
     return out
@@ -488,22 +524,20 @@ def score(docs: DataFrame) -> DataFrame:
 
     def first(key, table):
         texts, learned = prepared(table)
-        short = context_codes(texts)[np.tile(np.repeat(learned, texts.sizes), 2)]
-        short.sort()
-        new = _runs(short, 0)
-        packed = _pack(short[new].astype(np.uint64), np.diff(np.append(new, len(short))))
-        del short
         block = key[0].as_py()
-        return cell_table([(-1, block, packed), *send(block, n, *counted(texts, learned))])
+        return cell_table([(-1, block, _pack(*short_counts(texts, learned))), *send(block, n, *counted(texts, learned))])
 
     # Bucket -1 has the counts by a few symbols; the others have ranges of words so far.
     sent = stored(blocks.groupBy("block").applyInArrow(first, CELL), "sent")
+    collected(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(short_tables(sent.filter("bucket < 0")))
     answers = stored(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_code_totals, CELL), "totals")
+    removed(sent)
     # One small row for each bucket, read one partition at a time.
     sums = np.zeros(2, np.int64)
     for row in answers.filter("block = -1").select("data").toLocalIterator():
         sums += np.frombuffer(row["data"], np.int64)
+    collected(docs.sparkSession)
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
     def last(key, table, found):

@@ -293,8 +293,8 @@ def test_mixing_is_a_distribution():
     """Whatever the tables hold, the chances of all next symbols add up to one."""
     rng = np.random.default_rng(3)
     tables = mixing.Tables()
-    for x in (tables.two, tables.four):
-        x[:] = rng.integers(-60, 60, x.shape)
+    tables.two[:] = rng.integers(-60, 60, tables.two.shape)
+    tables.four, tables.row = rng.integers(-60, 60, (64, 32)).astype(np.int8), rng.integers(0, 64, 1 << 20).astype(np.int32)
     tables.seen[:] = rng.integers(0, 3, len(tables.seen))
     totals, slots = rng.integers(0, 400, (1 << 12, 32)), rng.normal(size=1 << mixing.SLOT_BITS).astype(np.float32)
     before = mixing.symbols("some lengthy words are here again")[:-1]
@@ -302,14 +302,14 @@ def test_mixing_is_a_distribution():
     def cost(tail):
         s = mixing.Symbols([np.concatenate([before, tail]).astype(np.uint8)])
         at, code = s.words()
-        logit, state = np.zeros((len(s.sym), 5), np.int8), np.zeros(len(s.sym), np.int32)
+        logit, state = np.zeros((len(s.sym), 8), np.int8), np.zeros(len(s.sym), np.int32)
         for i, c in zip(at, code, strict=True):
             if s.rank[i] >= mixing.REACH:
                 row = mixing.small(mixing.decisions((c & ~np.uint64(31)) + np.arange(32, dtype=np.uint64), totals[int(c >> np.uint64(5)) % len(totals)]))[:, int(c) & 31]
-                logit[i], state[i] = np.rint(mixing._LOGS[row[:5]] - mixing._LOGS[row[5:]]), 2
+                logit[i, :5], state[i] = np.rint(mixing._LOGS[row[:5]] - mixing._LOGS[row[5:]]), 2
         mixer = mixing.Mixer(tables)
         mixer.slots = slots.copy()
-        return mixer._group(s, s.first[:1], s.sizes, np.zeros(1, bool), logit, state)[0]
+        return mixer._group(s, s.first[:1], s.sizes, np.zeros(1, bool), logit.view(np.uint64).ravel(), state)[0]
 
     costs = np.array([cost([symbol]) for symbol in range(32)])
     assert abs(sum(2.0 ** -(costs - cost([]))) - 1) < 1e-3
@@ -380,6 +380,7 @@ def test_words_so_far_of_a_large_corpus_stay_apart():
         others = [c for i, c in enumerate(seen) if i != b and i != 1]
         words = mixing.Words(made[b], learned[b], blocks, {k: d for (x, k), d in answers.items() if x == b})
         logit, state = words.predict()
+        logit = logit.view(np.int8).reshape(-1, 8)[:, :5]
         for i in rng.integers(0, len(made[b].sym), 3000):
             prefix, x = prefixes[b][i], int(made[b].sym[i])
             if len(prefix) < mixing.REACH:
