@@ -4,13 +4,19 @@ All segmentations of a text form a lattice whose paths have a weight, the produc
 pieces'. Adding a Gumbel variable to each path's log probability and taking the ``k``
 largest draws ``k`` different paths without replacement. The paths are not listed: the
 largest value of a set of paths that share a beginning is itself Gumbel distributed around
-the set's log mass, so an A* search keeps beginnings in order of that value, and splits the
-best one among its next pieces, given the maximum that is already known. Its first ``k``
-complete paths are the sample; the value of the next one is the threshold from which each
+the set's log mass, so an A* search keeps beginnings in order of that value. A set is taken
+from the frontier, one of its paths is drawn, which has the set's value, and the other paths
+fall into the sets that leave it at one of its decisions, whose values are drawn given the
+maximum that is already known; only the best that can still matter stay in the frontier. The
+first ``k`` paths are the sample; the value of the next one is the threshold from which each
 path's inclusion probability follows.
 
-Weights follow the rank of a piece in the vocabulary: ``(rank + 2) ** -alpha``. Random
-numbers are seeded by the row's key, so partitions and repeated runs make no difference.
+The texts of a batch are searched together: one round takes the best set of every text, and
+all of their words go through the lattice side by side. A word's lattice is made once and
+kept by the worker. Random numbers are hashes of the row's key, the round and the place.
+
+Weights follow the rank of a piece in the vocabulary: ``(rank + 2) ** -alpha``. Partitions,
+batches and repeated runs make no difference.
 
 Defined results: a null or empty text has one segmentation, the empty one; fewer than ``k``
 segmentations give fewer rows, each with inclusion 1; characters outside the vocabulary are
@@ -21,72 +27,143 @@ only the key columns and ``text`` are read.
 from __future__ import annotations
 
 import math
-import random
+import re
 import zlib
-from bisect import insort
 from collections.abc import Iterator
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.llm.windows import mixed
+
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 4
 ALPHA = 0.5
 SEED = 11
-WORD_CACHE = 100_000
+#: Lattice nodes that a worker keeps; beyond, it starts anew.
+NODES = 1_000_000
+#: Characters of the texts that are searched together.
+TOGETHER = 1 << 17
 _MARK = "▁"
-_value = itemgetter(0)
+#: The marked text is cut before each mark that follows another character; pieces never cross these cuts.
+_WORDS = re.compile(f"{_MARK}+[^{_MARK}]*")
 
 _vocabularies: dict[tuple, "Vocabulary"] = {}
 
 
+class _Grown:
+    """An array that rows are added to."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, rows: list) -> None:
+        end = self.size + len(rows)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.empty(max(end, len(self.data)), self.data.dtype)])
+        self.data[self.size : end] = rows
+        self.size = end
+
+
 class Vocabulary:
-    """Pieces with their log weights, and the lattices of words met so far."""
+    """Pieces with their log weights, and the lattices of the words met so far.
+
+    A lattice node is a place in a word; its options are the pieces that begin there, with
+    their log probability at this node (``log``), their probability, the log mass of the
+    node's other options (``rest``), the node they lead to (-1: the word's end) and their
+    unit. A unit is a piece's id, or beyond those, the byte ids of a character.
+    """
 
     def __init__(self, processor, alpha: float):
         self.processor, self.alpha = processor, alpha
-        self.pieces: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes: list[tuple[int, float]] = [(0, 0.0)] * 256
-        for i in range(processor.get_piece_size()):
+        size = processor.get_piece_size()
+        for i in range(size):
             piece = processor.id_to_piece(i)
             weight = -alpha * math.log(2 - min(processor.get_score(i), 0.0))
             if processor.is_byte(i):
                 # Bytes have no rank: they weigh as much as the rarest piece.
-                self.bytes[int(piece[3:5], 16)] = (i, -alpha * math.log(2 + processor.get_piece_size()))
+                self.bytes[int(piece[3:5], 16)] = (i, -alpha * math.log(2 + size))
             elif not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)):
-                self.pieces[piece] = ((i,), weight)
+                self.pieces[piece] = (i, weight)
         self.beginnings = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
-        self.lattices: dict[str, tuple[list, list[float]]] = {}
-
-    def lattice(self, word: str) -> tuple[list, list[float]]:
-        """For each position the edges (length, ids, log weight, log probability at this position), and the log mass of all ways to the word's end."""
-        if word in self.lattices:
-            return self.lattices[word]
-        n = len(word)
-        edges: list[list[tuple[int, tuple[int, ...], float]]] = []
+        self.forget()
+
+    def forget(self) -> None:
+        size = self.processor.get_piece_size()
+        self.roots: dict[str, int] = {}
+        self.characters: dict[str, tuple[int, float]] = {}
+        self.first, self.many = _Grown(np.int64), _Grown(np.int64)
+        self.log, self.share, self.rest = _Grown(np.float64), _Grown(np.float64), _Grown(np.float64)
+        self.next, self.unit = _Grown(np.int64), _Grown(np.int64)
+        self.unit_first, self.unit_many, self.ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+        self.unit_first.add(list(range(size)))
+        self.unit_many.add([1] * size)
+        self.ids.add(list(range(size)))
+
+    def _character(self, c: str) -> tuple[int, float]:
+        """The unit and weight of a character written as bytes."""
+        if c not in self.characters:
+            raw = [self.bytes[b] for b in c.encode()]
+            self.characters[c] = (self.unit_first.size, sum(b[1] for b in raw))
+            self.unit_first.add([self.ids.size])
+            self.unit_many.add([len(raw)])
+            self.ids.add([b[0] for b in raw])
+        return self.characters[c]
+
+    def options(self, word: str) -> list[list[tuple[int, int, float]]]:
+        """For each place the options: characters, unit, log weight."""
+        out, n, beginnings, pieces = [], len(word), self.beginnings, self.pieces
         for i in range(n):
             here, j = [], i + 1
-            while j <= n and (part := word[i:j]) in self.beginnings:
-                if part in self.pieces:
-                    here.append((j - i, *self.pieces[part]))
+            while j <= n and (part := word[i:j]) in beginnings:
+                if part in pieces:
+                    here.append((j - i, *pieces[part]))
                 j += 1
             if not here or here[0][0] > 1:
-                raw = [self.bytes[b] for b in word[i].encode()]
-                here.insert(0, (1, tuple(b[0] for b in raw), sum(b[1] for b in raw)))
-            edges.append(here)
-        mass = [0.0] * (n + 1)
+                here.insert(0, (1, *self._character(word[i])))
+            out.append(here)
+        return out
+
+    def root(self, word: str) -> int:
+        """The first node of a word's lattice."""
+        if word in self.roots:
+            return self.roots[word]
+        options, n, base, at = self.options(word), len(word), self.first.size, self.log.size
+        mass, exp, log = [0.0] * (n + 1), math.exp, math.log
+        first, many, logs, shares, rests, to, units = [], [], [], [], [], [], []
         for i in range(n - 1, -1, -1):
-            values = [w + mass[i + size] for size, _, w in edges[i]]
+            values = [w + mass[i + size] for size, _, w in options[i]]
+            if len(values) == 1:
+                mass[i] = values[0]
+                continue
             top = max(values)
-            mass[i] = top + math.log(sum(math.exp(v - top) for v in values))
-            edges[i] = [(*e, v - mass[i]) for e, v in zip(edges[i], values, strict=True)]
-        if len(self.lattices) >= WORD_CACHE:
-            self.lattices.clear()
-        if n <= 64:
-            self.lattices[word] = (edges, mass)
-        return edges, mass
+            mass[i] = top + log(sum(exp(v - top) for v in values))
+        for i, here in enumerate(options):
+            first.append(at + len(logs))
+            many.append(len(here))
+            if len(here) == 1:
+                logs.append(0.0)
+                shares.append(1.0)
+                rests.append(-math.inf)
+            else:
+                mine = [w + mass[i + size] - mass[i] for size, _, w in here]
+                share = [exp(x) for x in mine]
+                logs += mine
+                shares += share
+                for k in range(len(share)):
+                    other = sum(share[:k]) + sum(share[k + 1 :])
+                    rests.append(log(other) if other else -math.inf)
+            for size, unit, _ in here:
+                to.append(base + i + size if i + size < n else -1)
+                units.append(unit)
+        for grown, rows in ((self.first, first), (self.many, many), (self.log, logs), (self.share, shares), (self.rest, rests), (self.next, to), (self.unit, units)):
+            grown.add(rows)
+        self.roots[word] = base
+        return base
 
 
 def vocabulary(path: str | None, alpha: float) -> Vocabulary:
@@ -102,65 +179,206 @@ def vocabulary(path: str | None, alpha: float) -> Vocabulary:
 
 
 def words(text: str) -> list[str]:
-    """The marked text cut before each mark that follows another character; pieces never cross these cuts."""
-    marked = _MARK + text.replace(" ", _MARK)
-    out, start = [], 0
-    for i in range(1, len(marked)):
-        if marked[i] == _MARK and marked[i - 1] != _MARK:
-            out.append(marked[start:i])
-            start = i
-    out.append(marked[start:])
-    return out
-
-
-def sample(vocabulary: Vocabulary, text: str | None, k: int, seed: int) -> list[tuple[list[int], float, float]]:
+    return _WORDS.findall(_MARK + text.replace(" ", _MARK))
+
+
+def _uniform(seed: np.ndarray, *places) -> np.ndarray:
+    """Numbers between 0 and 1 that depend on the seed and the places only."""
+    h = seed
+    for x in places:
+        h = mixed(h + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(x).astype(np.uint64) + np.uint64(1)))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of several ranges, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
+class _Paths:
+    """A path for some rows: the options in order, and the log probability before each."""
+
+    def __init__(self, size: np.ndarray, option: np.ndarray, before: np.ndarray, node: np.ndarray, word: np.ndarray):
+        self.size, self.option, self.before, self.node, self.word = size, option, before, node, word
+        self.start = np.cumsum(size) - size
+
+
+class _Search:
+    """The A* search over a batch of texts."""
+
+    def __init__(self, v: Vocabulary, texts: list[str], k: int, seeds: np.ndarray):
+        self.v, self.k, self.n = v, k, len(texts)
+        if v.first.size > NODES:
+            v.forget()
+        each = [[v.root(w) for w in words(t)] if t else [] for t in texts]
+        self.words = np.array([len(x) for x in each], np.int64)
+        self.first_word = np.cumsum(self.words) - self.words
+        self.roots = np.array([r for x in each for r in x], np.int64)
+        self.seed = mixed(seeds.astype(np.uint64))
+        # The frontier: row, value, log mass before, round and decision of the path that is left, and options not to take.
+        self.frontier = tuple(np.empty(0, t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64))
+        self.rounds: list[_Paths] = []
+        self.values = np.full((k + 1, self.n), -np.inf)
+        self.logs = np.zeros((k + 1, self.n))
+
+    def run(self) -> None:
+        everyone = np.arange(self.n)
+        value = -np.log(-np.log(_uniform(self.seed, everyone * 0, everyone * 0)))
+        none, empty = np.empty(0, np.int64), np.zeros(self.n, np.int64)
+        nothing = _Paths(empty, none, np.empty(0), none, none)
+        self._draw(0, everyone, value, np.zeros(self.n), empty, np.full(self.n, -1), nothing)
+        for turn in range(1, self.k + 1):
+            row, value, turns, at, taken = self.frontier
+            order = np.lexsort((-value, row))
+            row, value, turns, at, taken = (x[order] for x in (row, value, turns, at, taken))
+            if not len(row):  # no text has another segmentation
+                self.rounds.append(nothing)
+                continue
+            head = np.concatenate([[True], row[1:] != row[:-1]])
+            # A set can still matter if it is among the best that are left to take.
+            begin = np.flatnonzero(head)
+            rank = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+            stay = ~head & (rank < self.k - turn + 1)
+            self.frontier = tuple(x[stay] for x in (row, value, turns, at, taken))
+            self._take(turn, *(x[head] for x in (row, value, turns, at, taken)))
+
+    def _take(self, turn: int, row: np.ndarray, value: np.ndarray, turns: np.ndarray, at: np.ndarray, taken: np.ndarray) -> None:
+        """Leave paths at a decision: draw another option there, and put what then remains back."""
+        v = self.v
+        before, node, word = np.zeros(len(row)), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for t in np.unique(turns).tolist():
+            some, p = turns == t, self.rounds[t]
+            where = p.start[row[some]] + at[some]
+            before[some], node[some], word[some] = p.before[where], p.node[where], p.word[where]
+        first, many = v.first.data[node], v.many.data[node]
+        most = int(many.max())
+        share = np.zeros((len(row), most))
+        for j in range(most):
+            free = (j < many) & (taken >> j & 1 == 0)
+            share[free, j] = v.share.data[first[free] + j]
+        total = share.cumsum(1)
+        u = _uniform(self.seed[row], np.full(len(row), turn), at * 0 + 1) * total[:, -1]
+        choice = np.minimum((total <= u[:, None]).sum(1), most - 1)
+        # Rounding may point at an option that is not free: take the likeliest then.
+        bad = share[np.arange(len(row)), choice] <= 0
+        choice[bad] = share[bad].argmax(1)
+        taken = taken | np.int64(1) << choice
+        share[np.arange(len(row)), choice] = 0
+        left = share.sum(1)
+        rest = left > 0
+        self._put(row[rest], before[rest] + np.log(left[rest]), value[rest], _uniform(self.seed[row[rest]], np.full(rest.sum(), turn), np.full(rest.sum(), 2)), turns[rest], at[rest], taken[rest])
+        option = first + choice
+        # The path up to there, with the new option.
+        size, kept = np.zeros(self.n, np.int64), []
+        size[row] = at + 1
+        for t in np.unique(turns).tolist():
+            some, p = turns == t, self.rounds[t]
+            kept.append((np.repeat(row[some], at[some]), *(x[_ranges(p.start[row[some]], at[some])] for x in (p.option, p.before, p.node, p.word))))
+        kept.append((row, option, before, node, word))
+        parts = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        order = np.argsort(parts[0], kind="stable")
+        prefix = _Paths(size, *(x[order] for x in parts[1:]))
+        to = v.next.data[option]
+        self._draw(turn, row, value, before + v.log.data[option], np.where(to < 0, word + 1, word), to, prefix)
+
+    def _draw(self, turn: int, row: np.ndarray, value: np.ndarray, given: np.ndarray, word: np.ndarray, node: np.ndarray, prefix: _Paths) -> None:
+        """Draw the rest of a path for each of ``row`` from ``word`` on, first at ``node`` (-1: at the word's beginning)."""
+        v, left = self.v, self.words[row] - word
+        index = _ranges(word, left)  # word of the row
+        owner = np.repeat(np.arange(len(row)), left)
+        at = self.roots[self.first_word[row[owner]] + index]
+        begins = np.flatnonzero(left > 0)
+        inside = begins[node[begins] >= 0]
+        at[(np.cumsum(left) - left)[inside]] = node[inside]
+        live, seed, step = np.arange(len(at)), self.seed[row[owner]], 0
+        entries, nodes, options = [], [], []
+        while len(live):
+            here = at[live]
+            option, last = v.first.data[here], v.first.data[here] + v.many.data[here] - 1
+            todo = np.flatnonzero(option < last)
+            u = _uniform(seed[live[todo]], np.full(len(todo), turn), index[live[todo]] + 3, np.full(len(todo), step))
+            while len(todo):
+                u -= v.share.data[option[todo]]
+                on = u >= 0
+                todo, u = todo[on], u[on]
+                option[todo] += 1
+                on = option[todo] < last[todo]
+                todo, u = todo[on], u[on]
+            entries.append(live)
+            nodes.append(here)
+            options.append(option)
+            at[live] = to = v.next.data[option]
+            live, step = live[to >= 0], step + 1
+        entry = np.concatenate([np.empty(0, np.int64), *entries])
+        order = np.argsort(entry, kind="stable")
+        entry = entry[order]
+        node, option = (np.concatenate([np.empty(0, np.int64), *x])[order] for x in (nodes, options))
+        who, log = owner[entry], v.log.data[option]
+        size = np.bincount(who, minlength=len(row))
+        begin = np.cumsum(size) - size
+        total = np.concatenate([[0.0], np.cumsum(log)])
+        before = given[who] + total[:-1] - total[begin[who]]
+        end = given + total[begin + size] - total[begin]
+        # What leaves the path at one of its new decisions.
+        place = np.arange(len(who)) - begin[who] + prefix.size[row[who]]
+        some = np.flatnonzero(v.many.data[node] > 1)
+        rest = v.rest.data[option[some]]
+        some, rest = some[rest > -np.inf], rest[rest > -np.inf]
+        r = row[who[some]]
+        u = _uniform(self.seed[r], np.full(len(r), turn), place[some] + 3, np.full(len(r), 1 << 40))
+        self._put(r, before[some] + rest, value[who[some]], u, np.full(len(r), turn), place[some], np.int64(1) << (option[some] - v.first.data[node[some]]))
+        self.values[turn, row], self.logs[turn, row] = value, end
+        sizes = prefix.size.copy()
+        sizes[row] += size
+        rows = np.concatenate([np.repeat(np.arange(self.n), prefix.size), row[who]])
+        order = np.argsort(rows, kind="stable")
+        joined = ((prefix.option, option), (prefix.before, before), (prefix.node, node), (prefix.word, index[entry]))
+        self.rounds.append(_Paths(sizes, *(np.concatenate(x)[order] for x in joined)))
+
+    def _put(self, row: np.ndarray, mass: np.ndarray, most: np.ndarray, u: np.ndarray, turns: np.ndarray, at: np.ndarray, taken: np.ndarray) -> None:
+        """Add sets to the frontier: the largest value in each is Gumbel distributed around its mass, given that it is below ``most``."""
+        value = mass - np.log(np.exp(mass - most) - np.log(u))
+        if len(row) > 4 * self.n:  # only the best few of each row can matter
+            order = np.lexsort((-value, row))
+            first = np.searchsorted(row[order], row[order])
+            order = order[np.arange(len(row)) - first < self.k]
+            row, value, turns, at, taken = (x[order] for x in (row, value, turns, at, taken))
+        self.frontier = tuple(np.concatenate(x) for x in zip(self.frontier, (row, value, turns, at, taken), strict=True))
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By row and draw: row, number of the draw from 1, ids (sizes, flat), log probability, inclusion probability."""
+        found = self.values[: self.k].T > -np.inf
+        row, turn = np.nonzero(found)
+        size = np.array([p.size for p in self.rounds[: self.k]])[turn, row] if len(row) else np.empty(0, np.int64)
+        start = np.array([p.start for p in self.rounds[: self.k]])[turn, row] if len(row) else np.empty(0, np.int64)
+        shift = np.cumsum([0, *(len(p.option) for p in self.rounds[: self.k])])
+        option = np.concatenate([p.option for p in self.rounds[: self.k]])[_ranges(start + shift[turn], size)] if len(row) else np.empty(0, np.int64)
+        unit = self.v.unit.data[option]
+        many = self.v.unit_many.data[unit]
+        ids = self.v.ids.data[_ranges(self.v.unit_first.data[unit], many)]
+        edges = np.concatenate([[0], np.cumsum(many)])
+        ends = np.cumsum(size)
+        with np.errstate(over="ignore"):
+            log, threshold = self.logs[turn, row], self.values[self.k, row]
+            inclusion = np.where(threshold == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(log - threshold, 700.0))))
+        return row, turn + 1, edges[ends] - edges[ends - size], ids, log, inclusion
+
+
+def sample_many(v: Vocabulary, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, ...]:
+    """Up to ``k`` distinct segmentations of each text, as ``_Search.samples`` returns them."""
+    search = _Search(v, texts, k, np.array(seeds, np.uint64))
+    search.run()
+    return search.samples()
+
+
+def sample(v: Vocabulary, text: str | None, k: int, seed: int) -> list[tuple[list[int], float, float]]:
     """Up to ``k`` distinct segmentations in the order drawn: ids, log probability, inclusion probability."""
     if not text:
         return [([], 0.0, 1.0)]
-    flat = [x for w in words(text) for x in vocabulary.lattice(w)[0]]
-    n, draw, log, exp = len(flat), random.Random(seed).random, math.log, math.exp
-    # The frontier: disjoint sets of paths as (perturbed value, log probability, position, linked ids), the best last.
-    # The largest value in each is reached by one path, so only the best k + 1 sets can matter.
-    frontier: list[tuple] = [(-log(-log(draw() or 0.5)), 0.0, 0, None)]
-    found: list[tuple] = []
-    while frontier and len(found) <= k:
-        value, given, at, path = frontier.pop()
-        room = k - len(found)  # sets that can still matter after this one
-        while at < n:
-            options = flat[at]
-            if len(options) == 1:
-                size, ids, _, p = options[0]
-                given, at, path = given + p, at + size, (ids, path)
-                continue
-            # One branch has the set's value, drawn by probability; the others have less.
-            u, best = draw(), len(options) - 1
-            for i, option in enumerate(options):
-                u -= exp(option[3])
-                if u < 0:
-                    best = i
-                    break
-            for i, (size, ids, _, p) in enumerate(options):
-                if i != best and room:
-                    mean = given + p
-                    v = mean - log(exp(mean - value) - log(draw() or 5e-324))
-                    if len(frontier) < room or v > frontier[0][0]:
-                        insort(frontier, (v, mean, at + size, (ids, path)), key=_value)
-                        if len(frontier) > room:
-                            del frontier[0]
-            size, ids, _, p = options[best]
-            given, at, path = given + p, at + size, (ids, path)
-        found.append((value, given, path))
-    threshold = found[k][0] if len(found) > k else -math.inf
-    expm1 = math.expm1
-    out = []
-    for _, log_probability, path in found[:k]:
-        parts = []
-        while path is not None:
-            parts.append(path[0])
-            path = path[1]
-        inclusion = 1.0 if threshold == -math.inf else -expm1(-exp(min(log_probability - threshold, 700.0)))
-        out.append(([i for p in reversed(parts) for i in p], log_probability, inclusion))
-    return out
+    _, _, size, ids, log, inclusion = sample_many(v, [text], k, [seed])
+    parts = np.split(ids, np.cumsum(size)[:-1])
+    return [(p.tolist(), x, y) for p, x, y in zip(parts, log.tolist(), inclusion.tolist(), strict=True)]
 
 
 def encode(rows: DataFrame, keys: tuple[str, ...], k: int = SAMPLES, alpha: float = ALPHA, model_path: str | None = None, seed: int = SEED) -> DataFrame:
@@ -168,16 +386,16 @@ def encode(rows: DataFrame, keys: tuple[str, ...], k: int = SAMPLES, alpha: floa
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path, alpha)
+        names = [*keys, "sample", "ids", "log_probability", "inclusion"]
         for batch in batches:
             key_rows = list(zip(*(batch[c].to_pylist() for c in keys), strict=True))
-            at, out = [], []
-            for i, (key, text) in enumerate(zip(key_rows, batch["text"], strict=True)):
-                for j, x in enumerate(sample(v, text.as_py(), k, zlib.crc32(repr((seed, *key)).encode())), 1):
-                    at.append(i)
-                    out.append((j, *x))
-            take = pa.array(at, pa.int64())
-            kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(take) for c in keys), *(pa.array([r[n] for r in out], t) for n, t in enumerate(kinds))], [*keys, "sample", "ids", "log_probability", "inclusion"])
+            texts = [x or "" for x in batch["text"].to_pylist()]
+            edges = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // TOGETHER, prepend=-1)).tolist() if texts else []
+            for a, b in zip(edges, [*edges[1:], len(texts)], strict=True):
+                row, turn, size, ids, log, inclusion = sample_many(v, texts[a:b], k, [zlib.crc32(repr((seed, *key)).encode()) for key in key_rows[a:b]])
+                take = pa.array(row + a)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(take) for c in keys), pa.array(turn, pa.int32()), lists, pa.array(log), pa.array(inclusion)], names)
 
     chosen = rows.select(*keys, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keys)

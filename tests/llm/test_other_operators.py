@@ -168,13 +168,15 @@ def test_samples_follow_the_lattice():
     v = segmenting.vocabulary(None, 0.5)
     text, paths = "the cat", [((), 0.0)]
     for word in segmenting.words(text):
-        edges, _ = v.lattice(word)
+        edges = v.options(word)
 
         def ways(i, edges=edges, word=word):
             if i == len(word):
                 yield (), 0.0
             else:
-                for size, ids, weight, _ in edges[i]:
+                for size, unit, weight in edges[i]:
+                    first = v.unit_first.data[unit]
+                    ids = tuple(v.ids.data[first : first + v.unit_many.data[unit]].tolist())
                     for p, w in ways(i + size):
                         yield ids + p, weight + w
 
