@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Text bytes that one block of documents should hold; bounds the memory of a task.
-BLOCK_BYTES = 8 << 20
-#: Blocks at most; beyond, blocks grow, as an exchange between blocks and buckets has a cell for each pair.
-MOST_BLOCKS = 100_000
+#: Text bytes that one block of documents should hold; bounds the memory of a task, which is about twelve times as much.
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on
+    one machine (tests), a folder of this machine is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir("/tmp/strataq-checkpoints")
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -76,9 +76,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def blocks_for(n_bytes: int, n_rows: int, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks so that each holds about ``block_bytes`` of text, and never more blocks than rows or ``MOST_BLOCKS``."""
-    return max(1, min(n_rows, math.ceil(n_bytes / block_bytes), MOST_BLOCKS))
+    """Blocks so that each holds about ``block_bytes`` of text, and never more blocks than rows."""
+    return max(1, min(n_rows, math.ceil(n_bytes / block_bytes)))
 
 
-def block_of(doc_id, n_blocks: int):
-    return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int")
+def block_of(n_blocks: int, *columns: str):
+    """A block for each row; the text takes part, so rows without an id or with the same one are spread."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n_blocks)).cast("int")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.common import collected, removed, stored
-from strataq.llm.windows import CELL, by_block, cell_table, cells, mixed, word_hashes
+from strataq.llm.windows import CELL, by_block, cell_table, mixed
 
 FOLDS, HELD_OUT = 7, 2
 #: Symbols: letters, space, end, escape, full stop, comma, and the lead byte of accented letters.

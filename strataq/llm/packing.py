@@ -30,8 +30,8 @@ from strataq.llm.common import stored
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words kept by a Python worker; beyond, it starts anew.
-WORD_CACHE = 300_000
+#: Encoded words, and parts of words, kept by a Python worker; beyond, it starts anew.
+WORD_CACHE = 100_000
 #: Rows of one length that are ranked together.
 RANK_ROWS = 4_000
 #: Placements of a plan that are sent to the executors at most; there are a few for each length.

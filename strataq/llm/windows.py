@@ -1,6 +1,6 @@
 """Hashes of word windows, many at a time, and the exchange that compares them across all documents.
 
-Documents are dealt into blocks by ``doc_id``. A block sends each distinct hash once, packed
+Documents are dealt into blocks by a hash of id and text. A block sends each distinct hash once, packed
 into one cell for each bucket of hashes; a bucket compares the cells of all blocks and
 answers each block. A hash that a third of all documents hold takes one entry for each
 block, so no key makes a large task.
@@ -21,9 +21,8 @@ from strataq.llm.common import BLOCK_BYTES, block_of, blocks_for
 CELL = "bucket int, block int, data binary"
 #: Two odd multipliers: windows are told apart by two sums modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-WORD_CACHE = 400_000
-_MASK = (1 << 64) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words whose hashes a worker keeps; beyond, it starts anew.
+WORD_CACHE = 100_000
 
 
 class _Hashes(dict):
@@ -50,35 +49,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2^64."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
-
-
 def window_hashes(words: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
-    """A hash for each window of ``width`` consecutive words; equal windows have equal hashes anywhere."""
+    """A hash for each window of ``width`` consecutive words; equal windows have equal hashes anywhere.
+
+    Windows of 1, 2, 4, ... words are made from two halves, and those whose sizes add up to
+    ``width`` are put one after the other, so nothing is kept between calls.
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _power(base, len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mixed((total[width:] - total[:-width]) * down[:n])
+    part, span, out, done = words, 1, None, 0
+    while True:
+        power = np.uint64(pow(base, span, 1 << 64))
+        if width & span:
+            out = part[:n].copy() if out is None else out * power + part[done : done + n]
+            done += span
+        if done == width:
+            return mixed(out)
+        part = part[:-span] * power + part[span:]
+        span *= 2
 
 
 def by_block(docs: DataFrame, *columns: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """``docs`` with a ``block`` column, and the number of blocks, which follows the bytes of text."""
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     n = blocks_for(size["b"], max(1, size["n"]), block_bytes)
-    return docs.select(block_of(F.col("doc_id"), n).alias("block"), *columns), n
+    return docs.select(block_of(n, "doc_id", "text").alias("block"), *columns), n
 
 
 def cells(block: int, bucket: np.ndarray, n_buckets: int, make: Callable[[slice], bytes], order: np.ndarray) -> Iterable[tuple[int, int, bytes]]:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataq.llm import quality
@@ -73,3 +74,32 @@ def test_odd_documents(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_clashing_columns_and_unlearned_languages(spark, monkeypatch):
+    """Columns that are named like those which operators add come through all stages; a text in no learned language goes."""
+    monkeypatch.setattr("strataq.llm.windows.BLOCK_BYTES", 4_000)
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["block", "n_words", "n_removed", "kept_text", "kept_sha256", "score", "held_out", "lang_pred", "row", "component_id", "length"]
+    strange = spark.createDataFrame([(10**9, "zxqj wvkq qzzx jxwv kqxz vwxj qxzk zzkq xwvj qjkz " * 30, None, "s", 1500)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = source.unionByName(strange)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).toArrow())
+        assert docs.columns == [*source.columns, *names]
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{i}:{r['doc_id']}" for r in rows for i, n in enumerate(names)), name
+        if name == "language_id":
+            assert 10**9 not in {r["doc_id"] for r in rows}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(rows)
+
+
+def test_empty_and_odd_input(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int"
+    odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", "en", "s", 0, 2), (2, "one two", "en", "s", 7, 3), (2, "one two", "en", "s", 7, 3)], schema)
+    for rows in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, SF).columns == rows.columns
+            stage(spark, rows, SF).collect()
+        corpus_pipeline.best_fit_packing(spark, rows, SF).collect()
