@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 from strataq.llm import jaccard, langid, packing, quality, substrings
 from strataq.llm.common import stored
 
-#: Documents whose most likely language has a smaller probability are rejected.
-LEAST_SCORE = 0.3
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy of the quality rules keeps."""
+    """Documents that the current policy of the quality rules keeps.
+
+    A null or empty text has too few words and goes; repeated rows are judged one by one; an
+    empty table stays empty; all columns are kept, whatever their names.
+    """
     return quality.filtered(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
-    found = langid.identify(docs)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents whose language is recognised: a null text, one without letters, and one without a clear language go.
+
+    Repeated rows are judged one by one; an empty table stays empty; all columns are kept,
+    whatever their names.
+    """
+    found = langid.identify(carried(docs, "doc_id", "text", "lang"))
+    known = found.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    # Halfway between chance and certainty.
+    least = F.lit(0.5 + 0.5 / max(known, 1)) if known > 1 else F.lit(0.5)
+    return returned(found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +45,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that start in an earlier document; a text that is nothing else goes."""
-    found = substrings.dedup(docs).filter("n_removed = 0 OR n_removed < n_words")
-    return found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without passages that start in an earlier document; a text that is nothing else goes.
+
+    ``n_chars`` follows the text. A null text stays null; rows with the same id, or none, take
+    nothing from each other; an empty table stays empty; all columns are kept, whatever their
+    names.
+    """
+    found = substrings.dedup(carried(docs, "doc_id", "text")).filter("n_removed = 0 OR n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    out = returned(found.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text"))), docs.columns, "n_removed")
+    size = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", size).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of tokens, as the pieces and their places."""
+    """Sequences of tokens, as the pieces and their places; a null text is an empty one, and an empty table gives no sequence."""
     return packing.digest(docs)
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator needs; all others as one, so that their names can't clash with those that it adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*(others or [F.lit(None).alias("none")])).alias("row"))
+
+
+def returned(rows: DataFrame, columns: list[str], *also: str) -> DataFrame:
+    """The columns as they were before ``carried``; those of ``also`` with an underscore before their name."""
+    top = {c for c in rows.columns if c != "row"}
+    inner = set(rows.schema["row"].dataType.names)
+    return rows.select(*((F.col("row").getField(c) if c in inner else F.col(f"`{c}`")).alias(c) for c in columns if c in inner | top), *(F.col(c).alias(f"_{c}") for c in also))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("language_id", language_id),
