@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +53,11 @@ def hex_lower(data: Column) -> Column:
     return F.lower(F.hex(data))
 
 
+def from_hex(text: Column) -> Column:
+    """The bytes of lower-case hex; null for anything else or an odd number of digits."""
+    return F.when(text.rlike("^([0-9a-f]{2})*$"), F.unhex(text))
+
+
 def is_inode_id(text: Column) -> Column:
     return text.rlike("^[0-9a-f]{32}$")
 
@@ -72,7 +78,7 @@ def json_quoted(text: Column) -> Column:
     """A JSON string literal with the short escapes for quote and backslash only, other controls as numbers."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for i in range(32):
-        out = F.replace(out, F.lit(chr(i)), F.lit(f"\\u{i:04x}")) if i else out
+        out = F.replace(out, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
@@ -113,6 +119,29 @@ def excluded(path: Column, names: list[str]) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names)))
 
 
+def checked_add(a: Column, b: Column) -> Column:
+    """The sum, or null where it does not fit in 64 bits."""
+    return F.try_add(a, b)
+
+
+def seek_position(base: Column, offset: Column) -> Column:
+    """A struct of position and error: a position below 0 is ``EINVAL``, one beyond 64 bits ``EOVERFLOW``."""
+    to = F.try_add(base, offset)
+    error = F.when(to.isNull(), "EOVERFLOW").when(to < 0, "EINVAL")
+    return F.struct(F.when(error.isNull(), to).alias("position"), error.alias("error"))
+
+
+def unit_key(key: Column) -> Column:
+    """The key of the unit that a record is merged with: content, chunks and attributes go with their inode."""
+    inode = F.regexp_extract(key, "^(?:content|chunk|xattr)/([0-9a-f]{32})(?:/|$)", 1)
+    return F.when(inode != "", F.concat(F.lit("inode/"), inode)).otherwise(key)
+
+
+def sharded_path(oid: Column) -> Column:
+    """Where an object lies: two levels of folders by its first hex digits."""
+    return F.concat_ws("/", F.substring(oid, 1, 2), F.substring(oid, 3, 2), oid)
+
+
 def priority(key: Column) -> Column:
     """A number that follows from the key's content alone."""
     return F.sha2(F.concat(F.lit("priority:"), key), 256)
@@ -140,16 +169,25 @@ def _crc32c_table() -> list[int]:
     return out
 
 
-def _crc32c(data: pd.Series) -> pd.Series:
-    table = _crc32c_table()
+_TABLE = np.array(_crc32c_table(), np.uint32)
 
-    def one(x):
-        c = 0xFFFFFFFF
-        for b in x:
-            c = table[(c ^ b) & 255] ^ (c >> 8)
-        return c ^ 0xFFFFFFFF
 
-    return pd.Series([None if x is None else one(x) for x in data], dtype="Int64")
+def _crc32c(data: pd.Series) -> pd.Series:
+    """One step of the table for the n-th byte of all values that have one."""
+    known = data.notna().to_numpy()
+    values = [bytes(x) for x in data[known]]
+    size = np.array([len(x) for x in values], np.int64)
+    order = np.argsort(-size, kind="stable")
+    start = (np.cumsum(size) - size)[order]
+    flat, crc = np.frombuffer(b"".join(values), np.uint8), np.full(len(values), 0xFFFFFFFF, np.uint32)
+    live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+    for i, n in enumerate(live.tolist()):
+        crc[:n] = _TABLE[(crc[:n] ^ flat[start[:n] + i]) & np.uint32(255)] ^ (crc[:n] >> np.uint32(8))
+    found = np.empty(len(values), np.int64)
+    found[order] = crc ^ np.uint32(0xFFFFFFFF)
+    out = pd.Series([None] * len(data), dtype="Int64")
+    out[known] = found
+    return out
 
 
 def crc32c(data: Column) -> Column:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.functions import scalars
+from strataq.operators import graph
+
 
 def link_counts(inodes: DataFrame, entries: DataFrame, root: str | None = None) -> DataFrame:
     """Inodes whose ``links`` is not the number of their names; a directory has two and one for each subdirectory."""
@@ -70,6 +73,39 @@ def snapshot_counts(manifest: DataFrame, tree: DataFrame) -> DataFrame:
     return j.agg(F.count_if(F.col("t").isNull()).alias("missing"), F.count_if(F.col("m").isNotNull() & (F.col("m") != F.col("t"))).alias("modified"), F.count_if(F.col("m").isNotNull() & F.col("t").isNotNull() & ~F.col("locked")).alias("unprotected"), F.count_if(F.col("m").isNull()).alias("extra"))
 
 
+def state_violations(inodes: DataFrame) -> DataFrame:
+    """Inodes whose state does not fit their kind: directories without content of their own, FIFOs and sockets without bytes, one kind out of the known ones."""
+    problem = (
+        F.when(~F.col("kind").isin("dir", "file", "symlink", "fifo", "socket"), "unknown kind")
+        .when(F.col("kind").isin("dir", "fifo", "socket") & (F.col("size") != 0), "size without content")
+        .when((F.col("kind") == "dir") & (F.col("links") < 2), "too few links")
+        .when(F.col("size") < 0, "negative size")
+    )
+    return inodes.select("inode_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def namespace_audit(inodes: DataFrame, entries: DataFrame, chunks: DataFrame, xattrs: DataFrame, root: str, chunk: int) -> DataFrame:
+    """Every problem of a tree as (inode_id, problem): structure, states, reachability, directory aliases, content and attributes."""
+    known = lambda df: df.join(inodes, "inode_id", "left_anti").select("inode_id").distinct()
+    sized = chunks.join(inodes.select("inode_id", "size"), "inode_id")
+    flagged = inodes.select("inode_id", "has_xattrs").join(xattrs.select("inode_id").distinct().withColumn("_x", F.lit(True)), "inode_id", "left")
+    lost = graph.cycles(entries, root).select(F.col("child_id").alias("inode_id")).distinct()
+    unnamed = inodes.filter(F.col("inode_id") != root).join(entries.select(F.col("child_id").alias("inode_id")), "inode_id", "left_anti")
+    parts = [
+        namespace_violations(inodes, entries, chunks),
+        state_violations(inodes),
+        lost.withColumn("problem", F.lit("not below the root")),
+        unnamed.select("inode_id", F.lit("no name").alias("problem")),
+        graph.multiply_linked(entries, inodes.filter("kind = 'dir'")).select(F.col("child_id").alias("inode_id"), F.lit("directory with names").alias("problem")),
+        sized.filter((F.col("idx") * chunk >= F.col("size")) | (F.col("len") > chunk) | (F.col("len") < 1)).select("inode_id").distinct().withColumn("problem", F.lit("chunk beyond the file")),
+        known(xattrs).withColumn("problem", F.lit("orphan attribute")),
+        flagged.filter("has_xattrs <> (_x IS NOT NULL)").select("inode_id", F.lit("attribute flag").alias("problem")),
+        xattr_limits(xattrs).select("inode_id", F.lit("attribute limits").alias("problem")),
+        entries.filter(~scalars.valid_name(F.col("name"))).select(F.col("parent_id").alias("inode_id")).distinct().withColumn("problem", F.lit("invalid name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def namespace_violations(inodes: DataFrame, entries: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """All structural problems of a tree as (inode_id, problem)."""
     directories = inodes.filter("kind = 'dir'")

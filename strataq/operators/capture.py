@@ -36,13 +36,20 @@ def candidates_only(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.join(candidates.select("key").distinct(), "key", "left_semi")
 
 
-def journal_verdict(cursor: int | None, oldest: int | None, newest: int | None) -> str:
-    """Whether events after ``cursor`` can be replayed: ok, stale (behind retention), or wrapped (ahead of the journal)."""
+def journal_verdict(cursor: int | None, oldest: int | None, newest: int | None, dropped: bool = False, timed_out: bool = False) -> str:
+    """Whether events after ``cursor`` can be replayed: ok, or why all must be scanned instead: must-scan (no cursor or journal), wrapped (ahead of the journal), stale (behind its retention), dropped (events were lost), timeout."""
     if cursor is None or oldest is None or newest is None:
         return "must-scan"
     if cursor > newest:
         return "wrapped"
-    return "stale" if cursor + 1 < oldest else "ok"
+    if cursor + 1 < oldest:
+        return "stale"
+    return "dropped" if dropped else "timeout" if timed_out else "ok"
+
+
+def replayed(rows: DataFrame, candidates: DataFrame, verdict: str) -> DataFrame:
+    """The rows to compare: those that events name if the journal is ok, else all of them."""
+    return candidates_only(rows, candidates) if verdict == "ok" else rows
 
 
 def events_after(events: DataFrame, cursor: int, order: str = "event_id") -> DataFrame:

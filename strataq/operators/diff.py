@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Attributes of an inode whose difference is a change of metadata.
@@ -56,11 +56,9 @@ def diff_page(changes: DataFrame, after=None, limit: int = PAGE_LIMIT, key: str
         raise ValueError(f"limit must be from 1 to {PAGE_LIMIT}")
     rows = changes if after is None else changes.filter(F.col(key) > after)
     # One row more than asked tells whether this is the last page; the page is bounded by the limit.
-    page = rows.orderBy(key).limit(limit + 1)
-    tail = page.agg(F.count("*").alias("_n"), F.max(key).alias("_last"))
-    shown = page.join(F.broadcast(tail)).filter((F.col("_n") <= limit) | (F.col(key) < F.col("_last")))
-    last = shown.agg(F.max(key).alias("_shown"))
-    return shown.join(F.broadcast(last)).withColumn("eof", F.col("_n") <= limit).withColumn("next_after", F.when(F.col("_n") > limit, F.col("_shown"))).drop("_n", "_last", "_shown")
+    whole = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    page = rows.orderBy(key).limit(limit + 1).withColumns({"_n": F.count("*").over(whole), "_at": F.row_number().over(Window.orderBy(key)), "_last": F.nth_value(key, limit).over(whole)})
+    return page.filter(F.col("_at") <= limit).withColumn("eof", F.col("_n") <= limit).withColumn("next_after", F.when(F.col("_n") > limit, F.col("_last"))).drop("_n", "_at", "_last")
 
 
 def namespace_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -91,11 +89,11 @@ def status_diff(snapshot: DataFrame, world: DataFrame) -> DataFrame:
     """A/M/D/T per ``key`` from (key, size, mtime, oid, mode): equal size and time skip the bytes; T is metadata alone."""
     s = snapshot.select("key", F.struct("size", "mtime", "oid", "mode").alias("s"))
     w = world.select("key", F.struct("size", "mtime", "oid", "mode").alias("w"))
-    quick = (F.col("s.size") == F.col("w.size")) & (F.col("s.mtime") == F.col("w.mtime"))
+    quick = F.col("s.size").eqNullSafe(F.col("w.size")) & F.col("s.mtime").eqNullSafe(F.col("w.mtime"))
     status = (
         F.when(F.col("s").isNull(), "A")
         .when(F.col("w").isNull(), "D")
-        .when(F.col("s.size") != F.col("w.size"), "M")
+        .when(~F.col("s.size").eqNullSafe(F.col("w.size")), "M")
         .when(~quick & ~F.col("s.oid").eqNullSafe(F.col("w.oid")), "M")
         .when(~F.col("s.mode").eqNullSafe(F.col("w.mode")), "T")
     )

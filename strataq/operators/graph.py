@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.functions import scalars
+from strataq.operators.history import ancestry
 from strataq.session import checkpointed
 
 DEPTH_LIMIT = 256
 FOLLOW_LIMIT = 40
+EXPANSION_LIMIT = 65_536
+#: Rounds after which the parts of a result are written as one.
+COLLAPSE = 16
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Distinct nodes reachable over (src, dst) from ``roots`` (node), with the depth first seen.
 
-    Each round joins the frontier only, and drops what was seen before the next, so that it
-    ends; more than ``most_rounds`` are an error.
+    Edges are written once, by their source. Each round joins the frontier only, drops what
+    was seen before, and writes nothing but the new frontier, so that it ends; more than
+    ``most_rounds`` are an error.
     """
-    seen = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    edges = checkpointed(edges.select("src", "dst").distinct().repartition("src"))
+    seen = frontier = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in itertools.count(1) if most_rounds is None else range(1, most_rounds + 1):
         nxt = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = checkpointed(nxt)
         if frontier.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if depth % COLLAPSE == 0:  # a union of too many parts is slow to plan
+            seen = checkpointed(seen)
     raise RuntimeError(f"deeper than {most_rounds}")
 
 
@@ -72,30 +81,66 @@ def multiply_linked(entries: DataFrame, directories: DataFrame) -> DataFrame:
     return entries.join(directories.select(F.col("inode_id").alias("child_id")), "child_id", "left_semi").groupBy("child_id").agg(F.count("*").alias("names")).filter("names > 1")
 
 
-def resolve(paths: DataFrame, links: DataFrame, follow_limit: int = FOLLOW_LIMIT) -> DataFrame:
-    """Follow symbolic links in (query, path): ``resolved``, or null after too many follows.
+def resolve(paths: DataFrame, entries: DataFrame, inodes: DataFrame, links: DataFrame, root: str, follow_final: bool = True) -> DataFrame:
+    """``query``, ``inode_id`` and ``error`` for each (query, path), component by component.
 
-    ``links`` has (path, target). In each round the first component that is a link is
-    replaced; a relative target stays in the link's directory, and dots are removed.
+    ``entries`` has (parent_id, name, child_id), ``inodes`` (inode_id, kind) and ``links``
+    (inode_id, target). A dot stays, two dots go up (never above the root), a link's target
+    takes its place and starts at the root if it is absolute; links are followed before what
+    comes after them. Errors: ``EINVAL`` (not absolute), ``ENOTDIR``, ``ENOENT``, ``ELOOP``
+    (over 40 links) and ``ENAMETOOLONG`` (targets of over 65,536 bytes together). Without
+    ``follow_final`` a link at the end is itself the result. One round for each component.
     """
-    def clean(p):
-        parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
-        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
-        return F.concat(F.lit("/"), F.array_join(kept, "/"))
-
-    todo, done = paths.select("query", clean(F.col("path")).alias("path")), None
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    for _ in range(follow_limit + 1):
-        heads = todo.select("query", "path", F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).alias("head"))
-        hit = heads.join(links.select(F.col("path").alias("head"), "target"), "head").groupBy("query", "path").agg(F.min_by(F.struct("head", "target"), F.length("head")).alias("h"))
-        hit = checkpointed(hit)
-        plain = todo.join(hit.select("query"), "query", "left_anti").select("query", F.col("path").alias("resolved"))
-        done = plain if done is None else done.unionByName(plain)
-        if hit.isEmpty():
-            return done
-        rest = F.col("path").substr(F.length("h.head") + 1, F.length("path"))
-        parent = F.regexp_replace(F.col("h.head"), "/[^/]*$", "")
-        joined = F.when(F.col("h.target").startswith("/"), F.concat("h.target", rest)).otherwise(F.concat(parent, F.lit("/"), F.col("h.target"), rest))
-        todo = checkpointed(hit.select("query", clean(joined).alias("path")))
-        done = checkpointed(done)
-    return done.unionByName(todo.select("query", F.lit(None).cast("string").alias("resolved")))
+    parts = scalars.path_parts(F.col("path"))
+    state = paths.select("query", F.array(F.lit(root)).alias("stack"), F.coalesce(parts, F.array().cast("array<string>")).alias("pending"), F.lit(0).alias("follows"), F.lit(0).cast("long").alias("expanded"), F.lit("dir").alias("kind"), F.when(parts.isNull(), F.lit("EINVAL")).alias("error"))
+    children = entries.select(F.col("parent_id").alias("_top"), F.col("name").alias("_head"), F.col("child_id").alias("_child"))
+    kinds = inodes.select(F.col("inode_id").alias("_child"), F.col("kind").alias("_kind"))
+    targets = links.select(F.col("inode_id").alias("_child"), F.col("target").alias("_target"))
+    done = []
+    for turn in itertools.count(1):
+        state = checkpointed(state)
+        done.append(state.filter("error IS NOT NULL OR size(pending) = 0"))
+        todo = state.filter("error IS NULL AND size(pending) > 0")
+        if todo.isEmpty():
+            break
+        todo = todo.withColumn("_top", F.element_at("stack", -1)).withColumn("_head", F.element_at("pending", 1)).withColumn("_rest", F.slice("pending", F.lit(2), F.size("pending")))
+        j = todo.join(children, ["_top", "_head"], "left").join(kinds, "_child", "left").join(targets, "_child", "left")
+        dot, up = F.col("_head") == ".", F.col("_head") == ".."
+        follow = (F.col("_kind") == "symlink") & (F.lit(follow_final) | (F.size("_rest") > 0)) & ~dot & ~up
+        longer = F.col("expanded") + F.octet_length("_target")
+        error = F.when(F.col("kind") != "dir", "ENOTDIR").when(~dot & ~up & F.col("_child").isNull(), "ENOENT").when(follow & (F.col("follows") >= FOLLOW_LIMIT), "ELOOP").when(follow & (longer > EXPANSION_LIMIT), "ENAMETOOLONG")
+        target = scalars.link_parts(F.col("_target"))
+        target = F.when(F.col("_target").endswith("/") & (F.size(target) > 0), F.concat(target, F.array(F.lit(".")))).otherwise(target)
+        stack = (
+            F.when(dot, F.col("stack"))
+            .when(up, F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(1))))
+            .when(follow, F.when(F.col("_target").startswith("/"), F.array(F.lit(root))).otherwise(F.col("stack")))
+            .otherwise(F.concat("stack", F.array("_child")))
+        )
+        state = j.select(
+            "query", stack.alias("stack"), F.when(follow, F.concat(target, F.col("_rest"))).otherwise(F.col("_rest")).alias("pending"),
+            F.when(follow, F.col("follows") + 1).otherwise(F.col("follows")).alias("follows"), F.when(follow, longer).otherwise(F.col("expanded")).alias("expanded"),
+            F.when(dot | up | follow, "dir").otherwise(F.col("_kind")).alias("kind"), error.alias("error"),
+        )
+        if turn % COLLAPSE == 0:
+            done = [checkpointed(functools.reduce(DataFrame.unionByName, done))]
+    out = functools.reduce(DataFrame.unionByName, done)
+    return out.select("query", F.when(F.col("error").isNull(), F.element_at("stack", -1)).alias("inode_id"), "error")
+
+
+def inside(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (directory, place) where the place is the directory or lies below it, by jumps up the tree."""
+    chain = ancestry(entries.select(F.col("child_id").alias("revision_id"), "parent_id"), pairs.select(F.col("place").alias("revision_id")).distinct())
+    return pairs.join(chain.select(F.col("tip").alias("place"), F.col("revision_id").alias("directory")), ["place", "directory"], "left_semi")
+
+
+def cycles(entries: DataFrame, root: str) -> DataFrame:
+    """Entries that no path from the root leads to: those of a cycle, and all below it."""
+    found = reachable(entries.select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst")), entries.sparkSession.createDataFrame([(root,)], "node string"))
+    return entries.join(found.select(F.col("node").alias("parent_id")), "parent_id", "left_anti")
+
+
+def height(paths: DataFrame) -> DataFrame:
+    """One row: the largest depth of any path, and how many paths have it."""
+    deepest = paths.groupBy("depth").agg(F.count("*").alias("n"))
+    return deepest.agg(F.max("depth").alias("height"), F.max_by("n", "depth").alias("n"))

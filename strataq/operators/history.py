@@ -37,10 +37,12 @@ def ancestry(revisions: DataFrame, tips: DataFrame, most_doublings: int = 40) ->
 
 
 def history_page(chain: DataFrame, after=None, limit: int = 64) -> DataFrame:
-    """Newest first; the cursor is a revision on the chain, excluded."""
+    """Newest first; the cursor is a revision on the chain, excluded, and an unknown one is refused."""
     if after is not None:
-        at = chain.filter(F.col("revision_id") == after).select(F.col("depth").alias("_d"))
-        chain = chain.join(F.broadcast(at.limit(1))).filter("depth > _d").drop("_d")
+        at = chain.filter(F.col("revision_id") == after).agg(F.min("depth").alias("d")).first()["d"]
+        if at is None:
+            raise ValueError(f"{after} is not on the chain")
+        chain = chain.filter(F.col("depth") > at)
     return chain.orderBy("depth").limit(limit)
 
 

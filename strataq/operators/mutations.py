@@ -12,7 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.operators import capture
+from strataq.operators import capture, graph
+from strataq.session import checkpointed
 
 INODE = "inode_id string, kind string, mode int, flags int, links long, size long, modified_ns long, changed_ns long, accessed_ns long, birth_ns long, has_xattrs boolean"
 ENTRY = "parent_id string, name string, child_id string"
@@ -97,10 +98,19 @@ def _attributes(inodes: DataFrame, new: DataFrame, now_ns: int, modified: bool =
 
 
 def set_attributes(tree: Tree, new: DataFrame, now_ns: int) -> Tree:
-    """Set mode, flags, times or sizes: (inode_id, and any of the columns); nulls leave a value as it is."""
+    """Set mode, flags or times: (inode_id, and any of the columns); nulls leave a value as it is. Sizes change with ``truncate``, which cuts the content too."""
+    if "size" in new.columns:
+        raise ValueError("sizes change with truncate")
     return replace(tree, inodes=_attributes(tree.inodes, new, now_ns))
 
 
+def truncate(tree: Tree, sizes: DataFrame, cut: DataFrame, now_ns: int, chunk: int) -> Tree:
+    """New sizes (inode_id, size): chunks beyond them go; ``cut`` has those in which a file now ends, as ``CHUNK``."""
+    j = tree.chunks.join(sizes.select("inode_id", F.col("size").alias("_s")), "inode_id", "left")
+    kept = j.filter(F.col("_s").isNull() | (F.col("idx") * chunk < F.col("_s"))).select(*tree.chunks.columns)
+    return replace(tree, chunks=_put(kept, cut, "inode_id", "idx"), inodes=_attributes(tree.inodes, sizes, now_ns, modified=True))
+
+
 def link(tree: Tree, new: DataFrame, now_ns: int) -> Tree:
     """Further names (parent_id, name, inode_id) for inodes that are no directories."""
     _absent(tree, new.select("parent_id", "name"))
@@ -124,25 +134,61 @@ def unlink(tree: Tree, names: DataFrame, now_ns: int, open_inodes: DataFrame | N
     return relink(made, now_ns, names.select(F.col("parent_id").alias("inode_id")))
 
 
+def _ends(tree: Tree, moves: DataFrame) -> DataFrame:
+    """``moves`` with the children and kinds at both ends (null: no such name); an absent source is an error."""
+    kinds = tree.inodes.select("inode_id", "kind")
+    at = lambda a, b, name: tree.entries.select(F.col("parent_id").alias(a), F.col("name").alias(b), F.col("child_id").alias(name)).join(kinds.select(F.col("inode_id").alias(name), F.col("kind").alias(f"{name}_kind")), name)
+    found = moves.join(at("parent_id", "name", "source"), ["parent_id", "name"], "left").join(at("to_parent", "to_name", "target"), ["to_parent", "to_name"], "left")
+    found = checkpointed(found)
+    if not found.filter("source IS NULL").isEmpty():
+        raise FileNotFoundError("a source is absent")
+    if not found.groupBy("parent_id", "name").count().filter("count > 1").isEmpty() or not found.groupBy("to_parent", "to_name").count().filter("count > 1").isEmpty():
+        raise ValueError("a name is moved twice, or two names go to one place")
+    return found
+
+
+def _not_below_itself(tree: Tree, pairs: DataFrame) -> None:
+    """``pairs``: (directory, place), where the directory must not be the place nor hold it."""
+    if not graph.inside(tree.entries, pairs).isEmpty():
+        raise OSError("a directory can't be moved into itself")
+
+
 def rename(tree: Tree, moves: DataFrame, now_ns: int, exclusive: bool = False) -> Tree:
-    """Move names: (parent_id, name, to_parent, to_name). A name in the way is replaced, or refused if ``exclusive``."""
-    targets = moves.select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"))
-    taken = targets.join(tree.entries, ["parent_id", "name"], "left_semi")
-    if exclusive:
-        _absent(tree, targets)
-    moved = tree.entries.join(moves, ["parent_id", "name"]).select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"), "child_id")
-    cleared = tree if exclusive or taken.isEmpty() else unlink(tree, taken, now_ns)
+    """Move names: (parent_id, name, to_parent, to_name). A name in the way is replaced, or refused if ``exclusive``.
+
+    A directory replaces an empty directory only, and other inodes replace no directory; a
+    directory can't go below itself; a name that is moved onto itself, or onto another name
+    of its inode, stays as it is.
+    """
+    ends = _ends(tree, moves)
+    if exclusive and not ends.filter("target IS NOT NULL").isEmpty():
+        raise FileExistsError("a target exists")
+    ends = ends.filter("NOT (source <=> target) AND NOT (parent_id = to_parent AND name = to_name)")
+    _not_below_itself(tree, ends.filter("source_kind = 'dir'").select(F.col("source").alias("directory"), F.col("to_parent").alias("place")))
+    if not ends.filter("target IS NOT NULL AND (source_kind = 'dir') <> (target_kind = 'dir')").isEmpty():
+        raise OSError("a directory and another kind can't replace each other")
+    taken = ends.filter("target IS NOT NULL").select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"))
+    moves = ends.select("parent_id", "name", "to_parent", "to_name")
+    moved = ends.select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"), F.col("source").alias("child_id"))
+    cleared = tree if taken.isEmpty() else unlink(tree, taken, now_ns)
     entries = cleared.entries.join(moves, ["parent_id", "name"], "left_anti").unionByName(moved)
     touched = moves.select(F.col("parent_id").alias("inode_id")).unionByName(moves.select(F.col("to_parent").alias("inode_id")))
-    return relink(replace(cleared, entries=entries), now_ns, touched)
+    changed = _attributes(cleared.inodes, ends.select(F.col("source").alias("inode_id")).distinct(), now_ns)
+    return relink(replace(cleared, inodes=changed, entries=entries), now_ns, touched)
 
 
 def exchange(tree: Tree, pairs: DataFrame, now_ns: int) -> Tree:
-    """Swap what two names point at: (parent_id, name, to_parent, to_name)."""
-    both = pairs.unionByName(pairs.select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"), F.col("parent_id").alias("to_parent"), F.col("name").alias("to_name")))
-    moved = tree.entries.join(both, ["parent_id", "name"]).select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"), "child_id")
-    entries = tree.entries.join(both, ["parent_id", "name"], "left_anti").unionByName(moved)
-    return relink(replace(tree, entries=entries), now_ns, both.select(F.col("parent_id").alias("inode_id")))
+    """Swap what two names point at: (parent_id, name, to_parent, to_name); both must exist, and neither may go below itself."""
+    ends = _ends(tree, pairs)
+    if not ends.filter("target IS NULL").isEmpty():
+        raise FileNotFoundError("a target is absent")
+    ends = ends.filter("source <> target")
+    below = ends.filter("source_kind = 'dir'").select(F.col("source").alias("directory"), F.col("to_parent").alias("place"))
+    _not_below_itself(tree, below.unionByName(ends.filter("target_kind = 'dir'").select(F.col("target").alias("directory"), F.col("parent_id").alias("place"))))
+    moved = ends.select("parent_id", "name", F.col("target").alias("child_id")).unionByName(ends.select(F.col("to_parent").alias("parent_id"), F.col("to_name").alias("name"), F.col("source").alias("child_id")))
+    entries = _put(tree.entries, moved, "parent_id", "name")
+    changed = _attributes(tree.inodes, moved.select(F.col("child_id").alias("inode_id")).distinct(), now_ns)
+    return relink(replace(tree, inodes=changed, entries=entries), now_ns, moved.select(F.col("parent_id").alias("inode_id")))
 
 
 def save(tree: Tree, new: DataFrame, now_ns: int) -> Tree:

@@ -39,6 +39,28 @@ def children(entries: DataFrame, parent: str | None = None) -> DataFrame:
     return found.select("parent_id", "name", "child_id").orderBy("parent_id", "name")
 
 
+def directory_page(entries: DataFrame, parent: str, after: str | None = None, limit: int = 64, inodes: DataFrame | None = None) -> DataFrame:
+    """A page of a directory in the order of names, with its inodes if given; ``eof`` says that none follow.
+
+    The cursor is the last name shown. Pages of one version are stable whatever happens to
+    the directory meanwhile, as a version is immutable; a new cursor starts without ``after``.
+    """
+    if not 1 <= limit <= MOST - 1:
+        raise ValueError(f"limit must be from 1 to {MOST - 1}")
+    names = entries.filter(F.col("parent_id") == parent).select("name", "child_id")
+    if after is not None:
+        names = names.filter(F.col("name") > after)
+    first = names.orderBy("name").limit(limit + 1)
+    page = first.withColumns({"_n": F.row_number().over(Window.orderBy("name")), "eof": F.count("*").over(Window.partitionBy(F.lit(0))) <= limit}).filter(F.col("_n") <= limit).drop("_n")
+    return page if inodes is None else page.join(inodes, F.col("child_id") == F.col("inode_id")).drop("child_id")
+
+
+def probe(rows: DataFrame, prefix: str, column: str = "key") -> DataFrame:
+    """At most one row: the number after ``prefix`` of a key that has one and nothing else."""
+    rest = F.substr(F.col(column), F.lit(len(prefix) + 1)).try_cast("long")
+    return rows.filter(F.col(column).startswith(prefix)).select(rest.alias("number")).filter("number IS NOT NULL").limit(1)
+
+
 def within_budget(rows: DataFrame, size: str, budget: int, partition: list[str], order: list[str]) -> DataFrame:
     """The leading rows of each partition whose sizes sum to ``budget`` at most; the first row is always kept."""
     w = Window.partitionBy(*partition).orderBy(*order)

@@ -397,7 +397,7 @@ _I = "(SELECT user_id AS inode_id, event_id AS handle, epoch_us(ts) AS s, epoch_
 
 @query("lock_conflicts", f"SELECT a.inode_id, a.handle AS a, b.handle AS b FROM {_I} a JOIN {_I} b ON a.inode_id = b.inode_id AND a.handle < b.handle AND a.s < b.e AND b.s < a.e AND (a.mode = 'exclusive' OR b.mode = 'exclusive')")
 def lock_conflicts(spark, sf_dir):
-    return intervals.conflicts(derived.locks(spark, sf_dir), 600_000_000)
+    return intervals.conflicts(derived.locks(spark, sf_dir))
 
 
 @query("lock_coalesce", f"""WITH i AS {_I}, m AS (SELECT *, max(e) OVER (PARTITION BY inode_id, mode ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i), g AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY inode_id, mode ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT inode_id, mode, min(s) AS start, max(e) AS "end", count(*) AS n FROM g GROUP BY inode_id, mode, k""")

@@ -130,9 +130,22 @@ def test_graph(spark):
     assert collect(paths, "path") == [("/",), ("/d",), ("/d/f",), ("/d/g",)]
     assert collect(graph.one_path(paths), "inode_id", "path") == [("1", "/d"), ("2", "/d/f"), ("root", "/")]
     assert graph.multiply_linked(entries, spark.createDataFrame([("1",)], "inode_id string")).count() == 0
-    links = spark.createDataFrame([("/l", "d"), ("/d/up", "../e"), ("/loop", "/loop")], "path string, target string")
-    asked = spark.createDataFrame([(1, "/l/up/x"), (2, "/loop"), (3, "/p/./q/..")], "query int, path string")
-    assert dict(collect(graph.resolve(asked, links, 3).fillna("none"), "query", "resolved")) == {1: "/e/x", 2: "none", 3: "/p"}
+    # A link is followed before the dots behind it: /l is /x/y, so /l/../e is /x/e and not /e.
+    entries = spark.createDataFrame([("root", "x", "x"), ("x", "y", "y"), ("x", "e", "xe"), ("root", "e", "e"), ("root", "l", "l"), ("root", "loop", "loop"), ("x", "far", "far"), ("root", "long", "long")], "parent_id string, name string, child_id string")
+    inodes = spark.createDataFrame([("root", "dir"), ("x", "dir"), ("y", "dir"), ("xe", "file"), ("e", "file"), ("l", "symlink"), ("loop", "symlink"), ("far", "symlink"), ("long", "symlink")], "inode_id string, kind string")
+    links = spark.createDataFrame([("l", "/x/y"), ("loop", "loop"), ("far", "../l/../far/"), ("long", "./" * 33_000)], "inode_id string, target string")
+    asked = spark.createDataFrame([(1, "/l/../e"), (2, "/loop"), (3, "/e/"), (4, "x"), (5, "/../../x/./e"), (6, "/x/none"), (7, "/"), (8, "/x/far"), (9, "/long")], "query int, path string")
+    got = {r["query"]: r["inode_id"] or r["error"] for r in graph.resolve(asked, entries, inodes, links, "root").collect()}
+    assert got == {1: "xe", 2: "ELOOP", 3: "ENOTDIR", 4: "EINVAL", 5: "xe", 6: "ENOENT", 7: "root", 8: "ELOOP", 9: "ENAMETOOLONG"}
+    assert graph.resolve(asked.filter("query = 2"), entries, inodes, links, "root", follow_final=False).first()["inode_id"] == "loop"
+    ring = spark.createDataFrame([("root", "a", "1"), ("2", "b", "3"), ("3", "c", "2")], "parent_id string, name string, child_id string")
+    assert collect(graph.cycles(ring, "root"), "name") == [("b",), ("c",)]
+
+
+def test_reach_has_no_depth_limit(spark):
+    chain = spark.range(300).selectExpr("cast(id as string) AS src", "cast(id + 1 as string) AS dst")
+    found = graph.reachable(chain, spark.createDataFrame([("0",)], "node string"))
+    assert found.count() == 301 and found.agg(F.max("depth")).first()[0] == 300
 
 
 def test_audits(spark):
@@ -159,7 +172,7 @@ def test_intervals(spark):
     rows = [(1, i, (a := rng.randrange(500)), a + rng.randrange(1, 40), "exclusive" if i % 3 == 0 else "shared") for i in range(60)]
     locks = spark.createDataFrame(rows, "inode_id int, handle int, start long, end long, mode string")
     want = sorted((x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[2] < y[3] and y[2] < x[3] and "exclusive" in (x[4], y[4]))
-    assert collect(intervals.conflicts(locks, 16), "a", "b") == want
+    assert collect(intervals.conflicts(locks), "a", "b") == want
     covered = {t for r in rows for t in range(r[2], r[3])}
     merged = collect(intervals.coalesce(locks, ["inode_id"]), "start", "end")
     assert {t for a, b in merged for t in range(a, b)} == covered and all(x[1] < y[0] for x, y in zip(merged, merged[1:], strict=False))
@@ -257,3 +270,54 @@ def test_reachable_has_no_depth_limit(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         Frame.rounds = 0
         graph.reachable(Frame(), Frame(), 5)
+
+
+def tree_of(spark, entries, kinds):
+    e = spark.createDataFrame(entries, mutations.ENTRY)
+    i = spark.createDataFrame([(k, v, 0, 0, 0, 0, 0, 0, 0, 0, False) for k, v in kinds.items()], mutations.INODE)
+    return mutations.relink(mutations.Tree(i, e, spark.createDataFrame([], mutations.CHUNK), spark.createDataFrame([], mutations.XATTR)), 0)
+
+
+MOVE = "parent_id string, name string, to_parent string, to_name string"
+
+
+def test_moves_are_guarded(spark):
+    tree = tree_of(spark, [("root", "a", "a"), ("a", "b", "b"), ("b", "c", "c"), ("root", "f", "f"), ("root", "g", "f"), ("root", "h", "h")], {"root": "dir", "a": "dir", "b": "dir", "c": "dir", "f": "file", "h": "file"})
+    move = lambda *rows: spark.createDataFrame(list(rows), MOVE)
+    names = lambda t: collect(t.entries, "parent_id", "name", "child_id")
+    for bad, error in [(("root", "a", "c", "x"), OSError), (("root", "a", "a", "x"), OSError), (("root", "none", "root", "x"), FileNotFoundError), (("root", "a", "root", "f"), OSError), (("root", "f", "root", "a"), OSError)]:
+        with pytest.raises(error):
+            mutations.rename(tree, move(bad), 5)
+    for same in (("root", "a", "root", "a"), ("root", "f", "root", "g")):
+        assert names(mutations.rename(tree, move(same), 5)) == names(tree)
+    assert ("root", "f", "h") in names(mutations.rename(tree, move(("root", "h", "root", "f")), 5))
+    with pytest.raises(FileExistsError):
+        mutations.rename(tree, move(("root", "h", "root", "f")), 5, exclusive=True)
+    for bad in (("root", "a", "b", "c"), ("b", "c", "root", "a")):
+        with pytest.raises(OSError):
+            mutations.exchange(tree, move(bad), 5)
+    with pytest.raises(FileNotFoundError):
+        mutations.exchange(tree, move(("root", "a", "root", "none")), 5)
+    assert ("root", "h", "c") in names(mutations.exchange(tree, move(("b", "c", "root", "h")), 5))
+    with pytest.raises(ValueError):
+        mutations.set_attributes(tree, spark.createDataFrame([("f", 3)], "inode_id string, size long"), 5)
+    saved = mutations.save(tree, spark.createDataFrame([("root", "h", "f")], "parent_id string, name string, inode_id string"), 5)
+    assert ("root", "h", "f") in names(saved) and saved.inodes.filter("inode_id = 'h'").isEmpty()
+
+
+def test_small_rules(spark):
+    sizes = "key int, size long, mtime long, oid string, mode string"
+    a, b = spark.createDataFrame([(1, None, 1, "x", "m"), (2, None, 1, "x", "m")], sizes), spark.createDataFrame([(1, 5, 1, "x", "m"), (2, None, 1, "x", "m")], sizes)
+    assert collect(diff.status_diff(a, b), "key", "status") == [(1, "M")]
+    with pytest.raises(ValueError):
+        history.history_page(spark.createDataFrame([(1, 0)], "revision_id int, depth long"), 7)
+    with pytest.raises(ValueError):
+        content.read_range(spark.createDataFrame([], "inode_id string, idx long, data binary, size long"), 0, (256 << 10) + 1, 8)
+    crc = spark.createDataFrame([(bytearray(b"123456789"),), (bytearray(b""),), (None,), (bytearray(b"a" * 70),)], "d binary").select(scalars.crc32c(F.col("d")).alias("c"))
+    assert [r["c"] for r in crc.collect()][:3] == [0xE3069283, 0, None]
+    r = spark.createDataFrame([("i", s, s + 1, "shared") for s in range(0, 258, 2)], "inode_id string, start long, end long, mode string")
+    with pytest.raises(Exception, match="lock ranges"):
+        intervals.set_locks(r, r.limit(1), ["inode_id"]).collect()
+    from strataq.operators import capture
+
+    assert [capture.journal_verdict(*x) for x in [(None, 1, 2), (9, 1, 2), (1, 5, 9), (4, 5, 9), (4, 5, 9, True), (4, 5, 9, False, True)]] == ["must-scan", "wrapped", "stale", "ok", "dropped", "timeout"]

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strataq.plans import registry
+from strataq.plans import registry, trees  # noqa: F401  (trees adds its queries to the registry)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -74,3 +74,32 @@ def test_streamed_leases_equal_batch(spark, tmp_path):
         query.stop()
     batch = intervals.leases(frame.select("user_id", F.unix_micros("ts").alias("at")).withColumn("tie", F.lit(0)), "user_id", "at", "tie", hour)
     assert got == sorted(tuple(r) for r in batch.select("user_id", "started", "last_seen", "n").collect())
+
+
+def test_repository_limits_and_points(spark, tmp_path, monkeypatch):
+    from strataq.sources import repository
+
+    monkeypatch.setattr(repository, "POINT_COMMITS", 3)
+    repo = repository.Repository(spark, str(tmp_path / "repo"))
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, op string, oid string")
+    repo.init("volume")
+    for i in range(7):
+        repo.transact(rows((f"k{i}", "put", "1")))
+    assert repo.volume_name() == "volume" and repo.state().sequence == 8
+    names = sorted(p.name for p in (tmp_path / "repo" / "log").glob("point-*.json"))
+    assert names == [f"point-{n:020d}.json" for n in (3, 6)]
+    for old in (tmp_path / "repo" / "log").glob("0*.json"):  # a reader needs none of the commits before a point
+        if int(old.stem) <= 6:
+            old.unlink()
+    assert repo.read().count() == 7
+    for bad in (rows(), rows(*((f"n{i}", "put", "1") for i in range(4097)))):
+        with pytest.raises(ValueError):
+            repo.transact(bad)
+    repo.snapshot("r1")
+    repo.fork("r1", "side")
+    token = repo.discard_plan("side")
+    repo.transact(rows(("z", "put", "1")))
+    with pytest.raises(repository.StaleError):
+        repo.drop_world("side", token)
+    repo.drop_world("side", repo.discard_plan("side"))
+    assert not repo.needs_compaction()
