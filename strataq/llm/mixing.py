@@ -9,8 +9,8 @@ have been seen), and refined by an adaptive correction from a hashed slot of the
 before. Weights and corrections learn after every symbol: a text is cut into lanes of
 ``LANE`` symbols, and one step takes the next symbol of all lanes of a group, so each lane
 learns on its own while the arithmetic runs over many. A group starts from the mean of what
-the lanes of the training texts before it have learned, the first one from some lanes of
-training texts that are run once before. The costs of all decisions add up to the bits of the
+the lanes of the training texts before it have learned, the first one from the
+middle of some lanes of training texts, which is run before. The costs of all decisions add up to the bits of the
 text.
 
 Counts are taken over all training texts. Those of up to four symbols form tables of at
@@ -28,6 +28,7 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ SPACE, END, ESCAPE = 26, 27, 28
 #: Symbols of a lane, lanes of a group, lanes that are run before the first group, and symbols that are made ready at once.
 LANE = 1 << 12
 LANES = 1 << 9
-FIRST_LANES = 1 << 7
+FIRST_LANES, FIRST_SYMBOLS = 1 << 7, 1 << 10
 READY = 1 << 17
 #: Words so far predict from this many symbols on; shorter ones are told by the four symbols before.
 REACH = 4
@@ -243,7 +244,8 @@ class Mixer:
         learned = order[trains[doc[order]]]
         if len(learned):
             some = learned[:: -(-len(learned) // FIRST_LANES)]
-            self._group(texts, start[some], size[some], trains[doc[some]], word, state)
+            middle = np.minimum(size[some], FIRST_SYMBOLS)
+            self._group(texts, start[some] + (size[some] - middle) // 2, middle, trains[doc[some]], word, state)
         for at in range(0, len(order), LANES):
             lanes = order[at : at + LANES]
             np.add.at(out, doc[lanes], self._group(texts, start[lanes], size[lanes], trains[doc[lanes]], word, state))
@@ -505,6 +507,16 @@ def short_tables(sent: DataFrame) -> Tables:
     return out
 
 
+def memory_reused() -> None:
+    """Let this worker keep freed memory of up to 128 MB for its next arrays: mapping fresh pages for each costs as much as filling it."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 26)  # arrays below are not mapped one by one
+        libc.mallopt(-1, 1 << 27)  # what may stay free at the end of the heap
+    except (OSError, AttributeError):  # another C library: only slower
+        pass
+
+
 def _answers(found: pa.Table) -> dict[int, bytes]:
     return {b: d.as_py() for b, d in zip(found["bucket"].to_pylist(), found["data"], strict=True)}
 
@@ -523,6 +535,7 @@ def score(docs: DataFrame) -> DataFrame:
         return Symbols([symbols(t.as_py()) for t in table["text"]]), learned
 
     def first(key, table):
+        memory_reused()
         texts, learned = prepared(table)
         block = key[0].as_py()
         return cell_table([(-1, block, _pack(*short_counts(texts, learned))), *send(block, n, *counted(texts, learned))])
@@ -541,6 +554,7 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
     def last(key, table, found):
+        memory_reused()
         if table.num_rows > 1:
             # Groups learn from each other in this order, which does not depend on how rows arrive.
             table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
