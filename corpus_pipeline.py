@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = langid.identify(carried(docs, "doc_id", "text", "lang"))
     known = found.agg(F.count_distinct("lang").alias("n")).first()["n"]
-    # Halfway between chance and certainty.
-    least = F.lit(0.5 + 0.5 / max(known, 1)) if known > 1 else F.lit(0.5)
+    # A third of the way from chance to certainty.
+    least = F.lit(1 / 3 + 2 / 3 / max(known, 1)) if known > 1 else F.lit(0.5)
     return returned(found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)), docs.columns)
 
 

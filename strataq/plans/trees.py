@@ -305,7 +305,7 @@ WITH q AS (SELECT o_orderkey AS query, 'c' || o_custkey AS inode_id, (o_orderkey
 c AS (SELECT DISTINCT 'c' || o_custkey AS inode_id, o_orderkey % 9 AS idx FROM orders),
 b AS (SELECT q.query, q.inode_id, q.pos, x FROM q, range(0, 72) t(x) WHERE x >= q.pos AND q.pos < 70 AND x < 70)
 SELECT q.query, q.inode_id, q.pos::BIGINT AS "offset", min(b.x) FILTER (c.idx IS NOT NULL)::BIGINT AS next_data, CASE WHEN q.pos < 70 THEN coalesce(min(b.x) FILTER (b.x IS NOT NULL AND c.idx IS NULL), 70) END::BIGINT AS next_hole
-FROM q LEFT JOIN b USING (query, inode_id, pos) LEFT JOIN c ON c.inode_id = q.inode_id AND c.idx = b.x // 8 GROUP BY ALL""")
+FROM q LEFT JOIN b USING (query, inode_id, pos) LEFT JOIN c ON c.inode_id = q.inode_id AND c.idx = b.x // 8 GROUP BY q.query, q.inode_id, q.pos""")
 def seek_region(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     owner = _key("c", "o_custkey").alias("inode_id")
