@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,7 @@ def removed(df: DataFrame) -> None:
 def collected(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of queries that are over: it does so when their objects are collected."""
     gc.collect()
+    time.sleep(0.5)  # the JVM hears of collected Python objects a little later
     spark.sparkContext._jvm.System.gc()
 
 

@@ -64,7 +64,7 @@ GATES = 5 * WORD_STATES * SHORT_STATES
 #: Codes of contexts with the word's length begin here.
 LONG = 1 << 25
 #: Text of a block.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 3 << 20
 
 
 def _codes() -> np.ndarray:
@@ -508,11 +508,11 @@ def short_tables(sent: DataFrame) -> Tables:
 
 
 def memory_reused() -> None:
-    """Let this worker keep freed memory of up to 128 MB for its next arrays: mapping fresh pages for each costs as much as filling it."""
+    """Let this worker keep freed memory of up to 64 MB for its next arrays: mapping fresh pages for each costs as much as filling it."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 26)  # arrays below are not mapped one by one
-        libc.mallopt(-1, 1 << 27)  # what may stay free at the end of the heap
+        libc.mallopt(-3, 1 << 25)  # arrays below are not mapped one by one
+        libc.mallopt(-1, 1 << 26)  # what may stay free at the end of the heap
     except (OSError, AttributeError):  # another C library: only slower
         pass
 
