@@ -1,12 +1,17 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-The rounds are bulk-synchronous. Documents are range-sorted by length, longest first, and
-open gaps by capacity; in one round all documents of one length look for their successor
-gap, the smallest that holds them. Documents that want the same run of gaps are told apart
-by their rank in the round, the gaps shrink, and the next round starts. Rows of one length
-are interchangeable, so a sweep runs over runs of equal documents and equal gaps: it needs
-a histogram of at most ``capacity`` lengths, whatever the number of documents. Counting,
-ranking and placing the documents are distributed; no row goes to the driver.
+The rounds are bulk-synchronous. Documents and open gaps are range-sorted by size, into ranges
+of a factor of two. In a round every range is swept by itself: its documents, longest first,
+take their successor gap, the smallest that holds them; those of equal length that want the
+same gaps are told apart by their rank. What is left of a gap goes to the range of its new
+size, and a document that found none to the next range that has gaps. Where no gap at all
+would hold the longest documents, as many sequences are opened as their volume needs, and the
+next round starts. It ends when no document is left.
+
+Rows of one length are interchangeable, so a range's rows are runs of equal documents and
+equal gaps: a few for each of at most ``capacity`` lengths, whatever the number of documents.
+Counting, ranking and placing the documents are distributed; no length, run or row goes to the
+driver, which sees the largest gap of each range and a total, twelve numbers a round.
 
 Defined results: a null text counts as an empty one, which is the end id alone; only
 documents over ``capacity`` are cut; repeated rows are packed one by one; an empty table
@@ -15,9 +20,12 @@ gives an empty result; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import struct
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.llm.common import stored
+from strataq.llm.common import checkpointed, stored
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Encoded words, and parts of words, kept by a Python worker; beyond, it starts anew.
 WORD_CACHE = 100_000
-#: Rows of one length that are ranked together.
+#: Rows of one length that are ranked together, and that look for their place together.
 RANK_ROWS = 4_000
-#: Placements of a plan that are sent to the executors at most; there are a few for each length.
-PLAN_ROWS = 2_000_000
 
 _encoders: dict[str, "_Words"] = {}
 
@@ -76,13 +82,20 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORD_CACHE:
             self.clear()
-        text = word.decode()
-        # Contractions and special tokens are left to the whole tokenizer.
-        if self.plain and len(word) <= 64 and "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
-            ids = [i for part in _PARTS.findall(text.lower()) for i in self.parts[part]]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
+        ids = None
+        if self.plain and len(word) <= 64:
+            # Contractions and special tokens are left to the whole tokenizer.
+            if word.isalpha():  # ASCII letters
+                ids = [t.id for t in self.parts.model.tokenize(word.lower().decode())]
+            elif word[-1:] in (b".", b",") and word[:-1].isalpha():
+                ids = [t.id for t in self.parts.model.tokenize(word[:-1].lower().decode())] + self.parts[word[-1:].decode()]
+            else:
+                text = word.decode()
+                if "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
+                    ids = [i for part in _PARTS.findall(text.lower()) for i in self.parts[part]]
+        if ids is None:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             self[word] = packed
         return packed
@@ -127,34 +140,42 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Best-fit rounds over runs: placements (length, first rank, last rank + 1, per sequence, first sequence, offset), and the number of sequences.
+ROUND = "kind string, range int, size long, first long, n long, offset long, length long, last long, each long"
+
+
+def _range(size: int) -> int:
+    return size.bit_length() - 1
+
 
-    Documents of a placement with ranks from ``first`` go ``per sequence`` at a time into
-    consecutive sequences from ``first sequence``, each set starting at ``offset``.
+def sweep(docs: list[tuple[int, int, int]], gaps: list[tuple[int, int, int, int]]) -> tuple[list, list, list]:
+    """Best fit of runs: documents (length, first rank, number), longest first, into gaps (room, first sequence, number, offset).
+
+    Returns placements (length, first rank, last rank + 1, documents in each sequence, first
+    sequence, offset), the documents left over, and the gaps that remain.
     """
-    gaps: dict[int, list[tuple[int, int, int]]] = {}
-    present, sequences, placed = 0, 0, []
+    by_room: dict[int, list[tuple[int, int, int]]] = {}
+    rooms: list[int] = []
 
     def put(room: int, run: tuple[int, int, int]) -> None:
-        nonlocal present
         if room and run[1]:
-            gaps.setdefault(room, []).append(run)
-            present |= 1 << room
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
+            if room not in by_room:
+                by_room[room] = []
+                insort(rooms, room)
+            by_room[room].append(run)
+
+    for room, *run in sorted(gaps, reverse=True):
+        put(room, tuple(run))
+    placed, over = [], []
+    for length, rank, left in sorted(docs, key=lambda x: (-x[0], x[1])):
         while left:
-            successors = present >> length
-            if successors:
-                room = length + (successors & -successors).bit_length() - 1
-                first, many, offset = gaps[room].pop()
-                if not gaps[room]:
-                    present &= ~(1 << room)
-            else:
-                room, first, offset = capacity, sequences, 0
-                many = -(-left // (capacity // length))
-                sequences += many
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
+                over.append((length, rank, left))
+                break
+            room = rooms[at]
+            first, many, offset = by_room[room].pop()
+            if not by_room[room]:
+                del by_room[room], rooms[at]
             each = room // length
             full = min(many, left // each)
             if full:
@@ -167,7 +188,63 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
                 rank, left, full = rank + left, 0, full + 1
             if full < many:
                 put(room, (first + full, many - full, offset))
-    return np.array(placed, np.int64).reshape(-1, 6), sequences
+    return placed, over, [(room, *run) for room in rooms for run in by_room[room]]
+
+
+def _swept(key, table):
+    """One range of a round; documents left over stay in their range until they are sent on."""
+    rows = table.to_pydict()
+    runs = list(zip(rows["kind"], rows["size"], rows["first"], rows["n"], rows["offset"], strict=True))
+    placed, over, gaps = sweep([r[1:4] for r in runs if r[0] == "doc"], [r[1:] for r in runs if r[0] == "gap"])
+    out = [("placed", 0, 0, sequence, last - first, offset, length, first, each) for length, first, last, each, sequence, offset in placed]
+    out += [("doc", key[0].as_py(), length, rank, n, 0, 0, 0, 0) for length, rank, n in over]
+    out += [("gap", _range(room), room, first, n, offset, 0, 0, 0) for room, first, n, offset in gaps]
+    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 7]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["kind", "range", "size", "first", "n", "offset", "length", "last", "each"])
+
+
+def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Placements for (length, count): ``length``, ``first`` and ``last`` rank, ``each`` in a sequence, first ``sequence``, ``offset``.
+
+    Documents with ranks from ``first`` to below ``last`` go ``each`` at a time into
+    consecutive sequences from ``sequence`` on, each set starting at ``offset``.
+    """
+    spark = counts.sparkSession
+    top, zero = _range(capacity), F.lit(0).cast("long")
+    bits = lambda size: (F.length(F.bin(size)) - 1).cast("int")
+    fixed = [zero.alias("offset"), zero.alias("length"), zero.alias("last"), zero.alias("each")]
+    state = counts.select(F.lit("doc").alias("kind"), bits(F.col("length")).alias("range"), F.col("length").alias("size"), zero.alias("first"), F.col("count").alias("n"), *fixed)
+    placed, opened = [], 0
+    while True:
+        swept = checkpointed(state.groupBy("range").applyInArrow(_swept, ROUND))
+        placed.append(swept.filter("kind = 'placed'"))
+        docs, gaps = swept.filter("kind = 'doc'"), swept.filter("kind = 'gap'")
+        # The largest gap of each range, and how many documents are left.
+        seen = swept.groupBy("range").agg(F.max(F.when(F.col("kind") == "gap", F.col("size"))).alias("room"), F.count_if(F.col("kind") == "doc").alias("docs")).collect()
+        if not sum(r["docs"] for r in seen):
+            break
+        largest = {r["range"]: r["room"] for r in seen if r["room"] is not None}
+        own, higher = F.lit(False), F.lit(None).cast("int")
+        for k in sorted(largest, reverse=True):
+            own = own | ((F.col("range") == k) & (F.col("size") <= largest[k]))
+            higher = F.when(F.col("range") < k, k).otherwise(higher)
+        again = F.when(F.col("size") <= max(largest.values(), default=0), bits(F.col("size")))
+        docs = docs.withColumn("to", F.when(own, F.col("range")).otherwise(F.coalesce(higher, again)))
+        waits = F.col("to").isNull()
+        longest = docs.filter(waits).agg(F.max("size").alias("size")).first()["size"]
+        if longest is None:
+            state = gaps.unionByName(docs.withColumn("range", F.col("to")).drop("to"))
+            continue
+        # The longest ones that wait, and those over half as long, get what their volume needs.
+        first = waits & (F.col("size") * 2 > longest)
+        need = docs.filter(first).agg(F.sum(F.col("size") * F.col("n")).alias("volume"), F.coalesce(F.sum(F.when(F.col("size") * 2 > capacity, F.col("n"))), zero).alias("large")).first()
+        more = max(need["large"], -(-need["volume"] // capacity))
+        new = spark.range(1).select(F.lit("gap").alias("kind"), F.lit(top).alias("range"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(more).cast("long").alias("n"), *fixed)
+        opened += more
+        to = F.when(first, top).otherwise(F.coalesce("to", bits(F.col("size"))))
+        state = gaps.unionByName(docs.withColumn("range", to).drop("to")).unionByName(new)
+    every = functools.reduce(DataFrame.unionByName, placed)
+    return every.select("length", F.col("last").alias("first"), (F.col("last") + F.col("n")).alias("last"), "each", F.col("first").alias("sequence"), "offset")
 
 
 def ranked(rows: DataFrame, lengths: DataFrame, *order: str) -> DataFrame:
@@ -185,25 +262,14 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("d
     ``rows`` is read twice and should be stored.
     """
     lengths = rows.groupBy("length").count()
-    # At most ``capacity`` rows: one for each length.
-    placed, _ = plan({r["length"]: r["count"] for r in lengths.collect()}, capacity)
-    if len(placed) > PLAN_ROWS:
-        raise ValueError(f"a plan of {len(placed)} placements is over the bound of {PLAN_ROWS}")
-    placed = placed[np.lexsort((placed[:, 1], placed[:, 0]))]
-    keys = (placed[:, 0] << 44) + placed[:, 1]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            row = placed[np.searchsorted(keys, (length << 44) + rank, "right") - 1] if len(length) else placed[:0]
-            step = rank - row[:, 1]
-            sequence, offset = row[:, 4] + step // np.maximum(row[:, 3], 1), row[:, 5] + step % np.maximum(row[:, 3], 1) * length
-            names = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([batch[n] for n in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    counted = ranked(rows, lengths, *order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema if f.name != "rank")
-    return counted.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    placed = best_fit(lengths, capacity)
+    # Ranks are looked up by blocks, each of which a few placements cover.
+    block = lambda rank: F.floor(rank / RANK_ROWS)
+    covered = placed.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("last") - 1))))
+    found = ranked(rows, lengths, *order).withColumn("block", block(F.col("rank"))).join(covered, ["length", "block"]).filter("rank >= first AND rank < last")
+    step = F.col("rank") - F.col("first")
+    placing = [(F.col("sequence") + F.floor(step / F.col("each"))).alias("sequence_id"), (F.col("offset") + step % F.col("each") * F.col("length")).alias("offset")]
+    return found.select(*rows.columns, *placing)
 
 
 def digest(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:

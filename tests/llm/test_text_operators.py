@@ -1,5 +1,6 @@
 """Operators on ``documents``: against SQL, brute force, and odd input."""
 
+import bisect
 import hashlib
 import os
 import random
@@ -92,25 +93,55 @@ def test_quality_repeats_and_ablations(spark):
 # ---------------------------------------------------------------- packing
 
 
+def plain_best_fit(lengths, capacity):
+    """Best fit decreasing, one document after the other."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - x)
+    return len(rooms)
+
+
+def lengths_of(kind, n, capacity, rng):
+    small, third = max(2, capacity // 25), max(2, capacity // 3)
+    made = {"even": rng.integers(1, capacity + 1, n), "small": rng.integers(1, small, n), "thirds": rng.integers(third - third // 8, third + third // 6 + 1, n), "two kinds": np.concatenate([rng.integers(1, small, n // 2), rng.integers(capacity // 2 - 1, 2 * capacity // 3, n - n // 2)]), "one": np.full(n, 3)}
+    return np.clip(made[kind], 1, capacity)
+
+
+@pytest.mark.parametrize(("kind", "n", "capacity"), [("even", 3000, 2048), ("small", 5000, 2048), ("thirds", 2000, 2048), ("two kinds", 3000, 2000), ("one", 900, 64), ("even", 40, 10)])
+def test_rounds_equal_plain_best_fit(spark, kind, n, capacity):
+    """Gapless sequences within the capacity, as many as plain best fit needs, and no document lost."""
+    lengths = lengths_of(kind, n, capacity, np.random.default_rng(n))
+    rows = spark.createDataFrame([(i, 0, int(x)) for i, x in enumerate(lengths)], "doc_id long, piece int, length long")
+    got = packing.pack(rows, capacity).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(zip(got["doc_id"], got["length"], strict=True)) == sorted(enumerate(lengths.tolist()))
+    assert (got["offset"] == got.groupby("sequence_id")["length"].cumsum() - got["length"]).all()
+    assert got.groupby("sequence_id")["length"].sum().max() <= capacity
+    assert got["sequence_id"].nunique() == plain_best_fit(lengths.tolist(), capacity)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.integers(2, 60), st.lists(st.integers(1, 60), max_size=200))
-def test_plan_is_gapless_and_tight(capacity, lengths):
-    lengths = [min(x, capacity) for x in lengths]
-    placed, n = packing.plan(dict(Counter(lengths)), capacity)
-    bins, seen = {}, Counter()
-    for length, a, b, each, first, offset in placed.tolist():
-        for rank in range(a, b):
-            step = rank - a
-            bins.setdefault(first + step // each, []).append((offset + step % each * length, length))
-            seen[length] += 1
-    assert seen == Counter(lengths) and len(bins) == n
-    for parts in bins.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= capacity
-    assert n <= -(-11 * -(-sum(lengths) // capacity) // 9) + 1 or n <= sum(x > capacity // 3 for x in lengths)
+@given(st.integers(2, 60), st.lists(st.integers(1, 60), max_size=100), st.lists(st.tuples(st.integers(1, 60), st.integers(1, 5)), max_size=20))
+def test_sweep_is_best_fit(capacity, lengths, gaps):
+    """A range's sweep places what plain best fit places into the same gaps, and loses no room."""
+    counts, start, runs, rooms = Counter(lengths), 0, [], []
+    for room, n in gaps:
+        runs.append((room, start, n, 0))
+        rooms += [room] * n
+        start += n
+    placed, over, left = packing.sweep([(x, 0, n) for x, n in counts.items()], runs)
+    rooms.sort()
+    missed = Counter()
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        if at == len(rooms):
+            missed[x] += 1
+        else:
+            bisect.insort(rooms, rooms.pop(at) - x)
+    assert Counter({x: n for x, _, n in over}) == missed
+    assert sum((last - first) * x for x, first, last, *_ in placed) + sum(r * n for r, _, n, _ in left) == sum(r * n for r, n in gaps)
+    assert sorted(r for r, _, n, _ in left for _ in range(n)) == [r for r in rooms if r]
 
 
 def test_packing_odd(spark, odd, empty):
