@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from strataq.llm.common import checkpointed
 
 
-#: Links that one task joins by itself (16 MB); with more, rounds of stars run over all executors.
-LOCAL_LINKS = 1_000_000
+#: Links that one task joins by itself before the rounds (16 MB).
+TASK_LINKS = 1_000_000
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union by the smaller node, over a bounded number of links in one task."""
+    """Union by the smaller node, over a bounded number of links in one task: a link from each node to the smallest of its part."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -33,29 +33,29 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent[max(a, b)] = min(a, b)
     nodes = np.fromiter(parent, np.int64, len(parent))
     tops = np.fromiter(map(root, list(parent)), np.int64, len(parent))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tops)], ["node", "component"])
+    keep = nodes != tops
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(tops[keep])], ["u", "v"])
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) for every node with a link to another one.
 
-    Each round joins every node to its smallest neighbour, first from its larger neighbours
-    and then from its smaller ones; a node with very many links is pre-aggregated by the
-    minimum before the shuffle. Rounds are checkpointed in the shared folder. Up to
-    ``LOCAL_LINKS`` distinct links, a single task gives the same result without rounds.
+    Links are dealt into parts of ``TASK_LINKS``, and each part is first joined by itself,
+    which leaves one link for each of its nodes. Then each round joins every node to its
+    smallest neighbour, first from its larger neighbours and then from its smaller ones, until
+    a round changes nothing; a node with very many links is pre-aggregated by the minimum
+    before the shuffle. Rounds are checkpointed in the shared folder. What fits in one part
+    needs one round, which changes nothing.
     """
-    start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now = checkpointed(start)
+    start = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    parts = max(1, -(-start.count() // TASK_LINKS))
+    now = checkpointed((start.coalesce(1) if parts == 1 else start.repartition(parts, "v")).mapInArrow(_joined, "u long, v long").distinct())
     state = _state(now)
-    if state[0] <= LOCAL_LINKS:
-        return now.coalesce(1).mapInArrow(_joined, "node long, component long")
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -65,6 +65,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         before, state = state, _state(now)
         if state == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

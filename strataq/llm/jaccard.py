@@ -3,8 +3,8 @@
 Shingles are ordered by their document frequency, rarest first. Two sets that are similar
 enough share a shingle among the first few of each, the prefix. Documents with equal sets
 become one set, and sets with equal size and prefix become one group. Groups that share a
-prefix shingle are candidates; candidates are expanded to their sets, and every pair of sets
-within a component of candidates is verified by exact intersection sizes, except where both
+prefix shingle and whose sizes allow it are candidates; candidates are expanded to their
+sets, and every pair of sets within a component of candidates is verified by exact intersection sizes, except where both
 are already known to be connected. Frequencies come from a packed exchange in which each
 block of documents sends a shingle once; a set of which under three quarters of the shingles
 occur anywhere else is done at that point.
@@ -197,7 +197,7 @@ def _forest(ids: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], left: np.n
 def _verify(table: pa.Table) -> pa.Table:
     """One task: the components (or pairs of chunks) of one unit; ``side`` 0 is left, 1 right, 2 both."""
     where = table["where"].to_numpy()
-    ids, n, side = (table[c].to_numpy() for c in ("s1", "n", "side"))
+    ids, n, side = (table[c].to_numpy() for c in ("id", "n", "side"))
     tokens = [np.frombuffer(x.as_py(), np.uint64) for x in table["tokens"]]
     order, out = np.argsort(where, kind="stable"), []
     edges = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) != 0, [True]]))
@@ -212,64 +212,89 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """Verify all units; ``rows`` has unit, where, side, s1, n, tokens."""
-    return rows.select("unit", "where", "side", "s1", "n", "tokens").groupBy("unit").applyInArrow(_verify, "a long, b long")
+    """Verify all units; ``rows`` has unit, where, side, id, n, tokens."""
+    return rows.select("unit", "where", "side", "id", "n", "tokens").groupBy("unit").applyInArrow(_verify, "a long, b long")
 
 
 def _pair(*of: str):
     return F.xxhash64(*of)
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set ids that connect all sets connected by links; ``sets`` is what ``shingle_sets`` gives, stored."""
-    light = sets.filter("tokens IS NOT NULL").groupBy("s1").agg(F.min("block").alias("block"), F.first("n").alias("n"), F.first("g").alias("g"))
-    light = checkpointed(light)
-    groups = light.groupBy("g").agg(F.min_by(F.struct("s1", "block"), "s1").alias("x")).select("g", F.col("x.s1").alias("rep"), F.col("x.block").alias("block"))
-    heads = sets.filter("tokens IS NOT NULL").select(F.col("s1").alias("rep"), "block", "prefix").join(groups, ["rep", "block"], "left_semi")
-    postings = heads.select("rep", F.explode("prefix").alias("t"))
-    least = postings.groupBy("t").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).filter("m <> x").select("t", "m")
-    shared = postings.join(least, "t").filter("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct()
-    same = light.join(groups.select("g", "rep"), "g").filter("s1 <> rep").select(F.col("s1").alias("a"), F.col("rep").alias("b"))
-    candidates = checkpointed(components(shared.unionByName(same)).withColumnRenamed("node", "s1"))
+#: What tells two sets apart: two sums of hashes and the number of shingles.
+SET = ["s1", "s2", "n"]
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"), F.count("*").alias("size"))
+
+def named(sets: DataFrame) -> DataFrame:
+    """The distinct sets (``SET``), one of the blocks that hold each, its group, and its smallest document as ``id``."""
+    return sets.filter("s1 IS NOT NULL").groupBy(*SET).agg(F.min("block").alias("block"), F.first("g").alias("g"), F.min(F.array_min("members")).alias("id"))
+
+
+def candidate_links(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (a, b) that hold all sets together which can be similar.
+
+    Sets of one group hang on its smallest. Groups that share a prefix shingle can only be
+    similar if the smaller one has three quarters of the larger one's shingles, so their
+    sizes fall into the same class or the next one: in a class all hang on its smallest
+    group, and neighbouring classes are linked. A shingle without a class between two sizes
+    does not link them.
+    """
+    some = names.filter("g IS NOT NULL")
+    groups = some.groupBy("g").agg(F.min_by(F.struct(*SET, "block", "id"), "id").alias("x")).select("g", "x.*")
+    same = some.join(groups.select("g", F.col("id").alias("rep")), "g").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    heads = sets.filter("tokens IS NOT NULL").select(*SET, "block", "prefix").join(groups.drop("g"), [*SET, "block"])
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9)
+    postings = heads.select("id", size.alias("size"), F.explode("prefix").alias("t"))
+    shared = postings.groupBy("t").agg(F.min("id").alias("m"), F.max("id").alias("x")).filter("m <> x").select("t")
+    postings = postings.join(shared, "t")
+    least = postings.groupBy("t", "size").agg(F.min("id").alias("m"))
+    inside = postings.join(least, ["t", "size"]).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    next_ = least.select("t", (F.col("size") + 1).alias("size"), F.col("m").alias("below"))
+    across = least.join(next_, ["t", "size"]).select(F.col("m").alias("a"), F.col("below").alias("b"))
+    return same.unionByName(inside).unionByName(across).distinct()
+
+
+def links(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of sets that connect all sets connected by links; ``sets`` is what ``shingle_sets`` gives, stored, and ``names`` its ``named``."""
+    candidates = checkpointed(components(candidate_links(sets, names)).withColumnRenamed("node", "id"))
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
     total = candidates.count()
     if not total:
-        return candidates.select(F.col("s1").alias("a"), F.col("component").alias("b"))
-    placed = candidates.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("s1"), F.col("k")).cast("int")).join(light.select("s1", "block"), "s1")
-    bodies = sets.filter("tokens IS NOT NULL").select("s1", "block", "n", "tokens")
+        return candidates.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    placed = candidates.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    bodies = sets.filter("tokens IS NOT NULL").select(*SET, "block", "tokens").join(names.select(*SET, "block", "id"), [*SET, "block"]).select("id", "n", "tokens")
     batches = max(1, total // BATCH)
-    small = placed.filter("k = 1").select("s1", "block", F.col("component").alias("where"), F.lit(2).alias("side"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("unit"))
+    small = placed.filter("k = 1").select("id", F.col("component").alias("where"), F.lit(2).alias("side"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("unit"))
     big = placed.filter("k > 1")
     # Large components: everything against one chunk first, which connects nearly all of a group of copies.
-    one = big.select("s1", "block", "component", "chunk", F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("chunk")).alias("to"))
-    one = one.select("s1", "block", "component", "chunk", F.explode("to").alias("j"))
-    one = one.select("s1", "block", _pair("component", "j").alias("where"), F.when(F.col("chunk") > 0, 1).when(F.col("j") == 0, 2).otherwise(0).alias("side"), _pair("component", "j").alias("unit"))
-    found = checkpointed(_units(small.unionByName(one).join(bodies, ["s1", "block"])))
+    one = big.select("id", "component", "chunk", F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("chunk")).alias("to"))
+    one = one.select("id", "component", "chunk", F.explode("to").alias("j"))
+    one = one.select("id", _pair("component", "j").alias("where"), F.when(F.col("chunk") > 0, 1).when(F.col("j") == 0, 2).otherwise(0).alias("side"), _pair("component", "j").alias("unit"))
+    found = checkpointed(_units(small.unionByName(one).join(bodies, "id")))
     if big.isEmpty():
         return found
     # Then what is left outside the largest part, against everything.
-    label = components(found).withColumnRenamed("node", "s1").withColumnRenamed("component", "label")
-    parts = big.join(label, "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    label = components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
+    parts = big.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     main = parts.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     parts = parts.join(main, "component").withColumn("rest", F.col("label") != F.col("main"))
     left = parts.filter("rest").groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("kl"))
-    parts = parts.join(left, "component").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("kl")).cast("int"))
-    a = parts.filter("rest").select("s1", "block", "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.col("part").alias("i"), F.lit(0).alias("side"))
-    b = parts.select("s1", "block", "component", F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("kl") - 1)).alias("i"), F.lit(1).alias("side"))
+    parts = parts.join(left, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("kl")).cast("int"))
+    a = parts.filter("rest").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.col("part").alias("i"), F.lit(0).alias("side"))
+    b = parts.select("id", "component", F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("kl") - 1)).alias("i"), F.lit(1).alias("side"))
     key = _pair("component", "i", "j")
-    rest = a.unionByName(b).select("s1", "block", key.alias("where"), "side", key.alias("unit"))
-    return found.unionByName(_units(rest.join(bodies, ["s1", "block"])))
+    rest = a.unionByName(b).select("id", key.alias("where"), "side", key.alias("unit"))
+    return found.unionByName(_units(rest.join(bodies, "id")))
 
 
 def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (smallest doc_id reachable by links) for each row of ``docs``."""
     sets = stored(shingle_sets(docs, size), "shingle-sets")
-    label = components(links(sets)).withColumnRenamed("node", "s1")
+    names = checkpointed(named(sets))
+    label = components(links(sets, names)).select(F.col("node").alias("id"), "component")
     alone = sets.filter("s1 IS NULL").select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles")).withColumn("component_id", F.col("doc_id"))
-    rows = sets.filter("s1 IS NOT NULL").select("s1", "n", "members").join(label, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
-    least = rows.groupBy("component").agg(F.min(F.array_min("members")).alias("component_id"))
-    linked = rows.join(least, "component").select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    # A set's id is its smallest document, and a component's the smallest id.
+    found = names.join(label, "id", "left").select(*SET, F.coalesce("component", "id").alias("component_id"))
+    linked = sets.filter("s1 IS NOT NULL").select(*SET, "members").join(found, SET).select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
 

@@ -233,9 +233,9 @@ def test_substrings_odd(spark, odd, empty):
 # ---------------------------------------------------------------- near duplicates
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
-def test_components(spark, monkeypatch, local):
-    monkeypatch.setattr(components, "LOCAL_LINKS", local)  # 0: rounds over all executors
+@pytest.mark.parametrize("links", [7, 100, 10**6])
+def test_components(spark, monkeypatch, links):
+    monkeypatch.setattr(components, "TASK_LINKS", links)  # many small parts, a few, and one
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(200)]
     label = {}
