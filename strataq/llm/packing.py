@@ -38,8 +38,8 @@ from strataq.llm.common import checkpointed, stored
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words, and parts of words, kept by a Python worker; beyond, it starts anew.
-WORD_CACHE = 100_000
+#: Encoded words, and half as many parts of words, kept by a Python worker in each of two generations.
+WORD_CACHE = 120_000
 #: Rows of one length that are ranked together, and that look for their place together.
 RANK_ROWS = 4_000
 
@@ -48,6 +48,7 @@ _encoders: dict[str, "_Words"] = {}
 
 #: Words of these characters need no normalisation but lower case, and split into the parts below.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -66,33 +67,46 @@ class _Parts(dict):
         self.model, self.letters = model, _byte_letters()
 
     def __missing__(self, part: str) -> list[int]:
-        if len(self) >= WORD_CACHE:
+        if len(self) >= WORD_CACHE // 2:
             self.clear()
-        self[part] = ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        self[part] = ids = self.encoded(part.encode().decode("latin-1").translate(self.letters))
         return ids
 
+    def encoded(self, letters: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(letters)]
+
 
 class _Words(dict):
-    """Little-endian ids of words between ASCII white space, which the tokenizer never joins."""
+    """Little-endian ids of words between ASCII white space, which the tokenizer never joins.
+
+    When the words are too many, they become the older generation; what is met again there
+    moves to the new one, so that frequent words are encoded once.
+    """
 
     def __init__(self, tokenizer, plain: bool):
         super().__init__()
         self.tokenizer, self.plain, self.parts = tokenizer, plain, _Parts(tokenizer.model)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORD_CACHE:
+            self.older = dict(self)
             self.clear()
+        if (known := self.older.get(word)) is not None:
+            self[word] = known
+            return known
         ids = None
         if self.plain and len(word) <= 64:
             # Contractions and special tokens are left to the whole tokenizer.
-            if word.isalpha():  # ASCII letters
-                ids = [t.id for t in self.parts.model.tokenize(word.lower().decode())]
-            elif word[-1:] in (b".", b",") and word[:-1].isalpha():
-                ids = [t.id for t in self.parts.model.tokenize(word[:-1].lower().decode())] + self.parts[word[-1:].decode()]
-            else:
-                text = word.decode()
-                if "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
-                    ids = [i for part in _PARTS.findall(text.lower()) for i in self.parts[part]]
+            body, tail = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+            if body.isalpha():  # ASCII letters
+                ids = self.parts.encoded(body.lower().decode())
+            elif _LETTERS.fullmatch((text := word.decode())[: len(text) - len(tail)]):
+                ids = self.parts.encoded(text[: len(text) - len(tail)].lower().encode().decode("latin-1").translate(self.parts.letters))
+            elif "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
+                ids, tail = [i for part in _PARTS.findall(text.lower()) for i in self.parts[part]], b""
+            if ids is not None and tail:
+                ids = ids + self.parts[tail.decode()]
         if ids is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         packed = struct.pack(f"<{len(ids)}I", *ids)
@@ -127,8 +141,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
         words = _words(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = b"".join(map(words.__getitem__, (text.as_py() or "").encode().split())) + end
+            texts = batch["text"].cast(pa.large_binary() if pa.types.is_large_string(batch["text"].type) else pa.binary())
+            for doc, text in zip(batch["doc_id"].to_pylist(), texts, strict=True):
+                ids = b"".join(map(words.__getitem__, (text.as_py() or b"").split())) + end
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + with_ids])

@@ -168,7 +168,7 @@ def test_packing_odd(spark, odd, empty):
 def test_plain_words_equal_the_tokenizer():
     pytest.importorskip("public_tokenizers")
     w = packing._words(None)
-    for x in ["Hello,", "l'été", "don't", "<|endoftext|>", "a1b22", "ÀÖß÷×", "x" * 70, "%%%&amp;", "İstanbul", "ſ", "é", "日本", "»«", "µ²½"]:
+    for x in ["Hello,", "l'été", "don't", "<|endoftext|>", "a1b22", "ÀÖß÷×", "x" * 70, "%%%&amp;", "İstanbul", "ſ", "été.", "Ñandú,", "Straße", "ÀB", "a.b", ".", ",", "x.,", "ª.", "don't.", "×.", "é", "日本", "»«", "µ²½"]:
         assert w[x.encode()] == np.array(w.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
