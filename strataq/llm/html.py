@@ -15,6 +15,7 @@ the columns named are read.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -23,15 +24,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(hidden)\b""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag; a larger-than sign in quotes does not end it.
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'])(?:([^\s=/"']++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(hidden)(?![^\s/>]))""")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select noframes xmp".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Elements that never hold article text.
-OUTSIDE = RAW | frozenset("head nav footer aside form button menu dialog fieldset label canvas audio video map".split())
+OUTSIDE = RAW | frozenset("head nav footer aside button menu dialog label canvas audio video map".split())
+#: Elements that are judged by what they hold, as those with a word of ``ASIDE`` are.
+_JUDGED = frozenset(("form", "fieldset"))
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body"}
 #: An open element of the second kind is closed by a start tag of the first.
@@ -45,11 +51,11 @@ _HOLDERS = frozenset(("html", "body", "main", "article"))
 
 def _set_aside(tag: str, attributes: str, in_article: bool) -> bool | None:
     """Whether an element is no part of the tree; None leaves it to what it holds."""
-    named: bool | None = False
+    named: bool | None = None if tag in _JUDGED else False
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
     if tag in _HOLDERS or not attributes:
-        return False
+        return named
     for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -80,10 +86,47 @@ class _Tree:
         return len(self.tag) - 1
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str | None, str, int]]:
+    """Text before a tag, the tag's name (None: a comment or declaration, or the end), what follows the name, and where the tag ends.
+
+    The consumer sends back where to go on. Each character is looked at a bounded number of
+    times, whatever is left open.
+    """
+    at, n, last = 0, len(page), page.rfind(">")
+    while True:
+        start = at
+        while True:  # a smaller-than sign that begins no tag is text
+            lt = page.find("<", start)
+            if lt < 0 or lt > last:
+                # Without a sign that ends a tag, all that follows is text, but for a comment that is left open.
+                comment = page.find("<!--", at if lt < 0 else lt)
+                yield page[at:] if comment < 0 else page[at:comment], None, "", n
+                return
+            if page.startswith("!--", lt + 1):
+                end = page.find("-->", lt + 4)
+                name, rest, end = None, "", n if end < 0 else end + 3
+                break
+            if page.startswith(("!", "?"), lt + 1):
+                name, rest, end = None, "", page.find(">", lt) + 1
+                break
+            if m := _NAME.match(page, lt + 1):
+                r = _REST.match(page, m.end())
+                # A quote that is never closed hides nothing: the tag ends at the next sign.
+                end = r.end() if r else page.find(">", m.end()) + 1
+                name, rest = m[1] + m[2].lower(), page[m.end() : end - 1]
+                break
+            start = lt + 1
+        at = yield page[at:lt], name, rest, end
+        if at is None:
+            at = end
+
+
 def parse(page: str) -> _Tree:
     tree = _Tree()
     stack: list[tuple[str, int]] = [("body", 0)]
-    at, links, articles, skip = 0, 0, 0, 0  # skip: depth of the stack at which set-aside content ends
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    blocks = [0]  # where blocks are
+    links, articles, skip = 0, 0, 0  # skip: depth of the stack at which set-aside content ends
 
     def text(raw: str) -> None:
         if not skip and raw:
@@ -96,82 +139,83 @@ def parse(page: str) -> _Tree:
                     tree.link_chars[node] += size
                 tree.events.append((node, clean))
 
+    def put(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
     def close(depth: int) -> None:
         nonlocal skip, links, articles
         while len(stack) > depth:
             tag, node = stack.pop()
-            if tag in BLOCK and not skip:
-                tree.events.append((node, None))
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+                if not skip:
+                    tree.events.append((node, None))
             links -= tag == "a" and not skip
             articles -= tag in ("article", "main")
             if skip and len(stack) < skip:
                 skip = 0
 
-    def close_open(tags: tuple[str, ...] | list[str], until: frozenset | tuple) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                close(i)
-                return
-            if stack[i][0] in until:
-                return
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
-    while m := _TAG.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    tokens = _tokens(page)
+    before, tag, rest, at = next(tokens)
+    while True:
+        text(before)
+        go_on = None
         if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag not in ("body", "html") and tag not in VOID:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    # An inline end tag does not close a block that is open inside it.
-                    if stack[i][0] in BLOCK and tag not in BLOCK:
-                        break
-            continue
-        if tag in VOID:
-            if tag == "br" and not skip:
-                tree.events.append((stack[-1][1], " "))
-            elif tag == "hr" and not skip:
-                tree.events.append((stack[-1][1], None))
+            if at >= len(page):
+                break
+        elif tag.startswith("/"):
+            tag = tag[1:]
+            depth = last((tag,))
+            # An inline end tag does not close a block that is open inside it.
+            if tag not in ("body", "html") and depth and (tag in BLOCK or blocks[-1] < depth):
+                close(depth)
+        elif tag in VOID:
             if not skip:
+                if tag in ("br", "hr"):
+                    tree.events.append((stack[-1][1], " " if tag == "br" else None))
                 tree.tags[stack[-1][1]] += 1
-            continue
-        if tag in ("html", "body"):
+        elif tag in ("html", "body"):
             close(1)
-            continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in _CLOSES_P:
-            close_open(("p",), ("table", "td", "button"))
-        if tag in _SIBLINGS:
-            names, until = _SIBLINGS[tag]
-            close_open(names.split(), until)
-        if skip:
-            stack.append((tag, stack[-1][1]))
-        elif aside := _set_aside(tag, m[3], articles > 0):
-            if tag in BLOCK:
-                tree.events.append((stack[-1][1], None))
-            stack.append((tag, stack[-1][1]))
-            skip = len(stack)
+        elif tag in RAW and not rest.rstrip().endswith("/"):
+            end = _RAW_END[tag].search(page, at)
+            go_on = end.end() if end else len(page)
         else:
-            node = stack[-1][1] if tag in INLINE and aside is False else tree.add(stack[-1][1], tag)
-            if aside is None:
-                tree.named.append(node)
-            if tag in BLOCK:
-                tree.events.append((node, None))
-            stack.append((tag, node))
-            links += tag == "a"
-        articles += tag in ("article", "main")
-        if tag == "a" and not skip:
-            tree.tags[stack[-1][1]] += 1
-            tree.link_tags[stack[-1][1]] += 1
-    text(page[at:])
+            if tag in _CLOSES_P and last(("p",)) > last(("table", "td", "button")):
+                close(last(("p",)))
+            if tag in _SIBLINGS:
+                names, until = _SIBLINGS[tag]
+                if last(names.split()) > last(until):
+                    close(last(names.split()))
+            if skip:
+                put(tag, stack[-1][1])
+            elif aside := _set_aside(tag, rest, articles > 0):
+                if tag in BLOCK:
+                    tree.events.append((stack[-1][1], None))
+                put(tag, stack[-1][1])
+                skip = len(stack)
+            else:
+                node = stack[-1][1] if tag in INLINE and aside is False else tree.add(stack[-1][1], tag)
+                if aside is None:
+                    tree.named.append(node)
+                if tag in BLOCK:
+                    tree.events.append((node, None))
+                put(tag, node)
+                links += tag == "a"
+            articles += tag in ("article", "main")
+            if tag == "a" and not skip:
+                tree.tags[stack[-1][1]] += 1
+                tree.link_tags[stack[-1][1]] += 1
+        try:
+            before, tag, rest, at = tokens.send(go_on)
+        except StopIteration:
+            break
     close(1)
     gone = _drop_named(tree)
     for i in range(len(tree.tag) - 1, 0, -1):
@@ -203,14 +247,25 @@ def _drop_named(tree: _Tree) -> list[bool]:
         holds[tree.parent[i]] = holds[tree.parent[i]] or holds[i]
     named = {i for i in tree.named if not holds[i]}
     marked = any(tag in ("article", "main") and size[i] for i, tag in enumerate(tree.tag))
-    while True:
+    if not marked:
+        # The nearest named node at or above each node; 0 where there is none.
+        above, below, outside = [0] * n, {i: [] for i in named}, own[0]
+        tops: list[tuple[int, int]] = []
         for i in range(1, n):
-            gone[i] = i in named or gone[tree.parent[i]]
-        tops = [i for i in named if not gone[tree.parent[i]]]
-        largest = max(tops, key=lambda i: (size[i], -i), default=0)
-        if marked or not tops or size[largest] <= 2 * sum(x for x, g in zip(own, gone, strict=True) if not g):
-            break
-        named.discard(largest)
+            up = above[tree.parent[i]]
+            above[i] = i if i in named else up
+            outside += own[i] if not above[i] else 0
+            if i in named:
+                below[up].append(i) if up else tops.append((-size[i], i))
+        heapq.heapify(tops)
+        while tops and size[tops[0][1]] > 2 * outside:
+            i = heapq.heappop(tops)[1]
+            named.discard(i)
+            outside += size[i] - sum(size[k] for k in below[i])
+            for k in below[i]:
+                heapq.heappush(tops, (-size[k], k))
+    for i in range(1, n):
+        gone[i] = i in named or gone[tree.parent[i]]
     for i in range(1, n):
         if gone[i]:
             tree.chars[i] = tree.tags[i] = tree.link_chars[i] = tree.link_tags[i] = 0

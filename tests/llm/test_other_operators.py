@@ -2,8 +2,12 @@
 
 import math
 import os
+import random
+import re
+import time
 from collections import Counter
 from datetime import date
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -58,6 +62,75 @@ def test_main_text_rows(spark):
     assert html.digest(rows.limit(0)).count() == 0
 
 
+def test_extract_from_a_page_wide_form():
+    body = "<p>The first paragraph of the text, which is long enough to be seen.</p><p>The second one follows it and is about as long.</p>"
+    assert html.extract(f"<body><form id=aspnetForm><div class=menu><a href=/>Home</a></div>{body}<form class=search><label>Find</label> Go</form></form></body>").startswith("The first paragraph")
+    assert html.extract(f"<body><div>{body}</div><form><p>Your name and your mail, please.</p></form></body>") == "The first paragraph of the text, which is long enough to be seen.\n\nThe second one follows it and is about as long."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x", "<a href='" * 60_000, "<a " * 200_000, "<a " * 200_000 + "\">", "</b>" * 200_000, "<p><b>" * 60_000, "<ul><li>" * 40_000 + "</b>" * 40_000, "<!--" * 200_000, "<script>" * 100_000, "<div>" + "<span>" * 60_000 + "</p>" * 60_000, "<li>" + "<ul>" + "<span>" * 30_000 + "<li></li>" * 30_000, "<div class=ad>" * 30_000 + "x", "<div " + "a" * 600_000 + ">x", "<div " + "a=b " * 200_000 + ">x</div>", "&" * 600_000, "<" * 600_000], ids=range(16))
+def test_extract_takes_linear_time(page):
+    start = time.process_time()
+    html.extract(page)
+    assert time.process_time() - start < 3
+
+
+@needs_data
+def test_extract_equals_the_article_of_every_page():
+    """The given pages mark their article, so cutting it out by its tags is the plain way."""
+    blocks = re.compile(r"</?(?:article|p|h[1-6]|ul|ol|li|div|section|blockquote|pre|table|tr|td|hr)\b[^>]*>")
+    rows = duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
+    for (page,) in rows:
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)
+        if not inner or "<div" in inner[1] or "<aside" in inner[1] or "<form" in inner[1] or "<nav" in inner[1]:
+            continue
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in blocks.split(re.sub(r"<!--.*?-->|<script.*?</script>|<style.*?</style>", "", inner[1], flags=re.S))]
+        assert html.extract(page) == "\n\n".join(x for x in parts if x)
+
+
+def test_densities_against_the_definition():
+    """Random trees: counts and densities of every node, from the tree itself."""
+    rng = random.Random(3)
+
+    def grow(depth):
+        """A node: tag, parts (texts and nodes)."""
+        parts = [x for _ in range(rng.randrange(1, 4)) for x in ([("".join(rng.choices("abc ", k=rng.randrange(1, 30))))] if depth > 3 or rng.random() < 0.5 else [("a", ["link text"[: rng.randrange(1, 9)]])] if rng.random() < 0.3 else [grow(depth + 1)])]
+        parts = [x for i, x in enumerate(parts) if not i or not (isinstance(x, str) and isinstance(parts[i - 1], str))]
+        return rng.choice(["div", "section", "h2"]) if depth else "div", parts
+
+    def written(node):
+        return f"<{node[0]}>" + "".join(x if isinstance(x, str) else written(x) for x in node[1]) + f"</{node[0]}>"
+
+    def counts(node, out):
+        c = t = lc = lt = 0
+        place = len(out)
+        if node[0] != "a":
+            out.append(None)
+        for x in node[1]:
+            if isinstance(x, str):
+                c += len(" ".join(x.split()))
+            elif x[0] == "a":
+                size = len(" ".join(x[1][0].split()))
+                c, lc, t, lt = c + size, lc + size, t + 1, lt + 1
+            else:
+                a, b, d, e = counts(x, out)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+        out[place] = (c, t, lc, lt)
+        return out[place]
+
+    for _ in range(200):
+        node, out = grow(0), []
+        total = counts(node, out)
+        tree = html.parse(written(node))
+        found = list(zip(tree.chars, tree.tags, tree.link_chars, tree.link_tags, strict=True))
+        assert found[1:] == out and found[0] == (total[0], total[1] + 1, total[2], total[3])
+        ratio = total[2] / max(1, total[0])
+        for (c, tags, lc, lt), d in zip(out, html.densities(tree)[1:], strict=True):
+            tags, lc, lt = max(tags, 1), max(lc, 1), max(lt, 1)
+            want = c / tags * math.log(max(c / lc * tags / lt, 1.0) + 1e-9, math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)) if c else 0
+            assert abs(d - want) < 1e-6 * max(1, abs(want))
+
+
 # ---------------------------------------------------------------- nearest neighbours
 
 
