@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.operators.running import running
+
 
 def capture(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Changes from (key, oid, kind, size, mtime, mode): A, D, M, T.
@@ -23,7 +25,7 @@ def capture(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 def numbered(changes: DataFrame, by: str, order: str = "key") -> DataFrame:
     """A dense ``seq`` from 0 within each revision."""
-    return changes.withColumn("seq", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+    return running(changes, [by], [order], seq=F.lit(1)).withColumn("seq", (F.col("seq") - 1).cast("long"))
 
 
 def reconcile(recorded: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.operators.running import running
+
 MOST = 1025
 
 
@@ -63,9 +65,8 @@ def probe(rows: DataFrame, prefix: str, column: str = "key") -> DataFrame:
 
 def within_budget(rows: DataFrame, size: str, budget: int, partition: list[str], order: list[str]) -> DataFrame:
     """The leading rows of each partition whose sizes sum to ``budget`` at most; the first row is always kept."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    running = rows.withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_row", F.row_number().over(w))
-    return running.filter((F.col("_sum") <= budget) | (F.col("_row") == 1)).drop("_sum", "_row")
+    summed = running(rows, partition, order, _sum=F.col(size), _row=F.lit(1))
+    return summed.filter((F.col("_sum") <= budget) | (F.col("_row") == 1)).drop("_sum", "_row")
 
 
 def worlds_first(names: DataFrame, first: str = "main") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.operators.running import running
+
 
 def by_state(rows: DataFrame, state: str, amount: Column) -> DataFrame:
     return rows.groupBy(F.col(state).alias("state")).agg(F.count("*").alias("n"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"))
@@ -52,9 +54,14 @@ def hardlink_groups(names: DataFrame, by: list[str], name: str, links: str) -> D
 
 
 def guarded_percentiles(samples: DataFrame, by: list[str], value: str, least: int = 1000) -> DataFrame:
-    """Nearest-rank median and 95th percentile; the latter is withheld below ``least`` samples."""
-    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return samples.groupBy(*by).agg(F.count(value).alias("n"), disc(0.5).alias("p50"), F.when(F.count(value) >= least, disc(0.95)).alias("p95"))
+    """Nearest-rank median and 95th percentile; the latter is withheld below ``least`` samples. Ranks are running counts of the distinct values."""
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ranked = running(counts, by, [value], _r=F.col("_c"))
+    totals = samples.groupBy(*by).agg(F.count(value).alias("n"))
+    named = ranked.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), value, "_r")
+    j = totals.join(named, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(by)], "left")
+    nearest = lambda q: F.min(F.when(F.col("_r") >= F.col("n") * q, F.col(value)))
+    return j.groupBy(*by, "n").agg(nearest(0.5).alias("p50"), nearest(0.95).alias("p95")).withColumn("p95", F.when(F.col("n") >= least, F.col("p95"))).select(*by, "n", "p50", "p95")
 
 
 def coverage(cases: DataFrame) -> DataFrame:

@@ -23,5 +23,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset, a local one."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strataq-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/strataq-checkpoints")
     return df.checkpoint(eager=True)
