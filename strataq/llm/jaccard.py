@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm.common import checkpointed, stored
 from strataq.llm.components import components
-from strataq.llm.windows import BASES, CELL, by_block, cell_table, cells, mixed, window_hashes, word_hashes
+from strataq.llm.windows import BASES, ascending, by_block, cell_table, cells, exchange, mixed, numbers, received, window_hashes, word_hashes
 
 SIZE = 5
 #: A pair links when ``100 * intersection >= PERCENT * union``.
@@ -85,15 +85,14 @@ class _Block:
         """Each distinct shingle once, as 32 bits within its bucket, and in how many sets (255 at most) it is."""
         key, count = np.unique(self._all()[2], return_counts=True)
         value, count = (key & 0xFFFFFFFF).astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
-        return cells(block, key >> 32, self.n_buckets, lambda s: value[s].tobytes() + count[s].tobytes(), np.arange(len(key)))
+        return cells(block, key >> 32, self.n_buckets, lambda s: ascending(value[s]) + count[s].tobytes(), np.arange(len(key)))
 
-    def rows(self, block: int, answers: pa.Table) -> pa.Table:
+    def rows(self, block: int, answers: list[tuple[int, bytes]]) -> pa.Table:
         """A row for each set; ``tokens`` (rarest first) and ``prefix`` only where a similar set is possible."""
         parts = []
-        for bucket, data in zip(answers["bucket"].to_pylist(), answers["data"], strict=True):
-            raw = data.as_py()
+        for bucket, raw in answers:
             n = len(raw) // 6
-            parts.append((np.frombuffer(raw, np.uint32, n).astype(np.int64) | (bucket << 32), np.frombuffer(raw, np.uint16, n, 4 * n)))
+            parts.append((numbers(raw, n).astype(np.int64) | (bucket << 32), np.frombuffer(raw, np.uint16, n, 4 * n)))
         known = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
         often = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint16)
         order = np.argsort(known)
@@ -128,7 +127,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     for data in table["data"]:
         raw = data.as_py()
         n = len(raw) // 5
-        parts.append((np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint8, n, 4 * n)))
+        parts.append((numbers(raw, n), np.frombuffer(raw, np.uint8, n, 4 * n)))
     value, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(value, kind="stable")
     new = np.flatnonzero(np.concatenate([[True], np.diff(value[order]) != 0]))
@@ -141,7 +140,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
         v, d = value[edges[i] : edges[i + 1]], df[edges[i] : edges[i + 1]]
         keep = d > 1
         if keep.any():
-            out.append((bucket, block, v[keep].tobytes() + np.minimum(d[keep], 65535).astype(np.uint16).tobytes()))
+            out.append((bucket, block, ascending(v[keep]) + np.minimum(d[keep], 65535).astype(np.uint16).tobytes()))
     return cell_table(out)
 
 
@@ -153,9 +152,9 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return cell_table(_Block(table, size, n).send(key[0].as_py()))
 
     def second(key, table, answers):
-        return _Block(table, size, n).rows(key[0].as_py() if table.num_rows else 0, answers)
+        return _Block(table, size, n).rows(key[0].as_py() if table.num_rows else 0, received(answers))
 
-    answers = blocks.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(_frequencies, CELL)
+    answers = exchange(blocks.groupBy("block").applyInArrow, first, _frequencies, n)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(second, SETS)
 
 

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.windows import BASES, CELL, by_block, cell_table, cells, window_hashes, word_hashes
+from strataq.llm.windows import BASES, by_block, cell_table, cells, exchange, received, window_hashes, word_hashes
 
 WIDTH = 50
 PERIOD = 31
@@ -154,8 +155,12 @@ def _earlier_windows(table: pa.Table) -> pa.Table:
     return cell_table((bucket, block, np.packbits(earlier[edges[i] : edges[i + 1]]).tobytes()) for i, block in enumerate(table["block"].to_pylist()))
 
 
+def _of(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    return received(answers.filter(pc.equal(answers["kind"], kind)))
+
+
 def _shared(answers: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(d.as_py(), np.uint64) for d, k in zip(answers["data"], answers["kind"].to_pylist(), strict=True) if k == _ANCHORS]
+    parts = [np.frombuffer(d, np.uint64) for _, d in _of(answers, _ANCHORS)]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
@@ -189,7 +194,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFr
 
     def third(key, table, answers):
         block = _Block(table, width, n) if answers.num_rows else None
-        gone = block.removed(_shared(answers), {i: d.as_py() for i, d, k in zip(answers["bucket"].to_pylist(), answers["data"], answers["kind"].to_pylist(), strict=True) if k == _WINDOWS}) if block else None
+        gone = block.removed(_shared(answers), dict(_of(answers, _WINDOWS))) if block else None
         totals, removed, digests, texts = [], [], [], []
         for i, text in enumerate(table["text"]):
             text = text.as_py() or ""
@@ -206,8 +211,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFr
         out = out.append_column("n_words", pa.array(totals, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64())).append_column("kept_sha256", pa.array(digests, pa.string()))
         return out.append_column("kept_text", pa.array(texts, pa.string())) if with_text else out
 
-    anchors = blocks.groupBy("block").applyInArrow(first, CELL).groupBy("bucket").applyInArrow(_shared_anchors, CELL).withColumn("kind", F.lit(_ANCHORS))
-    windows = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(second, CELL).groupBy("bucket").applyInArrow(_earlier_windows, CELL).withColumn("kind", F.lit(_WINDOWS))
+    anchors = exchange(blocks.groupBy("block").applyInArrow, first, _shared_anchors, n).withColumn("kind", F.lit(_ANCHORS))
+    windows = exchange(blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow, second, _earlier_windows, n).withColumn("kind", F.lit(_WINDOWS))
     answers = anchors.unionByName(windows)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in (columns if with_text else ["doc_id"])]
     fields = [next(x for x in fields if x.startswith(f"`{c}` ")) for c in (columns if with_text else ["doc_id"])]

@@ -10,11 +10,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strataq.llm import components, jaccard, langid, mixing, packing, quality, substrings
+from strataq.llm import components, jaccard, langid, mixing, packing, quality, substrings, windows
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -215,6 +216,27 @@ def copies():
     return docs + docs[:3]
 
 
+@pytest.mark.parametrize("n", [1, 10, 40, 160])
+def test_exchange_has_no_cell_for_each_pair(spark, n):
+    """Each bucket hears every block and answers each; the packs grow with the root of the number of blocks, not with the number."""
+    blocks = spark.range(n).selectExpr("cast(id as int) AS block")
+
+    def first(key, table):
+        return windows.cell_table((k, key[0].as_py(), f"{key[0].as_py()}>{k}".encode()) for k in range(n))
+
+    def merge(table):
+        k = table["bucket"][0].as_py()
+        assert sorted(d.as_py() for d in table["data"]) == sorted(f"{b}>{k}".encode() for b in range(n))
+        return windows.cell_table((k, b, f"{k}<{b}".encode()) for b in table["block"].to_pylist())
+
+    answers = windows.exchange(blocks.groupBy("block").applyInArrow, first, merge, n).toArrow()
+    root = int(np.ceil(np.sqrt(n)))
+    assert answers.num_rows <= n * (n // root + 1)
+    for b in range(0, n, 7):
+        mine = windows.received(answers.filter(pc.equal(answers["block"], b)))
+        assert sorted(mine) == [(k, f"{k}<{b}".encode()) for k in range(n)]
+
+
 def test_substrings_against_brute_force(spark, copies, monkeypatch):
     monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n, size=0: 5)
     got = substrings.dedup(spark.createDataFrame(copies, "doc_id long, text string")).collect()
