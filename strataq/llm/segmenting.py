@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ SEED = 11
 NODES = 1_000_000
 #: Characters of the texts that are searched together.
 TOGETHER = 1 << 17
+#: Characters that the table of beginnings has columns for, and of the longest words whose lattices are made together.
+CLASSES, LONGEST = 128, 64
 _MARK = "▁"
 #: The marked text is cut before each mark that follows another character; pieces never cross these cuts.
 _WORDS = re.compile(f"{_MARK}+[^{_MARK}]*")
@@ -59,7 +62,7 @@ class _Grown:
     def __init__(self, kind):
         self.data, self.size = np.empty(1 << 12, kind), 0
 
-    def add(self, rows: list) -> None:
+    def add(self, rows: list | np.ndarray) -> None:
         end = self.size + len(rows)
         if end > len(self.data):
             self.data = np.concatenate([self.data, np.empty(max(end, len(self.data)), self.data.dtype)])
@@ -90,8 +93,30 @@ class Vocabulary:
             elif not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)):
                 self.pieces[piece] = (i, weight)
         self.beginnings = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
+        self._trie()
         self.forget()
 
+    def _trie(self) -> None:
+        """The beginnings of pieces as a table: a row for each that goes on, a column for each of the most frequent characters."""
+        often = Counter(c for p in self.pieces for c in p).most_common(CLASSES - 1)
+        self.classes = np.zeros(1 << 14, np.uint8)
+        classes = {c: i for i, (c, _) in enumerate(often, 1) if ord(c) < len(self.classes)}
+        for c, i in classes.items():
+            self.classes[ord(c)] = i
+        known = [b for b in self.beginnings if all(c in classes for c in b)]
+        place = {b: i for i, b in enumerate(known, 1)} | {"": 0}
+        parents = {b[:-1] for b in known}
+        row = {b: i for i, b in enumerate(sorted(parents), 1)}
+        self.row = np.zeros(len(known) + 1, np.int32)
+        for b, i in row.items():
+            self.row[place[b]] = i
+        self.step = np.zeros((len(row) + 1, CLASSES), np.int32)
+        self.piece, self.weight = np.full(len(known) + 1, -1, np.int64), np.zeros(len(known) + 1)
+        for b in known:
+            self.step[row[b[:-1]], classes[b[-1]]] = place[b]
+            if b in self.pieces:
+                self.piece[place[b]], self.weight[place[b]] = self.pieces[b]
+
     def forget(self) -> None:
         size = self.processor.get_piece_size()
         self.roots: dict[str, int] = {}
@@ -128,6 +153,71 @@ class Vocabulary:
             out.append(here)
         return out
 
+    def learn(self, new: list[str]) -> None:
+        """Make the lattices of many words at once; ``root`` makes those of long words and of rare characters one by one."""
+        lengths = np.array([len(w) for w in new], np.int64)
+        codes = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+        kind = self.classes.take(np.minimum(codes, len(self.classes) - 1))
+        kind[codes >= len(self.classes) - 1] = 0
+        start = np.cumsum(lengths) - lengths
+        plain = (lengths <= LONGEST) & (np.minimum.reduceat(kind, start) > 0) if len(new) else np.empty(0, bool)
+        for i in np.flatnonzero(~plain).tolist():
+            self.root(new[i])
+        if not plain.any():
+            return
+        kind = kind[np.repeat(plain, lengths)]
+        words, lengths = [w for w, p in zip(new, plain.tolist(), strict=True) if p], lengths[plain]
+        start = np.cumsum(lengths) - lengths
+        n = int(lengths.sum())
+        left = np.repeat(start + lengths, lengths) - np.arange(n)  # characters from here to the word's end
+        at, node, size, found = np.arange(n), np.zeros(n, np.int32), 0, []
+        while len(at):
+            node = self.step[self.row.take(node), kind.take(at + size)]
+            alive = node > 0
+            at, node, size = at[alive], node[alive], size + 1
+            piece = self.piece.take(node)
+            has = piece >= 0
+            found.append((at[has], np.full(has.sum(), size), piece[has], self.weight.take(node[has])))
+            on = left.take(at) > size
+            at, node = at[on], node[on]
+        bare = np.ones(n, bool)
+        bare[found[0][0]] = False
+        if bare.any():  # no piece of this character alone
+            text = "".join(words)
+            more = [self._character(text[i]) for i in np.flatnonzero(bare).tolist()]
+            found.append((np.flatnonzero(bare), np.ones(len(more), np.int64), np.array([u for u, _ in more], np.int64), np.array([w for _, w in more])))
+        at, size, unit, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        # From the words' ends to their beginnings: the log mass of all ways on from each place.
+        order = np.lexsort((size, at, left[at]))
+        at, size, unit, weight = at[order], size[order], unit[order], weight[order]
+        mass, value = np.zeros(n + 1), np.empty(len(at))
+        edges = np.searchsorted(left[at], np.arange(1, int(lengths.max()) + 2))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            here, to = at[a:b], at[a:b] + size[a:b]
+            v = value[a:b] = weight[a:b] + np.where(size[a:b] == left[here], 0.0, mass.take(to))
+            new_ = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if b > a else np.empty(0, np.int64)
+            if b > a:
+                top = np.maximum.reduceat(v, new_)
+                many = np.diff(np.append(new_, b - a))
+                mass[here[new_]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), new_))
+        log = value - mass.take(at)
+        order = np.lexsort((size, at))
+        at, size, unit, log = at[order], size[order], unit[order], log[order]
+        many = np.bincount(at, minlength=n)
+        first = np.cumsum(many) - many
+        log[many[at] == 1] = 0.0
+        share = np.exp(log)
+        small = np.where(share > 0.5, 0.0, share)
+        # At most one option has over half; what the others have is added up without it.
+        others = np.where(share > 0.5, np.add.reduceat(small, first)[at], np.add.reduceat(share, first)[at] - share)
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(others, 0.0))
+        base, options = self.first.size, self.log.size
+        to = np.where(size < left[at], base + at + size, -1)
+        for grown, rows in ((self.first, options + first), (self.many, many), (self.log, log), (self.share, share), (self.rest, rest), (self.next, to), (self.unit, unit)):
+            grown.add(rows)
+        self.roots.update(zip(words, (base + start).tolist(), strict=True))
+
     def root(self, word: str) -> int:
         """The first node of a word's lattice."""
         if word in self.roots:
@@ -211,7 +301,9 @@ class _Search:
         self.v, self.k, self.n = v, k, len(texts)
         if v.first.size > NODES:
             v.forget()
-        each = [[v.root(w) for w in words(t)] if t else [] for t in texts]
+        found = [words(t) if t else [] for t in texts]
+        v.learn([w for w in {w for x in found for w in x} if w not in v.roots])
+        each = [[v.roots[w] for w in x] for x in found]
         self.words = np.array([len(x) for x in each], np.int64)
         self.first_word = np.cumsum(self.words) - self.words
         self.roots = np.array([r for x in each for r in x], np.int64)

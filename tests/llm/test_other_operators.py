@@ -268,6 +268,25 @@ def test_samples_follow_the_lattice():
     assert abs(sum(estimate.values()) - 1) < 0.02
 
 
+def test_lattices_made_together_equal_those_made_alone():
+    pytest.importorskip("public_tokenizers")
+    together, alone = segmenting.vocabulary(None, 0.5), segmenting.Vocabulary(segmenting.vocabulary(None, 0.5).processor, 0.5)
+    new = ["▁the", "▁tion", "▁été", "▁a", "▁", "▁▁", "▁日本x", "▁" + "ab" * 50, "▁x\u0001y", "▁Hello,", "▁\U0001f600", "▁ndner"]
+    together.forget()
+    together.learn(new)
+    for w in new:
+        alone.root(w)
+        for i in range(len(w)):
+            a, b = together.roots[w] + i, alone.roots[w] + i
+            x, y = (slice(v.first.data[n], v.first.data[n] + v.many.data[n]) for v, n in ((together, a), (alone, b)))
+            assert together.many.data[a] == alone.many.data[b]
+            assert np.allclose(together.log.data[x], alone.log.data[y], atol=1e-9) and np.allclose(np.exp(together.rest.data[x]), np.exp(alone.rest.data[y]), atol=1e-9)
+            ends = lambda v, part, root: [n - v.roots[w] if n >= 0 else None for n in v.next.data[part].tolist()]
+            assert ends(together, x, a) == ends(alone, y, b)
+            assert [together.ids.data[together.unit_first.data[u] : together.unit_first.data[u] + together.unit_many.data[u]].tolist() for u in together.unit.data[x]] == [alone.ids.data[alone.unit_first.data[u] : alone.unit_first.data[u] + alone.unit_many.data[u]].tolist() for u in alone.unit.data[y]]
+    together.forget()
+
+
 def test_segmentation_rows(spark):
     pytest.importorskip("public_tokenizers")
     texts = [None, "", "a", "Hello wörld  two", "日本 \U0001f600 x\n", "word " * 3000]
