@@ -38,8 +38,8 @@ from strataq.llm.common import checkpointed, stored
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words, and half as many parts of words, kept by a Python worker in each of two generations.
-WORD_CACHE = 120_000
+#: Encoded words, and an eighth as many parts of words, kept by a Python worker in each of two generations.
+WORD_CACHE = 250_000
 #: Rows of one length that are ranked together, and that look for their place together.
 RANK_ROWS = 4_000
 
@@ -48,6 +48,8 @@ _encoders: dict[str, "_Words"] = {}
 
 #: Words of these characters need no normalisation but lower case, and split into the parts below.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Writers of few ids, by their number.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -67,7 +69,7 @@ class _Parts(dict):
         self.model, self.letters = model, _byte_letters()
 
     def __missing__(self, part: str) -> list[int]:
-        if len(self) >= WORD_CACHE // 2:
+        if len(self) >= WORD_CACHE // 8:
             self.clear()
         self[part] = ids = self.encoded(part.encode().decode("latin-1").translate(self.letters))
         return ids
@@ -92,13 +94,13 @@ class _Words(dict):
         if len(self) >= WORD_CACHE:
             self.older = dict(self)
             self.clear()
-        if (known := self.older.get(word)) is not None:
-            self[word] = known
+        if word in self.older:
+            self[word] = known = self.older[word]
             return known
         ids = None
         if self.plain and len(word) <= 64:
             # Contractions and special tokens are left to the whole tokenizer.
-            body, tail = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+            body, tail = (word[:-1], word[-1:]) if word.endswith((b".", b",")) else (word, b"")
             if body.isalpha():  # ASCII letters
                 ids = self.parts.encoded(body.lower().decode())
             elif _LETTERS.fullmatch((text := word.decode())[: len(text) - len(tail)]):
@@ -109,7 +111,7 @@ class _Words(dict):
                 ids = ids + self.parts[tail.decode()]
         if ids is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
         if len(word) <= 64:
             self[word] = packed
         return packed
