@@ -62,6 +62,8 @@ WORD_STATES, SHORT_STATES = 4, 3
 GATES = 5 * WORD_STATES * SHORT_STATES
 #: Codes of contexts with the word's length begin here.
 LONG = 1 << 25
+#: Symbols whose words are hashed at once, about.
+SOME = 1 << 19
 #: Text of a block.
 TEXT_BYTES = 4 << 20
 
@@ -127,27 +129,34 @@ class Symbols:
         np.maximum.accumulate(start, out=start)
         #: Symbols of the word so far.
         self.rank = np.subtract(place, start, out=start)
-        #: The two symbols before, and how long the word is so far (15: or longer).
-        self.long = np.minimum(self.rank, 15).astype(np.uint32) << np.uint32(10)
-        self.long |= self.short & np.uint32(1023)
+
+    def long(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The two symbols before, and how long the word is so far (15: or longer)."""
+        return np.minimum(self.rank[at], 15).astype(np.uint32) << np.uint32(10) | self.short[at] & np.uint32(1023)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Places where a word ends or has ``REACH`` symbols so far, and their codes: a hash of the word so far in 58 bits, then the symbol in five."""
         power = np.full(int(self.rank.max(initial=0)) + 1, _BASE, np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        total = np.zeros(len(self.sym) + 1, np.uint64)
-        part = power.take(self.rank)
-        part *= _VALUES.take(self.sym)
-        np.cumsum(part, out=total[1:])
-        del part
-        at = np.flatnonzero((self.rank >= REACH) | (self.sym == SPACE))
-        rank, sym = self.rank[at], self.sym[at]
-        h = mixed(total[at] - total[at - rank] + power.take(rank))
-        h >>= np.uint64(6)
-        h <<= np.uint64(5)
-        h |= sym
-        return at, h
+        places, codes = [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
+        # Some texts at a time, as words do not cross texts.
+        edges = np.unique(np.append(self.first[np.searchsorted(self.first, np.arange(0, len(self.sym), SOME))], len(self.sym)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rank, sym = self.rank[a:b], self.sym[a:b]
+            total = np.zeros(b - a + 1, np.uint64)
+            part = power.take(rank)
+            part *= _VALUES.take(sym)
+            np.cumsum(part, out=total[1:])
+            at = np.flatnonzero((rank >= REACH) | (sym == SPACE))
+            rank, sym = rank[at], sym[at]
+            h = mixed(total[at] - total[at - rank] + power.take(rank))
+            h >>= np.uint64(6)
+            h <<= np.uint64(5)
+            h |= sym
+            places.append((at + a).astype(np.int32))
+            codes.append(h)
+        return np.concatenate(places), np.concatenate(codes)
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
@@ -218,7 +227,7 @@ def short_counts(texts: Symbols, learned: np.ndarray) -> tuple[np.ndarray, np.nd
     four = texts.short[here] << np.uint32(5) | sym
     four.sort()
     new = _runs(four, 0)
-    two = np.bincount(texts.long[here].astype(np.int32) << 5 | sym, minlength=1)
+    two = np.bincount(texts.long(here).astype(np.int32) << 5 | sym, minlength=1)
     codes = np.flatnonzero(two)
     return np.concatenate([four[new], codes + LONG]).astype(np.uint64), np.concatenate([np.diff(np.append(new, len(four))), two[codes]])
 
@@ -272,11 +281,11 @@ class Mixer:
         src = (start + step)[here]
         lane = np.broadcast_to(np.arange(len(start), dtype=np.int32), here.shape)[here]
         edges = (5 * np.concatenate([[0], np.cumsum(here.sum(1))])).tolist()
-        sym, short, known = texts.sym.take(src), texts.short.take(src), state.take(src)
+        sym, short, known = texts.sym.take(src), texts.short.take(src), state.take(src).astype(np.int32)
         two, four = self.tables.made()
         x = np.empty((len(src), 5, 4), np.int8)
         row = self.tables.row.take(short)
-        for k, path in enumerate((two.take(texts.long.take(src) << np.uint32(5) | sym), four.take(row << np.int32(5) | sym), word.take(src))):
+        for k, path in enumerate((two.take(texts.long(src) << np.uint32(5) | sym), four.take(row << np.int32(5) | sym), word.take(src))):
             x[:, :, k] = path.view(np.int8).reshape(-1, 8)[:, :5]
         x[:, :, 3] = _CONSTANT.take(sym, 0)
         gate = ((lane * GATES + (known * SHORT_STATES + self.tables.seen.take(short)) * 5)[:, None] + np.arange(5)).ravel()
@@ -424,10 +433,9 @@ class Words:
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The word predictor's logits by place as in ``Tables.paths``, and its gate: short word, never seen, up to three times, oftener."""
-        logit, state = np.zeros((self.places, 8), np.int8), np.zeros(self.places, np.int32)
+        logit, state = np.zeros((self.places, 8), np.int8), np.zeros(self.places, np.uint8)
         at, code, doc = self.at[self.predicts], self.code[self.predicts], self.doc[self.predicts]
-        mine = self.learned[doc]
-        own = [x * mine for x in self._own(code, doc)]
+        own = self._own(code, doc)
         found = np.zeros((len(at), 8), np.int8)
         for k in range(5):
             same, other = _without(self.total[k].take(code), own[k + 1]), _without(self.total[k + 5].take(code), own[k] - own[k + 1])
@@ -437,7 +445,7 @@ class Words:
             if not k:
                 first = same.astype(np.int32) + other
         logit.view(np.uint64).ravel()[at] = found.view(np.uint64).ravel()
-        state[at] = 1 + (first > 0).astype(np.int32) + (first > 3)
+        state[at] = 1 + (first > 0).astype(np.uint8) + (first > 3)
         return logit.view(np.uint64).ravel(), state
 
     def _own(self, code: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
@@ -456,16 +464,20 @@ class Words:
         doc, code = key >> wide, self.codes.take(key & ((1 << wide) - 1))
         anew = np.ones(len(key), bool)
         np.not_equal(doc[1:], doc[:-1], out=anew[1:])
-        out = [np.ones(len(code), np.int32) for _ in range(6)]
+        # What the text has not taught is not in the totals either.
+        taught = self.learned[doc]
+        out = [np.empty(len(code), np.uint16) for _ in range(6)]
+        for x in out:
+            x[order] = taught
         some = np.arange(len(code))
         for k, shift in enumerate((5, 4, 3, 2, 1, 0)):
             upper = code >> np.uint64(shift)
             begins = anew.copy()
             begins[1:] |= upper[1:] != upper[:-1]
             new = np.flatnonzero(begins)
-            size = np.diff(np.append(new, len(code))).astype(np.int32)
-            size = np.repeat(size, size)
-            out[k][order[some]] = size
+            size = np.diff(np.append(new, len(code)))
+            size = np.repeat(np.minimum(size, 65535).astype(np.uint16), size)
+            out[k][order[some]] = size * taught[some]
             if not k:  # what the text has once is alone at all further decisions
                 twice = size > 1
                 some, code, anew = some[twice], code[twice], begins[twice]
