@@ -91,6 +91,7 @@ def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements and ``failed_bits``: bit i is set where rule i of ``RULES`` fails."""
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)), F.lit(0))
     # A filter on the bits must not be pushed below the measurements: it would compute them again for each element.
+    # An expression that is not deterministic holds it above; test_quality_filter_stays_above checks the plan.
     once = F.when(F.monotonically_increasing_id() >= 0, bits)
     return measured(docs, carry).withColumn("failed_bits", once.cast("int"))
 
@@ -138,3 +139,11 @@ m AS (SELECT doc_id, n_words::BIGINT AS n_words, length(array_to_string(w, '')):
 f AS (SELECT *, ({" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))})::INTEGER AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {BASE}) <> 0 AS base_failed, (failed_bits & {POLICIES[CURRENT]}) = 0 AS kept, failed_bits FROM f
 """
+
+_HIT = lambda mask: f"(failed_bits & {mask})"
+ABLATIONS_SQL = f"WITH q AS ({SQL.strip()}) " + " UNION ALL ".join(
+    f"SELECT '{version}' AS policy, '{name}' AS rule, count(*) FILTER ({_HIT(mask)} <> 0) AS rejected, count(*) FILTER ({_HIT(bit)} <> 0) AS failing, count(*) FILTER ({_HIT(mask)} = {bit}) AS only_this_rule FROM q"
+    for version, mask in POLICIES.items()
+    for name, bit in BITS.items()
+    if mask & bit
+)

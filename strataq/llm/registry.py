@@ -50,6 +50,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(table(spark, sf_dir, "pages"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy of the quality rules does to ``documents``."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,4 +74,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_join": jaccard.SQL,
     "op9_quality_rules": quality.SQL,
     "op10_url_filters": urls.SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }

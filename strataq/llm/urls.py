@@ -3,8 +3,9 @@
 A list is a ledger of dated events that add or remove an entry. The events of one entry
 become half-open validity intervals, and each capture is compared with the entries that were
 active when it was fetched: an equality join on the keys a URL can match, with the interval
-as a further condition. Captures of one host may be a third of all, so captures are dealt
-over ``SALTS`` parts and the much smaller list is repeated for each part.
+as a further condition. Captures of one host may be a third of all, so captures that have a listed
+key in common are counted first: a key with more than ``PART_ROWS`` of them is dealt over as
+many parts as it needs, and only its entries are repeated for each part.
 
 Kinds of entries: ``host`` (exactly this host), ``domain`` (this host and all below it) and
 ``path`` (host and leading path segments). Events of one entry at one time: a removal wins.
@@ -20,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Captures of one key that are joined together, about. Keys with more are broadcast: one row for each ``PART_ROWS``
+#: captured keys at most, which is 100,000 rows for 10^10 of them.
+PART_ROWS = 100_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 ADDED = ("host", "blocked", "n_active", "entry", "active_since")
@@ -48,7 +51,7 @@ def keys_of(url: Column, host: Column) -> Column:
     return F.when(host.isNotNull(), F.concat(exact, below, F.coalesce(paths, F.array().cast("array<struct<kind:string,entry:string>>"))))
 
 
-def as_of(captures: DataFrame, events: DataFrame, salts: int = SALTS) -> DataFrame:
+def as_of(captures: DataFrame, events: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Captures (url, fetched_at, ...) with the entries active at ``fetched_at``.
 
     ``entry`` is the longest active one (ties: the smallest by kind, then by text) and
@@ -56,9 +59,14 @@ def as_of(captures: DataFrame, events: DataFrame, salts: int = SALTS) -> DataFra
     """
     captures = captures.drop(*ADDED).withColumn("host", host_of(F.col("url")))
     distinct = captures.select("url", "host", "fetched_at").filter("host IS NOT NULL AND fetched_at IS NOT NULL").distinct()
-    keyed = distinct.select("url", "fetched_at", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(salts)).alias("salt"), F.inline(keys_of(F.col("url"), F.col("host"))))
-    active = intervals(events).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    hit = keyed.join(active, ["kind", "entry", "salt"]).filter("valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)")
+    active = intervals(events)
+    keyed = distinct.select("url", "fetched_at", F.inline(keys_of(F.col("url"), F.col("host"))))
+    # Counted by key before the shuffle; only listed keys matter.
+    counts = keyed.groupBy("kind", "entry").agg(F.count("*").alias("n")).filter(F.col("n") > part_rows)
+    hot = F.broadcast(counts.join(active.select("kind", "entry").distinct(), ["kind", "entry"], "left_semi").select("kind", "entry", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")))
+    salted = keyed.join(hot, ["kind", "entry"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("url", "fetched_at"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    repeated = active.join(hot, ["kind", "entry"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hit = salted.join(repeated, ["kind", "entry", "salt"]).filter("valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)")
     best = F.min(F.struct((-F.char_length("entry")).alias("n"), F.col("kind"), F.col("entry"), F.col("valid_from")))
     found = hit.groupBy("url", "fetched_at").agg(F.count("*").alias("n_active"), best.alias("best"))
     found = found.select("url", "fetched_at", "n_active", F.concat_ws(":", "best.kind", "best.entry").alias("entry"), F.col("best.valid_from").alias("active_since"))

@@ -327,3 +327,14 @@ def test_url_intervals(spark):
     assert got == [(1, 1, "host:x.b.org"), (2, 2, "host:x.b.org"), (3, 0, None), (4, 1, "domain:b.org"), (4, 1, "domain:b.org"), (5, 1, "path:c.org/p"), (6, 0, None), (7, 0, None), (8, 0, None), (9, 0, None), (10, 0, None)]
     assert urls.as_of(captures, e.limit(0)).filter("blocked").count() == 0 and urls.as_of(captures.limit(0), e).count() == 0
     assert urls.as_of(captures.withColumn("x", F.lit(1)), e).filter("x = 1").count() == 11
+
+
+def test_hot_keys_are_dealt_over_parts(spark):
+    """A host with most captures gives the same result in parts as in one."""
+    rows = [(i, "http://hot.org/a" if i % 3 else f"http://h{i % 7}.org/p/{i}", date(2024, 1, 1 + i % 28)) for i in range(900)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at date")
+    events = spark.createDataFrame([("domain", "hot.org", "add", date(2024, 1, 5)), ("host", "h1.org", "add", date(2024, 1, 1)), ("path", "h2.org/p", "add", date(2024, 1, 3))], "kind string, entry string, action string, at date")
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(urls.as_of(captures, events, part_rows=3)) == key(urls.as_of(captures, events))
+    long = spark.createDataFrame([(1, "http://a.org/" + "x/" * 3000, date(2024, 2, 1))], "page_id long, url string, fetched_at date")
+    assert urls.as_of(long, events).count() == 1

@@ -91,6 +91,41 @@ def test_quality_repeats_and_ablations(spark):
         assert r["only_this_rule"] == sum(m & policy == bit for m in masks)
 
 
+@needs_data
+def test_quality_filter_stays_above(spark, capsys):
+    """The measurements are computed once, below the filter on the bits, and not again inside of it."""
+    quality.filtered(spark.read.parquet(f"{SF}/documents.parquet")).explain("simple")
+    plan = capsys.readouterr().out
+    lines = [x for x in plan.splitlines() if "Filter" in x]
+    assert lines and all("regexp_replace" not in x and "transform" not in x for x in lines)
+
+
+@needs_data
+def test_ablations_against_sql(spark):
+    same(quality.ablations(quality.ledger(spark.read.parquet(f"{SF}/documents.parquet"))).toPandas(), sql_rows(quality.ABLATIONS_SQL))
+
+
+# ---------------------------------------------------------------- language identification
+
+
+def test_network_against_loops():
+    """Probabilities of a window by the definition: every filter at every place, the maximum, the last layer."""
+    rng = np.random.default_rng(8)
+    windows_ = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    net = langid.train(windows_, np.array([0, 1, 2]), ["a", "b", "c"], epochs=1)
+    got = net.probabilities(windows_)
+    for w, p in zip(windows_, got, strict=True):
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            places = [sum(float(net.embedding[w[i + k], d]) * float(net.filters[k * langid.DIM + d, f]) for k in range(width) for d in range(langid.DIM)) for i in range(langid.WINDOW - max(langid.WIDTHS) + 1)]
+            pooled.append(max(max(places) + float(net.bias[f]), 0.0))
+        z = np.array(pooled) @ net.output + net.offset
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(p, want, atol=1e-4)
+        assert not net.filters[width * langid.DIM :, f].any()
+
+
 # ---------------------------------------------------------------- packing
 
 
