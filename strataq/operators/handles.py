@@ -57,3 +57,32 @@ def map_put(attributes: Column, name: str, value: Column) -> Column:
 
 def map_remove(attributes: Column, name: str) -> Column:
     return F.map_filter(attributes, lambda k, _: k != name)
+
+
+def write_next(handles: DataFrame, writes: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes (handle, data) at the positions of handles (handle, inode_id, position, append): what ``content.write_at`` takes, and the handles after it.
+
+    A handle that appends writes at the end, whatever its position. One write of a handle at a time.
+    """
+    j = handles.join(writes, "handle", "left").join(sizes, "inode_id", "left")
+    at = F.when(F.col("append"), F.coalesce("size", F.lit(0))).otherwise(F.col("position")).cast("long")
+    placed = j.withColumn("offset", at)
+    after = placed.withColumn("position", F.when(F.col("data").isNotNull(), F.col("offset") + F.octet_length("data")).otherwise(F.col("position"))).select(*handles.columns)
+    return placed.filter("data IS NOT NULL").select("inode_id", "offset", "data"), after
+
+
+def read_next(handles: DataFrame, sizes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """The ranges (handle, inode_id, offset, count) that reads of up to ``count`` bytes take, and the handles after it."""
+    j = handles.join(sizes, "inode_id", "left")
+    n = F.greatest(F.least(F.lit(count), F.coalesce("size", F.lit(0)) - F.col("position")), F.lit(0)).cast("long")
+    read = j.withColumn("count", n)
+    return read.select("handle", "inode_id", F.col("position").alias("offset"), "count"), read.withColumn("position", F.col("position") + F.col("count")).select(*handles.columns)
+
+
+def opened(handles: DataFrame, new: DataFrame) -> DataFrame:
+    """Handles with new ones (handle, inode_id, owner, append) at position 0; a duplicate of a handle shares its ``owner``, the open description."""
+    return handles.unionByName(new.withColumn("position", F.lit(0).cast("long")).select(*handles.columns))
+
+
+def closed(handles: DataFrame, gone: DataFrame) -> DataFrame:
+    return handles.join(gone.select("handle"), "handle", "left_anti")

@@ -314,6 +314,28 @@ def seek_region(spark, sf_dir):
     return content.seek_region(chunks, orders.select(owner, F.lit(70).cast("long").alias("size")).distinct(), asked, CHUNK)
 
 
+@query("handle_write", f"SELECT 'h' || c_custkey AS handle, 'c' || c_custkey AS inode_id, CASE WHEN c_custkey % 3 = 0 THEN 20 WHEN c_custkey % 2 = 0 THEN 6 ELSE 4 END::BIGINT AS position, CASE WHEN c_custkey % 3 = 0 THEN {_hex('c_name')} || '4142' WHEN c_custkey % 2 = 0 THEN {_hex('substr(c_name, 1, 4)')} || '4142' || {_hex('substr(c_name, 7)')} ELSE {_hex('c_name')} END AS hex {_C} WHERE strlen(c_name) = 18")
+def handle_write(spark, sf_dir):
+    k, id_ = F.substring("inode_id", F.lit(2), F.lit(20)).cast("long"), F.col("inode_id")
+    chunks, sizes = _bytes(spark, sf_dir)
+    sizes = sizes.filter("size = 18")
+    open_ = sizes.select(F.concat(F.lit("h"), F.substring(id_, F.lit(2), F.lit(20))).alias("handle"), "inode_id", F.lit(4).cast("long").alias("position"), (k % 3 == 0).alias("append"))
+    data = open_.filter((k % 3 == 0) | (k % 2 == 0)).select("handle", F.lit(b"AB").alias("data"))
+    writes, after = handles.write_next(open_, data, sizes)
+    end = writes.select("inode_id", (F.col("offset") + 2).alias("_end"))
+    grown = sizes.join(end, "inode_id", "left").select("inode_id", F.greatest("size", F.coalesce("_end", F.lit(0))).alias("size"))
+    return after.select("handle", "inode_id", "position").join(_read(content.write_at(chunks, writes, CHUNK), grown), "inode_id")
+
+
+@query("handle_read", "SELECT 'h' || c_custkey AS handle, 'c' || c_custkey AS inode_id, (c_custkey % 25)::BIGINT AS \"offset\", greatest(least(7, strlen(c_name) - c_custkey % 25), 0)::BIGINT AS count, (c_custkey % 25 + greatest(least(7, strlen(c_name) - c_custkey % 25), 0))::BIGINT AS position FROM customer")
+def handle_read(spark, sf_dir):
+    sizes = _bytes(spark, sf_dir)[1]
+    k = F.substring("inode_id", F.lit(2), F.lit(20))
+    open_ = sizes.select(F.concat(F.lit("h"), k).alias("handle"), "inode_id", (k.cast("long") % 25).alias("position"))
+    ranges, after = handles.read_next(open_, sizes, 7)
+    return ranges.join(after.select("handle", "position"), "handle")
+
+
 # ---------------------------------------------------------------- comparing and merging trees
 
 

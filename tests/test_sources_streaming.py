@@ -103,3 +103,35 @@ def test_repository_limits_and_points(spark, tmp_path, monkeypatch):
         repo.drop_world("side", token)
     repo.drop_world("side", repo.discard_plan("side"))
     assert not repo.needs_compaction()
+
+
+def test_journal_and_samples(spark, tmp_path):
+    from strataq.operators import views
+    from strataq.sources import journal
+
+    j = journal.Journal(spark, str(tmp_path / "journal"))
+    assert j.sequence() == 0 and j.replay().count() == 0
+    j.put("a", "1")
+    j.transact([("a", "delete", None), ("b", "put", "2")])
+    (tmp_path / "journal" / f"{3:020d}.prepare").write_text("{\"sequence\": 3, ")  # a writer that ended before its commit
+    assert j.replay().count() == 3
+    j.transact([("c", "put", "3")])
+    assert sorted((r["key"], r["oid"]) for r in views.newest_wins(j.replay()).collect()) == [("b", "2"), ("c", "3")]
+    for bad in ([], [("x", "put", "1")] * 2, [("x", "put", None)], [(str(i), "put", "1") for i in range(65)], [("x", "put", "y" * (1 << 20))]):
+        with pytest.raises(ValueError):
+            j.transact(bad)
+    (tmp_path / "journal" / f"{2:020d}.commit").write_text("other\n")
+    with pytest.raises(ValueError):
+        j.replay()
+    samples = spark.createDataFrame([("w", float(i)) for i in range(1200)] + [("v", 1.0)], "workload string, ms double")
+    got = {r["workload"]: (r["n"], r["p50"], r["p95"]) for r in journal.write_samples(samples, str(tmp_path / "out"), ["workload"], "ms").collect()}
+    assert got == {"w": (1200, 599.0, 1139.0), "v": (1, 1.0, None)}
+    assert spark.read.json(str(tmp_path / "out" / "samples")).count() == 1201
+
+
+def test_handles_open_and_close(spark):
+    from strataq.operators import handles
+
+    first = spark.createDataFrame([], "handle string, inode_id string, owner string, append boolean, position long")
+    both = handles.opened(first, spark.createDataFrame([("h1", "i", "o", False), ("h2", "i", "o", True)], "handle string, inode_id string, owner string, append boolean"))
+    assert handles.closed(both, both.filter("handle = 'h1'")).count() == 1
