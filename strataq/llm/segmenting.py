@@ -48,7 +48,7 @@ NODES = 1_000_000
 #: Characters of the texts that are searched together.
 TOGETHER = 1 << 17
 #: Characters that the table of beginnings has columns for, and of the longest words whose lattices are made together.
-CLASSES, LONGEST = 128, 64
+CLASSES, LONGEST = 256, 64
 _MARK = "▁"
 #: The marked text is cut before each mark that follows another character; pieces never cross these cuts.
 _WORDS = re.compile(f"{_MARK}+[^{_MARK}]*")
@@ -98,11 +98,13 @@ class Vocabulary:
 
     def _trie(self) -> None:
         """The beginnings of pieces as a table: a row for each that goes on, a column for each of the most frequent characters."""
-        often = Counter(c for p in self.pieces for c in p).most_common(CLASSES - 1)
-        self.classes = np.zeros(1 << 14, np.uint8)
-        classes = {c: i for i, (c, _) in enumerate(often, 1) if ord(c) < len(self.classes)}
-        for c, i in classes.items():
-            self.classes[ord(c)] = i
+        counts = Counter(c for p in self.pieces for c in p)
+        # The last class is of characters in no piece, 0 of those that have no column.
+        self.classes = np.full(1 << 14, CLASSES - 1, np.uint8)
+        classes = {c: i for i, (c, _) in enumerate(counts.most_common(CLASSES - 2), 1) if ord(c) < len(self.classes)}
+        for c in counts:
+            if ord(c) < len(self.classes):
+                self.classes[ord(c)] = classes.get(c, 0)
         known = [b for b in self.beginnings if all(c in classes for c in b)]
         place = {b: i for i, b in enumerate(known, 1)} | {"": 0}
         parents = {b[:-1] for b in known}
