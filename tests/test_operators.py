@@ -142,10 +142,14 @@ def test_graph(spark):
     assert collect(graph.cycles(ring, "root"), "name") == [("b",), ("c",)]
 
 
-def test_reach_has_no_depth_limit(spark):
-    chain = spark.range(300).selectExpr("cast(id as string) AS src", "cast(id + 1 as string) AS dst")
+def test_reach_has_no_depth_limit(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DEPTH_LIMIT", 5)  # a limit of trees only
+    monkeypatch.setattr(graph, "COLLAPSE", 7)
+    chain = spark.range(30).selectExpr("cast(id as string) AS src", "cast(id + 1 as string) AS dst")
     found = graph.reachable(chain, spark.createDataFrame([("0",)], "node string"))
-    assert found.count() == 301 and found.agg(F.max("depth")).first()[0] == 300
+    assert found.count() == 31 and found.agg(F.max("depth")).first()[0] == 30
+    with pytest.raises(RuntimeError):
+        graph.reachable(chain, spark.createDataFrame([("0",)], "node string"), most_rounds=3)
 
 
 def test_audits(spark):
