@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.functions import scalars
+
 #: Attributes of an inode whose difference is a change of metadata.
 INODE_ATTRIBUTES = ("inode_id", "kind", "mode", "flags", "links", "size", "modified_ns", "changed_ns", "accessed_ns", "birth_ns", "has_xattrs")
 #: Kinds without content of their own.
@@ -98,3 +100,26 @@ def status_diff(snapshot: DataFrame, world: DataFrame) -> DataFrame:
         .when(~F.col("s.mode").eqNullSafe(F.col("w.mode")), "T")
     )
     return s.join(w, "key", "full_outer").select("key", status.alias("status")).filter("status IS NOT NULL")
+
+
+def status_tree(snapshot: DataFrame, world: DataFrame) -> DataFrame:
+    """A/M/D/T per path from (key, kind, size, mtime, oid, mode).
+
+    A directory on both sides shows nothing; one on one side is represented by what is in it,
+    or by itself if it is empty; another kind under the same path is a change of content.
+    """
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        filled = rows.select(scalars.dirname(F.col("key")).alias("key")).distinct().withColumn("_filled", F.lit(True))
+        shown = (F.col("kind") != "dir") | F.col("_filled").isNull()
+        return rows.join(filled, "key", "left").select("key", F.struct("kind", "size", "mtime", "oid", "mode", shown.alias("shown")).alias(name))
+
+    same = lambda c: F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
+    status = (
+        F.when(F.col("s").isNull(), F.when(F.col("w.shown"), "A"))
+        .when(F.col("w").isNull(), F.when(F.col("s.shown"), "D"))
+        .when((F.col("s.kind") == "dir") & (F.col("w.kind") == "dir"), F.lit(None).cast("string"))
+        .when(~same("kind") | ~same("size") | (~same("mtime") & ~same("oid")), "M")
+        .when(~same("mode"), "T")
+    )
+    return side(snapshot, "s").join(side(world, "w"), "key", "full_outer").select("key", status.alias("status")).filter("status IS NOT NULL")

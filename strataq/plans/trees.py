@@ -372,6 +372,23 @@ def namespace_diff_page(spark, sf_dir):
     return diff.diff_page(namespace_diff(spark, sf_dir), "/ASIA", 10, key="path")
 
 
+_STATUS = f"""{_SIDES}, x AS (SELECT path AS key, kind, size, content AS oid, mode FROM b WHERE path <> '/'),
+y AS (SELECT path AS key, kind, size, content AS oid, mode FROM a WHERE path <> '/' AND NOT starts_with(path, '/ASIA') UNION ALL SELECT '/empty', 'dir', 0, NULL, 420),
+f AS (SELECT x.key AS xk, y.key AS yk, x.kind AS xd, y.kind AS yd, x.size AS xs, y.size AS ys, x.oid AS xo, y.oid AS yo, x.mode AS xm, y.mode AS ym,
+  EXISTS (SELECT 1 FROM x c WHERE starts_with(c.key, x.key || '/')) AS xf, EXISTS (SELECT 1 FROM y c WHERE starts_with(c.key, y.key || '/')) AS yf FROM x FULL JOIN y ON x.key = y.key),
+s AS (SELECT coalesce(xk, yk) AS key, CASE WHEN xk IS NULL THEN CASE WHEN yd <> 'dir' OR NOT yf THEN 'A' END WHEN yk IS NULL THEN CASE WHEN xd <> 'dir' OR NOT xf THEN 'D' END
+  WHEN xd = 'dir' AND yd = 'dir' THEN NULL WHEN xd <> yd OR xs <> ys OR xo IS DISTINCT FROM yo THEN 'M' WHEN xm <> ym THEN 'T' END AS status FROM f)
+SELECT key, status FROM s WHERE status IS NOT NULL"""
+
+
+@query("status_tree", _STATUS)
+def status_tree(spark, sf_dir):
+    before, after = _inode_sides(spark, sf_dir)
+    side = lambda df, mtime: df.filter("path <> '/'").select(F.col("path").alias("key"), "kind", "size", F.lit(mtime).cast("long").alias("mtime"), F.col("content").alias("oid"), "mode")
+    empty = spark.createDataFrame([("/empty", "dir", 0, 1, None, 0o644)], "key string, kind string, size long, mtime long, oid string, mode int")
+    return diff.status_tree(side(before, 0), side(after, 1).filter("NOT startswith(key, '/ASIA')").unionByName(empty))
+
+
 @query("attribute_equality", f"{_SIDES} SELECT path, NOT t AS equal FROM j WHERE NOT nb AND NOT na")
 def attribute_equality(spark, sf_dir):
     before, after = _inode_sides(spark, sf_dir)
