@@ -38,12 +38,12 @@ from strataq.llm.common import checkpointed, stored
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words, and an eighth as many parts of words, kept by a Python worker in each of two generations.
+#: Encoded words, and an eighth as many parts of words, kept by a task in each of two generations.
 WORD_CACHE = 250_000
 #: Rows of one length that are ranked together, and that look for their place together.
 RANK_ROWS = 4_000
 
-_encoders: dict[str, "_Words"] = {}
+_encoders: dict = {}
 
 
 #: Words of these characters need no normalisation but lower case, and split into the parts below.
@@ -118,6 +118,7 @@ class _Words(dict):
 
 
 def _words(path: str | None) -> _Words:
+    """A new store of words; the tokenizer is kept by the worker, the words only as long as a task."""
     plain = path is None  # the parts are those of this vocabulary
     if plain:
         import public_tokenizers
@@ -127,8 +128,8 @@ def _words(path: str | None) -> _Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _encoders[path] = _Words(Tokenizer.from_file(path), plain)
-    return _encoders[path]
+        _encoders[path] = Tokenizer.from_file(path)
+    return _Words(_encoders[path], plain)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
