@@ -5,7 +5,7 @@ only at word positions whose remainder modulo ``PERIOD`` lies in a difference co
 two positions there is one shift below the period that brings both into the cover, so two
 equal windows always share an aligned anchor of ``width - PERIOD + 1`` words. Anchors that
 occur in one document only rule out nearly all text; the others are extended to the full
-windows around them, and 128-bit hashes of those windows tell which document has each first.
+windows around them, and 96-bit hashes of those windows tell which document has each first.
 
 Defined results: a null text has no words; texts under ``width`` words lose nothing; rows
 with equal ``doc_id`` do not count as copies of each other; a null ``doc_id`` neither removes
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.windows import BASES, by_block, cell_table, cells, exchange, received, window_hashes, word_hashes
+from strataq.llm.windows import BASES, ascending, by_block, cell_table, cells, exchange, from_planes, numbers, planes, received, window_hashes, word_hashes
 
 WIDTH = 50
 PERIOD = 31
@@ -33,10 +33,12 @@ COVER = (1, 5, 11, 24, 25, 27)
 
 ADDED = ("n_words", "n_removed", "kept_sha256", "kept_text")
 _ANCHORS, _WINDOWS = 0, 1
+ANCHOR_BITS = 49
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+def _bucket(h: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
+    """Buckets are ranges of hashes of so many bits, so ascending hashes are in the order of their buckets."""
+    return ((h >> np.uint64(bits - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 class _Block:
@@ -56,7 +58,7 @@ class _Block:
         self.start, self.end = self.first[of], (self.first + sizes)[of]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of anchors, and their hashes without the lowest bit."""
+        """Positions of anchors, and their hashes: 48 bits, above a lowest bit that is left free. Windows tell apart what shares one by chance."""
         size = self.width - PERIOD + 1
         cover = np.zeros(PERIOD, bool)
         cover[list(COVER)] = True
@@ -64,7 +66,7 @@ class _Block:
         at = at[cover[(at - self.start) % PERIOD] & (at + size <= self.end)]
         # A document under ``width`` words has no window, so its anchors can't matter.
         at = at[(self.end - self.start)[at] >= self.width]
-        return at, window_hashes(self.words, size)[at] & ~np.uint64(1)
+        return at, window_hashes(self.words, size)[at] >> np.uint64(16) << np.uint64(1)
 
     def send_anchors(self, block: int) -> Iterator[tuple[int, int, bytes]]:
         at, h = self.anchors()
@@ -75,9 +77,7 @@ class _Block:
         last = np.concatenate([new[1:], [len(h)]])[: len(new)] - 1
         # The lowest bit says that two documents of this block have it.
         keys = h[new] | (doc[new] != doc[last]).astype(np.uint64)
-        bucket = _bucket(keys, self.n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        return cells(block, bucket, self.n_buckets, lambda s: keys[order[s]].tobytes(), order)
+        return cells(block, _bucket(keys, self.n_buckets, ANCHOR_BITS), self.n_buckets, lambda s: ascending(keys[s]), np.arange(len(keys)))
 
     def windows(self, shared: np.ndarray) -> np.ndarray:
         """Starts of all windows that hold an anchor of which another document has a copy."""
@@ -94,8 +94,9 @@ class _Block:
     def entries(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows in the order of bucket and hash, with the block's smallest document; and each window's entry."""
         a, b = (window_hashes(self.words, self.width, base)[s] for base in BASES)
+        b = (b >> np.uint64(32)).astype(np.uint32)
         doc, bucket = self.doc[s], _bucket(a, self.n_buckets)
-        order = np.lexsort((doc, b, a, bucket))
+        order = np.lexsort((doc, b, a))
         a, b, doc, bucket = a[order], b[order], doc[order], bucket[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
         entry = np.empty(len(s), np.int64)
@@ -104,7 +105,7 @@ class _Block:
 
     def send_windows(self, block: int, shared: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         a, b, doc, bucket, _ = self.entries(self.windows(shared))
-        return cells(block, bucket, self.n_buckets, lambda s: a[s].tobytes() + b[s].tobytes() + doc[s].tobytes(), np.arange(len(a)))
+        return cells(block, bucket, self.n_buckets, lambda s: ascending(a[s]) + planes(b[s]) + planes(doc[s]), np.arange(len(a)))
 
     def removed(self, shared: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
         """Which words a copied window covers."""
@@ -121,9 +122,13 @@ class _Block:
         return np.cumsum(steps[:-1]) > 0
 
 
+def _keys(data: bytes) -> np.ndarray:
+    return numbers(data, len(data) // 8, np.uint64)
+
+
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """A bucket's anchors that two documents have, sent back to each block that has them."""
-    parts = [np.frombuffer(x.as_py(), np.uint64) for x in table["data"]]
+    parts = [_keys(x.as_py()) for x in table["data"]]
     keys = np.concatenate(parts)
     sender = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     order = np.argsort(keys, kind="stable")
@@ -136,21 +141,23 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     order = np.argsort(sender, kind="stable")
     bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
     edges = np.searchsorted(sender[order], np.arange(len(parts) + 1))
-    return cell_table((bucket, blocks[i], base[order[edges[i] : edges[i + 1]]].tobytes()) for i in range(len(parts)) if edges[i] < edges[i + 1])
+    return cell_table((bucket, blocks[i], ascending(base[order[edges[i] : edges[i + 1]]])) for i in range(len(parts)) if edges[i] < edges[i + 1])
 
 
 def _earlier_windows(table: pa.Table) -> pa.Table:
     """For each block, one bit for each of its windows: another block has it in a smaller document."""
-    parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for x in table["data"]]
-    a, b, doc = np.concatenate(parts, axis=1)
-    doc = doc.view(np.int64)
+    raw = [x.as_py() for x in table["data"]]
+    sizes = [len(x) // 20 for x in raw]
+    a = np.concatenate([numbers(x, n, np.uint64) for x, n in zip(raw, sizes, strict=True)])
+    b = np.concatenate([from_planes(x, np.uint32, n, 8 * n) for x, n in zip(raw, sizes, strict=True)])
+    doc = np.concatenate([from_planes(x, np.int64, n, 12 * n) for x, n in zip(raw, sizes, strict=True)])
     order = np.lexsort((doc, b, a))
     a, b = a[order], b[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     least = np.repeat(doc[order][new], np.diff(np.concatenate([new, [len(a)]])))
     earlier = np.empty(len(a), bool)
     earlier[order] = doc[order] > least
-    edges = np.cumsum([0, *(x.shape[1] for x in parts)])
+    edges = np.cumsum([0, *sizes])
     bucket = table["bucket"][0].as_py()
     return cell_table((bucket, block, np.packbits(earlier[edges[i] : edges[i + 1]]).tobytes()) for i, block in enumerate(table["block"].to_pylist()))
 
@@ -160,7 +167,7 @@ def _of(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
 
 
 def _shared(answers: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(d, np.uint64) for _, d in _of(answers, _ANCHORS)]
+    parts = [_keys(d) for _, d in _of(answers, _ANCHORS)]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 

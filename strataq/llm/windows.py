@@ -99,14 +99,25 @@ def cell_table(rows: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array(columns[0], pa.int32()), "block": pa.array(columns[1], pa.int32()), "data": pa.array(columns[2], pa.binary())})
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: what they have in common packs well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type, n: int, at: int = 0) -> np.ndarray:
+    """``n`` numbers that ``planes`` wrote from byte ``at`` on."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
+
+
 def ascending(values: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as their differences, byte by byte, which packs well."""
-    return np.diff(values, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Ascending numbers as their differences."""
+    return planes(np.diff(values, prepend=values.dtype.type(0)).astype(values.dtype))
 
 
-def numbers(data: bytes, n: int) -> np.ndarray:
+def numbers(data: bytes, n: int, kind: type = np.uint32) -> np.ndarray:
     """What ``ascending`` wrote at the beginning of ``data``."""
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel(), dtype=np.uint32)
+    return np.cumsum(from_planes(data, kind, n), dtype=kind)
 
 
 def _pack(items: list[tuple[int, bytes]]) -> bytes:
