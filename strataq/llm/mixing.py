@@ -449,7 +449,7 @@ class Words:
         return logit.view(np.uint64).ravel(), state
 
     def _own(self, code: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-        """How often the place's own text has its context, with no, one, ... five decisions alike."""
+        """How often the place's own text has its context, with no, one, ... five decisions alike; 255 stands for that and more."""
         wide, far = max(1, len(self.codes)).bit_length(), max(1, len(code)).bit_length()
         key = doc.astype(np.int64) << wide | code
         if wide + far + self.docs.bit_length() < 64:  # sorting with the place in the low bits is faster than sorting places
@@ -466,7 +466,7 @@ class Words:
         np.not_equal(doc[1:], doc[:-1], out=anew[1:])
         # What the text has not taught is not in the totals either.
         taught = self.learned[doc]
-        out = [np.empty(len(code), np.uint16) for _ in range(6)]
+        out = [np.empty(len(code), np.uint8) for _ in range(6)]
         for x in out:
             x[order] = taught
         some = np.arange(len(code))
@@ -476,7 +476,7 @@ class Words:
             begins[1:] |= upper[1:] != upper[:-1]
             new = np.flatnonzero(begins)
             size = np.diff(np.append(new, len(code)))
-            size = np.repeat(np.minimum(size, 65535).astype(np.uint16), size)
+            size = np.repeat(np.minimum(size, 255).astype(np.uint8), size)
             out[k][order[some]] = size * taught[some]
             if not k:  # what the text has once is alone at all further decisions
                 twice = size > 1
@@ -489,7 +489,7 @@ _LOGS = (np.log(_LARGE + PRIOR) * UNIT).astype(np.float32)
 
 def _without(total: np.ndarray, less: np.ndarray) -> np.ndarray:
     """Counts as bytes with something taken off."""
-    out = total - np.minimum(total, np.minimum(less, 255).astype(np.uint8))
+    out = total - np.minimum(total, less)
     if len(large := np.flatnonzero(total > 127)):
         out[large] = small(np.maximum(_LARGE[total[large]] - less[large], 0))
     return out
