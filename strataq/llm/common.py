@@ -17,6 +17,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4 << 20
 
 
+_at_exit: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if spark.sparkContext.applicationId not in _at_exit:
+        # The application's folder goes with the driver; nothing else reads it.
+        _at_exit.add(spark.sparkContext.applicationId)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     return spark.read.parquet(path)
 
 
