@@ -471,9 +471,15 @@ def scalar_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.ceil_512(k).alias("rounded"), scalars.chunk_key(k).alias("chunk"), scalars.has_flag(k, 73).alias("flagged"), scalars.estimate_bytes(k).alias("estimate"), scalars.priority(k.cast("string")).alias("priority"))
 
 
-@query("scalar_bytes", None)
+#: Each byte is followed by eight marks, one for each step of the division.
+_CRC32C = """
+WITH b AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, length(h) // 2 + 1)])),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END), 4294967295) END AS crc32c FROM b"""
+
+
+@query("scalar_bytes", _CRC32C)
 def scalar_bytes(spark, sf_dir):
-    """CRC-32C has no SQL counterpart; a test holds it against known values."""
     return table(spark, sf_dir, "documents").select("doc_id", scalars.crc32c(F.col("text").cast("binary")).alias("crc32c"))
 
 
