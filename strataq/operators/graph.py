@@ -93,9 +93,11 @@ def resolve(paths: DataFrame, entries: DataFrame, inodes: DataFrame, links: Data
     """
     parts = scalars.path_parts(F.col("path"))
     state = paths.select("query", F.array(F.lit(root)).alias("stack"), F.coalesce(parts, F.array().cast("array<string>")).alias("pending"), F.lit(0).alias("follows"), F.lit(0).cast("long").alias("expanded"), F.lit("dir").alias("kind"), F.when(parts.isNull(), F.lit("EINVAL")).alias("error"))
-    children = entries.select(F.col("parent_id").alias("_top"), F.col("name").alias("_head"), F.col("child_id").alias("_child"))
     kinds = inodes.select(F.col("inode_id").alias("_child"), F.col("kind").alias("_kind"))
     targets = links.select(F.col("inode_id").alias("_child"), F.col("target").alias("_target"))
+    # Names with what they lead to are put together once; a round is then one join.
+    children = entries.select(F.col("parent_id").alias("_top"), F.col("name").alias("_head"), F.col("child_id").alias("_child"))
+    children = checkpointed(children.join(kinds, "_child", "left").join(targets, "_child", "left"))
     done = []
     for turn in itertools.count(1):
         state = checkpointed(state)
@@ -104,7 +106,7 @@ def resolve(paths: DataFrame, entries: DataFrame, inodes: DataFrame, links: Data
         if todo.isEmpty():
             break
         todo = todo.withColumn("_top", F.element_at("stack", -1)).withColumn("_head", F.element_at("pending", 1)).withColumn("_rest", F.slice("pending", F.lit(2), F.size("pending")))
-        j = todo.join(children, ["_top", "_head"], "left").join(kinds, "_child", "left").join(targets, "_child", "left")
+        j = todo.join(children, ["_top", "_head"], "left")
         dot, up = F.col("_head") == ".", F.col("_head") == ".."
         follow = (F.col("_kind") == "symlink") & (F.lit(follow_final) | (F.size("_rest") > 0)) & ~dot & ~up
         longer = F.col("expanded") + F.octet_length("_target")
