@@ -157,7 +157,10 @@ def estimate_bytes(entries: Column) -> Column:
 
 
 def minute_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+    """The minute in UTC; years have four digits, or as many as they need without a plus, and those before year 0 a minus and no zeros."""
+    at = F.timestamp_seconds(seconds)
+    year = F.when(F.year(at).between(0, 9999), F.date_format(at, "yyyy")).otherwise(F.year(at).cast("string"))
+    return F.concat(year, F.date_format(at, "-MM-dd HH:mm"))
 
 
 def _crc32c_table() -> list[int]:

@@ -214,6 +214,13 @@ def test_scalars(spark):
     assert scalars.prefix_end("ab") == b"ac" and scalars.prefix_end("") is None
 
 
+def test_minutes_of_far_years(spark):
+    seconds = [0, 253402300799, 253402300800, 900000000000, -62167219200, -62167219201, -70000000000]
+    rows = spark.createDataFrame([(s,) for s in seconds], "s long").select("s", scalars.minute_text(F.col("s")).alias("minute")).collect()
+    want = ["1970-01-01 00:00", "9999-12-31 23:59", "10000-01-01 00:00", "30489-11-11 16:00", "0000-01-01 00:00", "-1-12-31 23:59", "-249-10-15 19:33"]
+    assert {r["s"]: r["minute"] for r in rows} == dict(zip(seconds, want, strict=True))
+
+
 def test_mutations(spark):
     now = 100
     empty = mutations.Tree(*(spark.createDataFrame([], s) for s in (mutations.INODE, mutations.ENTRY, mutations.CHUNK, mutations.XATTR)))
