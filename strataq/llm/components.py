@@ -17,7 +17,7 @@ TASK_LINKS = 1_000_000
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union by the smaller node, over a bounded number of links in one task: a link from each node to the smallest of its part."""
+    """Union by the smaller node, over a bounded number of links in one task: for each node, itself too, the smallest of its part."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -33,8 +33,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent[max(a, b)] = min(a, b)
     nodes = np.fromiter(parent, np.int64, len(parent))
     tops = np.fromiter(map(root, list(parent)), np.int64, len(parent))
-    keep = nodes != tops
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(tops[keep])], ["u", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tops)], ["u", "v"])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -45,15 +44,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) for every node with a link to another one.
 
     Links are dealt into parts of ``TASK_LINKS``, and each part is first joined by itself,
-    which leaves one link for each of its nodes. Then each round joins every node to its
-    smallest neighbour, first from its larger neighbours and then from its smaller ones, until
-    a round changes nothing; a node with very many links is pre-aggregated by the minimum
-    before the shuffle. Rounds are checkpointed in the shared folder. What fits in one part
-    needs one round, which changes nothing.
+    which leaves one link for each of its nodes; a single part is then done. Otherwise each
+    round joins every node to its smallest neighbour, first from its larger neighbours and then
+    from its smaller ones, until a round changes nothing; a node with very many links is
+    pre-aggregated by the minimum before the shuffle. Rounds are checkpointed in the shared
+    folder.
     """
     start = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     parts = max(1, -(-start.count() // TASK_LINKS))
-    now = checkpointed((start.coalesce(1) if parts == 1 else start.repartition(parts, "v")).mapInArrow(_joined, "u long, v long").distinct())
+    if parts == 1:
+        return checkpointed(start.coalesce(1).mapInArrow(_joined, "u long, v long")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    now = checkpointed(start.repartition(parts, "v").mapInArrow(_joined, "u long, v long").filter("u <> v").distinct())
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -234,11 +234,12 @@ def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     state = counts.select(F.lit("doc").alias("kind"), bits(F.col("length")).alias("range"), F.col("length").alias("size"), zero.alias("first"), F.col("count").alias("n"), *fixed)
     placed, opened = [], 0
     while True:
-        swept = checkpointed(state.groupBy("range").applyInArrow(_swept, ROUND))
+        # No more tasks than ranges, however many shuffle partitions there are: each round's tasks stay in the driver's memory.
+        swept = checkpointed(state.groupBy("range").applyInArrow(_swept, ROUND).coalesce(top + 1))
         placed.append(swept.filter("kind = 'placed'"))
         docs, gaps = swept.filter("kind = 'doc'"), swept.filter("kind = 'gap'")
         # The largest gap of each range, and how many documents are left.
-        seen = swept.groupBy("range").agg(F.max(F.when(F.col("kind") == "gap", F.col("size"))).alias("room"), F.count_if(F.col("kind") == "doc").alias("docs")).collect()
+        seen = swept.groupBy("range").agg(F.max(F.when(F.col("kind") == "gap", F.col("size"))).alias("room"), F.count_if(F.col("kind") == "doc").alias("docs")).coalesce(1).collect()
         if not sum(r["docs"] for r in seen):
             break
         largest = {r["range"]: r["room"] for r in seen if r["room"] is not None}
@@ -257,7 +258,7 @@ def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first = waits & (F.col("size") * 2 > longest)
         need = docs.filter(first).agg(F.sum(F.col("size") * F.col("n")).alias("volume"), F.coalesce(F.sum(F.when(F.col("size") * 2 > capacity, F.col("n"))), zero).alias("large")).first()
         more = max(need["large"], -(-need["volume"] // capacity))
-        new = spark.range(1).select(F.lit("gap").alias("kind"), F.lit(top).alias("range"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(more).cast("long").alias("n"), *fixed)
+        new = spark.range(0, 1, 1, 1).select(F.lit("gap").alias("kind"), F.lit(top).alias("range"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(more).cast("long").alias("n"), *fixed)
         opened += more
         to = F.when(first, top).otherwise(F.coalesce("to", bits(F.col("size"))))
         state = gaps.unionByName(docs.withColumn("range", to).drop("to")).unionByName(new)

@@ -290,6 +290,33 @@ def test_substrings_odd(spark, odd, empty):
 # ---------------------------------------------------------------- near duplicates
 
 
+def test_tasks_of_rounds(spark):
+    """Few links need no rounds and few lengths no task for each shuffle partition, even where nothing joins small ones."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+
+    def tasks(group, run):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            run()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+        assert tasks("links", lambda: components.components(edges).collect()) < 200
+        lengths = spark.createDataFrame([(n, 1 + n % 3) for n in range(1, 2049, 7)], "length long, count long")
+        assert tasks("lengths", lambda: packing.best_fit(lengths).collect()) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("links", [7, 100, 10**6])
 def test_components(spark, monkeypatch, links):
     monkeypatch.setattr(components, "TASK_LINKS", links)  # many small parts, a few, and one
