@@ -467,6 +467,47 @@ def test_scores_against_brute_force(spark, odd, empty):
     assert mixing.digest(empty).count() == 0
 
 
+def test_scores_are_those_of_the_plain_model(spark, odd, monkeypatch):
+    """The query scores outside Python, and as ``Words`` and ``Mixer`` say: odd texts, equal ones, and some of several lanes, over several blocks."""
+    monkeypatch.setattr(mixing, "TEXT_BYTES", 1 << 16)
+    rng = np.random.default_rng(7)
+    made = ["".join(rng.choice(list("abcdeeeeiot   .,XÉ7\t"), 1 + i % 97 * (150 if i % 10 == 0 else 5))) for i in range(150)]
+    rows = [*((1000 + i, f"{t} lengthier words{i % 7} lengthily {t[:300]}") for i, t in enumerate(made)), (None, None), (1, "again again again again" * 70), (2, "again again again again" * 70), (3, None), (3, "")]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = mixing.digest(docs)
+    assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+    blocks, n = windows.by_block(docs, "doc_id", "text", block_bytes=mixing.TEXT_BYTES)
+    assert n > 3
+    found = {}
+    for r in blocks.collect():
+        found.setdefault(r["block"], []).append((r["doc_id"], r["text"]))
+    none_last = lambda r: (r[0] is None, r[0] or 0, r[1] is None, (r[1] or "").encode())
+    found = {b: sorted(rows, key=none_last) for b, rows in found.items()}
+    texts = {b: (mixing.Symbols([mixing.symbols(t) for _, t in rows]), np.array([mixing._trains(i) for i, _ in rows])) for b, rows in found.items()}
+    sent = [cell for b, t in texts.items() for cell in mixing.send(b, n, *mixing.counted(*t))]
+    answers = {}
+    for bucket in {c[0] for c in sent}:
+        out = mixing._code_totals(mixing.cell_table([c for c in sent if c[0] == bucket]))
+        for k, b, d in zip(*(out[c].to_pylist() for c in ("bucket", "block", "data")), strict=True):
+            answers.setdefault(b, {})[k] = d
+    counts = Counter()
+    for t in texts.values():
+        for code, k in zip(*(x.tolist() for x in mixing.short_counts(*t)), strict=True):
+            counts[code] += k
+    tables = mixing.Tables()
+    for nearest in range(32):
+        mine = sorted(c for c in counts if c >> 5 & 31 == nearest)
+        tables.put(nearest, mixing.tables_part(np.array([c >> 10 << 5 | c & 31 for c in mine], np.int64), np.array([counts[c] for c in mine], np.int64)))
+    want = []
+    for b, (s, learned) in texts.items():
+        words_ = mixing.Words(s, learned, n, answers[b])
+        costs = mixing.Mixer(tables).costs(s, learned, *words_.predict())
+        want += [(repr(i), len((t or "").encode()), int(k), -c * np.log10(2)) for (i, t), k, c in zip(found[b], words_.base()[0], costs, strict=True)]
+    got = [(repr(r["doc_id"]), r["n_bytes"], r["n_tokens"] - 1, r["score"]) for r in got.collect()]
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)]
+    assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)], rtol=1e-5)
+
+
 def test_words_so_far_of_a_large_corpus_stay_apart():
     """The exchanged totals equal brute-force counts by exact context, with far more contexts than 2^18; a text's own are left out."""
     rng = np.random.default_rng(5)
