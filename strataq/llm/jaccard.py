@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.llm.common import checkpointed, stored
@@ -225,7 +225,13 @@ SET = ["s1", "s2", "n"]
 
 def named(sets: DataFrame) -> DataFrame:
     """The distinct sets (``SET``), one of the blocks that hold each, its group, and its smallest document as ``id``."""
-    return sets.filter("s1 IS NOT NULL").groupBy(*SET).agg(F.min("block").alias("block"), F.first("g").alias("g"), F.min(F.array_min("members")).alias("id"))
+    rows = sets.filter("s1 IS NOT NULL").groupBy(*SET).agg(F.min("block").alias("block"), F.first("g").alias("g"), F.min(F.array_min("members")).alias("id"))
+    return rows.coalesce(_scans(sets))
+
+
+def _scans(df: DataFrame) -> int:
+    """Tasks that read a stored table, which follow its size. No more are needed for what is smaller, however many shuffle partitions there are: tasks take the driver's memory."""
+    return max(1, df.rdd.getNumPartitions())
 
 
 def candidate_links(sets: DataFrame, names: DataFrame) -> DataFrame:
@@ -238,30 +244,30 @@ def candidate_links(sets: DataFrame, names: DataFrame) -> DataFrame:
     does not link them.
     """
     some = names.filter("g IS NOT NULL")
-    groups = some.groupBy("g").agg(F.min_by(F.struct(*SET, "block", "id"), "id").alias("x")).select("g", "x.*")
+    groups = checkpointed(some.groupBy("g").agg(F.min_by(F.struct(*SET, "block", "id"), "id").alias("x")).select("g", "x.*").coalesce(_scans(names)))
     same = some.join(groups.select("g", F.col("id").alias("rep")), "g").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     heads = sets.filter("tokens IS NOT NULL").select(*SET, "block", "prefix").join(groups.drop("g"), [*SET, "block"])
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9)
     postings = heads.select("id", size.alias("size"), F.explode("prefix").alias("t"))
-    shared = postings.groupBy("t").agg(F.min("id").alias("m"), F.max("id").alias("x")).filter("m <> x").select("t")
-    postings = postings.join(shared, "t")
-    least = postings.groupBy("t", "size").agg(F.min("id").alias("m"))
-    inside = postings.join(least, ["t", "size"]).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
-    next_ = least.select("t", (F.col("size") + 1).alias("size"), F.col("m").alias("below"))
-    across = least.join(next_, ["t", "size"]).select(F.col("m").alias("a"), F.col("below").alias("b"))
+    least = postings.groupBy("t", "size").agg(F.min("id").alias("m"), F.max("id").alias("x"))
+    inside = postings.join(least.filter("m <> x"), ["t", "size"]).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    # A shingle has a row for each size class, of which there are few.
+    above = Window.partitionBy("t").orderBy("size")
+    across = least.select("size", F.lead("size").over(above).alias("next"), F.lead("m").over(above).alias("a"), F.col("m").alias("b")).filter("next = size + 1").select("a", "b")
     return same.unionByName(inside).unionByName(across).distinct()
 
 
 def links(sets: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids of sets that connect all sets connected by links; ``sets`` is what ``shingle_sets`` gives, stored, and ``names`` its ``named``."""
     candidates = checkpointed(components(candidate_links(sets, names)).withColumnRenamed("node", "id"))
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
     total = candidates.count()
     if not total:
         return candidates.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    placed = candidates.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    bodies = sets.filter("tokens IS NOT NULL").select(*SET, "block", "tokens").join(names.select(*SET, "block", "id"), [*SET, "block"]).select("id", "n", "tokens")
     batches = max(1, total // BATCH)
+    # Ids are looked up again and again, so they are written, and by no more tasks than there are batches.
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).coalesce(batches)
+    placed = checkpointed(candidates.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).coalesce(batches))
+    bodies = sets.filter("tokens IS NOT NULL").select(*SET, "block", "tokens").join(names.select(*SET, "block", "id"), [*SET, "block"]).select("id", "n", "tokens")
     small = placed.filter("k = 1").select("id", F.col("component").alias("where"), F.lit(2).alias("side"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("unit"))
     big = placed.filter("k > 1")
     # Large components: everything against one chunk first, which connects nearly all of a group of copies.
@@ -273,10 +279,10 @@ def links(sets: DataFrame, names: DataFrame) -> DataFrame:
         return found
     # Then what is left outside the largest part, against everything.
     label = components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
-    parts = big.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    main = parts.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    parts = parts.join(main, "component").withColumn("rest", F.col("label") != F.col("main"))
-    left = parts.filter("rest").groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("kl"))
+    parts = big.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).coalesce(batches)
+    main = parts.groupBy("component", "label").count().coalesce(batches).groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main")).coalesce(batches)
+    parts = checkpointed(parts.join(main, "component").withColumn("rest", F.col("label") != F.col("main")).coalesce(batches))
+    left = parts.filter("rest").groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("kl")).coalesce(batches)
     parts = parts.join(left, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("kl")).cast("int"))
     a = parts.filter("rest").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.col("part").alias("i"), F.lit(0).alias("side"))
     b = parts.select("id", "component", F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("kl") - 1)).alias("i"), F.lit(1).alias("side"))
@@ -292,7 +298,7 @@ def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     label = components(links(sets, names)).select(F.col("node").alias("id"), "component")
     alone = sets.filter("s1 IS NULL").select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles")).withColumn("component_id", F.col("doc_id"))
     # A set's id is its smallest document, and a component's the smallest id.
-    found = names.join(label, "id", "left").select(*SET, F.coalesce("component", "id").alias("component_id"))
+    found = names.join(label, "id", "left").select(*SET, F.coalesce("component", "id").alias("component_id")).coalesce(_scans(names))
     linked = sets.filter("s1 IS NOT NULL").select(*SET, "members").join(found, SET).select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 

@@ -347,6 +347,31 @@ def classes(docs):
     return {i: (len(sets[i]), label[i]) for i in ids}
 
 
+def test_tasks_of_the_join(spark, monkeypatch):
+    """Ids of sets are few beside the texts: no task for each shuffle partition and each time that they are looked up."""
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    chain, docs = [f"c{i}" for i in range(60)], []
+    for i in range(40):
+        chain = [*chain[:i], f"d{i}", *chain[i + 1 :]]
+        docs.append((i, " ".join(chain)))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("join", "join")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: label for i, (_, label) in classes(docs).items()}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("join") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+    assert tasks < 1200
+
+
 @pytest.mark.parametrize("chunk", [512, 6])
 def test_jaccard_against_brute_force(spark, copies, monkeypatch, chunk):
     monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n, size=0: 4)
