@@ -221,6 +221,8 @@ def _pair(*of: str):
 
 #: What tells two sets apart: two sums of hashes and the number of shingles.
 SET = ["s1", "s2", "n"]
+#: What finds the shingles of a set: one of the blocks that hold it.
+KEY = [*SET, "block"]
 
 
 def named(sets: DataFrame) -> DataFrame:
@@ -243,14 +245,15 @@ def candidate_links(sets: DataFrame, names: DataFrame) -> DataFrame:
     group, and neighbouring classes are linked. A shingle without a class between two sizes
     does not link them.
     """
-    some = names.filter("g IS NOT NULL")
-    groups = checkpointed(some.groupBy("g").agg(F.min_by(F.struct(*SET, "block", "id"), "id").alias("x")).select("g", "x.*").coalesce(_scans(names)))
-    same = some.join(groups.select("g", F.col("id").alias("rep")), "g").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    heads = sets.filter("tokens IS NOT NULL").select(*SET, "block", "prefix").join(groups.drop("g"), [*SET, "block"])
+    groups = sets.filter("tokens IS NOT NULL").groupBy("g").agg(F.min(F.array_min("members")).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # Looked up four times; their prefixes are too long to be shuffled for each.
+    groups = checkpointed(groups.coalesce(_scans(sets)))
+    same = names.filter("g IS NOT NULL").join(groups.select("g", F.col("id").alias("rep")), "g").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9)
-    postings = heads.select("id", size.alias("size"), F.explode("prefix").alias("t"))
-    least = postings.groupBy("t", "size").agg(F.min("id").alias("m"), F.max("id").alias("x"))
-    inside = postings.join(least.filter("m <> x"), ["t", "size"]).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    # The joins below ask for keys that are not null; asked for here, the least ids are exchanged once for both.
+    postings = groups.select("id", size.alias("size"), F.explode("prefix").alias("t")).filter("t IS NOT NULL AND size IS NOT NULL")
+    least = postings.groupBy("t", "size").agg(F.min("id").alias("m"))
+    inside = postings.join(least, ["t", "size"]).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     # A shingle has a row for each size class, of which there are few.
     above = Window.partitionBy("t").orderBy("size")
     across = least.select("size", F.lead("size").over(above).alias("next"), F.lead("m").over(above).alias("a"), F.col("m").alias("b")).filter("next = size + 1").select("a", "b")
@@ -264,31 +267,36 @@ def links(sets: DataFrame, names: DataFrame) -> DataFrame:
     if not total:
         return candidates.select(F.col("id").alias("a"), F.col("component").alias("b"))
     batches = max(1, total // BATCH)
-    # Ids are looked up again and again, so they are written, and by no more tasks than there are batches.
+    # By no more tasks than there are batches, as ids are few beside the texts.
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).coalesce(batches)
-    placed = checkpointed(candidates.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).coalesce(batches))
-    bodies = sets.filter("tokens IS NOT NULL").select(*SET, "block", "tokens").join(names.select(*SET, "block", "id"), [*SET, "block"]).select("id", "n", "tokens")
-    small = placed.filter("k = 1").select("id", F.col("component").alias("where"), F.lit(2).alias("side"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("unit"))
-    big = placed.filter("k > 1")
+    placed = candidates.join(sizes, "component").join(names.select("id", *KEY), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    # Most sets are no candidates, so the shingles of all of them are shuffled once, and those of candidates are written for what follows.
+    bodies = sets.filter("tokens IS NOT NULL").select(*KEY, "tokens").join(checkpointed(placed.coalesce(batches)), KEY)
+    bodies = stored(bodies.select("id", "component", "k", "chunk", "n", "tokens").coalesce(_scans(sets)), "candidate-sets")
+    body = ["id", "n", "tokens"]
+    small = bodies.filter("k = 1").select(*body, F.col("component").alias("where"), F.lit(2).alias("side"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("unit"))
+    big = bodies.filter("k > 1")
     # Large components: everything against one chunk first, which connects nearly all of a group of copies.
-    one = big.select("id", "component", "chunk", F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("chunk")).alias("to"))
-    one = one.select("id", "component", "chunk", F.explode("to").alias("j"))
-    one = one.select("id", _pair("component", "j").alias("where"), F.when(F.col("chunk") > 0, 1).when(F.col("j") == 0, 2).otherwise(0).alias("side"), _pair("component", "j").alias("unit"))
-    found = checkpointed(_units(small.unionByName(one).join(bodies, "id")))
+    one = big.select(*body, "component", "chunk", F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("chunk")).alias("to"))
+    one = one.select(*body, "component", "chunk", F.explode("to").alias("j"))
+    one = one.select(*body, _pair("component", "j").alias("where"), F.when(F.col("chunk") > 0, 1).when(F.col("j") == 0, 2).otherwise(0).alias("side"), _pair("component", "j").alias("unit"))
+    found = checkpointed(_units(small.unionByName(one)))
     if big.isEmpty():
         return found
     # Then what is left outside the largest part, against everything.
     label = components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
-    parts = big.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).coalesce(batches)
+    parts = big.select("id", "component", "k", "chunk").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).coalesce(batches)
     main = parts.groupBy("component", "label").count().coalesce(batches).groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main")).coalesce(batches)
     parts = checkpointed(parts.join(main, "component").withColumn("rest", F.col("label") != F.col("main")).coalesce(batches))
+    if parts.filter("rest").isEmpty():
+        return found
     left = parts.filter("rest").groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("kl")).coalesce(batches)
     parts = parts.join(left, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("kl")).cast("int"))
     a = parts.filter("rest").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.col("part").alias("i"), F.lit(0).alias("side"))
     b = parts.select("id", "component", F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("kl") - 1)).alias("i"), F.lit(1).alias("side"))
     key = _pair("component", "i", "j")
     rest = a.unionByName(b).select("id", key.alias("where"), "side", key.alias("unit"))
-    return found.unionByName(_units(rest.join(bodies, "id")))
+    return found.unionByName(_units(rest.join(big.select(*body), "id")))
 
 
 def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:

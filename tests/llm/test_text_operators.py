@@ -372,6 +372,35 @@ def test_tasks_of_the_join(spark, monkeypatch):
     assert tasks < 1200
 
 
+def test_shuffles_of_the_join(spark, monkeypatch):
+    """Shingles are shuffled once to find candidates' and once to verify them, also where a component is large, and not again for each lookup."""
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    docs = []
+    for family, copies_ in enumerate([12, *[2] * 60]):
+        text = [f"f{family}w{p}" for p in range(400)]
+        docs += [" ".join([*text[: 30 * c + 9], f"new{family}n{c}", *text[30 * c + 10 :]]) for c in range(copies_)]
+    docs = list(enumerate(docs))
+
+    def written(group, run):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            out = run()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        context, tracker = spark.sparkContext._jsc.sc(), spark.sparkContext.statusTracker()
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+        return out, sum(context.statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+    sets = jaccard.stored(jaccard.shingle_sets(spark.createDataFrame(docs, "doc_id long, text string")), "test-sets")
+    names = jaccard.checkpointed(jaccard.named(sets))
+    _, once = written("once", lambda: sets.select("s1", "tokens").repartition(4, "s1").write.format("noop").mode("overwrite").save())
+    found, all_ = written("links", lambda: components.components(jaccard.links(sets, names)).collect())
+    label = {r["node"]: r["component"] for r in found}
+    assert {i: label[i] for i, _ in docs} == {i: c for i, (_, c) in classes(docs).items()}
+    assert once > 100_000 and all_ < 2 * once, (all_, once)
+
+
 @pytest.mark.parametrize("chunk", [512, 6])
 def test_jaccard_against_brute_force(spark, copies, monkeypatch, chunk):
     monkeypatch.setattr("strataq.llm.windows.blocks_for", lambda b, n, size=0: 4)
